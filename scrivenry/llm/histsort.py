@@ -65,10 +65,10 @@ def splitters(keys: DataFrame, parts: int, tolerance: float) -> list[tuple[int,
             probes |= {(c, LEAST) if high[0] > low[0] else (low[0], c) for c in cuts if c > a}
             probes |= {low, high}
         bounds = sorted(probes)
-        below, sums = 0, {}
-        for bound, (size, _) in zip(bounds, histogram(keys, bounds), strict=False):
-            below += size
-            sums[bound] = below
+        below, before, sums, rows = 0, 0, {}, {}
+        for bound, (size, n) in zip(bounds, histogram(keys, bounds), strict=False):
+            below, before = below + size, before + n
+            sums[bound], rows[bound] = below, before
         for i, (low, high) in list(open_.items()):
             inside = [b for b in bounds if low <= b <= high]
             near = min(inside, key=lambda b: abs(sums[b] - wanted[i]))
@@ -77,7 +77,7 @@ def splitters(keys: DataFrame, parts: int, tolerance: float) -> list[tuple[int,
             under = max((b for b in inside if sums[b] <= wanted[i]), default=low)
             over = min((b for b in inside if b > under), default=high)
             narrow = over[0] - under[0] <= 1
-            if best[i][0] <= slack or narrow and (over[1] - under[1] <= 1 if under[0] == over[0] else False) or (under, over) == (low, high) and not narrow:
+            if best[i][0] <= slack or rows[over] - rows[under] <= 1 or narrow and (over[1] - under[1] <= 1 if under[0] == over[0] else False) or (under, over) == (low, high) and not narrow:
                 done[i] = best[i][1]
                 del open_[i]
             elif narrow and under[0] < over[0]:

@@ -109,9 +109,9 @@ def shard(docs: DataFrame, shards: int = 24, tolerance: float = 0.01, text: str
     edges = [(LEAST, LEAST), *bounds, (MOST, MOST)]
     fine = {*bounds, *((a[0] + (b[0] - a[0]) * j // PARTS, LEAST) for a, b in zip(edges, edges[1:], strict=False) for j in range(1, PARTS))}
     share = max(1, keys.count() // (shards * PARTS))
-    hot = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > share)
+    hot = [r.key for r in keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > share).select("key").collect()]
     cuts = [j / (PARTS * 4) for j in range(1, PARTS * 4)]
-    for key, n, ties in keys.join(hot, "key").groupBy("key").agg(F.first("n"), F.percentile_approx("tie", cuts, 1000)).collect():
+    for key, n, ties in keys.where(F.col("key").isin(hot)).groupBy("key").agg(F.count("*"), F.percentile_approx("tie", cuts, 1000)).collect():
         every = max(1, PARTS * 4 * share // n)
         fine |= {(key, LEAST), (key + 1, LEAST), *((key, t) for t in ties[::every])}
     fine = sorted(b for b in fine if b > (LEAST, LEAST))

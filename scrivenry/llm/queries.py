@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivenry.llm import histsort, neardup, simple8b, warc
+from scrivenry.llm import decontam, histsort, langid, neardup, packing, simple8b, tokencount, warc
 from scrivenry.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,10 +25,31 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.read_tokens(manifest)
 
 
+def op2_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("edits", tokencount.standard_edits())
+    return tokencount.count_edits(docs, tokenizer("byte_bpe_50k.json"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), words=3, percent=85)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), end_id=0)
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    docs = docs.withColumn("held_out", held)
+    model = langid.train(docs.where("not held_out").select("doc_id", "text", "lang"))
+    return langid.identify(docs, model, ["doc_id", "held_out"])
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_warc(documents(spark, sf_dir, "pages"))
     return warc.read_warc(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -40,6 +61,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", F.col("shard_size").alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op4_near_duplicates, op9_warc, op10_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op2_edit_counts, op3_decontamination, op4_near_duplicates, op5_packing, op7_language, op9_warc, op10_sharding)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivenry.llm import decontam, histsort, langid, neardup, packing, simple8b, tokencount, warc
+from scrivenry.llm import decontam, histsort, langid, neardup, ordermh, packing, secrets, simple8b, tokencount, warc
 from scrivenry.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), end_id=0)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordermh.fingerprints(documents(spark, sf_dir))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -50,6 +54,12 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, ["doc_id", "held_out"])
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    counts = [secrets.count_of("spans", k).alias(f"n_{k}") for k in secrets.BASE]
+    return found.select("doc_id", *counts, F.sha2(secrets.joined("spans", base_only=True), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_warc(documents(spark, sf_dir, "pages"))
     return warc.read_warc(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -61,6 +71,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", F.col("shard_size").alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op2_edit_counts, op3_decontamination, op4_near_duplicates, op5_packing, op7_language, op9_warc, op10_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op2_edit_counts, op3_decontamination, op4_near_duplicates, op5_packing, op6_fingerprints, op7_language, op8_secrets, op9_warc, op10_sharding)}
 
 ORACLE_SQL: dict[str, str] = {}

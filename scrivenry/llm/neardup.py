@@ -299,3 +299,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     joined = found.select("doc_id", "n_shingles", "digest").join(others, "digest", "left")
     component = F.coalesce("root", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``near_duplicates`` keeps; of rows repeated with doc_id and text
+    one.  Rows without doc_id are in no group and stay."""
+    answer = near_duplicates(docs, words, percent)
+    dropped = stored(answer.where("not kept and doc_id is not null").select("doc_id").distinct(), "dropped")
+    repeated = stored(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    rest = docs.join(dropped, "doc_id", "left_anti")
+    if repeated.isEmpty():
+        return rest.select(*docs.columns)
+    once = rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return rest.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)

@@ -63,7 +63,7 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     sized = lambda *kinds: " + ".join(f"size(__{k})" for k in kinds)
     access, secret = sized("access", "part_access"), sized("assign", "hex", "part_secret")
     linkable = f"({access}) > 0 and ({secret}) > 0 and ({sized(*WEAK)}) > 0"
-    key = F.expr(f"if({linkable}, sha2({text}, 256), concat('-', xxhash64({text})))").alias("__key")
+    key = F.expr(f"if({linkable}, sha2({text}, 256), concat('-', xxhash64({', '.join(f'`{c}`' for c in columns)})))").alias("__key")
     base, weak = F.concat(*[f"__{k}" for k in BASE]).alias("__base"), F.concat(*[f"__{k}" for k in WEAK]).alias("__weak")
     found = found.select(*columns, base, weak, key, F.expr(linkable).alias("__linkable"))
 

@@ -1,11 +1,67 @@
-"""Corpus pipeline (stages follow)."""
+"""The corpus pipeline: language, near-duplicates, contamination, secrets, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept.  All but the last return
+the columns of ``docs``; the last returns the pieces of training sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scrivenry.llm import decontam, langid, neardup, packing, secrets
+from scrivenry.llm.common import documents, stored
+from scrivenry.llm.queries import tokenizer
+
+#: A document whose best language has less of the likelihood than this has no words to tell it by.
+LEAST_SCORE = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language.  Rejected: null texts, texts without a letter, and texts of which no
+    word and no n-gram was seen.  The language is learned from labelled rows of ``docs`` itself."""
+    found = langid.identify(docs, langid.train(docs), docs.columns)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that five-word shingles link at 0.8: the one with the smallest doc_id.
+    Rows repeated with doc_id and text stay once.  Documents without doc_id or words are in no group."""
+    return neardup.deduplicated(docs, words=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.clean(docs, documents(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced by a mark, n_chars counted anew."""
+    return secrets.redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of training sequences, see ``packing.pack``."""
+    return packing.pack(docs, tokenizer("byte_bpe_50k.json"), end_id=0)
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("packing", pack),
+]
+
+#: No stage is within SQL's reach; tests hold each against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again before the next."""
+    docs = documents(spark, sf_dir)
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = stored(docs, name)
     return docs

@@ -1,4 +1,4 @@
 """Every query of the library, by name, and the SQL it is checked against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from scrivenry.plans import audit, reading  # noqa: F401
+from scrivenry.plans.common import ORACLE_SQL, QUERIES  # noqa: F401

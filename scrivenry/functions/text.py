@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WHITE = r"[\s\x1c-\x1f]"
 
@@ -56,7 +57,7 @@ def clean_block(c: Column) -> Column:
     return F.regexp_replace(bare, r"[ \t]*\n[ \t]*", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_entities(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """HTML entities decoded (the whole HTML5 table; Spark has no such function)."""
     import html
@@ -65,7 +66,7 @@ def decode_entities(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield t.map(lambda x: html.unescape(x) if x is not None and "&" in x else x)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import unicodedata
 
@@ -73,7 +74,7 @@ def nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield t.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """NFKC and case folding: the key under which spellings of a tag meet."""
     import unicodedata

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from scrivenry.functions.text import without_space
 
@@ -82,14 +83,14 @@ def greedy_near_duplicates(df: DataFrame, scope: list[str], order: str, text: st
         pdf["duplicate_of"] = pd.array([pdf[order].iloc[found[i]] if i in found else None for i in range(len(pdf))], dtype="Int64")
         return pdf
 
-    return df.groupBy(*scope).applyInPandas(run, df.schema.add("duplicate_of", "long"))
+    return df.groupBy(*scope).applyInPandas(run, StructType([*df.schema.fields, StructField("duplicate_of", LongType())]))
 
 
 def gram_jaccard(df: DataFrame, a: str, b: str) -> Column:
     return jaccard(char_grams(without_space(a)), char_grams(without_space(b)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def matching_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Twice the matching characters over those of both texts, by longest matching blocks."""
     import difflib

@@ -1,10 +1,10 @@
-"""The tokenizers library behind two caches: of stretches between spaces, and of pre-tokens in them.
+"""The tokenizers library behind a cache of pre-tokens.
 
-Both tokenizers used here cut a text by a pattern before they merge, and a stretch of white space always
-ends a match of it.  So a text may be split there, each distinct stretch cut by the same pattern, each
-distinct pre-token encoded once by the library's model, and the ids joined.  Stretches outside
-printable Latin go to the library whole, and so do whole texts that hold a special token's string or a
-control character that only one of the regex dialects takes for a space.
+Both tokenizers used here cut a text by a pattern, and merge inside a pre-token only.  So a text of printable
+Latin characters, for which Python's patterns and the library's agree, is cut by the same pattern, each distinct
+pre-token is merged once by the library's model, and the ids are joined.  Other texts are cut at spaces, where a
+match always ends, and each distinct stretch goes to the library; texts that hold a special token's string, or a
+control character that only one of the dialects takes for a space, go there whole.
 """
 
 from __future__ import annotations
@@ -13,21 +13,22 @@ import gc
 import re
 
 import numpy as np
-import regex
 
 from scrivenry.llm.common import slices
 
-#: Entries in each generation of each cache: a bound on memory, not on what is encoded.
-CACHE_ENTRIES = 250_000
+#: Entries in each of a cache's two generations: a bound on memory, not on what is encoded.
+CACHE_ENTRIES = 350_000
 _ODD = re.compile("<\\||[\x1c-\x1f]")
+_PLAIN = re.compile("[\t-\r -~¡-ſ]*")
 _SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-_PLAIN = re.compile("[ !-~¡-ſ]+")
-# The patterns the two tokenizers cut by.
-_CUT_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_CUT_BYTE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+# Letters and numbers among the plain characters, and the patterns the two tokenizers cut by.
+_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
+_CUT_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\\s{_L}{_N}]+")
+_CUT_BYTE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\\s{_L}{_N}]+|\\s+(?!\\S)|\\s+")
 # How the byte level shows a byte; printable Latin as itself, the others from U+0100 on.
 _SELF = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _SHOWN = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _SELF)}
+_SPACE = chr(_SHOWN[0x20])
 _WORKER: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -38,17 +39,16 @@ class _Cache:
         self.young: dict = {}
         self.old: dict = {}
 
-    def absent(self, keys) -> list:
+    def absent(self, keys: set) -> list:
         """Keys that neither generation holds; the others are in the younger one afterwards."""
         if len(self.young) > CACHE_ENTRIES:
             self.old, self.young = self.young, {}
         young, old, out = self.young, self.old, []
-        for k in keys:
-            if k not in young:
-                if k in old:
-                    young[k] = old[k]
-                else:
-                    out.append(k)
+        for k in keys.difference(young):
+            if (v := old.get(k)) is not None:
+                young[k] = v
+            else:
+                out.append(k)
         return out
 
 
@@ -60,7 +60,8 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.model, self.spaces = self.library.model, spaces
-        self.stretches, self.tokens = _Cache(), _Cache()
+        self.number = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
+        self.tokens, self.stretches = _Cache(), _Cache()
 
     @classmethod
     def of(cls, path: str, spaces: bool) -> Encoder:
@@ -69,48 +70,44 @@ class Encoder:
             _WORKER[path, spaces] = cls(path, spaces)
         return _WORKER[path, spaces]
 
-    def _cut(self, text: str) -> list:
-        if _ODD.search(text):
-            return [text]
-        if self.spaces:
-            return _SPACED.findall(text)
-        return text.encode("utf-8", "replace").lower().split()  # its normaliser lower-cases too
-
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _merge(self, token: str) -> bytes:
         """Ids of one pre-token, by the library's model."""
-        if not token.isascii() or " " in token:
+        if not token.isascii() or token.isspace():  # the byte level shows spaces and other bytes by other characters
             token = token.encode().decode("latin-1").translate(_SHOWN)
-        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(token))
-
-    def _learn(self, missing: list) -> None:
-        cut, odd, parts = (_CUT_BYTE if self.spaces else _CUT_WORD).findall, [], []
-        for p in missing:
-            text = p if isinstance(p, str) else p.decode()
-            if _PLAIN.fullmatch(text) and not _ODD.search(text):
-                parts.append((p, cut(text if self.spaces else text.lower())))
-            else:
-                odd.append((p, text))
-        if odd:
-            self.stretches.young.update(zip([p for p, _ in odd], self._whole([t for _, t in odd]), strict=True))
-        new = self.tokens.absent(dict.fromkeys(t for _, x in parts for t in x))
-        self.tokens.young.update(zip(new, map(self._merge, new), strict=True))
+        elif token[0] == " ":
+            token = _SPACE + token[1:]
+        return b"".join([self.number[t.id] for t in self.model.tokenize(token)])
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        cut = list(map(_CUT_BYTE.findall, texts)) if self.spaces else [_CUT_WORD.findall(t.lower()) for t in texts]
+        young = self.tokens.young
+        if missing := self.tokens.absent(set().union(*cut)):
+            young = self.tokens.young
+            young.update(zip(missing, map(self._merge, missing), strict=True))
         get = self.tokens.young.__getitem__
-        self.stretches.young.update((p, b"".join(map(get, x))) for p, x in parts)
+        return [b"".join(map(get, p)) for p in cut]
+
+    def _other(self, texts: list[str]) -> list[bytes]:
+        cut = [[t] if _ODD.search(t) else _SPACED.findall(t) for t in texts]
+        if missing := self.stretches.absent(set().union(*cut)):
+            self.stretches.young.update(zip(missing, self._whole(missing), strict=True))
+        get = self.stretches.young.__getitem__
+        return [b"".join(map(get, p)) for p in cut]
 
     def raw(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: empty), as bytes."""
         texts = [t or "" for t in texts]
         out: list[bytes] = []
         gc.disable()  # millions of strings and no cycle among them
-        for begin, end in slices(texts):
-            cut = [self._cut(t) for t in texts[begin:end]]
-            if missing := self.stretches.absent(set().union(*cut)):
-                self._learn(missing)
-            get = self.stretches.young.__getitem__
-            out += [b"".join(map(get, p)) for p in cut]
+        for begin, end in slices(texts, 1 << 22):
+            part = texts[begin:end]
+            plain = [bool(_PLAIN.fullmatch(t)) and "<|" not in t for t in part]
+            first = iter(self._plain([t for t, p in zip(part, plain, strict=True) if p]))
+            second = iter(self._other([t for t, p in zip(part, plain, strict=True) if not p]))
+            out += [next(first) if p else next(second) for p in plain]
         gc.enable()
         return out
 

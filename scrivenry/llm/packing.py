@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from scrivenry.llm.common import shuffle_width
 from scrivenry.llm.encoding import Encoder
 
-WINDOW, SHARD_DOCS = 1024, 2000
+WINDOW, SHARD_DOCS = 1024, 1000
 K1, B = 1.2, 0.75
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -38,7 +38,7 @@ class Index:
         doc, term, count = doc[kept], term[kept], count[kept]
         value = weight[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * size[doc] / max(size.mean(), 1e-9)))
         order = np.argsort(term, kind="stable")
-        self.n, self.docs, self.values = n, doc[order], value[order]
+        self.n, self.docs, self.values = n, doc[order].astype(np.int32), value[order]
         self.begin = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
         self.first = np.searchsorted(doc, np.arange(n + 1))
         self.own = term

@@ -100,9 +100,10 @@ def count_of(spans: str, kind: str) -> Column:
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """The rows of ``docs``, all columns as they are, with each stretch that spans cover put to ``mark`` in
     the text; overlapping spans are one stretch.  Null texts stay null."""
-    found = scan(docs)
+    found = scan(docs.select(F.struct("*").alias("row"), "text"))  # no column of theirs meets one of the scan's
     # Ascending by start: a span that begins before the end so far only lengthens the stretch.
     step = f"""named_struct('at', greatest(s.at, x.end), 'out', if(x.start >= s.at,
         concat(s.out, substring(text, int(s.at) + 1, int(x.start - s.at)), '{mark}'), s.out))"""
     body = f"aggregate(spans, named_struct('at', 0L, 'out', ''), (s, x) -> {step}, s -> concat(s.out, substring(text, int(s.at) + 1)))"
-    return found.withColumn("text", F.expr(f"if(size(spans) = 0 or text is null, text, {body})")).drop("spans")
+    text = F.expr(f"if(size(spans) = 0 or text is null, text, {body})").alias("text")
+    return found.select(*[text if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

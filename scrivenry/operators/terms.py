@@ -51,6 +51,10 @@ def ranked(df: DataFrame, group: str, score: str, top: int, tie: str = "doc_id")
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
+def _only(hits: str, pronoun: str) -> Column:
+    return F.filter(hits, lambda h: h == F.lit(pronoun))
+
+
 def viewpoints(df: DataFrame, work: str, text: str, pronouns: list[str] | None = None, opening: str = "[「『]", closing: str = "[」』]", inside: str = "[^「『」』]", low: float = 0.5, high: float = 1.0, least_chars: int = 2000) -> DataFrame:
     """Per work: viewpoint by first-person pronouns in a thousand characters of narration, with the counts.
 
@@ -66,7 +70,7 @@ def viewpoints(df: DataFrame, work: str, text: str, pronouns: list[str] | None =
     rows = df.select(work, story.alias("__story")).withColumn("__hits", hits)
     sums = rows.groupBy(work).agg(
         F.sum(F.length("__story")).alias("narration_chars"), F.sum(F.size("__hits")).alias("first_person_hits"), F.count("*").alias("lines"), F.count_if(F.size("__hits") > 0).alias("lines_hit"),
-        *[F.sum(F.size(F.filter("__hits", lambda h, p=p: h == p))).alias(f"__p{i}") for i, p in enumerate(pronouns)],
+        *[F.sum(F.size(_only("__hits", p))).alias(f"__p{i}") for i, p in enumerate(pronouns)],
     )
     rate = F.coalesce(F.try_divide(F.col("first_person_hits") * 1000.0, F.col("narration_chars")), F.lit(0.0))
     view = F.when(F.col("narration_chars") < least_chars, "unknown").when(rate >= high, "first_person").when(rate < low, "third_person").otherwise("unknown")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Fixed value: what SQLite's declared types become.
-TYPES = {"INT": "long", "REAL": "double", "FLOA": "double", "DOUB": "double", "BLOB": "binary"}
+TYPES = {"INT": "long", "REA": "double", "FLO": "double", "DOU": "double", "BLO": "binary"}
 
 
 def connect(path: str):
@@ -60,7 +60,7 @@ class SqliteSource(DataSource):
         c = connect(self.options["path"])
         info = c.execute(f"PRAGMA table_info('{self.options['dbtable']}')").fetchall()
         c.close()
-        return ", ".join(f"`{r[1]}` {TYPES.get((r[2] or '').upper()[:4], 'string')}" for r in info)
+        return ", ".join(f"`{r[1]}` {TYPES.get((r[2] or '').upper()[:3], 'string')}" for r in info)
 
     def reader(self, schema):
         return SqliteReader(schema, self.options)

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from scrivenry.llm.common import stored
 
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
-#: Probes for each splitter and pass, and parts of a shard that are numbered apart from each other.
-PROBES, PARTS = 64, 16
+#: Probes for each splitter and pass; parts of a shard that are numbered apart (least and most), and their rows.
+PROBES, PARTS, PART_ROWS = 64, (16, 1024), 8192
 
 
 def text_key(text: str = "text") -> Column:
@@ -106,13 +106,14 @@ def shard(docs: DataFrame, shards: int = 24, tolerance: float = 0.01, text: str
     bounds = splitters(keys, shards, tolerance)
     # Parts for numbering: even steps of the key between the splitters, so that no part waits for a whole shard.
     # Keys with more rows than a part should have (there are fewer of them than parts) are cut by doc_id too.
-    edges = [(LEAST, LEAST), *bounds, (MOST, MOST)]
-    fine = {*bounds, *((a[0] + (b[0] - a[0]) * j // PARTS, LEAST) for a, b in zip(edges, edges[1:], strict=False) for j in range(1, PARTS))}
-    share = max(1, keys.count() // (shards * PARTS))
+    edges, n_rows = [(LEAST, LEAST), *bounds, (MOST, MOST)], keys.count()
+    parts = min(max(PARTS[0], n_rows // (shards * PART_ROWS)), PARTS[1])
+    fine = {*bounds, *((a[0] + (b[0] - a[0]) * j // parts, LEAST) for a, b in zip(edges, edges[1:], strict=False) for j in range(1, parts))}
+    share = max(1, n_rows // (shards * parts))
     hot = [r.key for r in keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > share).select("key").collect()]
-    cuts = [j / (PARTS * 4) for j in range(1, PARTS * 4)]
+    cuts = [j / 64 for j in range(1, 64)]
     for key, n, ties in keys.where(F.col("key").isin(hot)).groupBy("key").agg(F.count("*"), F.percentile_approx("tie", cuts, 1000)).collect():
-        every = max(1, PARTS * 4 * share // n)
+        every = max(1, 64 * share // n)
         fine |= {(key, LEAST), (key + 1, LEAST), *((key, t) for t in ties[::every])}
     fine = sorted(b for b in fine if b > (LEAST, LEAST))
     counts = histogram(keys, fine)

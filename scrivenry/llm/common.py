@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import posixpath
 import tempfile
@@ -55,6 +56,35 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+_held: dict = {}
+
+
+def claim(owner: str, release) -> None:
+    """Name the owner of this worker's caches; those of other operators, from earlier tasks, are released, and
+    their memory goes back to the system, as the executor's limit counts it."""
+    others = [o for o in _held if o != owner]
+    for other in others:
+        _held.pop(other)()
+    _held[owner] = release
+    if others:
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library is glibc
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def parts(batches, rows: int = 1024):
+    """The batches in parts of at most ``rows`` rows, so that little of one is in Python objects at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 class AtomicFile:
     """A file that appears under its name only when complete.
 

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivenry.llm.common import slices
+from scrivenry.llm.common import claim, parts, slices
 
 #: Characters of items in one pass over the documents; more items take more passes.
 PASS_CHARS = 4_000_000
@@ -207,7 +207,7 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = 0.1, least_chars: i
             matcher = _matcher(sent, rate, least_chars)
             size = {i: len(t.strip()) for i, t in sent.value}
             names = ["doc_id", "item_id", "distance", "begin", "end", "item_chars"]
-            for b in batches:
+            for b in parts(batches):
                 rows = [(doc_id, *f, size[f[0]]) for doc_id, found in zip(b.column(0).to_pylist(), matcher.find(b.column(1).to_pylist()), strict=True) for f in found]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
@@ -226,7 +226,7 @@ def clean(docs: DataFrame, items: DataFrame, rate: float = 0.1, least_chars: int
             import pyarrow as pa
 
             matcher = _matcher(sent, rate, least_chars)
-            for b in batches:
+            for b in parts(batches):
                 yield b.filter(pa.array([not f for f in matcher.find(b.column(column).to_pylist())], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)
@@ -239,6 +239,7 @@ _made: dict = {}
 def _matcher(sent, rate: float, least_chars: int) -> Matcher:
     """The worker's matcher for a broadcast block; the last one is kept."""
     key = (sent._jbroadcast_id if hasattr(sent, "_jbroadcast_id") else id(sent.value), rate, least_chars)
+    claim("items", _made.clear)
     if key not in _made:
         _made.clear()
         _made[key] = Matcher(sent.value, rate, least_chars)

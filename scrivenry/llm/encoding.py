@@ -14,10 +14,10 @@ import re
 
 import numpy as np
 
-from scrivenry.llm.common import slices
+from scrivenry.llm.common import claim, slices
 
 #: Entries in each of a cache's two generations: a bound on memory, not on what is encoded.
-CACHE_ENTRIES = 350_000
+CACHE_ENTRIES = 250_000
 _ODD = re.compile("<\\||[\x1c-\x1f]")
 _PLAIN = re.compile("[\t-\r -~¡-ſ]*")
 _SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
@@ -66,6 +66,7 @@ class Encoder:
     @classmethod
     def of(cls, path: str, spaces: bool) -> Encoder:
         """One encoder for each worker process.  spaces: white space is part of tokens (byte-level BPE)."""
+        claim("encoder", _WORKER.clear)
         if (path, spaces) not in _WORKER:
             _WORKER[path, spaces] = cls(path, spaces)
         return _WORKER[path, spaces]
@@ -102,7 +103,7 @@ class Encoder:
         texts = [t or "" for t in texts]
         out: list[bytes] = []
         gc.disable()  # millions of strings and no cycle among them
-        for begin, end in slices(texts, 1 << 22):
+        for begin, end in slices(texts):
             part = texts[begin:end]
             plain = [bool(_PLAIN.fullmatch(t)) and "<|" not in t for t in part]
             first = iter(self._plain([t for t, p in zip(part, plain, strict=True) if p]))

@@ -10,13 +10,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivenry.llm.common import slices, stored
+from scrivenry.llm.common import claim, parts, slices, stored
 
 #: Labelled documents taken for each language, and words and n-grams kept; bounds on the model alone.
 SAMPLE, WORDS, GRAMS, LONGEST = 5_000, 100_000, 100_000, 5
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
-_MEMO = 300_000
+_MEMO = 100_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -29,48 +29,64 @@ def grams_of(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
+class Table:
+    """Log frequencies: a row of a matrix for each entry, a column for each language."""
+
+    def __init__(self, languages: list[str], counts: dict[str, dict[str, int]]):
+        self.place = {w: i for i, w in enumerate(sorted({w for own in counts.values() for w in own}))}
+        table = np.zeros((len(self.place), len(languages)))
+        for j, lang in enumerate(languages):
+            for w, n in counts.get(lang, {}).items():
+                table[self.place[w], j] = n
+        self.logs = np.log((table + 0.5) / (table.sum(0) + 0.5 * max(1, len(table)))).astype(np.float32)
+
+
 class Model:
     """counts: {language: {word: n}} for words and for n-grams of each length."""
 
     def __init__(self, words: dict[str, dict[str, int]], grams: dict[str, dict[str, int]]):
         self.languages = sorted(words.keys() | grams.keys())
-        self.words, self.grams = self._logs(words), {}
-        for n in range(1, LONGEST + 1):
-            self.grams[n] = self._logs({lang: {g: c for g, c in own.items() if len(g) == n} for lang, own in grams.items()})
+        self.words = Table(self.languages, words)
+        self.grams = {n: Table(self.languages, {lang: {g: c for g, c in own.items() if len(g) == n} for lang, own in grams.items()}) for n in range(1, LONGEST + 1)}
         self.memo: dict[str, np.ndarray] = {}
 
-    def _logs(self, counts: dict[str, dict[str, int]]) -> dict[str, np.ndarray]:
-        known = {w for own in counts.values() for w in own}
-        total = [sum(counts.get(lang, {}).values()) for lang in self.languages]
-        return {w: np.array([math.log((counts.get(lang, {}).get(w, 0) + 0.5) / (t + 0.5 * len(known))) for lang, t in zip(self.languages, total, strict=True)]) for w in known}
+    def unseen(self, word: str) -> np.ndarray:
+        """The mean log frequency over a word's longest n-grams that are known."""
+        for n in range(LONGEST, 0, -1):
+            place = self.grams[n].place
+            if found := [place[g] for g in grams_of(word, n) if g in place]:
+                return self.grams[n].logs[found].mean(0)
+        return np.zeros(len(self.languages), np.float32)
 
     def scores(self, word: str) -> np.ndarray:
-        """Log frequencies of a word; of an unseen one, the mean over its longest known n-grams."""
-        if (found := self.words.get(word)) is not None:
-            return found
-        for n in range(LONGEST, 0, -1):
-            logs = self.grams[n]
-            if found := [logs[g] for g in grams_of(word, n) if g in logs]:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.languages))
+        i = self.words.place.get(word)
+        return self.unseen(word) if i is None else self.words.logs[i]
+
+    def _table(self, words: list[str]) -> np.ndarray:
+        out = np.empty((len(words), len(self.languages)), np.float32)
+        if len(self.memo) > _MEMO:
+            self.memo.clear()
+        for i, w in enumerate(words):
+            if (at := self.words.place.get(w)) is not None:
+                out[i] = self.words.logs[at]
+                continue
+            if (own := self.memo.get(w)) is None:
+                own = self.memo[w] = self.unseen(w)
+            out[i] = own
+        return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = []
         for low, high in slices([t or "" for t in texts]):
             cut = [words_of(t) for t in texts[low:high]]
-            if len(self.memo) > _MEMO:
-                self.memo = {}
-            new = set().union(*cut)
-            # A place in a matrix for each distinct word of the slice.
-            number = {w: i for i, w in enumerate(new)}
-            for w in new - self.memo.keys():
-                self.memo[w] = self.scores(w)
-            table = np.array([self.memo[w] for w in new]).reshape(len(new), len(self.languages))
-            for own in cut:
-                if not own or not self.languages:
+            new = sorted(set().union(*cut))
+            number, table = {w: i for i, w in enumerate(new)}, self._table(new)
+            for text, own in zip(texts[low:high], cut, strict=True):
+                # Words may be made of characters that are neither digits nor letters, such as superscripts.
+                if not own or not self.languages or not any(map(str.isalpha, text)):
                     out.append((UNKNOWN, 0.0))
                     continue
-                logs = table[np.fromiter(map(number.__getitem__, own), np.int64, len(own))].sum(0)
+                logs = table[np.fromiter(map(number.__getitem__, own), np.int64, len(own))].sum(0, dtype=np.float64)
                 share = np.exp((logs - logs.max()) / math.sqrt(len(own)))
                 best = int(logs.argmax())  # of equal ones the first by name
                 out.append((self.languages[best], float(share[best] / share.sum())))
@@ -92,8 +108,9 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
         import pyarrow as pa
         from collections import Counter
 
+        claim("language counts", lambda: None)
         found: dict[str, Counter] = {}
-        for b in batches:
+        for b in parts(batches):
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found.setdefault(lang, Counter()).update(words_of(text))
         for lang, own in found.items():
@@ -110,8 +127,9 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     counts = stored(taken.groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")), "counts")
     model: list[dict] = [{}, {}]
     for kind, most in ((0, WORDS), (1, GRAMS)):
-        for r in counts.where(F.col("kind") == kind).orderBy(F.desc("n"), "lang", "gram").limit(most).collect():
-            model[kind].setdefault(r.lang, {})[r.gram] = r.n
+        kept = counts.where(F.col("kind") == kind).orderBy(F.desc("n"), "lang", "gram").limit(most).toArrow()
+        for lang, gram, n in zip(*(kept.column(c).to_pylist() for c in ("lang", "gram", "n")), strict=True):
+            model[kind].setdefault(lang, {})[gram] = n
     return Model(*model)
 
 
@@ -130,9 +148,26 @@ def identify(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     def predict(batches):
         import pyarrow as pa
 
-        for b in batches:
+        claim("language", sent.value.memo.clear)
+        for b in parts(batches):
             if b.num_rows:
                 lang, score = zip(*sent.value.predict(b.column(len(columns)).to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*columns, "lang_pred", "score"])
 
     return read.mapInArrow(predict, read.drop("__text").schema.add("lang_pred", "string").add("score", "double"))
+
+
+def known(docs: DataFrame, model: Model, least_score: float) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text is in a learned language with a score of at
+    least ``least_score``; see ``identify``."""
+    sent, column = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def keep(batches):
+        import pyarrow as pa
+
+        claim("language", sent.value.memo.clear)
+        for b in parts(batches):
+            found = sent.value.predict(b.column(column).to_pylist())
+            yield b.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -22,13 +22,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivenry.llm.common import shuffle_width, stored
+from scrivenry.llm.common import claim, parts, shuffle_width, stored
 
 HASHES = 128
 #: A pair at the threshold shares no band with at most this chance.
 MISS = 1e-4
 #: Most members of a block, and standard errors below the threshold at which a pair is still confirmed.
-BLOCK, ERRORS = 512, 4.0
+BLOCK, ERRORS = 192, 4.0
 _WORDS = 400_000
 
 
@@ -110,7 +110,8 @@ def prints(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def make(batches):
         import pyarrow as pa
 
-        for b in batches:
+        claim("shingles", _hashes.clear)
+        for b in parts(batches):
             out: list[tuple] = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = shingles(text, words)
@@ -219,8 +220,9 @@ def links(docs: DataFrame, found: DataFrame, words: int, percent: int) -> DataFr
     def sets(batches):
         import pyarrow as pa
 
-        for b in batches:
-            rep, digest, signature, text = (c.to_pylist() for c in b.columns)
+        claim("shingles", _hashes.clear)
+        for b in parts(batches):
+            _, digest, signature, text = (c.to_pylist() for c in b.columns)
             own = [shingles(t, words).tobytes() for t in text]
             yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(signature, pa.binary()), pa.array(own, pa.binary())], names=["digest", "signature", "own"])
 

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivenry.llm.common import shuffle_width
+from scrivenry.llm.common import parts, shuffle_width
 from scrivenry.llm.encoding import Encoder
 
 WINDOW, SHARD_DOCS = 1024, 1000
@@ -127,7 +127,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW,
 
         encoder = Encoder.of(tokenizer, True)
         end = np.array([end_id], "<u4")
-        for b in batches:
+        for b in parts(batches):
             rows = []
             for shard, doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), encoder.raw(b.column(2).to_pylist()), strict=True):
                 ids = np.append(np.frombuffer(raw, "<u4"), end)

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivenry.llm.common import AtomicFile, open_fs, scratch, shuffle_width
+from scrivenry.llm.common import AtomicFile, open_fs, parts, scratch, shuffle_width
 from scrivenry.llm.encoding import Encoder
 
 BLOCK_IDS = 1 << 16
@@ -195,7 +195,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, shards: int |
         uri = f"{folder}/shard-{shard:06d}.s8b"
         with AtomicFile(uri) as out:
             file = TokenFile(out)
-            for b in batches:
+            for b in parts(batches):
                 for doc_id, raw in zip(b.column(0).to_pylist(), encoder.raw(b.column(1).to_pylist()), strict=True):
                     file.add(NULL_ID if doc_id is None else doc_id, np.append(np.frombuffer(raw, "<u4"), end))
             file.close()

@@ -13,6 +13,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scrivenry.llm.common import parts
 from scrivenry.llm.encoding import Encoder
 
 LEAF = 256
@@ -147,7 +148,7 @@ def count_edits(docs: DataFrame, tokenizer: str) -> DataFrame:
         import pyarrow as pa
 
         encoder = Encoder.of(tokenizer, True)
-        for b in batches:
+        for b in parts(batches):
             rows = []
             for doc_id, text, edits in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 tree = Counts(encoder, text)

@@ -163,7 +163,7 @@ def test_language_of_clear_texts(spark):
     vocabulary = {"aa": ["stone", "river", "house", "green"], "bb": ["pierre", "rivière", "maison", "vert"]}
     rows = [(i, " ".join(random.Random(i).choices(vocabulary[lang], k=8)), lang) for i, lang in enumerate(["aa", "bb"] * 30)] + [(900, None, "aa"), (901, "stone", None)]
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    df = docs_of(spark, [(1, "Stone house"), (2, "maison verte rivières"), (3, None), (4, "123 !!"), (5, ""), (1, "Stone house"), (None, "river")])
+    df = docs_of(spark, [(1, "Stone house"), (2, "maison verte rivières"), (3, None), (4, "123 !! ² ①"), (5, ""), (1, "Stone house"), (None, "river")])
     found = sorted(((r.doc_id or 0, r.lang_pred) for r in langid.identify(df, model, df.columns).collect()))
     assert found == [(0, "aa"), (1, "aa"), (1, "aa"), (2, "bb"), (3, "und"), (4, "und"), (5, "und")]
     none = langid.train(spark.createDataFrame([], "doc_id long, text string, lang string"))

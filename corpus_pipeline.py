@@ -20,9 +20,7 @@ LEAST_SCORE = 0.3
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language.  Rejected: null texts, texts without a letter, and texts of which no
     word and no n-gram was seen.  The language is learned from labelled rows of ``docs`` itself."""
-    rows = docs.select(F.struct("*").alias("row"), "text")
-    found = langid.identify(rows, langid.train(docs), ["row"])
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    return langid.known(docs, langid.train(docs), LEAST_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Packing documents into training sequences by lexical retrieval.
 
 Documents are dealt to shards of about ``SHARD_DOCS`` by a hash.  A shard has a BM25 inverted index over the
-token ids of its whole documents.  Full windows of a document become sequences as they are; what is left of it
+token ids of its whole documents, with document frequencies and mean length counted over all shards.  Full windows of a document become sequences as they are; what is left of it
 (less than a window) is packed: a seed opens a window, the index ranks the shard's unused documents against it,
 and the best ones fill the window in turn.  The last one is cut where the window ends and its rest is the next
 seed.  A shard's last window is cut into sequences of powers of two, so there is no padding.
@@ -10,33 +10,45 @@ seed.  A shard's last window is cut into sequences of powers of two, so there is
 from __future__ import annotations
 
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivenry.llm.common import parts, shuffle_width
+from scrivenry.llm.common import parts, shuffle_width, stored
 from scrivenry.llm.encoding import Encoder
 
-WINDOW, SHARD_DOCS = 1024, 1000
+WINDOW, SHARD_DOCS = 1024, 2000
 K1, B = 1.2, 0.75
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+@dataclass(frozen=True)
+class Corpus:
+    """What BM25 needs of all documents: their number, their mean length, and each token's document frequency."""
+
+    n: int
+    mean: float
+    frequency: np.ndarray
+
+
 class Index:
-    """BM25 over a shard.  A term in half of the documents or more weighs nothing and has no postings."""
+    """BM25 over a shard, by the statistics of a corpus (its own if none is given).  A term in half of the corpus'
+    documents or more weighs nothing and has no postings."""
 
-    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray]):
+    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], corpus: Corpus | None = None):
         n = len(terms)
         doc = np.repeat(np.arange(n), [len(t) for t in terms])
         every, count = np.concatenate(terms).astype(np.int64), np.concatenate(counts).astype(np.float64)
         vocabulary, term = np.unique(every, return_inverse=True)
-        frequency = np.bincount(term, minlength=len(vocabulary))
-        weight = np.maximum(0.0, np.log((n - frequency + 0.5) / (frequency + 0.5)))
         size = np.bincount(doc, count, minlength=n)
+        corpus = corpus or Corpus(n, size.mean(), np.bincount(every))
+        frequency = corpus.frequency[vocabulary]
+        weight = np.maximum(0.0, np.log((corpus.n - frequency + 0.5) / (frequency + 0.5)))
         kept = weight[term] > 0
         doc, term, count = doc[kept], term[kept], count[kept]
-        value = weight[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * size[doc] / max(size.mean(), 1e-9)))
+        value = weight[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * size[doc] / max(corpus.mean, 1e-9)))
         order = np.argsort(term, kind="stable")
         self.n, self.docs, self.values = n, doc[order].astype(np.int32), value[order]
         self.begin = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
@@ -111,16 +123,46 @@ def powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]
     return out
 
 
+def _terms(terms: bytes, wide: bool) -> np.ndarray:
+    return np.frombuffer(terms, "<u4" if wide else "<u2")
+
+
+def statistics(encoded: DataFrame) -> Corpus:
+    """Of all documents, from the columns terms, counts and wide, in one pass.  A number for each token of the
+    vocabulary comes to the driver."""
+
+    def count(batches):
+        import pyarrow as pa
+
+        n = total = 0
+        frequency = np.zeros(0, np.int64)
+        for b in parts(batches):
+            for terms, counts, wide in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
+                n, total, terms = n + 1, total + int(np.frombuffer(counts, "<u2").sum(dtype=np.int64)), _terms(terms, wide)
+                if int(terms[-1]) >= len(frequency):
+                    frequency = np.append(frequency, np.zeros(int(terms[-1]) + 1 - len(frequency), np.int64))
+                frequency[terms] += 1
+        found = frequency.nonzero()[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append([-2, -1], found), pa.int64()), pa.array(np.append([n, total], frequency[found]), pa.int64())], names=["term", "n"])
+
+    partial = encoded.select("terms", "counts", "wide").mapInArrow(count, "term long, n long")
+    found = {r.term: r.n for r in partial.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n, total = found.pop(-2, 0), found.pop(-1, 0)
+    frequency = np.zeros(max(found, default=0) + 1, np.int64)
+    frequency[list(found)] = list(found.values())
+    return Corpus(n, total / max(n, 1), frequency)
+
+
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every document's ids and ``end_id`` lie in exactly one piece each; null or empty text: only ``end_id``.
     Null doc_id: packed, shown as null.  Repeated rows are packed each.  Other columns are not read.  An empty
-    table gives no piece.  One shuffle moves what is left of each document, the counts of its ids and four
-    bytes for each of its full windows; a task holds one shard at a time.
+    table gives no piece.  What is left of each document, the counts of its ids and four bytes for each of its
+    full windows are stored once, for the statistics, and moved by one shuffle; a task holds one shard at a time.
     """
     spark = docs.sparkSession
-    shards, width = max(1, -(-docs.count() // shard_docs)), shuffle_width(spark)
+    width = shuffle_width(spark)
 
     def encode(batches):
         import pyarrow as pa
@@ -129,16 +171,16 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW,
         end = np.array([end_id], "<u4")
         for b in parts(batches):
             rows = []
-            for shard, doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), encoder.raw(b.column(2).to_pylist()), strict=True):
+            for doc_id, raw in zip(b.column(0).to_pylist(), encoder.raw(b.column(1).to_pylist()), strict=True):
                 ids = np.append(np.frombuffer(raw, "<u4"), end)
                 terms, counts = np.unique(ids, return_counts=True)
                 full = len(ids) // window * window
                 crcs = [zlib.crc32(ids[i : i + window].tobytes()) for i in range(0, full, window)]
                 small = "<u2" if int(terms[-1]) < 1 << 16 else "<u4"
-                rows.append((shard, doc_id, len(ids), np.array(crcs, "<u4").tobytes(), ids[full:].astype(small).tobytes(), terms.astype(small).tobytes(), np.minimum(counts, 65535).astype("<u2").tobytes(), small == "<u4"))
+                rows.append((doc_id, len(ids), np.array(crcs, "<u4").tobytes(), ids[full:].astype(small).tobytes(), terms.astype(small).tobytes(), np.minimum(counts, 65535).astype("<u2").tobytes(), small == "<u4"))
             if rows:
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
-                names = ["shard", "doc_id", "n", "crcs", "rest", "terms", "counts", "wide"]
+                types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
+                names = ["doc_id", "n", "crcs", "rest", "terms", "counts", "wide"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     def fill_shards(batches):
@@ -154,7 +196,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW,
                     rows.append((doc_id, w * window, window, crc, n, sequence, 0))
                     sequence += 1
                 rests.append(np.frombuffer(rest, "<u4" if wide else "<u2").astype("<u4"))
-            index = Index([np.frombuffer(m[4], "<u4" if m[6] else "<u2") for m in members], [np.frombuffer(m[5], "<u2") for m in members])
+            index = Index([_terms(m[4], m[6]) for m in members], [np.frombuffer(m[5], "<u2") for m in members], corpus)
             windows = fill(index, [len(r) for r in rests], window)
             if windows and sum(p[2] for p in windows[-1]) < window:
                 windows += powers(windows.pop())
@@ -169,7 +211,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW,
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards))
-    read = docs.select(shard.alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    encoded = read.mapInArrow(encode, "shard long, doc_id long, n long, crcs binary, rest binary, terms binary, counts binary, wide boolean")
-    return encoded.repartition(width, "shard").sortWithinPartitions("shard", "doc_id").mapInArrow(fill_shards, SCHEMA)
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    encoded = stored(read.mapInArrow(encode, "doc_id long, n long, crcs binary, rest binary, terms binary, counts binary, wide boolean"), "packing")
+    corpus = statistics(encoded)
+    shard = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-corpus.n // shard_docs))))
+    dealt = encoded.select(shard.alias("shard"), "*").repartition(width, "shard")
+    return dealt.sortWithinPartitions("shard", "doc_id").mapInArrow(fill_shards, SCHEMA)

@@ -137,3 +137,16 @@ def test_neighbours_share_terms():
     scores = index.scores(0)
     assert scores[2] > 0 and scores[1] == 0
     assert packing.fill(index, [4, 4, 4, 4] + [0] * 6, 8) == [[(0, 0, 4), (2, 0, 4)], [(1, 0, 4), (3, 0, 4)]]
+
+
+def test_a_shard_weighs_terms_by_the_whole_corpus(spark):
+    random.seed(4)
+    docs = [sorted(random.sample(range(60 if i % 2 else 70000), 12)) for i in range(80)]
+    terms, counts = [np.array(t) for t in docs], [np.array([random.randint(1, 5) for _ in t]) for t in docs]
+    wide = [bool(t[-1] >> 16) for t in terms]
+    rows = [(bytearray(t.astype("<u4" if w else "<u2").tobytes()), bytearray(c.astype("<u2").tobytes()), w) for t, c, w in zip(terms, counts, wide, strict=True)]
+    corpus = packing.statistics(spark.createDataFrame(rows, "terms binary, counts binary, wide boolean").repartition(5))
+    assert corpus.n == 80 and corpus.mean == sum(int(c.sum()) for c in counts) / 80
+    assert corpus.frequency.tolist() == np.bincount(np.concatenate(terms)).tolist()
+    whole, odd = packing.Index(terms, counts), packing.Index(terms[1::2], counts[1::2], corpus)
+    assert all(np.allclose(odd.scores(i), whole.scores(2 * i + 1)[1::2]) and odd.scores(i).any() for i in range(40))

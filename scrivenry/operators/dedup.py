@@ -26,7 +26,8 @@ def exact_duplicates(df: DataFrame, text: str, order: str, scope: tuple[str, ...
 def char_grams(c: Column | str, n: int = 5) -> Column:
     """Distinct character n-grams; a shorter text is its own."""
     t = F.col(c) if isinstance(c, str) else c
-    long = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substr(t, i, F.lit(n))))
+    # One pass by a pattern: substr would walk the text anew for each place.
+    long = F.array_distinct(F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)))
     return F.when(F.length(t) >= n, long).when(F.length(t) > 0, F.array(t)).otherwise(F.array().cast("array<string>"))
 
 

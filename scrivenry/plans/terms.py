@@ -97,9 +97,11 @@ def foreign_terms(spark, sf):
 WITH g AS (SELECT doc_id, source, list_distinct([substring(regexp_replace(left(text, 200), '\s+', '', 'g'), i, 5) FOR i IN range(1, length(regexp_replace(left(text, 200), '\s+', '', 'g')) - 3)]) AS g FROM documents WHERE length(text) >= 200)
 SELECT a.doc_id, b.doc_id AS other, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 6) AS jaccard FROM g a JOIN g b ON b.doc_id = a.doc_id + 20""")
 def gram_jaccard(spark, sf):
-    g = table(spark, sf, "documents").where(F.length("text") >= 200).select("doc_id", dedup.char_grams(T.without_space(F.left("text", F.lit(200)))).alias("g"))
-    other = g.select((F.col("doc_id") - 20).alias("doc_id"), F.col("doc_id").alias("other"), F.col("g").alias("h"))
-    return g.join(other, "doc_id").select("doc_id", "other", F.round(dedup.jaccard(F.col("g"), F.col("h")), 6).alias("jaccard"))
+    d = table(spark, sf, "documents").select("doc_id", T.without_space("text").alias("text"))
+    other = d.select((F.col("doc_id") - 20).alias("doc_id"), F.col("doc_id").alias("other"), F.col("text").alias("other_text"))
+    pairs = d.join(other, "doc_id")  # texts are joined, not grams: these are many times as large
+    grams = pairs.select("doc_id", "other", *[dedup.char_grams(c).alias(c) for c in ("text", "other_text")])
+    return grams.select("doc_id", "other", F.round(dedup.jaccard(F.col("text"), F.col("other_text")), 6).alias("jaccard"))
 
 
 @query()

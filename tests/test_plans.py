@@ -21,3 +21,10 @@ def test_gram_jaccard_takes_whole_texts(spark, tmp_path):
     found = {(r.doc_id, r.other): r.jaccard for r in QUERIES["gram_jaccard"](spark, str(tmp_path)).collect()}
     assert found == pytest.approx(plain, abs=1e-6)
     assert found[0, 20] < 0.9 and found[1, 21] > 0.1 and found[2, 22] == 1.0
+
+
+def test_missing_ids_compares_whole_tables(spark, tmp_path):
+    spark.range(0, 300).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(0, 300, 3).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/labels.parquet")
+    found = sorted(r.doc_id for r in QUERIES["missing_ids"](spark, str(tmp_path)).collect())
+    assert found == [i for i in range(300) if i % 3]

@@ -17,7 +17,8 @@ from scrivenry.sources.scratch import scratch
 def char_ngrams(c: Column | str, low: int = 2, high: int = 3) -> Column:
     """All character n-grams of a text, repeats included."""
     t = F.col(c) if isinstance(c, str) else c
-    of = lambda n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substr(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    # One pass by a pattern: substr would walk the text anew for each place.
+    of = lambda n: F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
     return F.concat(*[of(n) for n in range(low, high + 1)])
 
 
@@ -101,6 +102,7 @@ def out_of_fold(df: DataFrame, label: str, features: str, k: int, c: float = 1.0
         train = train.persist()
         n = train.count()
         model = LogisticRegression(labelCol=label, featuresCol=features, weightCol="__weight", regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=iterations).fit(train)
+        train.unpersist()
         scored = model.transform(df.where(F.col("fold") == i)).withColumn("score", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
         out = scored if out is None else out.unionByName(scored)
     return out
@@ -118,11 +120,11 @@ def evaluate(df: DataFrame, label: str, key: str, features: str, k: int = 3, c:
     """(one row of measures, scored rows): ranking quality, the best cut, and the correction for unlabelled
     positives, all from out-of-fold scores."""
     spark = df.sparkSession
-    # Stored once: every fold's model reads the vectors many times.
+    # Stored once, with their folds: every fold's model reads the vectors many times.
     kept = scratch(spark, "vectors")
-    df.select(key, F.col(label).cast("double").alias(label), features).write.parquet(kept)
+    folds(df.select(key, F.col(label).cast("double").alias(label), features), label, key, k, seed).write.parquet(kept)
     own = spark.read.parquet(kept)
-    scored = calibrated(out_of_fold(folds(own, label, key, k, seed), label, features, k, c), label, "score").select(key, label, "fold", "score", "calibrated")
+    scored = calibrated(out_of_fold(own, label, features, k, c), label, "score").select(key, label, "fold", "score", "calibrated")
     path = scratch(spark, "scores")
     scored.write.parquet(path)
     scored = spark.read.parquet(path)

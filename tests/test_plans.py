@@ -1,8 +1,10 @@
 """Registered queries against plain versions over whole tables."""
 
 import random
+from collections import Counter
 
 import pytest
+from scrivenry.operators import classify
 from scrivenry.plans.registry import QUERIES
 
 
@@ -28,3 +30,16 @@ def test_missing_ids_compares_whole_tables(spark, tmp_path):
     spark.range(0, 300, 3).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/labels.parquet")
     found = sorted(r.doc_id for r in QUERIES["missing_ids"](spark, str(tmp_path)).collect())
     assert found == [i for i in range(300) if i % 3]
+
+
+def test_tfidf_classifier_has_the_whole_vocabulary_and_five_folds(spark, tmp_path, monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdefghijklmno \n😀") for _ in range(900)) for _ in range(30)] + ["", "a"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(32)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen = {}
+    monkeypatch.setattr(classify, "evaluate", lambda df, *_, k=3, **__: [seen.update(k=k, size=df.first()["features"].size)])
+    QUERIES["tfidf_classifier"](spark, str(tmp_path))
+    docs = Counter(g for t in texts for g in {t[i : i + n] for n in (2, 3) for i in range(len(t) - n + 1)})
+    plain = sum(n >= 3 for n in docs.values())
+    assert plain > 2000 and seen == {"k": 5, "size": plain}

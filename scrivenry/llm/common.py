@@ -14,14 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor shares.
 
-    ``spark.checkpoint.dir`` of the session when it is set.  Only where it is unset (a local session, as
-    in tests) a temporary folder of this machine is chosen and set as the checkpoint folder.
+    ``spark.checkpoint.dir`` of the session when it is set.  Only where it is unset and the session runs in one
+    process (local, as in tests) a temporary folder of this machine is chosen and set as the checkpoint folder;
+    on a cluster each executor would write to a disk of its own, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         if kept.isDefined():
             return kept.get()
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="scrivenry-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -32,11 +35,52 @@ def scratch(spark: SparkSession, name: str) -> str:
     return posixpath.join(shared_dir(spark).rstrip("/"), f"scrivenry-{name}-{uuid.uuid4().hex[:12]}")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch paths; those that are gone already are no error."""
+    for path in paths:
+        fs, place = _hadoop(spark, path)
+        fs.delete(place, True)
+
+
+class Scratch:
+    """Paths of scratch tables written while it is open; at the end all but the kept ones are deleted.  Lazy
+    results that still read one must be kept, and go when the application ends."""
+
+    open_: list[Scratch] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.kept = spark, [], set()
+
+    def __enter__(self) -> Scratch:
+        Scratch.open_.append(self)
+        return self
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Tables that what is returned reads."""
+        self.kept.update(p for t in tables for p in self.paths if any(p.split("/")[-1] in f for f in t.inputFiles()))
+
+    def __exit__(self, kind, value, trace):
+        Scratch.open_.remove(self)
+        dropped(self.spark, *[p for p in self.paths if p not in self.kept])
+        if Scratch.open_:
+            Scratch.open_[-1].paths += [p for p in self.paths if p in self.kept]
+
+
 def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut, sizes are known."""
+    """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut, sizes are known.  The
+    table is deleted with the ``Scratch`` it was made in, or when the application ends."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     writer = df.write.option("compression", "lz4")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    fs, place = _hadoop(spark, path)
+    fs.deleteOnExit(place)
+    if Scratch.open_:
+        Scratch.open_[-1].paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -45,6 +89,12 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def width_for(spark: SparkSession, amount: int, each: int) -> int:
+    """Tasks for an exchange of ``amount`` (rows or bytes) of which a task should get ``each``: the session's
+    number at least, more where the data are more."""
+    return max(shuffle_width(spark), -(-amount // each))
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -78,11 +128,18 @@ def claim(owner: str, release) -> None:
             ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def parts(batches, rows: int = 1024):
-    """The batches in parts of at most ``rows`` rows, so that little of one is in Python objects at a time."""
+def parts(batches, rows: int = 1024, most: int = 32 << 20):
+    """The batches in parts of at most ``rows`` rows and ``most`` bytes (or one row), so that little of one is in
+    Python objects at a time."""
     for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+        left = [b.slice(i, rows) for i in range(0, b.num_rows, rows)][::-1]
+        while left:
+            part = left.pop()
+            if part.nbytes > most and part.num_rows > 1:
+                half = part.num_rows // 2
+                left += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
 
 
 class AtomicFile:
@@ -109,13 +166,13 @@ class AtomicFile:
             self.fs.delete_file(self.temp)
 
 
-def slices(texts: list, most: int = 1 << 21):
+def slices(texts: list, most: int = 1 << 21, size=len):
     """Cut a list of texts into (from, to) runs of about ``most`` characters, one text at least."""
-    begin = size = 0
+    begin = total = 0
     for i, text in enumerate(texts):
-        size += len(text)
-        if size >= most:
+        total += size(text)
+        if total >= most:
             yield begin, i + 1
-            begin, size = i + 1, 0
+            begin, total = i + 1, 0
     if begin < len(texts):
         yield begin, len(texts)

@@ -1,25 +1,31 @@
 """Packing documents into training sequences by lexical retrieval.
 
-Documents are dealt to shards of about ``SHARD_DOCS`` by a hash.  A shard has a BM25 inverted index over the
-token ids of its whole documents, with document frequencies and mean length counted over all shards.  Full windows of a document become sequences as they are; what is left of it
-(less than a window) is packed: a seed opens a window, the index ranks the shard's unused documents against it,
-and the best ones fill the window in turn.  The last one is cut where the window ends and its rest is the next
-seed.  A shard's last window is cut into sequences of powers of two, so there is no padding.
+Documents are ordered by their most telling terms (by count times inverse document frequency over the corpus),
+so that those with the same subject stand together, and cut into shards of ``SHARD_DOCS``.  A shard has a BM25
+inverted index over the token ids of its whole documents, with document frequencies and mean length of the whole
+corpus.  Full windows of a document become sequences as they are; what is left of it (less than a window) is
+packed: a seed opens a window, the index ranks the shard's unused documents against it, and the best ones fill
+the window in turn.  The last one is cut where the window ends and its rest is the next seed.  A shard's last
+window is cut into sequences of powers of two, so there is no padding.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from scrivenry.llm.common import parts, shuffle_width, stored
+from scrivenry.llm.common import parts, stored, width_for
 from scrivenry.llm.encoding import Encoder
 
 WINDOW, SHARD_DOCS = 1024, 2000
+#: Terms of a document that place it, and shards in a task.
+TELLING, TASK_SHARDS = 4, 4
 K1, B = 1.2, 0.75
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -39,28 +45,28 @@ class Index:
 
     def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], corpus: Corpus | None = None):
         n = len(terms)
-        doc = np.repeat(np.arange(n), [len(t) for t in terms])
-        every, count = np.concatenate(terms).astype(np.int64), np.concatenate(counts).astype(np.float64)
-        vocabulary, term = np.unique(every, return_inverse=True)
+        doc = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in terms])
+        term, count = np.concatenate(terms).astype(np.int64), np.concatenate(counts).astype(np.float64)
         size = np.bincount(doc, count, minlength=n)
-        corpus = corpus or Corpus(n, size.mean(), np.bincount(every))
-        frequency = corpus.frequency[vocabulary]
-        weight = np.maximum(0.0, np.log((corpus.n - frequency + 0.5) / (frequency + 0.5)))
-        kept = weight[term] > 0
-        doc, term, count = doc[kept], term[kept], count[kept]
-        value = weight[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * size[doc] / max(corpus.mean, 1e-9)))
-        order = np.argsort(term, kind="stable")
-        self.n, self.docs, self.values = n, doc[order].astype(np.int32), value[order]
-        self.begin = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
-        self.first = np.searchsorted(doc, np.arange(n + 1))
-        self.own = term
+        corpus = corpus or Corpus(n, size.mean(), np.bincount(term))
+        weight = np.maximum(0.0, np.log((corpus.n - corpus.frequency + 0.5) / (corpus.frequency + 0.5)))[term]
+        kept = weight > 0
+        doc, term, count, weight = doc[kept], term[kept], count[kept], weight[kept]
+        value = weight * count * (K1 + 1) / (count + (K1 * (1 - B + B * size / max(corpus.mean, 1e-9)))[doc])
+        there = np.bincount(term) > 0
+        term = (np.cumsum(there) - 1)[term] if len(term) else term
+        most = int(there.sum())
+        order = np.argsort(term.astype(np.uint16) if most <= 1 << 16 else term, kind="stable")  # by radix, of short ones
+        ends = np.cumsum(np.bincount(term, minlength=most))[:-1]
+        self.n, self.docs, self.values = n, np.split(doc[order], ends), np.split(value[order], ends)
+        self.own = [t.tolist() for t in np.split(term, np.cumsum(np.bincount(doc, minlength=n))[:-1])]
 
     def scores(self, doc: int) -> np.ndarray:
         """Of all documents against the distinct terms of one."""
-        terms = self.own[self.first[doc] : self.first[doc + 1]]
-        begin, size = self.begin[terms], self.begin[terms + 1] - self.begin[terms]
-        at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
-        return np.bincount(self.docs[at], self.values[at], minlength=self.n)
+        terms = self.own[doc]
+        if not terms:
+            return np.zeros(self.n)
+        return np.bincount(np.concatenate([self.docs[t] for t in terms]), np.concatenate([self.values[t] for t in terms]), minlength=self.n)
 
 
 def fill(index: Index, rest: list[int], window: int) -> list[list[tuple[int, int, int]]]:
@@ -123,80 +129,110 @@ def powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]
     return out
 
 
-def _terms(terms: bytes, wide: bool) -> np.ndarray:
-    return np.frombuffer(terms, "<u4" if wide else "<u2")
+def _ids(data: bytes, wide: bool) -> np.ndarray:
+    return np.frombuffer(data, "<u4" if wide else "<u2")
 
 
-def statistics(encoded: DataFrame) -> Corpus:
-    """Of all documents, from the columns terms, counts and wide, in one pass.  A number for each token of the
-    vocabulary comes to the driver."""
-
-    def count(batches):
-        import pyarrow as pa
-
-        n = total = 0
-        frequency = np.zeros(0, np.int64)
-        for b in parts(batches):
-            for terms, counts, wide in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
-                n, total, terms = n + 1, total + int(np.frombuffer(counts, "<u2").sum(dtype=np.int64)), _terms(terms, wide)
-                if int(terms[-1]) >= len(frequency):
-                    frequency = np.append(frequency, np.zeros(int(terms[-1]) + 1 - len(frequency), np.int64))
-                frequency[terms] += 1
-        found = frequency.nonzero()[0]
-        yield pa.RecordBatch.from_arrays([pa.array(np.append([-2, -1], found), pa.int64()), pa.array(np.append([n, total], frequency[found]), pa.int64())], names=["term", "n"])
-
-    partial = encoded.select("terms", "counts", "wide").mapInArrow(count, "term long, n long")
-    found = {r.term: r.n for r in partial.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+def statistics(counted: DataFrame) -> Corpus:
+    """Of all documents, from rows (term, n) of parts of them; term -2 has documents and -1 ids.  A number for each
+    token of the vocabulary comes to the driver."""
+    found = {r.term: r.n for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect()}
     n, total = found.pop(-2, 0), found.pop(-1, 0)
     frequency = np.zeros(max(found, default=0) + 1, np.int64)
     frequency[list(found)] = list(found.values())
     return Corpus(n, total / max(n, 1), frequency)
 
 
+def place(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> int:
+    """A document's place in the order of subjects: its ``TELLING`` terms with the most weight, 16 bits each."""
+    weight = idf[terms] * counts
+    first = np.argpartition(-weight, TELLING)[:TELLING] if len(weight) > TELLING else np.arange(len(weight))
+    first = first[np.lexsort((terms[first], -weight[first]))]
+    out = 0
+    for i in range(TELLING):
+        out = out << 16 | (int(terms[first[i]]) * 65536 // max(len(idf), 65536) if i < len(first) else 0)
+    return out - (1 << 63)
+
+
+def shards(batches, size: int) -> Iterator[list[tuple]]:
+    """Rows of a task in their order, ``size`` at a time."""
+    held: list[tuple] = []
+    for b in parts(batches):
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            held.append(row)
+            if len(held) == size:
+                yield held
+                held = []
+    if held:
+        yield held
+
+
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every document's ids and ``end_id`` lie in exactly one piece each; null or empty text: only ``end_id``.
-    Null doc_id: packed, shown as null.  Repeated rows are packed each.  Other columns are not read.  An empty
+    Null doc_id: packed, shown as null.  Repeated rows are packed each; equal places are ordered by a hash of the
+    row, so rows of one doc_id, or without one, are dealt like any others.  Other columns are not read.  An empty
     table gives no piece.  What is left of each document, the counts of its ids and four bytes for each of its
-    full windows are stored once, for the statistics, and moved by one shuffle; a task holds one shard at a time.
+    full windows are stored once and moved by one exchange; a task holds one shard at a time.
     """
-    spark = docs.sparkSession
-    width = shuffle_width(spark)
 
     def encode(batches):
         import pyarrow as pa
 
-        encoder = Encoder.of(tokenizer, True)
+        encoder = Encoder.of(tokenizer)
         end = np.array([end_id], "<u4")
-        for b in parts(batches):
+        n = total = 0
+        frequency = np.zeros(max(encoder.library.get_vocab_size(), end_id + 1), np.int64)
+        names = ["doc_id", "n", "crcs", "rest", "terms", "counts", "wide", "kind"]
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.bool_(), pa.int32())
+        for b in parts(batches, 4096):
             rows = []
-            for doc_id, raw in zip(b.column(0).to_pylist(), encoder.raw(b.column(1).to_pylist()), strict=True):
-                ids = np.append(np.frombuffer(raw, "<u4"), end)
+            for doc_id, ids in zip(b.column(0).to_pylist(), encoder.column(b.column(1)), strict=True):
+                ids = np.append(ids, end)
                 terms, counts = np.unique(ids, return_counts=True)
-                full = len(ids) // window * window
-                crcs = [zlib.crc32(ids[i : i + window].tobytes()) for i in range(0, full, window)]
-                small = "<u2" if int(terms[-1]) < 1 << 16 else "<u4"
-                rows.append((doc_id, len(ids), np.array(crcs, "<u4").tobytes(), ids[full:].astype(small).tobytes(), terms.astype(small).tobytes(), np.minimum(counts, 65535).astype("<u2").tobytes(), small == "<u4"))
+                frequency[terms] += 1
+                n, total, full = n + 1, total + len(ids), len(ids) // window * window
+                crcs = [zlib.crc32(ids[i : i + window]) for i in range(0, full, window)]
+                wide = int(terms[-1]) >= 1 << 16 or int(counts.max()) >= 1 << 16
+                small = "<u4" if wide else "<u2"
+                rows.append((doc_id, len(ids), np.array(crcs, "<u4").tobytes(), ids[full:].astype(small).tobytes(), terms.astype(small).tobytes(), counts.astype(small).tobytes(), wide, 0))
             if rows:
-                types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
-                names = ["doc_id", "n", "crcs", "rest", "terms", "counts", "wide"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+        found = frequency.nonzero()[0]
+        terms, counts = np.append([-2, -1], found), np.append([n, total], frequency[found])
+        empty = pa.nulls(len(terms), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(counts, pa.int64()), empty, empty, empty, empty, pa.nulls(len(terms), pa.bool_()), pa.array(np.ones(len(terms)), pa.int32())], names=names)
+
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = "doc_id long, n long, crcs binary, rest binary, terms binary, counts binary, wide boolean, kind int"
+    every = stored(read.mapInArrow(encode, schema), "packing", "kind")
+    encoded = every.where("kind = 0").drop("kind")
+    corpus = statistics(every.where("kind = 1").select(F.col("doc_id").alias("term"), "n"))
+    idf = np.maximum(0.0, np.log((corpus.n - corpus.frequency + 0.5) / (corpus.frequency + 0.5))).astype(np.float32)
+
+    def placed(batches):
+        import pyarrow as pa
+
+        for b in parts(batches):
+            terms, counts, wide = (b.column(i).to_pylist() for i in (4, 5, 6))
+            where = [place(_ids(t, w), _ids(c, w), idf) for t, c, w in zip(terms, counts, wide, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(where, pa.int64())], names=[*b.schema.names, "place"])
 
     def fill_shards(batches):
         import pyarrow as pa
-        from scrivenry.llm.neardup import _runs
+        from pyspark import TaskContext
 
-        for (shard,), members in _runs(batches, 1):
-            rows, sequence = [], shard << 32
-            rests = []
+        sequence = TaskContext.get().partitionId() << 40
+        for members in shards(batches, shard_docs):
+            rows, rests = [], []
             for doc_id, n, crcs, rest, _, _, wide in members:
                 own = np.frombuffer(crcs, "<u4")
                 for w, crc in enumerate(own.tolist()):
                     rows.append((doc_id, w * window, window, crc, n, sequence, 0))
                     sequence += 1
-                rests.append(np.frombuffer(rest, "<u4" if wide else "<u2").astype("<u4"))
-            index = Index([_terms(m[4], m[6]) for m in members], [np.frombuffer(m[5], "<u2") for m in members], corpus)
+                rests.append(_ids(rest, wide).astype("<u4"))
+            index = Index([_ids(m[4], m[6]) for m in members], [_ids(m[5], m[6]) for m in members], corpus)
             windows = fill(index, [len(r) for r in rests], window)
             if windows and sum(p[2] for p in windows[-1]) < window:
                 windows += powers(windows.pop())
@@ -204,16 +240,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW,
                 offset = 0
                 for d, at, n in pieces:
                     total = members[d][1]
-                    rows.append((members[d][0], total - len(rests[d]) + at, n, zlib.crc32(rests[d][at : at + n].tobytes()), total, sequence, offset))
+                    rows.append((members[d][0], total - len(rests[d]) + at, n, zlib.crc32(rests[d][at : at + n]), total, sequence, offset))
                     offset += n
                 sequence += 1
-            if rows:
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
-
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    encoded = stored(read.mapInArrow(encode, "doc_id long, n long, crcs binary, rest binary, terms binary, counts binary, wide boolean"), "packing")
-    corpus = statistics(encoded)
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-corpus.n // shard_docs))))
-    dealt = encoded.select(shard.alias("shard"), "*").repartition(width, "shard")
-    return dealt.sortWithinPartitions("shard", "doc_id").mapInArrow(fill_shards, SCHEMA)
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
+
+    width = width_for(docs.sparkSession, corpus.n, shard_docs * TASK_SHARDS)
+    own = encoded.columns
+    where = encoded.mapInArrow(placed, StructType([*encoded.schema.fields, StructField("place", LongType())])).withColumn("tie", F.xxhash64("doc_id", "n", "crcs", "rest"))
+    dealt = where.repartitionByRange(width, "place", "tie").sortWithinPartitions("place", "tie", "doc_id", "rest")
+    return dealt.select(*own).mapInArrow(fill_shards, SCHEMA)

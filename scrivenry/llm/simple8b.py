@@ -6,7 +6,7 @@ an escape, its payload the place in the block's list of ids that are too wide.
 ``BLOCK_IDS`` ids and says how many words and escapes it has, so blocks decode apart from each other and,
 inside, all words of one selector decode in one step.
 
-File: blocks; documents (doc_id, ids in the file before it, ids); block table (ids before it, byte offset);
+File: blocks; documents (doc_id, ids in the file before it, ids, below 0 where there is no doc_id); block table (ids before it, byte offset);
 trailer (ids, documents, blocks, crc32 of the two tables, magic).
 """
 
@@ -14,16 +14,19 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivenry.llm.common import AtomicFile, open_fs, parts, scratch, shuffle_width
+from scrivenry.llm.common import AtomicFile, open_fs, parts, scratch, width_for
 from scrivenry.llm.encoding import Encoder
 
 BLOCK_IDS = 1 << 16
+#: Bytes of text in a file, and what a document counts beside its text, as its entry in the table takes memory.
+FILE_BYTES, ENTRY_BYTES = 256 << 20, 512
 MAGIC = b"S8BTOKN1"
 #: selector -> (ids in a word, bits of each)
 PACKED = {2: (60, 1), 3: (30, 2), 4: (20, 3), 5: (15, 4), 6: (12, 5), 7: (10, 6), 8: (8, 7), 9: (7, 8), 10: (6, 10), 11: (5, 12), 12: (4, 15), 13: (3, 20), 14: (2, 30), 15: (1, 60)}
@@ -107,11 +110,11 @@ class TokenFile:
     def __init__(self, out):
         self.out, self.waiting, self.n_waiting = out, [], 0
         self.at = self.n_ids = self.n_blocked = 0
-        self.docs: list[tuple[int, int, int]] = []
-        self.blocks: list[tuple[int, int]] = []
+        self.docs, self.blocks = array("q"), array("q")
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
-        self.docs.append((doc_id, self.n_ids, len(ids)))
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        """ids: one at least, as a document without an id shows by the sign of their number."""
+        self.docs.extend((doc_id or 0, self.n_ids, -len(ids) if doc_id is None else len(ids)))
         self.n_ids += len(ids)
         self.waiting.append(ids)
         self.n_waiting += len(ids)
@@ -123,7 +126,7 @@ class TokenFile:
         whole = len(ids) if last else len(ids) // BLOCK_IDS * BLOCK_IDS
         for i in range(0, whole, BLOCK_IDS):
             data = encode_block(ids[i : min(i + BLOCK_IDS, whole)])
-            self.blocks.append((self.n_blocked, self.at))
+            self.blocks.extend((self.n_blocked, self.at))
             self.out.write(data)
             self.at += len(data)
             self.n_blocked += min(BLOCK_IDS, whole - i)
@@ -132,11 +135,11 @@ class TokenFile:
     def close(self) -> None:
         self._blocks(True)
         tables = np.array(self.docs, "<i8").tobytes() + np.array(self.blocks, "<i8").tobytes()
-        self.out.write(tables + _TRAILER.pack(self.n_ids, len(self.docs), len(self.blocks), zlib.crc32(tables), MAGIC))
+        self.out.write(tables + _TRAILER.pack(self.n_ids, len(self.docs) // 3, len(self.blocks) // 2, zlib.crc32(tables), MAGIC))
 
 
-def read_documents(uri: str) -> Iterator[tuple[int, int, Iterator[np.ndarray]]]:
-    """(doc_id, ids in the file before it, parts of its ids) of each document of a shard, in its order.
+def read_documents(uri: str) -> Iterator[tuple[int | None, int, Iterator[np.ndarray]]]:
+    """(doc_id or None, ids in the file before it, parts of its ids) of each document of a shard, in its order.
     The parts of a document must be taken before the next document is; a block is in memory at a time."""
     fs, path = open_fs(uri)
     with fs.open_input_file(path) as f:
@@ -166,40 +169,42 @@ def read_documents(uri: str) -> Iterator[tuple[int, int, Iterator[np.ndarray]]]:
                 at += len(part)
 
         for doc_id, at, n in docs.tolist():
-            yield doc_id, at, parts(at, at + n)
-
-
-NULL_ID = -(1 << 63)  # how a file shows a document without an id
+            yield None if n < 0 else doc_id, at, parts(at, at + abs(n))
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, shards: int | None = None, folder: str | None = None) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write them in ascending doc_id order as Simple-8b files.
 
     Null or empty text: only ``end_id``.  Null doc_id: first, shown as null again by the reader.  Repeated
-    doc_ids are all written, in any order among themselves; other columns, whatever their names, are not
-    read.  An empty table gives empty files.  Returns the manifest: shard, path, n_docs, n_ids, start (ids
+    doc_ids are all written, in the order of a hash of their texts; other columns, whatever their names, are
+    not read.  An empty table gives empty files.  Returns the manifest: shard, path, n_docs, n_ids, start (ids
     in all shards before it), as a DataFrame of one row for each file.
 
-    One shuffle, by ranges of doc_id, moves each text once; a task writes one file as it encodes, so its
-    memory is a batch of texts.  Only the manifest comes to the driver: a row for each file.
+    One shuffle, by ranges of doc_id and that hash (rows of one doc_id, or without one, are cut too), moves each
+    text once; a task writes one file of about ``FILE_BYTES`` as it encodes, so its memory is a batch of texts
+    and a table of documents that the size bounds.  Only the manifest comes to the driver: a row for each file.
     """
     spark = docs.sparkSession
-    folder, shards = folder or scratch(spark, "tokens"), shards or shuffle_width(spark)
-    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
+    folder = folder or scratch(spark, "tokens")
+    if not shards:
+        size = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ENTRY_BYTES), F.lit(0))).first()[0]
+        shards = width_for(spark, size, FILE_BYTES)
+    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    placed = placed.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
 
     def write(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        shard, encoder, end = TaskContext.get().partitionId(), Encoder.of(tokenizer, False), np.array([end_id], "<u4")
+        shard, encoder, end = TaskContext.get().partitionId(), Encoder.of(tokenizer), np.array([end_id], "<u4")
         uri = f"{folder}/shard-{shard:06d}.s8b"
         with AtomicFile(uri) as out:
             file = TokenFile(out)
-            for b in parts(batches):
-                for doc_id, raw in zip(b.column(0).to_pylist(), encoder.raw(b.column(1).to_pylist()), strict=True):
-                    file.add(NULL_ID if doc_id is None else doc_id, np.append(np.frombuffer(raw, "<u4"), end))
+            for b in parts(batches, 4096):
+                for doc_id, ids in zip(b.column(0).to_pylist(), encoder.column(b.column(1)), strict=True):
+                    file.add(doc_id, np.append(ids, end))
             file.close()
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [uri], "n_docs": [len(file.docs)], "n_ids": [file.n_ids]})
+        yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [uri], "n_docs": [len(file.docs) // 3], "n_ids": [file.n_ids]})
 
     made = sorted(placed.mapInArrow(write, "shard long, path string, n_docs long, n_ids long").collect())
     starts = np.cumsum([0, *(r.n_ids for r in made)]).tolist()
@@ -207,7 +212,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, shards: int |
 
 
 def read_tokens(manifest: DataFrame, files: int | None = None) -> DataFrame:
-    """Per document of the files: doc_id, start, n_tokens, ids_crc32.  A task for each file."""
+    """Per document of the files: doc_id, start, n_tokens, ids_crc32.  A task for each file.  Documents written
+    without doc_id have none; a manifest or file without documents gives no row; columns of the manifest beside
+    path and start are not read.  A file that isn't whole is an error."""
 
     def read(batches):
         import pyarrow as pa
@@ -220,7 +227,7 @@ def read_tokens(manifest: DataFrame, files: int | None = None) -> DataFrame:
                     n = crc = 0
                     for part in parts:
                         n, crc = n + len(part), zlib.crc32(part.astype("<u4", copy=False), crc)
-                    rows.append((None if doc_id == NULL_ID else doc_id, start + at, n, crc))
+                    rows.append((doc_id, start + at, n, crc))
                     if len(rows) == 8192:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
                         rows = []

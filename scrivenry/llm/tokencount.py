@@ -1,9 +1,10 @@
 """Token counts that follow edits: a balanced tree of pre-token leaves for each document.
 
 A leaf is a run of pre-tokens of about ``LEAF`` characters that begins where the tokenizer can't merge across:
-at a space between two characters that aren't space.  Each node of the tree holds the characters and tokens
-below it.  An edit takes out the leaves that it touches, and a neighbour where it comes near the boundary;
-only these are cut and encoded again, and the sums on the path to the root are updated.
+at a space between two characters that aren't space, or where letters, digits and punctuation meet.  Each node of
+the tree holds the characters and tokens below it.  An edit takes out the leaves that it touches, and a neighbour
+where it comes near the boundary; only these are cut and encoded again, and the sums on the path to the root are
+updated.  A pre-token is never cut: a run of one kind of character that is longer than a leaf is a leaf.
 """
 
 from __future__ import annotations
@@ -17,19 +18,23 @@ from scrivenry.llm.common import parts
 from scrivenry.llm.encoding import Encoder
 
 LEAF = 256
-_BOUNDARY = re.compile(r"(?<=[^\s\x1c-\x1f])(?= [^\s\x1c-\x1f])")
+# Characters whose kind no two versions of the Unicode tables disagree on.
+_LETTER = "A-Za-zÀ-ÖØ-öø-ſぁ-ゖァ-ヺ一-鿋가-힣"
+_DIGIT, _MARK = "0-9", r"!-&(-/:-@\[-`{-~、。「」『』！？…—"
+_BOUNDARY = re.compile(
+    rf"(?<=[^\s\x1c-\x1f])(?= [^\s\x1c-\x1f])|(?<=[{_LETTER}])(?=[{_DIGIT}{_MARK}'])|(?<=[{_DIGIT}])(?=[{_LETTER}{_MARK}'])|(?<=[{_MARK}])(?=[{_LETTER}{_DIGIT}])"
+)
 
 
 class Node:
-    """A treap by place: priorities come from a counter's hash, so equal input gives equal trees."""
+    """A treap by place: priorities come from a hash of the node's number in its tree, so a text and its edits
+    give the same tree in every process."""
 
     __slots__ = ("text", "own", "left", "right", "chars", "tokens", "priority")
-    made = 0
 
-    def __init__(self, text: str, tokens: int):
-        Node.made += 1
+    def __init__(self, text: str, tokens: int, number: int):
         self.text, self.own, self.left, self.right = text, tokens, None, None
-        self.chars, self.tokens, self.priority = len(text), tokens, Node.made * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+        self.chars, self.tokens, self.priority = len(text), tokens, number * 0x9E3779B97F4A7C15 & (1 << 64) - 1
 
     def update(self) -> Node:
         self.chars, self.tokens = len(self.text), self.own
@@ -90,18 +95,36 @@ class Counts:
     """The tree of one document."""
 
     def __init__(self, encoder: Encoder, text: str | None):
-        self.encoder, self.encoded = encoder, 0
+        self.encoder, self.encoded, self.made = encoder, 0, 0
+        self.longest = max(map(len, encoder.added), default=0)
         self.root = self._tree(text or "")
 
+    def _special(self, text: str) -> bool:
+        return any(a in text for a in self.encoder.added)
+
     def _tree(self, text: str) -> Node | None:
-        # A text the encoder would take whole is one leaf: nothing is known about where it may be cut.
-        parts = [text] if text and "<|" in text else cut(text)
+        # A text with an added token's string, or of a tokenizer whose cutting isn't known, is one leaf.
+        parts = cut(text) if self.encoder.kind == "byte" and not self._special(text) else [text] if text else []
         self.encoded += len(text)
         root = None
         for part, raw in zip(parts, self.encoder.raw(parts), strict=True):
-            root = merge(root, Node(part, len(raw) // 4))
+            self.made += 1
+            root = merge(root, Node(part, len(raw) // 4, self.made))
         return root
 
+    def _near(self, node: Node | None, chars: int, last: bool) -> str:
+        """The last (or first) characters below a node, ``chars`` of them if there are as many."""
+        out, stack, size = [], [], 0
+        while (node or stack) and size < chars:
+            while node:
+                stack.append(node)
+                node = node.right if last else node.left
+            node = stack.pop()
+            out.append(node.text)
+            size += len(node.text)
+            node = node.left if last else node.right
+        return "".join(reversed(out))[-chars:] if last else "".join(out)[:chars]
+
     @property
     def tokens(self) -> int:
         return self.root.tokens if self.root else 0
@@ -129,7 +152,9 @@ class Counts:
             middle = merge(middle, more)
         old = "".join(leaves(middle))
         text = old[: begin - base] + new + old[end - base :]
-        if "<|" in text:  # a special token's string would be seen in the whole text
+        around = max(0, self.longest - 1)
+        if self.longest and self._special((self._near(low, around, True) if around else "") + text + (self._near(high, around, False) if around else "")):
+            # An added token's string is seen in the whole text.
             text = "".join(leaves(low)) + text + "".join(leaves(high))
             low = high = None
         self.root = merge(merge(low, self._tree(text)), high)
@@ -141,13 +166,14 @@ def count_edits(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     Edits apply in order, each to the text the former ones left; places are code points.  Null text: empty.
     Null edits, or a null edit: none; null begin or end: 0; null new text: a deletion.  Repeated rows are
-    repeated; other columns aren't read.  A tree is in memory for one document at a time.
+    repeated; other columns aren't read; an empty table gives an empty one.  A tree is in memory for one document
+    at a time.  A text with an added token's own string is encoded whole after each edit.
     """
 
     def run(batches):
         import pyarrow as pa
 
-        encoder = Encoder.of(tokenizer, True)
+        encoder = Encoder.of(tokenizer)
         for b in parts(batches):
             rows = []
             for doc_id, text, edits in zip(*(c.to_pylist() for c in b.columns), strict=True):

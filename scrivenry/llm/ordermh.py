@@ -3,19 +3,23 @@
 A text's k-mers are runs of three words.  The n-th occurrence of a k-mer counts as an element of its own,
 hashed with its number.  The hash's upper bits choose one of ``COMPONENTS``; in each component the two least
 elements are taken, put back into text order, and hashed as a tuple.  So two fingerprints agree in a component
-only if both elements survived and kept their order, which follows the edit distance rather than the set.
+only if both elements survived and kept their order, which follows the edit distance rather than the set.  A
+component that has fewer than two, as in short texts, takes what is missing from those after it, in a circle: its
+two are the first at or behind its beginning in the order of hashes.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivenry.llm.common import shuffle_width
 from scrivenry.llm.histsort import LEAST, place
 
-#: Bits of a place in an element's number, and of its component.
-PLACE_BITS, COMPONENT_BITS = 26, 6
+#: Bits of a place in an element's number (a string of Spark's has fewer words than that), and of its component.
+PLACE_BITS, COMPONENT_BITS = 30, 6
 COMPONENTS = 1 << COMPONENT_BITS
 _MASK = (1 << PLACE_BITS) - 1
 _SPACES = "' \\t\\n\\r\\f\\u000b'"
@@ -24,7 +28,8 @@ _DENSE = "[\\\\p{IsHan}\\\\p{IsHiragana}\\\\p{IsKatakana}\\\\p{IsThai}]"
 
 
 def sketch(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds ``out``, array<int>: for each component that isn't empty its number (upper bits) and tuple's hash.
+    """Adds ``out``, array<int>: the hash of each component's tuple; empty for a text without words, and from its
+    one element alone for a text that has but one.
 
     Each array below is read more than once in the next step, so the optimiser keeps the steps apart.
     """
@@ -43,45 +48,52 @@ def sketch(df: DataFrame, text: str, out: str) -> DataFrame:
     several = f"flatten(transform({start}, (b, r) -> transform(slice({run}, b + 1, coalesce(get({start}, r + 1), size({run})) - b), (x, n) -> {element('x', 'n')})))"
     own = f"__{out}_own"
     df = df.withColumn(own, F.expr(f"sort_array(if(size({start}) = size({run}), {one}, {several}))"))
-    least = f"__{out}_least"
-    df = df.withColumn(least, F.expr(f"filter({own}, (x, i) -> i < 2 or {top % f'{own}[greatest(i - 2, 0)]'} != {top % 'x'})"))
-    before, after = f"get({least}, i - 1)", f"get({least}, i + 1)"
-    number = f"shiftleft(cast({top % 'x'} & {COMPONENTS - 1}L as int), {32 - COMPONENT_BITS})"
-    low = (1 << (32 - COMPONENT_BITS)) - 1
-    first = lambda a, b: f"if(({a} & {_MASK}L) <= ({b} & {_MASK}L), xxhash64({a} & ~{_MASK}L, {b} & ~{_MASK}L), xxhash64({b} & ~{_MASK}L, {a} & ~{_MASK}L))"
-    pair = f"if(i > 0 and {top % before} = {top % 'x'}, {first(before, 'x')}, if({top % after} = {top % 'x'}, null, xxhash64(x & ~{_MASK}L)))"
-    pairs = f"filter(transform({least}, (x, i) -> {number} | cast({pair} & {low}L as int)), v -> v is not null)"
-    return df.withColumn(out, F.expr(pairs)).drop(words, run, start, own, least)
+    first, n = f"__{out}_first", f"size({own})"
+    df = df.withColumn(first, F.expr(f"filter(transform({own}, (x, i) -> if(i = 0 or {top % f'{own}[greatest(i - 1, 0)]'} != {top % 'x'}, i, -1)), i -> i >= 0)"))
+    kept = lambda i: f"({own}[{i}] & ~{_MASK}L)"
+    after = f"if(i + 1 < {n}, i + 1, 0)"
+    tuple_ = f"if({n} = 1, xxhash64({kept('i')}), if(({own}[i] & {_MASK}L) <= ({own}[{after}] & {_MASK}L), xxhash64({kept('i')}, {kept(after)}), xxhash64({kept(after)}, {kept('i')})))"
+    # A component up to the one where an element begins, and behind the last one, takes that element and its next.
+    half = COMPONENTS // 2
+    number = lambda i: f"cast({top % f'{own}[{i}]'} as int)"
+    value, before = f"cast({tuple_} & {(1 << 31) - 1}L as int)", f"if(r = 0, {-half - 1}, {number(f'{first}[greatest(r - 1, 0)]')})"
+    spread = f"transform({first}, (i, r) -> array_repeat({value}, {number('i')} - {before}))"
+    found = f"__{out}_found"
+    df = df.withColumn(found, F.expr(f"if({n} = 0, cast(array() as array<int>), flatten({spread}))"))
+    whole = f"if(size({found}) in (0, {COMPONENTS}), {found}, concat({found}, array_repeat({found}[0], {COMPONENTS} - size({found}))))"
+    return df.withColumn(out, F.expr(whole)).drop(words, run, start, own, first, found)
 
 
 def shown(sketch: str) -> Column:
     """A fingerprint as a string: eight hex digits for each component."""
-    return F.expr(f"array_join(transform({sketch}, v -> lpad(hex(v & 4294967295L), 8, '0')), '')")
+    return F.expr(f"array_join(transform({sketch}, v -> lpad(hex(v), 8, '0')), '')")
 
 
 def likeness(a: str, b: str) -> Column:
-    """Share of components that agree among those that either text has; 1 if neither has any."""
-    number = lambda x: f"transform({x}, v -> shiftright(v, {32 - COMPONENT_BITS}))"
-    either = f"size(array_union({number(a)}, {number(b)}))"
-    return F.expr(f"if({either} = 0, 1.0D, size(array_intersect({a}, {b})) / cast({either} as double))")
+    """Share of components that agree; 1 if neither text has words, 0 if one has none."""
+    agree = f"aggregate(zip_with({a}, {b}, (x, y) -> if(x = y, 1, 0)), 0, (s, v) -> s + v)"
+    return F.expr(f"if(size({a}) = 0 or size({b}) = 0, if(size({a}) = size({b}), 1.0D, 0.0D), {agree} / {COMPONENTS}.0D)")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty), and rows in ``__b`` stretches of ascending doc_id; ``__ghost`` marks a copy
-    of the row that follows a stretch (after the last: the first row), there so that every row meets its next."""
+    """doc_id, text (null: empty), and rows in ``__b`` stretches of ascending doc_id, rows of one doc_id by a hash
+    of their texts; ``__ghost`` marks a copy of the row that follows a stretch (after the last: the first row),
+    there so that every row meets its next.  A doc_id that would fill several stretches is cut by that hash."""
     spark, key = docs.sparkSession, F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), key.alias("__key"))
+    rows = rows.withColumn("__tie", F.xxhash64("text"))
     n = rows.count()
     stretches = min(16384, max(4 * shuffle_width(spark), n // 2048))
     cuts = rows.select(F.percentile_approx("__key", [i / stretches for i in range(1, stretches)], 10 * stretches)).first()[0] if n else []
-    bounds = [(c, LEAST) for c in sorted(set(cuts or []))]
-    rows = rows.withColumn("__b", place("__key", "0L", bounds)).withColumn("__ghost", F.lit(0))
-    firsts = sorted(rows.groupBy("__b").agg(F.min("__key").alias("k")).collect())  # a row for each stretch
-    follows = [(b, firsts[(i + 1) % len(firsts)].k) for i, (b, _) in enumerate(firsts)]
-    following = spark.createDataFrame(follows, "__b int, __key long")
-    # The first row of a stretch; of repeated ids the one with the least text, as below.
-    ghosts = rows.where(F.col("__key").isin([k for _, k in follows])).groupBy("__key").agg(F.min("text").alias("text"))
-    ghosts = following.join(ghosts, "__key").select(F.lit(None).cast("long").alias("doc_id"), "text", "__key", "__b", F.lit(1).alias("__ghost"))
+    bounds = sorted((c, LEAST + (j << 64) // k) for c, k in Counter(cuts or []).items() for j in range(k))
+    rows = rows.withColumn("__b", place("__key", "__tie", bounds)).withColumn("__ghost", F.lit(0))
+    firsts = sorted(rows.groupBy("__b").agg(F.min(F.struct("__key", "__tie")).alias("k")).collect())  # a row for each stretch
+    follows = [(b, *firsts[(i + 1) % len(firsts)].k) for i, (b, _) in enumerate(firsts)]
+    following = spark.createDataFrame(follows, "__b int, __key long, __tie long")
+    # The first row of a stretch; of rows that are alike so far the one with the least text, as below.
+    first = F.col("__key").isin([k for _, k, _ in follows]) & F.col("__tie").isin([t for _, _, t in follows])
+    ghosts = rows.where(first).groupBy("__key", "__tie").agg(F.min("text").alias("text"))
+    ghosts = following.join(ghosts, ["__key", "__tie"]).select(F.lit(None).cast("long").alias("doc_id"), "text", "__key", "__tie", "__b", F.lit(1).alias("__ghost"))
     return rows.unionByName(ghosts)
 
 
@@ -90,13 +102,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text: the last floor(n_chars / 2) code points replaced by the first as many of the next
     document's text (or all of it), by ascending doc_id, after the last the first.  Null text: empty.  Null
-    doc_id: before all others.  Repeated doc_ids: in the order of their texts.  A text without words has an
+    doc_id: before all others.  Repeated doc_ids: in the order of a hash of their texts.  A text without words has an
     empty fingerprint, like only to another such one.  A single row is its own next.  Other columns aren't read.  An
     empty table gives an empty one.
 
     One exchange moves the texts; the windows over a stretch share it and its order.
     """
-    order = Window.partitionBy("__b").orderBy("__ghost", "__key", "text")
+    order = Window.partitionBy("__b").orderBy("__ghost", "__key", "__tie", "text")
     half = F.floor(F.length("text") / 2).cast("int")
     df = with_next(docs).withColumn("__next", F.coalesce(F.lead("text").over(order), F.lit("")))
     edited = F.concat(F.left("text", F.length("text") - half), F.left("__next", half))

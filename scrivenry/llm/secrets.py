@@ -2,17 +2,19 @@
 
 A span's place comes from cutting the text at the pattern: the lengths of the pieces and matches before it
 add up to its start, in code points.  Parts too weak to report alone (short access identifiers, bare random
-strings, endpoints) are joined by interval with the parts that complete them in the same text: a weak
-identifier needs a secret, a weak secret an identifier, an endpoint both, no further than ``SCOPE`` away.
+strings, endpoints) are joined by interval with the parts that complete them in the same text, their scope: a
+weak identifier needs a secret, a weak secret an identifier, an endpoint both, with a gap of ``SCOPE`` at most.
+
+The join is a count by binary search: of intervals that are sorted by start, and by end, those that begin at or
+before one place less those that end before another are the ones between.  A text's parts are in its row, so
+nothing is exchanged, and the work grows with their number times its logarithm.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrivenry.llm.common import stored
-
 SCOPE = 300
 # The base kinds and their patterns, in the order in which kinds are listed.
 BASE = {
@@ -28,62 +30,85 @@ WEAK = {
 }
 KINDS = [*BASE, *WEAK]
 SPAN = "struct<start:bigint,kind:int,end:bigint>"
+#: Sums are carried on in stretches of so many, since appending to an array copies it.
+STRETCH = 512
 
 
 def _quoted(pattern: str) -> str:
     return "r'" + pattern + "'" if "'" not in pattern else 'r"' + pattern.replace('"', "\\x22") + '"'
 
 
-def spans_of(text: str, kind: str, pattern: str) -> Column:
-    """array<struct<start, kind, end>> of a pattern's matches, leftmost and without overlap."""
-    q, none = _quoted(pattern), f"cast(array() as array<{SPAN}>)"
-    number = KINDS.index(kind)
-    hits = f"regexp_extract_all({text}, {q}, 0)"
-    # arrays_zip would pair matches with values and gaps under names of its own; one gap more than matches.
-    values = f", regexp_extract_all({text}, {q}, 2)" if kind == "assign" else ""
-    zipped = f"arrays_zip(split({text}, {q}, -1), {hits}{values})"
-    gap, h, value = "z['0']", "z['1']", "z['2']"
-    ok = {"assign": f"length({value}) >= 6", "access": f"length({h}) >= 20"}.get(kind, "true")
-    step = f"""named_struct('at', s.at + length({gap}) + coalesce(length({h}), 0), 'out', if({h} is not null and {ok},
-        concat(s.out, array(named_struct('start', s.at + length({gap}), 'kind', {number}, 'end', s.at + length({gap}) + length({h})))), s.out))"""
-    placed = f"aggregate({zipped}, named_struct('at', 0L, 'out', {none}), (s, z) -> {step}, s -> s.out)"
-    return F.expr(f"if({text} rlike {q}, {placed}, {none})")
+def running(column: str) -> str:
+    """The running sums of an array<bigint> column."""
+    carry = "(s, x) -> named_struct('at', s.at + x, 'out', concat(s.out, array(s.at + x)))"
+    start = "named_struct('at', 0L, 'out', cast(array() as array<bigint>))"
+    blocks = f"transform(sequence(0, greatest(size({column}) - 1, 0) div {STRETCH}), b -> slice({column}, cast(b * {STRETCH} + 1 as int), {STRETCH}))"
+    own = f"transform({blocks}, x -> aggregate(x, {start}, {carry}, s -> s.out))"
+    before = f"aggregate(transform({blocks}, x -> aggregate(x, 0L, (s, v) -> s + v)), {start}, {carry}, s -> s.out)"
+    return f"flatten(zip_with({own}, {before}, (x, e) -> transform(x, v -> v + e - x[size(x) - 1])))"
+
+
+def with_spans(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
+    """Adds __<kind>, array<struct<start, kind, end>> of each pattern's matches, leftmost and without overlap.
+
+    Each array is read more than once in the next step, so the optimiser keeps the steps apart.
+    """
+    columns, none = df.columns, "cast(array() as array<bigint>)"
+    size = lambda of: f"transform({of}, h -> cast(length(h) as bigint))"
+    sizes, steps, spans = {}, {}, {}
+    for kind, pattern in patterns.items():
+        q = _quoted(pattern)
+        when = lambda of, q=q: F.expr(f"if({text} rlike {q}, {of}, {none})")
+        sizes[f"__n_{kind}"], sizes[f"__g_{kind}"] = when(size(f"regexp_extract_all({text}, {q}, 0)")), when(size(f"split({text}, {q}, -1)"))
+        if kind == "assign":
+            sizes["__v_assign"] = when(size(f"regexp_extract_all({text}, {q}, 2)"))
+        n, g, at = f"__n_{kind}", f"__g_{kind}", f"__at_{kind}"
+        steps[f"__s_{kind}"] = F.expr(f"if(size({n}) = 0, {none}, transform(slice({g}, 1, size({n})), (x, i) -> x + if(i > 0, {n}[greatest(i - 1, 0)], 0L)))")
+        steps[at] = F.expr(f"if(size(__s_{kind}) = 0, {none}, {running(f'__s_{kind}')})")
+        ok = {"assign": "__v_assign[i] >= 6", "access": f"{n}[i] >= 20"}.get(kind, "true")
+        span = f"if({ok}, named_struct('start', x, 'kind', {KINDS.index(kind)}, 'end', x + {n}[i]), null)"
+        spans[f"__{kind}"] = F.expr(f"filter(transform({at}, (x, i) -> {span}), s -> s is not null)")
+    df = df.withColumns(sizes)
+    df = df.withColumns({c: e for c, e in steps.items() if c.startswith("__s_")})
+    df = df.withColumns({c: e for c, e in steps.items() if c.startswith("__at_")})
+    return df.select(*columns, *[e.alias(c) for c, e in spans.items()])
+
+
+def _at_most(column: str, value: str) -> str:
+    """How many of a sorted array<bigint> column are at or below a value."""
+    mid = "((s.low + s.high) div 2)"
+    step = f"if(s.low >= s.high, s, if({column}[int({mid})] <= {value}, named_struct('low', {mid} + 1, 'high', s.high), named_struct('low', s.low, 'high', {mid})))"
+    return f"aggregate(sequence(1, 32), named_struct('low', 0L, 'high', cast(size({column}) as bigint)), (s, i) -> {step}, s -> s.low)"
 
 
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """All columns of ``docs`` plus spans, array<struct<start, kind, end>> by start and kind (numbers of
-    ``KINDS``): every base span, and weak parts that others in the same text complete.
+    ``KINDS``): every base span, and weak parts that others in the same text complete, at most ``scope``
+    characters before their start or behind their end.
 
-    Null or empty text: no spans.  Repeated rows are repeated, and equal texts are linked once.  Weak parts inside a base span are not
-    parts.  Columns named spans or beginning with __ are replaced.
+    Null or empty text: no spans.  Repeated rows are repeated.  A weak part that begins inside a base span is no
+    part.  A column named spans is replaced; all others, whatever their names, pass as they are.  An empty table
+    gives an empty one.
     """
-    columns = [c for c in docs.columns if c != "spans" and not c.startswith("__")]
-    text = "coalesce(text, '')"
-    found = docs.select(*columns, *[spans_of(text, k, p).alias(f"__{k}") for k, p in (BASE | WEAK).items()])
+    columns = [c for c in docs.columns if c != "spans"]
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), F.coalesce(F.col("text"), F.lit("")).alias("__text"))
+    df = with_spans(df, "__text", BASE | WEAK).drop("__text")
     sized = lambda *kinds: " + ".join(f"size(__{k})" for k in kinds)
-    access, secret = sized("access", "part_access"), sized("assign", "hex", "part_secret")
-    linkable = f"({access}) > 0 and ({secret}) > 0 and ({sized(*WEAK)}) > 0"
-    key = F.expr(f"if({linkable}, sha2({text}, 256), concat('-', xxhash64({', '.join(f'`{c}`' for c in columns)})))").alias("__key")
-    base, weak = F.concat(*[f"__{k}" for k in BASE]).alias("__base"), F.concat(*[f"__{k}" for k in WEAK]).alias("__weak")
-    found = found.select(*columns, base, weak, key, F.expr(linkable).alias("__linkable"))
-
-    parts = found.where("__linkable").select("__key", F.explode(F.concat("__base", "__weak")).alias("s")).groupBy("__key", "s.start", "s.kind", "s.end").agg(F.lit(1))
-    number = KINDS.index
-    near = Window.partitionBy("__key").orderBy("start").rangeBetween(-scope, scope)
-    before = Window.partitionBy("__key").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
-    one = lambda *kinds: F.max(F.col("kind").isin([number(k) for k in kinds]).cast("int"))
-    is_base = F.col("kind") < len(BASE)
-    joined = parts.select(
-        "__key", "start", "kind", "end",
-        one("access", "part_access").over(near).alias("access"), one("assign", "hex", "part_secret").over(near).alias("secret"),
-        F.max(F.when(is_base, F.col("end"))).over(before).alias("covered"),
-    )
-    kind = F.col("kind")
-    complete = F.when(kind == number("part_access"), F.col("secret") == 1).when(kind == number("part_secret"), F.col("access") == 1).when(kind == number("part_endpoint"), (F.col("access") == 1) & (F.col("secret") == 1))
-    linked = joined.where(complete & ~F.coalesce(F.col("covered") > F.col("start"), F.lit(False)))
-    linked = stored(linked.groupBy("__key").agg(F.collect_list(F.struct("start", "kind", "end")).alias("__linked")), "linked")
-    every = F.concat("__base", F.coalesce("__linked", F.expr(f"cast(array() as array<{SPAN}>)")))
-    return found.join(linked, "__key", "left").select(*columns, F.sort_array(every).alias("spans"))
+    linkable = f"({sized('access', 'part_access')}) > 0 and ({sized('assign', 'hex', 'part_secret')}) > 0 and ({sized(*WEAK)}) > 0"
+    edge = lambda of, side: f"sort_array(transform({of}, s -> s.{side}))"
+    only = lambda of, empty="bigint": F.expr(f"if(__linkable, {of}, cast(array() as array<{empty}>))")
+    base = f"concat({', '.join(f'__{k}' for k in BASE)})"
+    df = df.withColumn("__base", F.expr(base)).withColumn("__linkable", F.expr(linkable))
+    df = df.withColumns({f"__base_{side}": only(edge("__base", side)) for side in ("start", "end")})
+    free = f"{_at_most('__base_start', 'w.start')} = {_at_most('__base_end', 'w.start')}"
+    df = df.withColumns({f"__free_{k}": only(f"filter(__{k}, w -> {free})", SPAN) for k in WEAK})
+    roles = {"access": "concat(__access, __free_part_access)", "secret": "concat(__assign, __hex, __free_part_secret)"}
+    df = df.withColumns({f"__{role}_{side}": only(edge(of, side)) for role, of in roles.items() for side in ("start", "end")})
+    near = lambda role: f"{_at_most(f'__{role}_start', f'(w.end + {scope})')} > {_at_most(f'__{role}_end', f'(w.start - {scope} - 1)')}"
+    needs = {"part_access": near("secret"), "part_secret": near("access"), "part_endpoint": f"{near('access')} and {near('secret')}"}
+    linked = ", ".join(f"filter(__free_{k}, w -> {needs[k]})" for k in WEAK)
+    df = df.withColumn("__spans", F.expr(f"sort_array(if(__linkable, concat(__base, {linked}), __base))"))
+    return df.select(*[F.col("__row")[c].alias(c) for c in columns], F.col("__spans").alias("spans"))
 
 
 def joined(spans: str, base_only: bool = False) -> Column:

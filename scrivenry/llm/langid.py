@@ -9,11 +9,13 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from scrivenry.llm.common import claim, parts, slices, stored
+from scrivenry.llm.common import claim, parts, slices
 
-#: Labelled documents taken for each language, and words and n-grams kept; bounds on the model alone.
-SAMPLE, WORDS, GRAMS, LONGEST = 5_000, 100_000, 100_000, 5
+#: Labelled documents taken for each language (the only bound: all their words and n-grams are kept), and the
+#: longest n-grams.
+SAMPLE, LONGEST = 5_000, 5
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _MEMO = 100_000
@@ -29,74 +31,107 @@ def grams_of(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
-class Table:
-    """Log frequencies: a row of a matrix for each entry, a column for each language."""
+def keys_of(entries: list[str]) -> np.ndarray:
+    """64-bit hashes, which stand for words and n-grams in a model."""
+    import xxhash
+
+    return np.fromiter((xxhash.xxh3_64_intdigest(e.encode("utf-8", "surrogatepass")) for e in entries), np.uint64, len(entries))
+
 
-    def __init__(self, languages: list[str], counts: dict[str, dict[str, int]]):
-        self.place = {w: i for i, w in enumerate(sorted({w for own in counts.values() for w in own}))}
-        table = np.zeros((len(self.place), len(languages)))
-        for j, lang in enumerate(languages):
-            for w, n in counts.get(lang, {}).items():
-                table[self.place[w], j] = n
-        self.logs = np.log((table + 0.5) / (table.sum(0) + 0.5 * max(1, len(table)))).astype(np.float32)
+class Table:
+    """Log frequencies: a row of a matrix for each entry, a column for each language; entries by hash."""
+
+    def __init__(self, entries: list[str], rows: np.ndarray, columns: np.ndarray, counts: np.ndarray, languages: int):
+        """counts: of entry ``rows[i]`` in language ``columns[i]``."""
+        keys = keys_of(entries)
+        order = np.argsort(keys)
+        self.keys, table = keys[order], np.zeros((len(keys), languages), np.float32)
+        place = np.empty(len(keys), np.int64)
+        place[order] = np.arange(len(keys))
+        table[place[rows], columns] = counts
+        self.logs = np.log((table + 0.5) / (table.sum(0, dtype=np.float64) + 0.5 * max(1, len(table)))).astype(np.float32)
+
+    def places(self, entries: list[str]) -> np.ndarray:
+        """The row of each entry, -1 for unknown ones."""
+        if not len(self.keys):
+            return np.full(len(entries), -1)
+        keys = keys_of(entries)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
 
 
 class Model:
-    """counts: {language: {word: n}} for words and for n-grams of each length."""
+    """words and grams: (language, entry, n) rows; n-grams of all lengths together."""
+
+    def __init__(self, words: list[tuple[str, str, int]], grams: list[tuple[str, str, int]]):
+        self.languages = sorted({r[0] for r in (*words, *grams)})
+        column = {lang: i for i, lang in enumerate(self.languages)}
+
+        def table(rows: list[tuple[str, str, int]]) -> Table:
+            entries: dict[str, int] = {}
+            which = np.fromiter((entries.setdefault(e, len(entries)) for _, e, _ in rows), np.int64, len(rows))
+            langs = np.fromiter((column[lang] for lang, _, _ in rows), np.int64, len(rows))
+            return Table(list(entries), which, langs, np.fromiter((n for _, _, n in rows), np.float32, len(rows)), len(self.languages))
 
-    def __init__(self, words: dict[str, dict[str, int]], grams: dict[str, dict[str, int]]):
-        self.languages = sorted(words.keys() | grams.keys())
-        self.words = Table(self.languages, words)
-        self.grams = {n: Table(self.languages, {lang: {g: c for g, c in own.items() if len(g) == n} for lang, own in grams.items()}) for n in range(1, LONGEST + 1)}
-        self.memo: dict[str, np.ndarray] = {}
+        self.words = table(words)
+        self.grams = {n: table([r for r in grams if len(r[1]) == n]) for n in range(1, LONGEST + 1)}
+        self.memo: dict[str, np.ndarray | None] = {}
 
-    def unseen(self, word: str) -> np.ndarray:
-        """The mean log frequency over a word's longest n-grams that are known."""
+    def unseen(self, word: str) -> np.ndarray | None:
+        """The mean log frequency over a word's longest n-grams that are known; None if none is."""
         for n in range(LONGEST, 0, -1):
-            place = self.grams[n].place
-            if found := [place[g] for g in grams_of(word, n) if g in place]:
-                return self.grams[n].logs[found].mean(0)
-        return np.zeros(len(self.languages), np.float32)
+            found = self.grams[n].places(grams_of(word, n))
+            if (found >= 0).any():
+                return self.grams[n].logs[found[found >= 0]].mean(0)
+        return None
 
     def scores(self, word: str) -> np.ndarray:
-        i = self.words.place.get(word)
-        return self.unseen(word) if i is None else self.words.logs[i]
+        return self._table([word])[0][0]
 
-    def _table(self, words: list[str]) -> np.ndarray:
-        out = np.empty((len(words), len(self.languages)), np.float32)
+    def _table(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's log frequencies (0 where nothing is known of it), and whether something is."""
+        out, seen = np.zeros((len(words), len(self.languages)), np.float32), np.ones(len(words), bool)
+        place = self.words.places(words)
+        out[place >= 0] = self.words.logs[place[place >= 0]]
         if len(self.memo) > _MEMO:
             self.memo.clear()
-        for i, w in enumerate(words):
-            if (at := self.words.place.get(w)) is not None:
-                out[i] = self.words.logs[at]
-                continue
-            if (own := self.memo.get(w)) is None:
-                own = self.memo[w] = self.unseen(w)
-            out[i] = own
-        return out
-
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        out: list[tuple[str, float]] = []
+        for i in np.flatnonzero(place < 0).tolist():
+            w = words[i]
+            own = self.memo[w] if w in self.memo else self.memo.setdefault(w, self.unseen(w))
+            if own is None:
+                seen[i] = False
+            else:
+                out[i] = own
+        return out, seen
+
+    def judge(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        """(language, score, whether any word or n-gram of the text is known) of each text."""
+        out: list[tuple[str, float, bool]] = []
         for low, high in slices([t or "" for t in texts]):
             cut = [words_of(t) for t in texts[low:high]]
             new = sorted(set().union(*cut))
-            number, table = {w: i for i, w in enumerate(new)}, self._table(new)
+            number, (table, seen) = {w: i for i, w in enumerate(new)}, self._table(new)
             for text, own in zip(texts[low:high], cut, strict=True):
                 # Words may be made of characters that are neither digits nor letters, such as superscripts.
                 if not own or not self.languages or not any(map(str.isalpha, text)):
-                    out.append((UNKNOWN, 0.0))
+                    out.append((UNKNOWN, 0.0, False))
                     continue
-                logs = table[np.fromiter(map(number.__getitem__, own), np.int64, len(own))].sum(0, dtype=np.float64)
+                which = np.fromiter(map(number.__getitem__, own), np.int64, len(own))
+                logs = table[which].sum(0, dtype=np.float64)
                 share = np.exp((logs - logs.max()) / math.sqrt(len(own)))
                 best = int(logs.argmax())  # of equal ones the first by name
-                out.append((self.languages[best], float(share[best] / share.sum())))
+                out.append((self.languages[best], float(share[best] / share.sum()), bool(seen[which].any())))
         return out
 
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        return [(lang, score) for lang, score, _ in self.judge(texts)]
+
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from rows (doc_id, text, lang) with lang and text.  Of each language about ``sample`` documents are
-    taken, by a hash of doc_id and text; that bounds the model's input, whatever the table's size.  Counts are
-    summed by the cluster; the ``WORDS`` most frequent words and ``GRAMS`` n-grams come to the driver."""
+    taken, by a hash of doc_id and the text's length (repeated rows together); that bounds the model's input,
+    whatever the table's size.  Null lang or text: not learned from.  Counts are summed by the cluster; those of
+    all words and n-grams of the sample come to the driver.  An empty table gives a model without languages."""
     known = labelled.where("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
@@ -124,13 +159,12 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counted)), pa.array([kind] * len(counted), pa.int32()), pa.array(list(counted)), pa.array(list(counted.values()), pa.int64())], names=["lang", "kind", "gram", "n"])
 
     taken = known.where(draw < share).select("text", "lang").mapInArrow(count, "lang string, kind int, gram string, n long")
-    counts = stored(taken.groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")), "counts")
-    model: list[dict] = [{}, {}]
-    for kind, most in ((0, WORDS), (1, GRAMS)):
-        kept = counts.where(F.col("kind") == kind).orderBy(F.desc("n"), "lang", "gram").limit(most).toArrow()
-        for lang, gram, n in zip(*(kept.column(c).to_pylist() for c in ("lang", "gram", "n")), strict=True):
-            model[kind].setdefault(lang, {})[gram] = n
-    return Model(*model)
+    counts = taken.groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")).toArrow()
+    rows: list[list[tuple]] = [[], []]
+    for b in counts.to_batches(1 << 16):
+        for lang, kind, gram, n in sorted(zip(*(c.to_pylist() for c in b.columns), strict=True)):
+            rows[kind].append((lang, gram, n))
+    return Model(*rows)
 
 
 def identify(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
@@ -138,7 +172,8 @@ def identify(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
 
     A text that is null or has no letter: ``und`` and 0.  Equal likelihoods: the first language by name.
     Columns named lang_pred or score are replaced; others pass as they are.  Repeated rows are repeated.
-    score: the share of the best language, of likelihoods tempered by the root of the number of words.
+    score: the share of the best language, of likelihoods tempered by the root of the number of words.  An empty
+    table gives an empty one.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
@@ -154,12 +189,13 @@ def identify(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
                 lang, score = zip(*sent.value.predict(b.column(len(columns)).to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*columns, "lang_pred", "score"])
 
-    return read.mapInArrow(predict, read.drop("__text").schema.add("lang_pred", "string").add("score", "double"))
+    schema = StructType([*read.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return read.mapInArrow(predict, schema)
 
 
-def known(docs: DataFrame, model: Model, least_score: float) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text is in a learned language with a score of at
-    least ``least_score``; see ``identify``."""
+def known(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text has a letter and a word or n-gram that the model
+    knows; see ``identify``."""
     sent, column = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def keep(batches):
@@ -167,7 +203,6 @@ def known(docs: DataFrame, model: Model, least_score: float) -> DataFrame:
 
         claim("language", sent.value.memo.clear)
         for b in parts(batches):
-            found = sent.value.predict(b.column(column).to_pylist())
-            yield b.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in found], pa.bool_()))
+            yield b.filter(pa.array([seen for _, _, seen in sent.value.judge(b.column(column).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -10,17 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivenry.llm import decontam, langid, neardup, packing, secrets
-from scrivenry.llm.common import documents, stored
+from scrivenry.llm.common import Scratch, documents, dropped, stored
 from scrivenry.llm.queries import tokenizer
 
-#: A document whose best language has less of the likelihood than this has no words to tell it by.
-LEAST_SCORE = 0.3
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language.  Rejected: null texts, texts without a letter, and texts of which no
-    word and no n-gram was seen.  The language is learned from labelled rows of ``docs`` itself."""
-    return langid.known(docs, langid.train(docs), LEAST_SCORE)
+    word and no n-gram was seen.  The language is learned from labelled rows of ``docs`` itself; without any, all
+    documents are rejected.  Repeated rows are judged alike."""
+    return langid.known(docs, langid.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,12 +27,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none, and an empty benchmark keeps all."""
     return decontam.clean(docs, documents(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by a mark, n_chars counted anew."""
+    """All documents, secrets replaced by a mark, n_chars counted anew; null texts stay null, with n_chars null."""
     return secrets.redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -58,9 +55,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again before the next."""
-    docs = documents(spark, sf_dir)
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = stored(docs, name)
-    return docs
+    docs, read = documents(spark, sf_dir), None
+    for name, stage in STAGES[:-1]:
+        with Scratch(spark) as tables:  # what a stage wrote for itself goes when its result is stored
+            before, docs = read, stored(stage(spark, docs, sf_dir), name)
+            read = tables.paths[-1]
+            tables.kept.add(read)
+        if before:
+            dropped(spark, before)
+    return STAGES[-1][1](spark, docs, sf_dir)

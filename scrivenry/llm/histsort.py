@@ -11,11 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrivenry.llm.common import stored
+from scrivenry.llm.common import Scratch, stored, width_for
 
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 #: Probes for each splitter and pass; parts of a shard that are numbered apart (least and most), and their rows.
 PROBES, PARTS, PART_ROWS = 64, (16, 1024), 8192
+#: Bytes of documents that a task of the exchange should get.
+TASK_BYTES = 64 << 20
 
 
 def text_key(text: str = "text") -> Column:
@@ -87,22 +89,8 @@ def splitters(keys: DataFrame, parts: int, tolerance: float) -> list[tuple[int,
     return sorted(done.values())
 
 
-def shard(docs: DataFrame, shards: int = 24, tolerance: float = 0.01, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """All columns of ``docs`` plus shard int, slot long (gapless from 0 in each shard) and shard_size long.
-
-    Shards are near equal by bytes: UTF-8 bytes of the text (null: none) plus 8 for each row.  Equal texts
-    share a shard unless their rows alone exceed the tolerance; then they are split by doc_id.  Null doc_id
-    sorts as the least number.  Repeated rows are all kept.  Columns of ``docs`` named shard, slot or
-    shard_size are replaced.  An empty table gives an empty one.
-
-    Passes read only (hash, doc_id, size), stored once in the shared folder.  Rows are exchanged once, by
-    (shard, part of it); slots are numbered in each part and the exact count of the parts before is added.
-    """
-    docs = docs.drop("shard", "slot", "shard_size")
-    columns = docs.columns
-    size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 8
-    keyed = docs.withColumns({"__key": text_key(text), "__tie": F.coalesce(F.col(doc_id).cast("long"), F.lit(LEAST)), "shard_size": size})
-    keys = stored(keyed.select(F.col("__key").alias("key"), F.col("__tie").alias("tie"), F.col("shard_size").alias("size")), "keys")
+def numbering(keys: DataFrame, shards: int, tolerance: float) -> tuple[list[tuple[int, int]], list[int], list[int], int]:
+    """(bounds of the parts, the shard of each part, the slots before it in that shard, bytes of all documents)."""
     bounds = splitters(keys, shards, tolerance)
     # Parts for numbering: even steps of the key between the splitters, so that no part waits for a whole shard.
     # Keys with more rows than a part should have (there are fewer of them than parts) are cut by doc_id too.
@@ -124,7 +112,29 @@ def shard(docs: DataFrame, shards: int = 24, tolerance: float = 0.01, text: str
         own.append(s)
         slots.append(at.get(s, 0))
         at[s] = at.get(s, 0) + counts[k][1]
-    moved = keyed.withColumn("__part", place("__key", "__tie", fine))
-    order = Window.partitionBy("__part").orderBy("__key", "__tie", *([text] if text in columns else []))
+    return fine, own, slots, sum(n for n, _ in counts)
+
+
+def shard(docs: DataFrame, shards: int = 24, tolerance: float = 0.01, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """All columns of ``docs`` plus shard int, slot long (gapless from 0 in each shard) and shard_size long.
+
+    Shards are near equal by bytes: UTF-8 bytes of the text (null: none) plus 8 for each row.  Equal texts
+    share a shard unless their rows alone exceed the tolerance; then they are split by doc_id, and rows that have
+    that in common too are numbered in one task.  Null doc_id sorts as the least number.  Repeated rows are all
+    kept.  Columns of ``docs`` named shard, slot or shard_size are replaced; all others, whatever their names,
+    pass as they are.  An empty table gives an empty one.
+
+    Passes read only (hash, doc_id, size), stored once in the shared folder.  Rows are exchanged once, by
+    (shard, part of it); slots are numbered in each part and the exact count of the parts before is added.
+    """
+    columns = [c for c in docs.columns if c not in ("shard", "slot", "shard_size")]
+    size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 8
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])  # no column of theirs meets one of those below
+    keyed = docs.select(row.alias("row"), text_key(text).alias("__key"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LEAST)).alias("__tie"), size.alias("shard_size"))
+    with Scratch(docs.sparkSession):
+        keys = stored(keyed.select(F.col("__key").alias("key"), F.col("__tie").alias("tie"), F.col("shard_size").alias("size")), "keys")
+        fine, own, slots, total = numbering(keys, shards, tolerance)
+    moved = keyed.withColumn("__part", place("__key", "__tie", fine)).repartition(width_for(docs.sparkSession, total, TASK_BYTES), "__part")
+    order = Window.partitionBy("__part").orderBy("__key", "__tie", F.col("row")[text])
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("__part") + 1)
-    return moved.withColumn("__row", F.row_number().over(order)).select(*columns, "shard_size", pick(own).cast("int").alias("shard"), (pick(slots).cast("long") + F.col("__row") - 1).alias("slot"))
+    return moved.withColumn("__row", F.row_number().over(order)).select(*[F.col("row")[c].alias(c) for c in columns], "shard_size", pick(own).cast("int").alias("shard"), (pick(slots).cast("long") + F.col("__row") - 1).alias("slot"))

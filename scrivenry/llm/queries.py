@@ -73,7 +73,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op2_edit_counts, op3_decontamination, op4_near_duplicates, op5_packing, op6_fingerprints, op7_language, op8_secrets, op9_warc, op10_sharding)}
 
+# Base32 of a SHA-1, from its hexadecimal digits: ten of them are eight characters.
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(sha, {10 * k + 1}, 10) AS BIGINT) >> {35 - 5 * j}) & 31)::INT + 1, 1)" for k in range(4) for j in range(8))
+
 ORACLE_SQL: dict[str, str] = {
+    "op9_warc": f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY sha) AS newest FROM p)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> newest THEN newest END AS refers_to FROM g""",
     "op4_near_duplicates": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i+2], ' ') FOR i IN range(1, len(w) - 1)]) END) AS s FROM w),

@@ -4,6 +4,10 @@ A record is a gzip member of its own.  A reading task gets a byte range; it look
 takes a place for a record only if inflating there gives a WARC version line, and owns the records whose
 first byte lies in its range, reading past the end of the range to finish the last one.  Compressed data
 may hold the magic bytes by chance; such places fail the header test and the search goes on behind them.
+
+Members stand end to end, so the reader knows where each must begin: at the file's beginning, and where the one
+before ended.  A place where none does, or one that is cut off or damaged, is reported by the task that comes to
+it, once, and not passed over.
 """
 
 from __future__ import annotations
@@ -17,12 +21,10 @@ from itertools import chain
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivenry.llm.common import AtomicFile, open_fs, scratch, shuffle_width, stored
+from scrivenry.llm.common import AtomicFile, open_fs, scratch, stored, width_for
 
 GZIP_MAGIC = b"\x1f\x8b\x08"
-#: What a gzip header and the start of its data take at most before the version line must have appeared.
-PROBE = 512
-CHUNK = 1 << 20
+CHUNK, TASK_BYTES = 1 << 20, 64 << 20
 _URN = "<urn:page:%s>"
 
 
@@ -61,7 +63,9 @@ def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 def write_warc(pages: DataFrame, least_bytes: int = 0, files: int | None = None, folder: str | None = None) -> DataFrame:
     """Write one record for each row of ``pages`` (page_id, url, html) and return the manifest (path, size).
 
-    Repeated rows give repeated records.  Empty tables give no file.  Other columns are not read.
+    Repeated rows give repeated records.  Null html: an empty payload; null url: an empty one; null page_id: a
+    record without a number, that no other refers to.  Empty tables give no file.  Other columns, whatever their
+    names, are not read.
     """
     folder = folder or scratch(pages.sparkSession, "warc")
 
@@ -88,108 +92,143 @@ def write_warc(pages: DataFrame, least_bytes: int = 0, files: int | None = None,
     return spark.createDataFrame(rows.mapInArrow(write, "path string, size long").collect(), "path string, size long")
 
 
-def _inflate(read, at: int, data: bytes) -> tuple[bytes, int] | None:
-    """The member that begins at byte ``at`` of the file and its length, or None if there is none.
-    data: bytes from ``at`` on that are at hand already."""
-    inflate, out, used = zlib.decompressobj(31), [], 0
+def _inflate(read, at: int, data: bytes) -> tuple[bytes, int] | None | str:
+    """The member that begins at byte ``at`` of the file and its length; None if none begins there; if it is a
+    record's that can't be read to its end, why.  data: bytes from ``at`` on that are at hand already."""
+    inflate, out, size, used = zlib.decompressobj(31), [], 0, 0
     try:
-        head = inflate.decompress(data[:PROBE], 64)
-        if not head.startswith(b"WARC/1."):
-            return None
-        inflate = zlib.decompressobj(31)
         while True:
-            out.append(inflate.decompress(data))
-            used += len(data) - len(inflate.unused_data)
+            if size < 7 and not inflate.eof:  # a header may be long, so the version line decides
+                part = inflate.decompress(data, 64)
+                rest = inflate.unconsumed_tail or inflate.unused_data
+                used, data = used + len(data) - len(rest), rest
+            else:
+                part = inflate.decompress(data)
+                used, data = used + len(data) - len(inflate.unused_data), b""
+            out.append(part)
+            size += len(part)
+            if (size >= 7 or inflate.eof) and not b"".join(out[:8]).startswith(b"WARC/1."):
+                return None
             if inflate.eof:
                 return b"".join(out), used
-            data = read(at + used, CHUNK)
-            if not data:
-                return None  # cut off
-    except zlib.error:
-        return None
+            if not data and not (data := read(at + used, CHUNK)):
+                return "cut off" if size >= 7 else None
+    except zlib.error as e:
+        return str(e) if size >= 7 else None
 
 
-def read_range(uri: str, begin: int, end: int) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record whose first byte lies in [begin, end) of the file.
+def read_range(uri: str, begin: int, end: int, size: int | None = None) -> Iterator[tuple[dict[str, str], bytes, int]]:
+    """(headers, block, byte where it begins) of each record whose first byte lies in [begin, end) of the file.
 
-    A member that is cut off or broken is passed over, and so is anything between members.
+    Where a record should begin and none does, or one that can't be read to its end, headers are {"": why}, and the
+    search goes on behind that place.  Such a place at or behind ``end`` is reported by the range whose last record
+    ends there.  size: of the file, asked if not given.
     """
     fs, path = open_fs(uri)
     with fs.open_input_file(path) as f:
+        size = f.size() if size is None else size
 
         def read(at: int, n: int) -> bytes:
             f.seek(at)
             return f.read(n)
 
-        at, base, held = begin, begin, b""
-        while at < end:
-            if at - base >= len(held) or len(held) - (at - base) < PROBE:
+        at, base, held, due = begin, begin, b"", begin == 0
+        while at < end or due and at < size:
+            if len(held) - (at - base) < len(GZIP_MAGIC):
                 base, held = at, read(at, CHUNK)
                 if not held:
                     return
-            found = held.find(GZIP_MAGIC, at - base)
+            found = at - base if held.startswith(GZIP_MAGIC, at - base) else -1 if due else held.find(GZIP_MAGIC, at - base)
             if found < 0:
-                at = max(at + 1, base + len(held) - len(GZIP_MAGIC) + 1)
+                if due:
+                    yield {"": "no record begins here"}, b"", at
+                    due, at = False, at + 1
+                else:
+                    at = max(at + 1, base + len(held) - len(GZIP_MAGIC) + 1)
                 continue
             at = base + found
-            if at >= end:
+            if at >= end and not due:
                 return
-            if len(held) - found < PROBE:
-                base, held = at, read(at, CHUNK)
-                found = 0
             member = _inflate(read, at, held[found:])
-            if member is None:
-                at += 1
+            if at >= end:  # the next range's record; only its beginning is looked at
+                if member is None:
+                    yield {"": "no record begins here"}, b"", at
+                return
+            if member is None or isinstance(member, str):
+                if due or member:
+                    yield {"": member or "no record begins here"}, b"", at
+                due, at = False, at + 1
                 continue
             head, _, block = member[0].partition(b"\r\n\r\n")
             fields = dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
-            yield fields, block[: int(fields.get("Content-Length", len(block)))]
-            at += member[1]
+            length = fields.get("Content-Length", "")
+            yield fields, block[: int(length)] if length.isdigit() else block, at
+            at, due = at + member[1], True
 
 
 def ranges(spark: SparkSession, manifest: DataFrame, split_bytes: int) -> DataFrame:
-    """path, begin, end: the files cut into ranges of ``split_bytes``, at any byte."""
+    """path, begin, end, size: the files cut into ranges of ``split_bytes``, at any byte."""
     cuts = F.sequence(F.lit(0), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))
-    return manifest.select("path", "size", F.explode(cuts).alias("begin")).select("path", "begin", F.least(F.col("begin") + split_bytes, F.col("size")).alias("end"))
+    return manifest.select("path", "size", F.explode(cuts).alias("begin")).select("path", "begin", F.least(F.col("begin") + split_bytes, F.col("size")).alias("end"), "size")
 
 
 def _number(urn: str | None) -> int | None:
     text = (urn or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(text) if text.lstrip("-").isdigit() else None
+    return int(text) if (urn or "").startswith("<urn:page:") and text.lstrip("-").isdigit() else None
 
 
-def read_warc(manifest: DataFrame, split_bytes: int = 4 << 20, tasks: int | None = None) -> DataFrame:
+def read_warc(manifest: DataFrame, split_bytes: int = 4 << 20, tasks: int | None = None, broken: str = "fail") -> DataFrame:
     """Per record: page_id, url, record_type, refers_to, payload_digest, payload_bytes (of the full payload,
-    which a revisit's HTTP header still states), payload (binary; null for a revisit).
-
-    A response's length and digest are computed from the payload that was read; one that differs from its
-    header raises an error.
+    which a revisit's HTTP header still states), payload (binary; null for a revisit), path, offset.
+
+    Records of any writer are read: page_id and refers_to are null where they aren't this writer's names, and the
+    payload of a record that isn't an HTTP message (warcinfo, metadata, ...) is its block.  Length and digest of a
+    payload that is there are computed; one that differs from a SHA-1 in its header raises an error.  What can't be
+    read: broken="fail" raises an error that names the place, "keep" gives a row of record_type broken with the
+    reason as url.  A manifest without files gives an empty table; null paths aren't read, nor are its other
+    columns.
     """
     spark = manifest.sparkSession
+    if broken not in ("fail", "keep"):
+        raise ValueError(f"broken must be fail or keep, got {broken!r}")
 
     def read(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
+        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("path", pa.string()), ("offset", pa.int64())])
+
+        def row(uri, fields, block, at):
+            if "" in fields:
+                if broken == "fail":
+                    raise ValueError(f"{uri} at byte {at}: {fields['']}")
+                return None, fields[""], "broken", None, None, None, None, uri, at
+            kind, http = fields.get("WARC-Type"), fields.get("Content-Type", "").startswith("application/http")
+            head, _, payload = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
+            algorithm, _, stated = fields.get("WARC-Payload-Digest", "").rpartition(":")
+            if kind == "revisit":
+                length = head.rpartition(b"Content-Length: ")[2].split(b"\r\n")[0]
+                digest, n, payload = stated or None, int(length) if length.isdigit() else None, None
+            else:
+                digest, n = payload_digest(payload), len(payload)
+                if kind == "response" and algorithm == "sha1" and digest != stated:
+                    raise ValueError(f"{uri} at byte {at}: the payload of {fields.get('WARC-Record-ID')} differs from its digest")
+            return _number(fields.get("WARC-Record-ID")), fields.get("WARC-Target-URI"), kind, _number(fields.get("WARC-Refers-To")), digest, n, payload, uri, at
+
+        def made(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
         for b in batches:
-            for uri, begin, end in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                rows, size = [], 0
-                for fields, block in read_range(uri, begin, end):
-                    head, _, payload = block.partition(b"\r\n\r\n")
-                    stated = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if fields["WARC-Type"] == "response":
-                        digest, n = payload_digest(payload), len(payload)
-                        if digest != stated:
-                            raise ValueError(f"payload of {fields['WARC-Record-ID']} in {uri} differs from its digest")
-                    else:
-                        digest, payload, n = stated, None, int(head.rpartition(b"Content-Length: ")[2].split(b"\r\n")[0])
-                    rows.append((_number(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], fields["WARC-Type"], _number(fields.get("WARC-Refers-To")), digest, n, payload))
-                    size += n
-                    if size > CHUNK * 8:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                        rows, size = [], 0
+            for uri, begin, end, size in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                rows, held = [], 0
+                for fields, block, at in read_range(uri, begin, end, size):
+                    rows.append(row(uri, fields, block, at))
+                    held += len(block)
+                    if held > CHUNK * 8:
+                        yield made(rows)
+                        rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    yield made(rows)
 
-    cut = ranges(spark, manifest, split_bytes)
-    return cut.repartition(tasks or shuffle_width(spark)).mapInArrow(read, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
+    cut = ranges(spark, manifest.where("path is not null"), split_bytes)
+    total = manifest.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    return cut.repartition(tasks or width_for(spark, total, TASK_BYTES)).mapInArrow(read, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary, path string, offset long")

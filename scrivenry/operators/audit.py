@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrivenry.functions.text import encoding_faults, is_empty_ascii, markup_ratio, without_tags
@@ -78,19 +78,19 @@ def rejected(novels: DataFrame, episodes: DataFrame) -> DataFrame:
 
 
 def report(novels: DataFrame, episodes: DataFrame, urls: DataFrame) -> DataFrame:
-    """The whole audit as one row."""
-    pairs = lambda df: F.map_from_entries(F.sort_array(F.collect_list(F.struct("value", "n"))))
+    """The whole audit as one row; the orphans are counted here and listed by ``rejected``."""
+    pairs = lambda: F.map_from_entries(F.sort_array(F.collect_list(F.struct("value", "n"))))
     parts = [
         duplicate_keys(novels, "ncode").toDF("novels_total", "novels_duplicate_ncode"), duplicate_keys(episodes, "ncode", "episode_no").toDF("episodes_total", "episodes_duplicate_key"),
         count_mismatches(novels, episodes, "ncode", ["general_all_no", "total_ep"]), adult_sources(novels, urls),
-        breakdown(novels, "site_type").agg(pairs(novels).alias("site_type_breakdown")), breakdown(novels, "sub_site").agg(pairs(novels).alias("sub_site_breakdown")),
-        orphans(episodes, novels, "ncode").agg(F.sort_array(F.collect_list("ncode")).alias("orphan_episode_ncodes")),
+        breakdown(novels, "site_type").agg(pairs().alias("site_type_breakdown")), breakdown(novels, "sub_site").agg(pairs().alias("sub_site_breakdown")),
+        orphans(episodes, novels, "ncode").agg(F.count("ncode").alias("n_orphan_episode_ncodes")),
         body_faults(episodes).agg(*[F.count_if(F.col("reason") == r).alias(n) for r, n in (("empty_body", "empty_body_episode_count"), ("encoding_anomaly", "encoding_anomaly_episode_count"), ("html_ratio_anomaly", "html_ratio_anomaly_episode_count"))]),
     ]
     return reduce(lambda a, b: a.crossJoin(b), parts)  # each has one row
 
 
 def newest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The latest row of each key; of equal ones any."""
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    """The latest row of each key; of equal ones the greatest by the other columns.  One aggregation."""
+    row = F.struct(*[c for c in df.columns if c not in keys])
+    return df.groupBy(*keys).agg(F.max_by(row, F.struct(order, row)).alias("__row")).select(*[F.col(c) if c in keys else F.col("__row")[c].alias(c) for c in df.columns])

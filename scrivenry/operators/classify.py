@@ -5,13 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, Normalizer
+from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrivenry.operators import measures
-from scrivenry.sources.scratch import scratch
+from scrivenry.operators.ranks import drawn
+from scrivenry.sources.scratch import stored
 
 
 def char_ngrams(c: Column | str, low: int = 2, high: int = 3) -> Column:
@@ -38,32 +39,12 @@ def tfidf(df: DataFrame, text: str, out: str = "features", config: Vectors = Vec
     grams = df.withColumn("__g", char_ngrams(F.coalesce(F.col(text), F.lit("")), config.low, config.high))
     model = CountVectorizer(inputCol="__g", outputCol="__c", vocabSize=config.features, minDF=config.least_docs).fit(grams)
     counted = model.transform(grams).drop("__g")
-    n = counted.count()
-    size = len(model.vocabulary)
-    entries = counted.select(F.posexplode(vector_to_array("__c")).alias("i", "v")) if size <= 4096 else None
-    if entries is not None:
-        found = {r.i: r.d for r in entries.where("v > 0").groupBy("i").agg(F.count("*").alias("d")).collect()}
-    else:
-        pairs = counted.select(F.explode(_indices("__c")).alias("i"))
-        found = {r.i: r.d for r in pairs.groupBy("i").agg(F.count("*").alias("d")).collect()}
-    from math import log
-
-    idf = [log((1 + n) / (1 + found.get(i, 0))) + 1 for i in range(size)]
-    sent = df.sparkSession.sparkContext.broadcast(idf)
-    weighted = _weigh(sent)
+    # ln((1 + n) / (1 + df)) in one pass of the JVM over the counted vectors.
+    idf = IDF(inputCol="__c", outputCol="__i").fit(counted).idf.toArray() + 1.0
+    weighted = _weigh(df.sparkSession.sparkContext.broadcast(idf))
     return Normalizer(p=2.0, inputCol="__w", outputCol=out).transform(counted.withColumn("__w", weighted("__c"))).drop("__c", "__w")
 
 
-def _indices(column: str) -> Column:
-    from pyspark.sql.types import ArrayType, IntegerType
-
-    @F.udf(ArrayType(IntegerType()))
-    def places(v):
-        return [int(i) for i in v.indices] if hasattr(v, "indices") else [i for i, x in enumerate(v) if x]
-
-    return places(column)
-
-
 def _weigh(sent):
     from pyspark.ml.linalg import SparseVector, Vectors as Make, VectorUDT
 
@@ -71,19 +52,16 @@ def _weigh(sent):
     def weigh(v):
         import numpy as np
 
-        s = v if isinstance(v, SparseVector) else Make.sparse(v.size, [(i, x) for i, x in enumerate(v) if x])
-        idf = np.asarray(sent.value)[s.indices]
-        return Make.sparse(s.size, s.indices, (1 + np.log(s.values)) * idf)
+        at = v.indices if isinstance(v, SparseVector) else np.flatnonzero(v.values)
+        values = v.values if isinstance(v, SparseVector) else v.values[at]
+        return Make.sparse(v.size, at, (1 + np.log(values)) * sent.value[at])
 
     return weigh
 
 
 def folds(df: DataFrame, label: str, key: str, k: int, seed: int) -> DataFrame:
     """Adds fold: equal shares of each class, by drawn order."""
-    from scrivenry.operators.sampling import draw
-
-    w = Window.partitionBy(label).orderBy(draw(seed, key), key)
-    return df.withColumn("fold", (F.row_number().over(w) - 1) % k)
+    return drawn(df, [label], seed, key, "__r").withColumn("fold", ((F.col("__r") - 1) % k).cast("int")).drop("__r")
 
 
 def balanced(df: DataFrame, label: str) -> DataFrame:
@@ -108,26 +86,30 @@ def out_of_fold(df: DataFrame, label: str, features: str, k: int, c: float = 1.0
     return out
 
 
-def calibrated(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Adds calibrated: a sigmoid of the score's log odds, fitted on out-of-fold scores."""
+def calibrated(df: DataFrame, label: str, score: str, fold: str = "fold") -> DataFrame:
+    """Adds calibrated: a sigmoid of the score's log odds.  Each fold's is fitted on the other folds' scores, so no
+    row is calibrated by its own label; where there is one fold, or the others have one class, the score stays."""
     odds = F.log(F.greatest(F.col(score), F.lit(1e-9)) / F.greatest(1 - F.col(score), F.lit(1e-9)))
     one = df.withColumn("__x", array_to_vector(F.array(odds)))
-    model = LogisticRegression(labelCol=label, featuresCol="__x", regParam=0.0).fit(one)
-    return model.transform(one).withColumn("calibrated", vector_to_array("probability")[1]).drop("__x", "rawPrediction", "probability", "prediction")
+    out = None
+    for (i,) in sorted(tuple(r) for r in df.select(fold).distinct().collect()):
+        own, others = one.where(F.col(fold) == i), one.where(F.col(fold) != i)
+        if others.select(label).distinct().count() < 2:
+            scored = own.withColumn("calibrated", F.col(score)).drop("__x")
+        else:
+            model = LogisticRegression(labelCol=label, featuresCol="__x", regParam=0.0).fit(others)
+            scored = model.transform(own).withColumn("calibrated", vector_to_array("probability")[1]).drop("__x", "rawPrediction", "probability", "prediction")
+        out = scored if out is None else out.unionByName(scored)
+    return df.withColumn("calibrated", F.col(score)) if out is None else out
 
 
 def evaluate(df: DataFrame, label: str, key: str, features: str, k: int = 3, c: float = 1.0, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(one row of measures, scored rows): ranking quality, the best cut, and the correction for unlabelled
     positives, all from out-of-fold scores."""
-    spark = df.sparkSession
     # Stored once, with their folds: every fold's model reads the vectors many times.
-    kept = scratch(spark, "vectors")
-    folds(df.select(key, F.col(label).cast("double").alias(label), features), label, key, k, seed).write.parquet(kept)
-    own = spark.read.parquet(kept)
-    scored = calibrated(out_of_fold(own, label, features, k, c), label, "score").select(key, label, "fold", "score", "calibrated")
-    path = scratch(spark, "scores")
-    scored.write.parquet(path)
-    scored = spark.read.parquet(path)
+    own = stored(folds(df.select(key, F.col(label).cast("double").alias(label), features), label, key, k, seed), "vectors")
+    raw = stored(out_of_fold(own, label, features, k, c).select(key, label, "fold", "score"), "raw")
+    scored = stored(calibrated(raw, label, "score"), "scores")
     parts = [measures.auc(scored, label, "score"), measures.average_precision(scored, label, "score"), measures.best_f1(scored, label, "score"), measures.unlabelled_correction(scored, label, "calibrated")]
     row = parts[0]
     for p in parts[1:]:
@@ -145,3 +127,35 @@ def ablation(df: DataFrame, label: str, key: str, sets: dict[str, str], k: int =
     rows = [(name, evaluate(df, label, key, column, k)[0].first()["auc"]) for name, column in sets.items()]
     base = rows[0][1]
     return df.sparkSession.createDataFrame([(n, a, None if a is None or base is None else round(a - base, 6)) for n, a in rows], "features string, auc double, delta double")
+
+
+def grid(df: DataFrame, text: str, tags: dict[str, Column], key: str, configs: list[Vectors], strengths: list[float], k: int = 3, stop=None) -> DataFrame:
+    """Rows (tag, low, high, features, c, auc, ap): each tag under each vectoriser and strength.  Vectors are made
+    once for each vectoriser.  stop: asked before each fit; a grid that it ends has the rows so far."""
+    rows = []
+    for config in configs:
+        own = stored(tfidf(df.select(key, text, *[c.cast("double").alias(f"__tag{i}") for i, c in enumerate(tags.values())]), text, "features", config).drop(text), "grid")
+        for c in strengths:
+            for i, tag in enumerate(tags):
+                if stop is not None and stop():
+                    return _grid_rows(df, rows)
+                found = evaluate(own, f"__tag{i}", key, "features", k, c)[0].first()
+                rows.append((tag, config.low, config.high, config.features, float(c), found["auc"], found["ap"]))
+    return _grid_rows(df, rows)
+
+
+def _grid_rows(df: DataFrame, rows: list[tuple]) -> DataFrame:
+    return df.sparkSession.createDataFrame(rows, "tag string, low int, high int, features int, c double, auc double, ap double")
+
+
+def deltas(results: DataFrame, base: str, other: str, each: int = 10) -> DataFrame:
+    """Rows (tag, delta, end, rank) of results (tag, features, auc): the tags that another feature set serves most
+    and least, against the base."""
+    wide = results.groupBy("tag").agg(*[F.max(F.when(F.col("features") == f, F.col("auc"))).alias(n) for f, n in ((base, "__a"), (other, "__b"))])
+    return measures.extremes(wide.select("tag", F.bround(F.col("__b") - F.col("__a"), 4).alias("delta")).where("delta is not null"), "delta", each, "tag")
+
+
+def wins(results: DataFrame) -> DataFrame:
+    """Rows (features, wins): for how many tags a feature set has the best AUC; equal ones all count."""
+    best = results.groupBy("tag").agg(F.max("auc").alias("__best"))
+    return results.join(best, "tag").groupBy("features").agg(F.count_if(F.col("auc") == F.col("__best")).alias("wins"))

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scrivenry.operators.ranks import running
+
 
 def _placed(df: DataFrame, column: str) -> DataFrame:
     """Counts of each value with the ranks they take: first __a, last __b, of __n in all.
 
-    Values are counted before they are ordered, so the one ordered stretch holds a row for each distinct value.
+    Values are counted before they are ordered, and ordered in stretches.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("__c"))
-    w = Window.orderBy("v")
-    return counts.select("v", (F.sum("__c").over(w) - F.col("__c")).alias("__a"), (F.sum("__c").over(w) - 1).alias("__b"), F.sum("__c").over(Window.partitionBy()).alias("__n"))
+    total = counts.agg(F.sum("__c").alias("__n"))
+    return running(counts, "v", {"__e": "__c"}).crossJoin(F.broadcast(total)).select("v", (F.col("__e") - F.col("__c")).alias("__a"), (F.col("__e") - 1).alias("__b"), "__n")
 
 
 def _at(place: Column) -> Column:
@@ -40,7 +42,7 @@ def at_most(df: DataFrame, column: str, levels: list[int]) -> DataFrame:
     """Rows (level, n, pct): how many values are at or below each level."""
     sums = F.array(*[F.struct(F.lit(t).alias("level"), F.count_if(F.col(column) <= t).alias("n")) for t in levels])
     one = df.agg(F.count(column).alias("__n"), sums.alias("__s")).select("__n", F.explode("__s").alias("s"))
-    return one.select("s.level", "s.n", F.round(F.try_divide(F.col("s.n") * F.lit(100.0), F.col("__n")), 6).alias("pct"))
+    return one.select("s.level", "s.n", F.bround(F.try_divide(F.col("s.n") * F.lit(100.0), F.col("__n")), 6).alias("pct"))
 
 
 def histogram(df: DataFrame, column: str, width: int, bins: int) -> DataFrame:
@@ -74,12 +76,12 @@ def confusion(df: DataFrame, pairs: dict[str, tuple[Column, Column]]) -> DataFra
         t, g = flag(truth), flag(guess)
         cells.append(F.struct(F.lit(tag).alias("tag"), F.count_if(t & g).alias("tp"), F.count_if(~t & g).alias("fp"), F.count_if(t & ~g).alias("fn"), F.count_if(~t & ~g).alias("tn")))
     rows = df.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*")
-    return rows.select("*", F.round(F.try_divide("tp", F.col("tp") + F.col("fn")), 4).alias("recall"), F.round(F.try_divide("tp", F.col("tp") + F.col("fp")), 4).alias("precision"))
+    return rows.select("*", F.bround(F.try_divide("tp", F.col("tp") + F.col("fn")), 4).alias("recall"), F.bround(F.try_divide("tp", F.col("tp") + F.col("fp")), 4).alias("precision"))
 
 
 def micro_recall(confusions: DataFrame) -> DataFrame:
     """Over tags that have positives."""
-    return confusions.where("tp + fn > 0").agg(F.round(F.try_divide(F.sum("tp"), F.sum(F.col("tp") + F.col("fn"))), 4).alias("micro_recall"))
+    return confusions.where("tp + fn > 0").agg(F.bround(F.try_divide(F.sum("tp"), F.sum(F.col("tp") + F.col("fn"))), 4).alias("micro_recall"))
 
 
 def tag_sets(df: DataFrame, gold: str, guess: str) -> DataFrame:
@@ -88,7 +90,7 @@ def tag_sets(df: DataFrame, gold: str, guess: str) -> DataFrame:
     equal = (F.size(F.array_except(gold, guess)) == 0) & (F.size(F.array_except(guess, gold)) == 0)
     one = df.agg(F.count("*").alias("n"), hit.alias("tp"), extra.alias("fp"), lost.alias("fn"), F.avg(equal.cast("int")).alias("exact"), F.avg(F.arrays_overlap(gold, guess).cast("int")).alias("partial"))
     p, r = F.try_divide("tp", F.col("tp") + F.col("fp")), F.try_divide("tp", F.col("tp") + F.col("fn"))
-    rounded = lambda c, n: F.round(c, 4).alias(n)
+    rounded = lambda c, n: F.bround(c, 4).alias(n)
     return one.select("n", "tp", "fp", "fn", rounded(p, "precision"), rounded(r, "recall"), rounded(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), "f1"), rounded(F.col("exact"), "exact"), rounded(F.col("partial"), "partial"))
 
 
@@ -101,32 +103,36 @@ def match_mark(gold: Column, guess: Column) -> Column:
 def ordinal_agreement(gold: Column, guess: Column) -> list[Column]:
     """Mean absolute error, exact and within-one agreement."""
     d = F.abs(gold - guess)
-    return [F.round(F.avg(d), 6).alias("mae"), F.round(F.avg((d == 0).cast("int")), 6).alias("exact"), F.round(F.avg((d <= 1).cast("int")), 6).alias("within_one")]
+    return [F.bround(F.avg(d), 6).alias("mae"), F.bround(F.avg((d == 0).cast("int")), 6).alias("exact"), F.bround(F.avg((d <= 1).cast("int")), 6).alias("within_one")]
+
+
+def _by_score(df: DataFrame, label: str, score: str) -> DataFrame:
+    """__score, p and q: positives and others at each distinct score."""
+    known = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    return known.groupBy(F.col(score).alias("__score")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
 
 
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """One row (n_pos, n_neg, auc): the rank sum with ties averaged.  Only distinct scores are ordered."""
-    counts = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    one = counts.withColumn("b", below).agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum(F.col("p") * (F.col("b") + F.col("q") / 2)).alias("u"))
-    return one.select("n_pos", "n_neg", F.round(F.try_divide("u", F.col("n_pos") * F.col("n_neg")), 6).alias("auc"))
+    """One row (n_pos, n_neg, auc): the rank sum with ties averaged."""
+    below = running(_by_score(df, label, score), "__score", {"b": "q"})
+    one = below.agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum(F.col("p") * (F.col("b") - F.col("q") / 2)).alias("u"))
+    return one.select("n_pos", "n_neg", F.bround(F.try_divide("u", F.col("n_pos") * F.col("n_neg")), 6).alias("auc"))
 
 
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
     """One row (ap): precision at each distinct score, weighted by the positives it adds."""
-    counts = df.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count("*").alias("n"))
-    w = Window.orderBy(F.col(score).desc())
-    at = counts.select("p", (F.sum("p").over(w) / F.sum("n").over(w)).alias("precision"))
-    return at.agg(F.round(F.try_divide(F.sum(F.col("p") * F.col("precision")), F.sum("p")), 6).alias("ap"))
+    above = running(_by_score(df, label, score), "__score", {"tp": "p", "fp": "q"}, descending=True)
+    at = above.select("p", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
+    return at.agg(F.bround(F.try_divide(F.sum(F.col("p") * F.col("precision")), F.sum("p")), 6).alias("ap"))
 
 
 def best_f1(df: DataFrame, label: str, score: str) -> DataFrame:
     """One row (threshold, tp, fp, f1): the cut with the best F1, the highest of equal ones."""
-    counts = df.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
-    w = Window.orderBy(F.col("threshold").desc())
-    cut = counts.select("threshold", F.sum("p").over(w).alias("tp"), F.sum("q").over(w).alias("fp"), F.sum("p").over(Window.partitionBy()).alias("all"))
-    cut = cut.withColumn("f1", F.try_divide(2.0 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("all")))
-    return cut.agg(F.max_by(F.struct("threshold", "tp", "fp", F.round("f1", 6).alias("f1")), F.struct("f1", "threshold")).alias("b")).select("b.*")
+    counts = _by_score(df, label, score)
+    total = counts.agg(F.sum("p").alias("all"))
+    cut = running(counts, "__score", {"tp": "p", "fp": "q"}, descending=True).crossJoin(F.broadcast(total))
+    cut = cut.select(F.col("__score").alias("threshold"), "tp", "fp", F.try_divide(2.0 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("all")).alias("f1"))
+    return cut.agg(F.max_by(F.struct("threshold", "tp", "fp", F.bround("f1", 6).alias("f1")), F.struct("f1", "threshold")).alias("b")).select("b.*")
 
 
 def chance_corrected(df: DataFrame, item: str, value: str) -> DataFrame:
@@ -139,13 +145,13 @@ def chance_corrected(df: DataFrame, item: str, value: str) -> DataFrame:
     expected = freq.agg(F.sum(F.col("share") * F.col("share")).alias("expected"), F.max_by("value", F.struct("n", "value")).alias("majority"), F.max("share").alias("majority_share"), F.count("*").alias("n_values"))
     one = observed.crossJoin(expected)
     kappa = F.try_divide(F.col("observed") - F.col("expected"), 1 - F.col("expected"))
-    return one.select(F.round("observed", 6).alias("observed"), F.round("expected", 6).alias("expected"), F.round(kappa, 6).alias("kappa"), "majority", F.round("majority_share", 6).alias("majority_share"), "n_values")
+    return one.select(F.bround("observed", 6).alias("observed"), F.bround("expected", 6).alias("expected"), F.bround(kappa, 6).alias("kappa"), "majority", F.bround("majority_share", 6).alias("majority_share"), "n_values")
 
 
 def modal_share(df: DataFrame, *columns: str) -> DataFrame:
     """One row (distinct_ratio, modal_share) of the vectors that the columns make."""
     counts = df.groupBy(*columns).agg(F.count("*").alias("n"))
-    return counts.agg(F.round(F.count("*") / F.sum("n"), 6).alias("distinct_ratio"), F.round(F.max("n") / F.sum("n"), 6).alias("modal_share"))
+    return counts.agg(F.bround(F.count("*") / F.sum("n"), 6).alias("distinct_ratio"), F.bround(F.max("n") / F.sum("n"), 6).alias("modal_share"))
 
 
 def unlabelled_correction(df: DataFrame, label: str, probability: str) -> DataFrame:
@@ -156,14 +162,49 @@ def unlabelled_correction(df: DataFrame, label: str, probability: str) -> DataFr
         F.max("c").alias("c"), F.avg(F.when(F.col("c") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(F.col(probability), F.col("c"))))).otherwise(F.col(probability))).alias("p"), F.max("mean").alias("mean"), F.max("rate").alias("rate")
     )
     ok = F.col("mean").between(0.5 * F.col("rate"), 3.0 * F.col("rate"))
-    return fixed.select(F.round("c", 6).alias("pu_c"), F.round("p", 6).alias("prevalence"), F.round("mean", 6).alias("calibrated_mean"), F.round("rate", 6).alias("silver_rate"), ok.alias("calibration_ok"))
+    return fixed.select(F.bround("c", 6).alias("pu_c"), F.bround("p", 6).alias("prevalence"), F.bround("mean", 6).alias("calibrated_mean"), F.bround("rate", 6).alias("silver_rate"), ok.alias("calibration_ok"))
 
 
 def perplexity(df: DataFrame, loss: str, tokens: str) -> DataFrame:
     """One row: exp of the mean loss, weighted by tokens."""
-    return df.agg(F.round(F.exp(F.try_divide(F.sum(F.col(loss) * F.col(tokens)), F.sum(tokens))), 6).alias("perplexity"))
+    return df.agg(F.bround(F.exp(F.try_divide(F.sum(F.col(loss) * F.col(tokens)), F.sum(tokens))), 6).alias("perplexity"))
 
 
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def spread(df: DataFrame, by: str, value: str) -> DataFrame:
+    """Rows (by, least, p50, most): of a number in each group, the middle one at place n // 2."""
+    counts = df.groupBy(by, value).agg(F.count("*").alias("__c"))
+    w = Window.partitionBy(by).orderBy(value)
+    placed = counts.withColumn("__e", F.sum("__c").over(w)).withColumn("__n", F.sum("__c").over(Window.partitionBy(by)))
+    middle = F.floor(F.col("__n") / 2)
+    return placed.groupBy(by).agg(F.min(value).alias("least"), F.max(F.when((F.col("__e") - F.col("__c") <= middle) & (middle < F.col("__e")), F.col(value))).alias("p50"), F.max(value).alias("most"))
+
+
+def extremes(df: DataFrame, value: str, each: int, key: str) -> DataFrame:
+    """The ``each`` rows with the largest and the smallest value, as end top or bottom, with their rank."""
+    sides = []
+    for end, order in (("top", [F.desc(value), key]), ("bottom", [value, key])):
+        first = df.orderBy(*order).limit(each)
+        sides.append(first.withColumn("rank", F.row_number().over(Window.orderBy(*order))).withColumn("end", F.lit(end)))  # few rows
+    return sides[0].unionByName(sides[1])
+
+
+def pairwise(df: DataFrame, item: str, method: str, value: str, agree) -> DataFrame:
+    """Rows (m1, m2, n, agreement): how far two methods agree on the items both have; ``agree`` takes two columns."""
+    a, b = (df.select(F.col(item).alias("__i"), F.col(method).alias(m), F.col(value).alias(v)) for m, v in (("m1", "__a"), ("m2", "__b")))
+    both = a.join(b, "__i").where("m1 < m2")
+    return both.groupBy("m1", "m2").agg(F.count("*").alias("n"), F.bround(F.avg(agree(F.col("__a"), F.col("__b")).cast("double")), 6).alias("agreement"))
+
+
+def group_means(df: DataFrame, by: Column, value: str) -> DataFrame:
+    """Rows (group, n, mean, median) of a number."""
+    return df.groupBy(by.alias("group")).agg(F.count("*").alias("n"), F.bround(F.avg(value), 6).alias("mean"), F.bround(F.median(value), 6).alias("median"))
+
+
+def frequent(df: DataFrame, value: Column, least: int = 1) -> DataFrame:
+    """Rows (value, n) of values that occur at least so often."""
+    return df.groupBy(value.alias("value")).agg(F.count("*").alias("n")).where(F.col("n") >= least)

@@ -97,7 +97,7 @@ def condition_counts(view: DataFrame, column: str = "text") -> DataFrame:
     return view.groupBy(F.substring_index(column, "\n", 1).alias("condition")).agg(F.count("*").alias("n"))
 
 
-def context_view(chunks: DataFrame, terms: DataFrame, context_chars: int = 2400, continuation_chars: int = 2900, stride: int = 2, least_chunk: int = 1) -> DataFrame:
+def context_view(chunks: DataFrame, terms: DataFrame, context_chars: int = 2400, continuation_chars: int = 2900, stride: int = 2) -> DataFrame:
     """(prompt, completion, meta<ncode, episode_no>): what was read so far, and what comes next, of every
     ``stride``-th chunk of a work.  Works are whole, however their files were cut."""
     flat = chunks.select(
@@ -106,7 +106,7 @@ def context_view(chunks: DataFrame, terms: DataFrame, context_chars: int = 2400,
     )
     edges = measures.tertiles(flat, "dialogue").toDF("d0", "d1").crossJoin(measures.tertiles(flat, "sentence").toDF("s0", "s1"))
     keys, order = ["ncode"], ["episode_no", "chunk_index"]
-    read = reading.look_ahead(reading.look_back(flat, keys, order, "text", context_chars, least=least_chunk), keys, order, "text", 3, continuation_chars)
+    read = reading.look_ahead(reading.look_back(flat, keys, order, "text", context_chars), keys, order, "text", 3, continuation_chars)
     read = reading.strided(read, keys, order, stride).where((F.length("continuation") >= 400) & (F.length("context") >= 200))
     read = read.join(terms.select("ncode", "terms"), "ncode", "left").crossJoin(F.broadcast(edges))
     tags = F.col("control_tags")
@@ -168,3 +168,58 @@ def verdict(value: Column, levels: list[tuple[float, str]], otherwise: str) -> C
 def terms_verdict(real: Column, none: Column, foreign: Column) -> Column:
     """Whether naming terms works: more than half as often again as without them, and in a fifth of the cases."""
     return F.when((real == 0) & (none == 0) & (foreign == 0), "under_powered").when((real > 1.5 * none) & (real > 0.2), "effective").otherwise("no_effect")
+
+
+def episodes_to_extract(chunks: DataFrame, longest: int, works: DataFrame | None = None) -> DataFrame:
+    """Rows (ncode, episode_no, episode_title, text, n_chars, too_long): whole episodes from their chunks, overlaps
+    and all.  Long ones are flagged, not cut.  chunks: ncode, episode_no, chunk_index, episode_title, text."""
+    own = chunks if works is None else sampling.wanted(chunks, works, "ncode")
+    joined = reading.joined_text(own, ["ncode", "episode_no"], ["chunk_index"], "text", "\n\n--- chunk boundary ---\n\n")
+    titles = own.groupBy("ncode", "episode_no").agg(F.min_by("episode_title", "chunk_index").alias("episode_title"))
+    return joined.join(titles, ["ncode", "episode_no"]).select("ncode", "episode_no", "episode_title", "text", F.length("text").alias("n_chars"), (F.length("text") > longest).alias("too_long"))
+
+
+def in_length(df: DataFrame, text: str, least: int, most: int) -> DataFrame:
+    """Rows whose text has a length in a range, the shortest first where order matters: adds n_chars."""
+    return df.withColumn("n_chars", F.length(text)).where(F.col("n_chars").between(least, most))
+
+
+def length_report(lengths: DataFrame, manifest: DataFrame, key: str, levels: list[int]) -> DataFrame:
+    """One row on text lengths (key, n_chars): quantiles, how many are at the longest, shares up to each level, and
+    works of the manifest that have no length."""
+    most = lengths.agg(F.max("n_chars").alias("__most"))
+    capped = lengths.crossJoin(F.broadcast(most)).agg(F.count("*").alias("n_works"), F.count_if(F.col("n_chars") >= F.col("__most")).alias("n_at_cap"))
+    quantiles = measures.nearest_ranks(lengths, "n_chars", {f"p{int(q * 100)}": q for q in (0.1, 0.25, 0.5, 0.75, 0.9)}).drop("n")
+    shares = lengths.agg(*[F.bround(100.0 * F.count_if(F.col("n_chars") <= t) / F.count("*"), 2).alias(f"pct_{t}") for t in levels])
+    missing = sampling.keys_missing(manifest, lengths, key).agg(F.count("*").alias("missing_in_cache"))
+    return capped.crossJoin(quantiles).crossJoin(shares).crossJoin(missing)  # each has one row
+
+
+def summary_targets(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((ncode), (ncode, episode_no)): distinct works and episodes of samples with meta; those without either key go."""
+    keys = samples.select(F.col("meta.ncode").alias("ncode"), F.col("meta.episode_no").alias("episode_no")).where("ncode is not null and episode_no is not null")
+    return keys.select("ncode").distinct(), keys.distinct()
+
+
+def summary_jobs(chunks: DataFrame, works: DataFrame, episodes: DataFrame, done: DataFrame | None = None, work_chars: int = 12000, recent_chars: int = 6000, parts: int = 12) -> DataFrame:
+    """Rows (key, kind, ncode, episode_no, material) of the summaries to be made: of works from evenly skipped
+    chunks, of episodes from the text strictly before them; those in ``done`` (key) are left out."""
+    order = ["episode_no", "chunk_index"]
+    own = chunks.join(works, "ncode", "left_semi")
+    whole = reading.skipped_text(own, ["ncode"], order, "text", parts, "\n\n---\n\n", work_chars)
+    whole = whole.select(F.concat(F.lit("work:"), "ncode").alias("key"), F.lit("work").alias("kind"), "ncode", F.lit(None).cast("int").alias("episode_no"), F.col("text").alias("material"))
+    # Targets without chunks of their own take part as episodes without text, so that the window sees them.
+    marks = episodes.select("ncode", F.col("episode_no").cast("int").alias("episode_no"))
+    rows = own.select("ncode", F.col("episode_no").cast("int").alias("episode_no"), F.col("chunk_index").cast("int").alias("chunk_index"), "text")
+    every = rows.unionByName(marks.withColumn("chunk_index", F.lit(-1)).withColumn("text", F.lit("")))
+    before = reading.prior_text(every, ["ncode"], "episode_no", ["chunk_index"], "text", recent_chars).where("chunk_index = -1")
+    recent = before.select(F.concat(F.lit("recent:"), "ncode", F.lit(":"), F.col("episode_no").cast("string")).alias("key"), F.lit("recent").alias("kind"), "ncode", "episode_no", F.col("prior").alias("material"))
+    jobs = whole.unionByName(recent)
+    return jobs if done is None else sampling.pending(jobs, done, ["key"])
+
+
+def registered_tags(chunks: DataFrame, tags: DataFrame) -> DataFrame:
+    """One row of a re-tagging: chunks, those whose work is registered, and works that aren't."""
+    known = tags.select(F.col("ncode").alias("__n")).distinct()
+    joined = chunks.select(F.col("meta.ncode").alias("ncode")).join(known, F.col("ncode") == F.col("__n"), "left")
+    return joined.agg(F.count("*").alias("chunks"), F.count("__n").alias("retagged"), F.countDistinct(F.when(F.col("__n").isNull(), F.col("ncode"))).alias("works_not_registered"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
+from itertools import accumulate
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,15 +23,17 @@ def numbered(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("__i", F.row_number().over(w) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(*keys)))
 
 
-def look_back(df: DataFrame, keys: list[str], order: list[str], text: str, chars: int, out: str = "context", least: int = 1) -> DataFrame:
+def look_back(df: DataFrame, keys: list[str], order: list[str], text: str, chars: int, out: str = "context") -> DataFrame:
     """Adds the last ``chars`` characters of all text before a row.
 
-    least: characters that any non-empty row has at least.  No more than chars / least rows before can be
-    needed, so the frame is bounded and memory per row is too.
+    Rows are placed by the characters before them.  A row holds the text of the one before it, so the texts that
+    reach into the last ``chars`` characters are those of the rows placed there, and the frame has no others.
     """
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(-(-chars // least)), -1)
-    tail = F.right(F.coalesce(F.col(text), F.lit("")), F.lit(chars))
-    return df.withColumn(out, F.right(F.array_join(F.collect_list(tail).over(w), ""), F.lit(chars)))
+    w, t = Window.partitionBy(*keys).orderBy(*order), F.coalesce(F.col(text), F.lit(""))
+    placed = df.withColumn("__at", F.coalesce(F.sum(F.length(t)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
+    placed = placed.withColumn("__before", F.lag(F.right(t, F.lit(chars)), 1, "").over(w))
+    frame = Window.partitionBy(*keys).orderBy("__at").rangeBetween(1 - chars, 0)
+    return placed.withColumn(out, F.right(F.array_join(F.collect_list("__before").over(frame), ""), F.lit(chars))).drop("__at", "__before")
 
 
 def look_ahead(df: DataFrame, keys: list[str], order: list[str], text: str, rows: int, chars: int, out: str = "continuation") -> DataFrame:
@@ -94,26 +99,32 @@ def joined_text(df: DataFrame, keys: list[str], order: list[str], text: str, sep
     return df.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda s: s["__t"]), separator).alias("text")).where(F.length("text") >= least)
 
 
-def allocate(texts: list[str], positions: list[float], chars: int) -> list[tuple[float, int, list[str]]]:
-    """(position, first place, texts) of the segments of a work.  Each has an equal budget and takes whole rows,
-    the last one cut: forward from its position (or the next free place), then backward; no row twice."""
-    n, share = len(texts), max(1, chars // len(positions))
-    free = [True] * n
+def allocate(texts: list[str], positions: list[float], chars: int) -> list[tuple[float, int, int, str]]:
+    """(position, first place, rows, text) of the segments of a work.
+
+    A segment is an interval of rows, and each has an equal budget: from its position, or the next place that no
+    segment has, on until the characters reach it; where another segment, a row without text or the end stops it
+    before, back from there for the rest.  The rows at both ends are cut.
+    """
+    share, read = max(1, chars // len(positions)), [0, *accumulate(map(len, texts))]
+    blank = [i for i, t in enumerate(texts) if not t]
+    taken: list[tuple[int, int]] = []  # rows [first, last) of segments so far, ascending
     out = []
     for position in positions:
-        start = round(position * (n - 1)) if n > 1 else 0
-        start = next((i for i in range(start, n) if free[i]), None)
-        if start is None:
+        start = round(position * (len(texts) - 1)) if len(texts) > 1 else 0
+        for low, high in taken:
+            start = high if low <= start < high else start
+        if start >= len(texts):
             continue
-        left, parts, first = share, [], start
-        for step, at in ((1, start), (-1, start - 1)):
-            while 0 <= at < n and free[at] and left > 0 and texts[at]:
-                part = texts[at][:left] if step > 0 else texts[at][-left:]
-                parts.insert(len(parts) if step > 0 else 0, part)
-                free[at], left, first = False, left - len(part), min(first, at)
-                at += step
-        if parts:
-            out.append((position, first, parts))
+        walls = [len(texts), *(low for low, _ in taken if low > start), *blank[bisect_left(blank, start) :][:1]]
+        last = bisect_left(read, read[start] + share, start, min(walls))
+        rest = share - (read[last] - read[start])
+        floors = [0, *(high for _, high in taken if high <= start), *(i + 1 for i in blank[: bisect_left(blank, start)][-1:])]
+        first = max(max(floors), bisect_right(read, read[start] - rest) - 1) if rest > 0 else start
+        if first < last:
+            before = "".join(texts[first:start])
+            out.append((position, first, last - first, before[max(0, len(before) - rest) :] + "".join(texts[start:last])[:share]))
+            insort(taken, (first, last))
     return out
 
 
@@ -126,7 +137,19 @@ def segments(df: DataFrame, keys: list[str], order: list[str], text: str, method
         pdf = pdf.sort_values(order, kind="stable")
         found = allocate([t or "" for t in pdf[text]], positions, chars)
         head = {k: pdf[k].iloc[0] for k in keys}
-        rows = [head | {"position": p, "start_chunk": s, "n_chunks": len(x), "n_chars": sum(map(len, x)), "text": "".join(x)} for p, s, x in found]
+        rows = [head | {"position": p, "start_chunk": s, "n_chunks": n, "n_chars": len(t), "text": t} for p, s, n, t in found]
         return pd.DataFrame(rows, columns=[*keys, "position", "start_chunk", "n_chunks", "n_chars", "text"])
 
     return df.groupBy(*keys).applyInPandas(run, schema)
+
+
+def skipped_text(df: DataFrame, keys: list[str], order: list[str], text: str, parts: int, separator: str, chars: int) -> DataFrame:
+    """One row for each work: every (n // parts)-th row's text, joined, and cut to ``chars`` characters."""
+    joined = joined_text(skipping(df, keys, order, parts), keys, order, text, separator)
+    return joined.withColumn("text", F.left("text", F.lit(chars)))
+
+
+def shared_budget(texts: Column, chars: int, separator: str = "\n\n---\n\n") -> Column:
+    """Texts, each cut to an equal share of ``chars`` characters, joined."""
+    share = F.floor(F.lit(chars) / F.greatest(F.size(texts), F.lit(1))).cast("int")
+    return F.array_join(F.transform(texts, lambda t: F.left(t, share)), separator)

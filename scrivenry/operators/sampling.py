@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scrivenry.operators.ranks import draw, drawn
 from scrivenry.operators.reading import even_places
-
-
-def draw(seed: int, key: str) -> Column:
-    """The order in which rows are drawn; the same on any partitioning."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+from scrivenry.sources.scratch import stored
 
 
 def _ranked(df: DataFrame, by: list[str], seed: int, key: str, out: str = "__r") -> DataFrame:
@@ -28,7 +26,7 @@ def genre_maximum(df: DataFrame, genres: str, limits: dict[str, int], seed: int,
     """A row goes if it is beyond the maximum of any of its genres.  ``genres`` is an array column."""
     listed = df.select(key, F.explode(F.array_distinct(F.col(genres))).alias("__g")).where(F.col("__g").isin(list(limits)))
     limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])[F.col("__g")]
-    over = _ranked(listed, ["__g"], seed, key).where(F.col("__r") > limit).select(key).distinct()
+    over = drawn(listed, ["__g"], seed, key).where(F.col("__r") > limit).select(key).distinct()
     return df.join(over, key, "left_anti")
 
 
@@ -44,7 +42,7 @@ def author_share(df: DataFrame, author: str, share: float, seed: int, key: str)
     if not 0 < share <= 1:
         raise ValueError(f"share must be in (0, 1], got {share}")
     total = df.agg(F.floor(F.count("*") * F.lit(share)).alias("__most"))
-    return _ranked(df, [author], seed, key).crossJoin(total).where(F.col("__r") <= F.col("__most")).drop("__r", "__most")
+    return drawn(df, [author], seed, key).crossJoin(F.broadcast(total)).where(F.col("__r") <= F.col("__most")).drop("__r", "__most")
 
 
 def label_ratio(df: DataFrame, label: str, ratio: float, seed: int, key: str) -> DataFrame:
@@ -56,7 +54,7 @@ def label_ratio(df: DataFrame, label: str, ratio: float, seed: int, key: str) ->
     chosen = F.least(F.bround(F.col("n") * ratio).cast("long"), F.col("p"))
     total = F.least(F.when(F.col("__p") > 0, F.bround(F.col("__p") / ratio).cast("long")).otherwise(0) if ratio > 0 else F.col("n") - F.col("p"), F.col("n"))
     targets = counts.withColumn("__p", chosen).withColumn("__q", F.least(total - F.col("__p"), F.col("n") - F.col("p"))).select("__p", "__q")
-    ranked = _ranked(df.withColumn("__flag", flag), ["__flag"], seed, key).crossJoin(targets)
+    ranked = drawn(df.withColumn("__flag", flag), ["__flag"], seed, key).crossJoin(F.broadcast(targets))
     return ranked.where(F.col("__r") <= F.when(F.col("__flag"), F.col("__p")).otherwise(F.col("__q"))).drop("__r", "__p", "__q", "__flag")
 
 
@@ -85,8 +83,9 @@ def stratified(df: DataFrame, config: Sampling, work: str = "ncode", genres: str
     dropped = {"total_input": n}
     for name, on, step in steps:
         if on is not None:
-            df = step(df).persist()
-            dropped[name], n = n - df.count(), df.count()
+            df = stored(step(df), name)  # each step's counts need its rows
+            left = df.count()
+            dropped[name], n = n - left, left
     return df.orderBy(draw(config.seed, key)), dropped | {"total_selected": n}
 
 
@@ -103,17 +102,13 @@ def leaked(df: DataFrame, group: str, column: str = "split") -> DataFrame:
 
 
 def quotas(capacity: dict[str, int], target: int) -> dict[str, int]:
-    """Water-filling: equal shares for groups, and what a full one can't take goes to the others."""
-    quota, open_, left = dict.fromkeys(capacity, 0), {c for c, n in capacity.items() if n > 0}, target
-    while left > 0 and open_:
-        share = max(1, left // len(open_))
-        for c in sorted(open_):
-            take = min(share, capacity[c] - quota[c], left)
-            quota[c] += take
-            left -= take
-            if quota[c] >= capacity[c]:
-                open_.discard(c)
-    return quota
+    """Water-filling: the highest level that groups, each filled to its capacity at most, can share within
+    ``target``; what is left over raises the first groups by name that have room by one."""
+    filled = lambda level: sum(min(n, level) for n in capacity.values())
+    level = bisect_right(range(1, max(capacity.values(), default=0) + 1), target, key=filled)
+    quota = {c: min(n, level) for c, n in capacity.items()}
+    room = sorted(c for c, n in capacity.items() if n > level)
+    return quota | {c: level + 1 for c in room[: max(0, target - filled(level))]}
 
 
 def balanced_subset(df: DataFrame, condition: str, work: str, order: list[str], target: int, max_per_work: int) -> DataFrame:
@@ -150,5 +145,47 @@ def pending(df: DataFrame, done: DataFrame, keys: list[str], ok: str | None = No
 
 def positives_and_controls(df: DataFrame, positive: Column, each: int, seed: int, key: str) -> DataFrame:
     """``each`` rows with and without a property, drawn from both."""
-    ranked = _ranked(df.withColumn("positive", F.coalesce(positive, F.lit(False))), ["positive"], seed, key)
+    ranked = _ranked(df.withColumn("positive", F.coalesce(positive, F.lit(False))), ["positive"], seed, key)  # a group limit before the exchange
     return ranked.where(F.col("__r") <= each).drop("__r")
+
+
+def valid_works(df: DataFrame, work: Column, invalid: tuple[str, ...] = ("", "unknown")) -> DataFrame:
+    """Rows with a work id."""
+    return df.where(~F.coalesce(work, F.lit("")).isin(*invalid))
+
+
+def first_by(df: DataFrame, order: list[str], most: int) -> DataFrame:
+    return df.orderBy(*order).limit(most)
+
+
+def keys_in_any(key: str, *tables: DataFrame) -> DataFrame:
+    """Distinct keys of all tables."""
+    every = tables[0].select(key)
+    for t in tables[1:]:
+        every = every.union(t.select(key))
+    return every.distinct()
+
+
+def keys_missing(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Distinct keys of ``df`` that ``other`` hasn't."""
+    return df.select(key).distinct().join(other.select(key), key, "left_anti")
+
+
+def wanted(df: DataFrame, ids: DataFrame, key: str, strict: bool = True) -> DataFrame:
+    """Rows of the wanted keys.  strict: a wanted key without rows is an error that names some."""
+    if strict and (absent := keys_missing(ids, df, key).orderBy(key).limit(5).collect()):
+        raise ValueError(f"no rows for {key}: {', '.join(str(r[0]) for r in absent)}")
+    return df.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def repeated_jobs(items: DataFrame, keys: list[str], repeats: int, done: DataFrame | None = None) -> DataFrame:
+    """Each item ``repeats`` times with its run_index, but for those that are done."""
+    jobs = items.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("run_index")) if repeats > 0 else items.select(*keys, F.lit(0).alias("run_index")).limit(0)
+    return jobs if done is None else pending(jobs, done, [*keys, "run_index"])
+
+
+def unseen_works(df: DataFrame, seen: DataFrame, work: str, terms: str, least: int, order: list[str], most: int, seed: int) -> DataFrame:
+    """One row, the first by ``order``, of each work that wasn't seen and has enough terms; ``most`` drawn works."""
+    pool = df.where(F.coalesce(F.size(terms), F.lit(0)) >= least).join(seen.select(work).distinct(), work, "left_anti")
+    one = pool.groupBy(work).agg(F.min_by(F.struct(*pool.columns), F.struct(*order)).alias("__first")).select("__first.*")
+    return one.orderBy(draw(seed, work), work).limit(most)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrivenry.functions.text import occurrences, strip_nested
+from scrivenry.functions.text import occurrences, only_script, overlap_length, strip_nested
+from scrivenry.operators.ranks import drawn
 
 # What a candidate term looks like, common words that are none, and first-person pronouns.
 KATAKANA, KANJI = "[ァ-ヴー]{2,}", "[一-龥]{2,4}"
@@ -55,7 +56,7 @@ def _only(hits: str, pronoun: str) -> Column:
     return F.filter(hits, lambda h: h == F.lit(pronoun))
 
 
-def viewpoints(df: DataFrame, work: str, text: str, pronouns: list[str] | None = None, opening: str = "[「『]", closing: str = "[」』]", inside: str = "[^「『」』]", low: float = 0.5, high: float = 1.0, least_chars: int = 2000) -> DataFrame:
+def viewpoints(df: DataFrame, work: str, text: str, pronouns: list[str] | None = None, opening: str = "「『", closing: str = "」』", low: float = 0.5, high: float = 1.0, least_chars: int = 2000) -> DataFrame:
     """Per work: viewpoint by first-person pronouns in a thousand characters of narration, with the counts.
 
     Between ``low`` and ``high``, and below ``least_chars`` of narration, it is unknown.
@@ -63,9 +64,7 @@ def viewpoints(df: DataFrame, work: str, text: str, pronouns: list[str] | None =
     if low > high:
         raise ValueError("low must not exceed high")
     pronouns = pronouns or PRONOUNS
-    story = F.coalesce(F.col(text), F.lit(""))
-    for _ in range(8):
-        story = F.regexp_replace(story, f"{opening}{inside}*{closing}", "")
+    story = strip_nested(F.coalesce(F.col(text), F.lit("")), opening, closing)
     hits = F.regexp_extract_all("__story", F.lit("|".join(pronouns)), F.lit(0))
     rows = df.select(work, story.alias("__story")).withColumn("__hits", hits)
     sums = rows.groupBy(work).agg(
@@ -81,7 +80,7 @@ def viewpoints(df: DataFrame, work: str, text: str, pronouns: list[str] | None =
 
 def pronoun_rate(text: Column, pronouns: list[str] | None = None) -> Column:
     """First-person pronouns in a thousand characters of narration."""
-    story = strip_nested(text)
+    story = strip_nested(text, "「『", "」』")
     return F.coalesce(F.try_divide(F.regexp_count(story, F.lit("|".join(pronouns or PRONOUNS))) * 1000.0, F.length(story)), F.lit(0.0))
 
 
@@ -94,7 +93,7 @@ def coverage(df: DataFrame, terms: str, text: str) -> DataFrame:
     """One row: mean and median share of terms that occur in the text, and how many rows have one at least."""
     share = F.try_divide(F.size(F.filter(terms, lambda t: F.col(text).contains(t))), F.size(terms))
     own = df.where(F.size(terms) > 0).select(share.alias("s"))
-    return own.agg(F.count("*").alias("n"), F.round(F.avg("s"), 6).alias("mean"), F.round(F.median("s"), 6).alias("median"), F.round(F.avg((F.col("s") > 0).cast("int")), 6).alias("any_rate"))
+    return own.agg(F.count("*").alias("n"), F.bround(F.avg("s"), 6).alias("mean"), F.bround(F.median("s"), 6).alias("median"), F.bround(F.avg((F.col("s") > 0).cast("int")), 6).alias("any_rate"))
 
 
 def entities(text: Column, pattern: str = "[ァ-ヴー]{3,}", common: list[str] | None = None) -> Column:
@@ -116,11 +115,39 @@ def plot_following(text: Column, known: Column, pattern: str = "[ァ-ヴー]{3,}
 
 
 def foreign(df: DataFrame, key: str, value: str, seed: int, out: str = "foreign") -> DataFrame:
-    """Adds another row's value: rows in drawn order, each takes the next one's, the last the first's."""
-    from scrivenry.operators.sampling import draw
-
-    w = Window.orderBy(draw(seed, key), key)
-    placed = df.withColumn("__i", F.row_number().over(w))
-    n = df.agg(F.count("*").alias("__n"))
-    others = placed.crossJoin(F.broadcast(n)).select((F.when(F.col("__i") == 1, F.col("__n")).otherwise(F.col("__i") - 1)).alias("__i"), F.col(value).alias(out))
-    return placed.join(others, "__i").drop("__i")
+    """Adds another row's value: rows in drawn order, each takes the next one's, the last the first's.  Keys are
+    numbered, and values joined to the numbers; a key stands in one row."""
+    keys = drawn(df.select(F.col(key).alias("__key")), [], seed, "__key", "__i")
+    n = keys.agg(F.count("*").alias("__n"))
+    following = F.when(F.col("__i") == F.col("__n"), F.lit(1)).otherwise(F.col("__i") + 1)
+    pairs = keys.crossJoin(F.broadcast(n)).select(F.col("__key").alias(key), following.alias("__i")).join(keys, "__i").select(key, "__key")
+    others = pairs.join(df.select(F.col(key).alias("__key"), F.col(value).alias(out)), "__key").drop("__key")
+    return df.join(others, key)
+
+
+def summary(df: DataFrame, terms: str, context: str, text: str) -> DataFrame:
+    """One row on named terms as a signal: rows without any, and of the others how many terms they have, how many of
+    these the context has, and the text; the share of rows whose text has one; distinct terms and the shares of them
+    in each script."""
+    count = lambda c: F.size(F.filter(terms, lambda t: F.col(c).contains(t)))
+    own = df.where(F.size(terms) > 0).select(F.size(terms).alias("n"), count(context).alias("c"), count(text).alias("t"))
+    two = lambda c, name: [F.bround(F.median(c), 6).alias(f"{name}_median"), F.bround(F.avg(c), 6).alias(f"{name}_mean")]
+    per_row = own.agg(F.count("*").alias("with_terms"), *two("n", "terms"), *two("c", "in_context"), *two("t", "in_text"), F.bround(F.avg((F.col("t") > 0).cast("int")), 6).alias("any_rate"))
+    distinct = df.select(F.explode(terms).alias("t")).distinct()
+    share = lambda script: F.coalesce(F.bround(F.avg(only_script("t", script).cast("int")), 6), F.lit(0.0))
+    scripts = distinct.agg(F.count("*").alias("distinct_terms"), share("ァ-ヶー").alias("katakana_share"), share("一-龥").alias("kanji_share"))
+    without = df.agg(F.count_if(F.coalesce(F.size(terms), F.lit(0)) <= 0).alias("without_terms"))
+    return without.crossJoin(per_row).crossJoin(scripts)  # each has one row
+
+
+def present(terms: Column, text: Column) -> Column:
+    """struct<hits, rate>: the terms a text has, and their share."""
+    hits = F.filter(terms, lambda t: text.contains(t))
+    return F.struct(hits.alias("hits"), F.coalesce(F.try_divide(F.size(hits), F.size(terms)), F.lit(0.0)).alias("rate"))
+
+
+def copied_context(df: DataFrame, context: str, text: str, least: int = 20, most: int = 1200) -> DataFrame:
+    """One row: rows whose text begins with the end of its context, which none should, and how long that is."""
+    size = overlap_length(F.rtrim(F.col(context), F.lit("\n")), F.ltrim(F.col(text), F.lit("\n")), least, most)
+    own = df.select(size.alias("n"))
+    return own.agg(F.count("*").alias("rows"), F.count_if(F.col("n") > 0).alias("overlapping"), F.median(F.when(F.col("n") > 0, F.col("n"))).alias("median"), F.max(F.when(F.col("n") > 0, F.col("n"))).alias("most"))

@@ -130,7 +130,7 @@ def is_blank(c: Column | str) -> Column:
 
 def encoding_faults(c: Column | str) -> Column:
     """Reasons, as an array: replacement character; control character other than tab and line ends.  Unpaired
-    surrogates can't be in a Spark string; ``is_valid_utf8`` tells at the source."""
+    surrogates can't be in a Spark string; ``sources.files.surrogate_faults`` tells at the source."""
     t = _col(c)
     return F.array_compact(
         F.array(
@@ -175,12 +175,43 @@ def occurrences(text: Column | str, terms: list[str]) -> Column:
     return total
 
 
-def strip_nested(c: Column | str, opening: str = "「", closing: str = "」", depth: int = 8) -> Column:
-    """A text without its quotations, from the innermost out, ``depth`` levels."""
-    out, inner = _col(c), f"{opening}[^{opening}{closing}]*{closing}"
-    for _ in range(depth):
+def strip_nested(c: Column | str, opening: str = "「", closing: str = "」", levels: int = 4) -> Column:
+    """A text without its quotations, from the innermost out, however deep they are nested.
+
+    opening, closing: characters, several of a kind side by side.  A few levels go at once; a text that still has a
+    quotation is gone over once for each mark that is left in it, which no nesting exceeds.
+    """
+    inner, marks = f"[{opening}][^{opening}{closing}]*[{closing}]", f"[{opening}]"
+    out = _col(c)
+    for _ in range(levels):
         out = F.regexp_replace(out, inner, "")
-    return out
+    deeper = lambda t: F.aggregate(F.sequence(F.lit(1), F.regexp_count(t, F.lit(marks))), t, lambda s, _: F.regexp_replace(s, inner, ""))
+    return F.transform(F.array(out), lambda t: F.when(t.rlike(inner), deeper(t)).otherwise(t))[0]
+
+
+def is_afterword(c: Column | str, pattern: str | None = None) -> Column:
+    """Whether an author speaks to readers; words that stories use too aren't among the pattern's."""
+    return F.coalesce(_col(c).rlike(pattern or AFTERWORD), F.lit(False))
+
+
+def is_refusal(c: Column | str, pattern: str | None = None) -> Column:
+    """Whether a model's answer declines, in any letter case."""
+    return F.coalesce(_col(c).rlike("(?iu)" + (pattern or REFUSAL)), F.lit(False))
+
+
+# What afterwords and refusals are told by.
+AFTERWORD = "あとがき|活動報告|お読みいただき|読んでいただき|ご感想|感想をお待ち|感想をいただ|評価をいただ|評価してくださ|次回予告|誤字報告|誤字脱字|ブックマーク|投稿します|更新が遅れ"
+REFUSAL = "申し訳|お答えでき|できません|不適切|ポリシー|I can'?t|I'm sorry|cannot assist|as an AI"
+
+
+def space_digest(c: Column | str) -> Column:
+    """MD5 of a text whose runs of white space are one space, ends stripped."""
+    return F.md5(collapse_space(c).cast("binary"))
+
+
+def only_script(c: Column | str, script: str) -> Column:
+    """Whether a term is written in one script alone."""
+    return F.coalesce(_col(c).rlike(f"\\A[{script}]+\\z"), F.lit(False))
 
 
 def without_thought(c: Column | str) -> Column:

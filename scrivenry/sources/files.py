@@ -83,3 +83,93 @@ def label_template(df: DataFrame, key: str, text: str, axes: list[str]) -> DataF
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """Rows (path, length, sha256) of files, read as bytes."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def _fs(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def read_schema(spark: SparkSession, path: str) -> dict:
+    """A JSON Schema from a file, without the keys that only name it."""
+    (text,) = spark.read.text(path, wholetext=True).first()
+    return {k: v for k, v in json.loads(text).items() if k not in ("$schema", "$id", "title")}
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Files that are one JSON value each, an object or a list of them."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def read_lines(spark: SparkSession, path: str) -> list[str]:
+    """A word list: trimmed lines with something on them, in the file's order.  For lists that fit a query's plan."""
+    (text,) = spark.read.text(path, wholetext=True).first()
+    return [line.strip() for line in text.splitlines() if line.strip()]
+
+
+def write_lines(df: DataFrame, column: str, path: str) -> None:
+    df.select(F.col(column).cast("string").alias("value")).write.text(path)
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Put a table's rows in place of what ``path`` holds, which ``df`` may read: they are written beside it and take
+    its name when complete; until then, and if the run is cut short, the old table stands."""
+    spark, fresh, former = df.sparkSession, f"{path.rstrip('/')}.fresh", f"{path.rstrip('/')}.former"
+    fs, place = _fs(spark, path)
+    for left in (fresh, former):
+        fs.delete(_fs(spark, left)[1], True)
+    df.write.option("ignoreNullFields", False).json(fresh)
+    if fs.exists(place) and not fs.rename(place, _fs(spark, former)[1]):
+        raise OSError(f"can't move {path}")
+    if not fs.rename(_fs(spark, fresh)[1], place):
+        fs.rename(_fs(spark, former)[1], place)
+        raise OSError(f"can't put {fresh} in place")
+    fs.delete(_fs(spark, former)[1], True)
+
+
+def write_version(spark: SparkSession, path: str, config: dict, schema_version: int, partial: bool) -> None:
+    """What a build was made with, as one JSON file."""
+    out = _fs(spark, path)[0].create(_fs(spark, path)[1], True)
+    out.write(bytearray(json.dumps({"schema_version": schema_version, "partial": partial, "config": config}, ensure_ascii=False, indent=2, sort_keys=True).encode()))
+    out.close()
+
+
+def write_works(df: DataFrame, path: str, key: str) -> None:
+    """One folder with one JSON-lines file for each key; equal keys are dealt to one task."""
+    df.withColumn("__key", F.col(key)).repartition("__key").write.partitionBy("__key").option("ignoreNullFields", False).json(path)
+
+
+def append_shards(df: DataFrame, path: str, most: int) -> None:
+    """Add rows to shards: the files that aren't full are read with the new rows and written anew, full ones stay.
+    Files written before are removed only when the new ones are complete."""
+    spark = df.sparkSession
+    fs, place = _fs(spark, path)
+    short: list[str] = []
+    if fs.exists(place):
+        counts = spark.read.text(path).groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n"))
+        short = [r.f for r in counts.where(F.col("n") < most).collect()]  # one a task of the last run at most
+    rest = spark.read.schema(df.schema).json(short) if short else df.limit(0)
+    write_shards(rest.unionByName(df), path, most, "append")
+    for f in short:
+        fs.delete(_fs(spark, f)[1], False)
+
+
+def cached_by(df: DataFrame, root: str, name: str, parameters: dict) -> DataFrame:
+    """The rows from a table that equal parameters made before; made and stored if there is none."""
+    import hashlib
+
+    digest = hashlib.sha256(json.dumps(parameters, sort_keys=True, default=str).encode()).hexdigest()[:16]
+    spark, path = df.sparkSession, f"{root.rstrip('/')}/{name}-{digest}"
+    if not _fs(spark, path)[0].exists(_fs(spark, f"{path}/_SUCCESS")[1]):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def surrogate_faults(raw: Column) -> Column:
+    """Whether a file's bytes hold an unpaired surrogate as UTF-8 would spell it, which Spark strings can't."""
+    return F.hex(raw).rlike("^(?:..)*?ED[AB]")
+
+
+def blank_template(df: DataFrame, path: str, columns: list[str]) -> None:
+    """A table to be filled in by hand, with blank columns added; a path that exists is never overwritten."""
+    df.select("*", *[F.lit("").alias(c) for c in columns]).write.mode("errorifexists").option("sep", "\t").option("header", True).option("emptyValue", "").csv(path)

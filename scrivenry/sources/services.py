@@ -11,13 +11,13 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Addresses of the status API, the fields kept of its answer, and waits between attempts.
+# Addresses of the status API, the fields kept of its answer, and the longest wait between attempts, in seconds.
 GENERAL_URL, ADULT_URL = "https://api.syosetu.com/novelapi/api/", "https://api.syosetu.com/novel18api/api/"
 PAYLOAD = (
     "title", "ncode", "userid", "writer", "story", "biggenre", "genre", "keyword", "general_firstup", "general_lastup", "noveltype", "end",
     "general_all_no", "length", "time", "isstop", "isr15", "isbl", "isgl", "iszankoku", "istensei", "istenni",
 )
-WAITS = (1, 2, 4, 8, 16)
+LONGEST_WAIT = 16
 RESULT = "ncode string, status string, fetched_at string, payload map<string,string>, attempts int, error string"
 
 #: (url, params) -> (status code, body); raises OSError where the connection fails.
@@ -52,7 +52,7 @@ def fetch(ncode: str, adult: bool, transport: Transport, most: int = 5, sleep=ti
         except (OSError, ValueError, EOFError) as e:
             error = f"{type(e).__name__}: {e}"
         if attempt < most:
-            sleep(WAITS[min(attempt, len(WAITS)) - 1])
+            sleep(min(2 ** (attempt - 1), LONGEST_WAIT))
     return ncode, "unknown", now(), None, max(most, 0), error
 
 
@@ -109,6 +109,73 @@ def classify(df: DataFrame, key: str, prompt: str, client: Callable[[str], str],
     return df.select(key, prompt).mapInPandas(ask, f"`{key}` {kind}, ok boolean, answer string, error string")
 
 
+def status_guard(status: Column) -> Column:
+    """A work's state; a value that isn't one is an error, where the row is made."""
+    from scrivenry.sources.schemas import AVAILABILITY
+
+    return F.when(status.isin(*AVAILABILITY), status).otherwise(F.raise_error(F.concat(F.lit("no such status: "), F.coalesce(status, F.lit("null")))))
+
+
+def api_targets(works: DataFrame) -> DataFrame:
+    """Works that the status API knows: those of the first site."""
+    return works.where(F.col("site_type") == 1)
+
+
+def extract(df: DataFrame, key: str, text: str, client: Callable[[str], str], schema: dict, prompt: Callable[[str], str], longest: int, clock=time.time) -> DataFrame:
+    """Rows (key, n_chars, ok, features, problems, skipped, error, seconds): what a model says of each text, as JSON.
+
+    Texts over ``longest`` characters are recorded as skipped and not cut; answers that aren't JSON, or whose
+    connection fails, are recorded as errors; those that depart from the schema keep their features, with the
+    problems.  Null text: empty.
+    """
+    from scrivenry.operators.features import problems
+
+    kind = df.select(key).schema[0].dataType.simpleString()
+
+    def one(t: str) -> tuple:
+        if len(t) > longest:
+            return False, None, None, "too_long", None, 0.0
+        began = clock()
+        try:
+            found = json.loads(client(prompt(t)))
+        except (OSError, ValueError) as e:
+            return False, None, None, None, f"{type(e).__name__}: {e}", clock() - began
+        return True, json.dumps(found, ensure_ascii=False), problems(found, schema), None, None, clock() - began
+
+    def ask(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = [(k, len(t or ""), *one(t or "")) for k, t in zip(pdf[key], pdf[text], strict=True)]
+            yield pd.DataFrame(rows, columns=[key, "n_chars", "ok", "features", "problems", "skipped", "error", "seconds"])
+
+    return df.select(key, text).mapInPandas(ask, f"`{key}` {kind}, n_chars long, ok boolean, features string, problems array<string>, skipped string, error string, seconds double")
+
+
+def summaries(jobs: DataFrame, client: Callable[[str], str], least: int = 400, most: int = 3) -> DataFrame:
+    """Rows (key, kind, ncode, episode_no, summary, names, details, reason) of jobs (key, kind, ncode, episode_no,
+    material).  A job of kind recent with less than ``least`` characters is recorded without a summary; one whose
+    answers all fail gives no row, so that a later run tries it again, and nothing is made up."""
+
+    def ask(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for key, kind, ncode, episode, material in zip(*(pdf[c] for c in ("key", "kind", "ncode", "episode_no", "material")), strict=True):
+                episode = None if pd.isna(episode) else int(episode)
+                if kind == "recent" and len(material or "") < least:
+                    rows.append((key, kind, ncode, episode, None, None, None, "too_little_text"))
+                    continue
+                found, _ = answer(material or "", client, lambda x: [] if isinstance(x, dict) else ["no_object"], most, 1 << 30)
+                if found is not None:
+                    first, second = ("characters", "setting_terms") if kind == "work" else ("open_threads", None)
+                    rows.append((key, kind, ncode, episode, found.get("summary"), found.get(first) or [], (found.get(second) or []) if second else None, None))
+            yield pd.DataFrame(rows, columns=["key", "kind", "ncode", "episode_no", "summary", "names", "details", "reason"])
+
+    return jobs.select("key", "kind", "ncode", "episode_no", "material").mapInPandas(ask, "key string, kind string, ncode string, episode_no int, summary string, names array<string>, details array<string>, reason string")
+
+
 def wanted_by_model(keywords: Column, conflicting: Column) -> Column:
     """Works to ask a model about: those without keywords, or with tags that contradict each other."""
     return (F.coalesce(F.size(keywords), F.lit(0)) <= 0) | conflicting

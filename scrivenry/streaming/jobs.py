@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from scrivenry.operators.sampling import pending
-from scrivenry.sources.scratch import scratch
+from scrivenry.sources.scratch import ends_with_session, scratch
 
 
 def file_stream(spark: SparkSession, folder: str, like: DataFrame, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -19,20 +20,27 @@ def file_stream(spark: SparkSession, folder: str, like: DataFrame, pattern: str
     return reader.parquet(folder)
 
 
+def _timed(stream: DataFrame, time: str) -> DataFrame:
+    """Event time as Spark's watermarks take it: one without a zone is read in the session's."""
+    plain = isinstance(stream.schema[time].dataType, TimestampNTZType)
+    return stream.withColumn(time, F.col(time).cast("timestamp")) if plain else stream
+
+
 def unique_within(stream: DataFrame, time: str, keys: list[str], delay: str) -> DataFrame:
     """The first row of each key inside the watermark; state is dropped as the watermark passes."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+    kept = _timed(stream, time).withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+    return kept.withColumn(time, F.col(time).cast(stream.schema[time].dataType))
 
 
 def tumbling(stream: DataFrame, time: str, width: str, keys: list[str], delay: str, slide: str | None = None) -> DataFrame:
     """Rows (window_start, keys, n, total) of windows; late rows beyond the delay are left out."""
     span = F.window(time, width, slide) if slide else F.window(time, width)
-    grouped = stream.withWatermark(time, delay).groupBy(span.alias("w"), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    grouped = _timed(stream, time).withWatermark(time, delay).groupBy(span.alias("w"), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return grouped.select(F.col("w.start").alias("window_start"), *keys, "n", "total")
 
 
 def sessions(stream: DataFrame, time: str, gap: str, keys: list[str], delay: str) -> DataFrame:
-    grouped = stream.withWatermark(time, delay).groupBy(F.session_window(time, gap).alias("w"), *keys).agg(F.count("*").alias("n"))
+    grouped = _timed(stream, time).withWatermark(time, delay).groupBy(F.session_window(time, gap).alias("w"), *keys).agg(F.count("*").alias("n"))
     return grouped.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *keys, "n")
 
 
@@ -46,6 +54,7 @@ def run_once(stream: DataFrame, name: str, mode: str = "append", checkpoint: str
     out, checkpoint = scratch(spark, name), checkpoint or scratch(spark, f"{name}-state")
     if mode == "append":
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        ends_with_session(spark, out)
         return spark.read.schema(stream.schema).parquet(out)
     last = {}
 
@@ -78,3 +87,30 @@ def resumed(df: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, ke
         todo = df
     work(todo).write.mode("append").parquet(path)
     return spark.read.parquet(path)
+
+
+def batches_until(jobs: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, keys: list[str], each: int, stop: Callable[[], bool], ok: str | None = None) -> DataFrame:
+    """Do pending jobs ``each`` at a time, by key, until none is left or ``stop`` says so, as at a deadline: what is
+    done by then is kept, and the same call goes on from there.  Rows whose work gives nothing stay pending and are
+    not tried again in this call."""
+    spark, last = jobs.sparkSession, None
+    while not stop():
+        found = _written(spark, path)
+        todo = jobs if found is None else pending(jobs, found, keys, ok)
+        place = F.struct(*keys)
+        part = todo if last is None else todo.where(place > F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, last, strict=True)]))
+        part = part.orderBy(*keys).limit(each)
+        if (last := part.agg(F.max(F.struct(*keys)).alias("m")).first()["m"]) is None:
+            break
+        work(part).write.mode("append").parquet(path)
+    found = _written(spark, path)
+    return jobs.limit(0) if found is None else found
+
+
+def _written(spark: SparkSession, path: str) -> DataFrame | None:
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None

@@ -5,7 +5,8 @@ import json
 from pyspark.sql import functions as F
 
 from scrivenry.functions import meta
-from scrivenry.operators import chunking, classify
+from scrivenry.functions import text as T
+from scrivenry.operators import chunking, classify, pipelines
 from scrivenry.plans.common import query, table
 from scrivenry.sources import files, services
 from scrivenry.sources.scratch import scratch
@@ -78,10 +79,10 @@ def model_answers(spark, sf):
 
 @query("""
 WITH w AS (SELECT lang, source, [lang, source, CASE WHEN doc_id % 2 = 0 THEN 'war' ELSE 'SF' END] AS k, doc_id FROM documents)
-SELECT doc_id, [lang, source, CASE WHEN doc_id % 2 = 0 THEN '戦争' ELSE 'SF' END] AS tags, doc_id % 2 = 0 AS is_war FROM w""")
+SELECT doc_id, [lang, source, CASE WHEN doc_id % 2 = 0 THEN '戦争' ELSE 'SF' END] AS tags, CASE WHEN doc_id % 2 = 0 THEN ['戦争'] ELSE ['SF'] END AS set_flags, 23::INT AS n_flags FROM w""")
 def keyword_tags(spark, sf):
     d = table(spark, sf, "documents").withColumn("k", meta.source_keywords(F.concat_ws(" ", "lang", "source"), F.when(F.col("doc_id") % 2 == 0, "Ｗａｒ").otherwise("ＳＦ")))
-    return meta.normalise_keywords(d, "k", "tags").select("doc_id", "tags", meta.flags("tags")["戦争"].alias("is_war"))
+    return meta.normalise_keywords(d, "k", "tags").withColumn("f", meta.flags("tags")).select("doc_id", "tags", F.map_keys(F.map_filter("f", lambda _, v: v)).alias("set_flags"), F.size("f").alias("n_flags"))
 
 
 @query("""
@@ -115,11 +116,11 @@ def stream_dedup(spark, sf):
     return jobs.run_once(jobs.unique_within(doubled.union(doubled), "ts", ["event_id"], "60 days"), "dedup").select("event_id", "user_id", "event_type")
 
 
-@query("""SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+@query("""SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, round_even(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def stream_windows(spark, sf):
     events = table(spark, sf, "events")
     found = jobs.tumbling(jobs.file_stream(spark, sf, events, "events.parquet"), "ts", "1 day", ["event_type"], "1 day")
-    return jobs.run_once(found, "windows", "complete").withColumn("total", F.round("total", 4)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return jobs.run_once(found, "windows", "complete").withColumn("total", F.bround("total", 4)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("""
@@ -129,7 +130,94 @@ def batch_lineage(spark, sf):
     return jobs.lineage(table(spark, sf, "events"), "event_id", "event_type", 8, 4)
 
 
-@query("""SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE length(text) // 4 END AS n FROM documents WHERE length(text) // 4 <= 512""")
+@query(r"""SELECT doc_id, n FROM (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9 \t\r\n\v\f]')) AS n FROM documents) WHERE n <= 512""")
 def token_budget(spark, sf):
-    n = F.floor(F.length("text") / 4)
-    return table(spark, sf, "documents").select("doc_id", n.alias("n")).where("n <= 512")
+    """Rows within a budget of tokens, by the trainer's filter."""
+    view = table(spark, sf, "documents").select("doc_id", "text", F.struct(F.concat(F.lit("w"), F.col("doc_id")).alias("ncode")).alias("meta"))
+    n = F.size(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9]+|[^A-Za-z0-9 \t\r\n\x0b\f]"), F.lit(0))).cast("long")
+    return pipelines.trainer_rows(view, n, 512).select("doc_id", F.col("n_tokens").alias("n"))
+
+
+@query("""SELECT doc_id, length(text) AS n_chars, length(text) <= 3000 AS ok, CASE WHEN length(text) > 3000 THEN 'too_long' END AS skipped, CASE WHEN length(text) <= 3000 THEN CASE WHEN length(text) > 1000 THEN 'long' ELSE 'short' END END AS size,
+ CASE WHEN length(text) <= 3000 AND length(text) > 1000 THEN ['enum:size=' || chr(39) || 'long' || chr(39)] WHEN length(text) <= 3000 THEN [] END AS problems FROM documents""")
+def extracted_features(spark, sf):
+    """Features by a stand-in for a model, under a schema that knows one of its two answers."""
+    schema = {"required": ["size"], "properties": {"size": {"enum": ["short"]}}}
+    found = services.extract(table(spark, sf, "documents"), "doc_id", "text", _plain_model, schema, str, 3000)
+    return found.select("doc_id", "n_chars", "ok", "skipped", F.get_json_object("features", "$.size").alias("size"), "problems")
+
+
+def _plain_model(prompt: str) -> str:
+    return json.dumps({"size": "long" if len(prompt) > 1000 else "short"})
+
+
+@query("""
+WITH c AS (SELECT 'n' || conv_id AS ncode, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+w AS (SELECT 'work:' || ncode AS key, 'work' AS kind, length(left(string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) FILTER (i % greatest(1, n // 3) = 0), 900)) AS n FROM c GROUP BY ncode),
+r AS (SELECT 'recent:' || ncode || ':' || turn AS key, 'recent' AS kind, length(right(coalesce(string_agg(text, '' ORDER BY turn) OVER (PARTITION BY ncode ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''), 600)) AS n FROM c)
+SELECT key, kind, n, CASE WHEN kind = 'work' THEN 'S' || n WHEN n >= 400 THEN 'S' || n END AS summary, CASE WHEN kind = 'recent' AND n < 400 THEN 'too_little_text' END AS reason FROM (SELECT * FROM w UNION ALL SELECT * FROM r)""")
+def summaries(spark, sf):
+    """Summaries of works and of what came before each episode, by a stand-in for a model."""
+    chunks = table(spark, sf, "conversations").select(F.concat(F.lit("n"), "conv_id").alias("ncode"), F.col("turn").alias("episode_no"), F.lit(0).alias("chunk_index"), "text")
+    works, episodes = pipelines.summary_targets(chunks.select(F.struct("ncode", "episode_no").alias("meta")))
+    made = pipelines.summary_jobs(chunks, works, episodes, None, 900, 600, 3)
+    found = services.summaries(made, _summary)
+    return found.join(made.select("key", F.length("material").cast("long").alias("n")), "key").select("key", "kind", "n", "summary", "reason")
+
+
+def _summary(prompt: str) -> str:
+    return json.dumps({"summary": f"S{len(prompt)}", "characters": [], "setting_terms": [], "open_threads": []})
+
+
+@query("""SELECT doc_id, lang, length(text)::INT AS n FROM documents""")
+def appended_shards(spark, sf):
+    """Shards of 70 rows, filled in two runs: the files left short by the first are filled, and no row is lost."""
+    d, path = table(spark, sf, "documents").select("doc_id", "lang", "text"), scratch(spark, "resumed")
+    for part in (d.where("doc_id % 3 = 0"), d.where("doc_id % 3 <> 0")):
+        files.append_shards(part, path, 70)
+    return spark.read.schema(d.schema).json(path).select("doc_id", "lang", F.length("text").alias("n"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN upper(lang) ELSE lang END AS lang FROM documents""")
+def replaced_table(spark, sf):
+    """A table put in place of the one it was made from."""
+    path = f"{scratch(spark, 'replaced')}/t"
+    table(spark, sf, "documents").select("doc_id", "lang").write.json(path)
+    old = spark.read.schema("doc_id long, lang string").json(path)
+    files.replace_table(old.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.upper("lang")).otherwise(F.col("lang"))), path)
+    return spark.read.schema("doc_id long, lang string").json(path)
+
+
+@query("""SELECT source, count(*) AS n, 1::BIGINT AS files FROM documents GROUP BY source""")
+def works_in_files(spark, sf):
+    """A file for each source."""
+    path = scratch(spark, "works")
+    files.write_works(table(spark, sf, "documents").select("doc_id", "source"), path, "source")
+    back = spark.read.schema("doc_id long, source string").json(path).withColumn("f", F.input_file_name())
+    return back.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("f").alias("files"))
+
+
+@query("""SELECT doc_id, ((length(text) - length(replace(text, 'ing', ''))) // 3 + (length(text) - length(replace(text, 'the', ''))) // 3 + (length(text) - length(replace(text, 'ou', ''))) // 2)::INT AS score FROM documents""")
+def lexicon_file(spark, sf):
+    """A word list written as lines, read back, and counted."""
+    path = scratch(spark, "lexicon")
+    files.write_lines(spark.createDataFrame([("ing",), (" the ",), ("",), ("ou",)], "w string").coalesce(1), "w", path)
+    return table(spark, sf, "documents").select("doc_id", T.occurrences("text", files.read_lines(spark, f"{path}/*.txt")).alias("score"))
+
+
+@query("""SELECT doc_id, quality AS a FROM labels""")
+def cached_table(spark, sf):
+    """A table kept under its parameters: made once, read the second time."""
+    root = scratch(spark, "cache")
+    make = lambda column: files.cached_by(table(spark, sf, "labels").select("doc_id", F.col(column).alias("a")), root, "labels", {"sf": sf, "n": 2})
+    make("quality").count()
+    return make("toxic")  # the parameters are the same, so what was made first comes back
+
+
+@query("""SELECT doc_id, quality FROM labels""")
+def batches_until_done(spark, sf):
+    """Jobs in batches of 60 until a stop, and a second call that goes on."""
+    left, path = iter([False, False, True]), scratch(spark, "batches")
+    labels = table(spark, sf, "labels").select("doc_id", "quality")
+    jobs.batches_until(labels, lambda d: d, path, ["doc_id"], 60, lambda: next(left))
+    return jobs.batches_until(labels, lambda d: d, path, ["doc_id"], 4000, lambda: False)

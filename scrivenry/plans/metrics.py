@@ -1,6 +1,5 @@
 """Queries of distributions, agreement, and ranking quality."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scrivenry.operators import features, measures
@@ -20,7 +19,7 @@ def index_quantiles(spark, sf):
     return measures.at_index(table(spark, sf, "documents"), "n_chars", {"median": F.floor(n / 2), "p90": F.floor(n * 0.9) - 1, "p99": F.floor(n * 0.99)})
 
 
-@query("""SELECT level::INT AS level, (SELECT count_if(n_chars <= level) FROM documents)::BIGINT AS n, round((SELECT count_if(n_chars <= level) * 100.0 / count(*) FROM documents), 6)::DOUBLE AS pct FROM (VALUES (500), (1000), (5000), (20000)) v(level)""")
+@query("""SELECT level::INT AS level, (SELECT count_if(n_chars <= level) FROM documents)::BIGINT AS n, round_even((SELECT count_if(n_chars <= level) * 100.0 / count(*) FROM documents), 6)::DOUBLE AS pct FROM (VALUES (500), (1000), (5000), (20000)) v(level)""")
 def length_levels(spark, sf):
     return measures.at_most(table(spark, sf, "documents"), "n_chars", [500, 1000, 5000, 20000])
 
@@ -30,9 +29,9 @@ def length_hist(spark, sf):
     return measures.histogram(table(spark, sf, "documents"), "n_chars", 500, 12)
 
 
-@query("""SELECT lang AS value, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6)::DOUBLE AS share FROM documents GROUP BY lang""")
+@query("""SELECT lang AS value, count(*) AS n, round_even(count(*) / sum(count(*)) OVER (), 6)::DOUBLE AS share FROM documents GROUP BY lang""")
 def tag_shares(spark, sf):
-    return measures.shares(table(spark, sf, "documents"), "lang").withColumn("share", F.round("share", 6))
+    return measures.shares(table(spark, sf, "documents"), "lang").withColumn("share", F.bround("share", 6))
 
 
 _LAB = "SELECT doc_id, quality, toxic, n_chars, lang, source FROM documents JOIN labels USING (doc_id)"
@@ -45,13 +44,13 @@ def labelled(spark, sf):
 @query(f"""
 WITH d AS ({_LAB}), c AS (SELECT unnest([{{'tag': 'long', 't': quality = 1, 'g': n_chars > 1000}}, {{'tag': 'toxic', 't': toxic = 1, 'g': n_chars < 600}}, {{'tag': 'none', 't': false, 'g': lang = 'xx'}}], recursive := true) FROM d),
 k AS (SELECT tag, count_if(t AND g)::BIGINT AS tp, count_if(NOT t AND g)::BIGINT AS fp, count_if(t AND NOT g)::BIGINT AS fn, count_if(NOT t AND NOT g)::BIGINT AS tn FROM c GROUP BY tag)
-SELECT *, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 4) END AS recall, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 4) END AS precision FROM k""")
+SELECT *, CASE WHEN tp + fn > 0 THEN round_even(tp / (tp + fn), 4) END AS recall, CASE WHEN tp + fp > 0 THEN round_even(tp / (tp + fp), 4) END AS precision FROM k""")
 def confusion(spark, sf):
     n = F.col("n_chars")
     return measures.confusion(labelled(spark, sf), {"long": (F.col("quality") == 1, n > 1000), "toxic": (F.col("toxic") == 1, n < 600), "none": (F.lit(False), F.col("lang") == "xx")})
 
 
-@query(f"""WITH d AS ({_LAB}) SELECT round((count_if(quality = 1 AND n_chars > 1000) + count_if(toxic = 1 AND n_chars < 600)) / (count_if(quality = 1) + count_if(toxic = 1)), 4) AS micro_recall FROM d""")
+@query(f"""WITH d AS ({_LAB}) SELECT round_even((count_if(quality = 1 AND n_chars > 1000) + count_if(toxic = 1 AND n_chars < 600)) / (count_if(quality = 1) + count_if(toxic = 1)), 4) AS micro_recall FROM d""")
 def micro_recall(spark, sf):
     return measures.micro_recall(confusion(spark, sf))
 
@@ -69,7 +68,7 @@ def tag_arrays(spark, sf):
 
 
 @query(f"""{_SETS}, a AS (SELECT count(*) AS n, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, avg((fp = 0 AND fn = 0)::INT) AS e, avg((tp > 0)::INT) AS p FROM s)
-SELECT n, tp, fp, fn, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn), 4) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 4) AS f1, round(e, 4) AS exact, round(p, 4) AS partial FROM a""")
+SELECT n, tp, fp, fn, round_even(tp / (tp + fp), 4) AS precision, round_even(tp / (tp + fn), 4) AS recall, round_even(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 4) AS f1, round_even(e, 4) AS exact, round_even(p, 4) AS partial FROM a""")
 def micro_prf(spark, sf):
     return measures.tag_sets(tag_arrays(spark, sf), "gold", "guess")
 
@@ -79,21 +78,21 @@ def match_marks(spark, sf):
     return tag_arrays(spark, sf).select("doc_id", measures.match_mark(F.col("gold"), F.col("guess")).alias("mark"))
 
 
-@query(f"""WITH d AS (SELECT quality AS g, least(n_chars // 1000, 3) AS p FROM ({_LAB})) SELECT round(avg(abs(g - p)), 6) AS mae, round(avg((g = p)::INT), 6) AS exact, round(avg((abs(g - p) <= 1)::INT), 6) AS within_one FROM d""")
+@query(f"""WITH d AS (SELECT quality AS g, least(n_chars // 1000, 3) AS p FROM ({_LAB})) SELECT round_even(avg(abs(g - p)), 6) AS mae, round_even(avg((g = p)::INT), 6) AS exact, round_even(avg((abs(g - p) <= 1)::INT), 6) AS within_one FROM d""")
 def ordinal_agreement(spark, sf):
     return labelled(spark, sf).agg(*measures.ordinal_agreement(F.col("quality"), F.least(F.floor(F.col("n_chars") / 1000), F.lit(3))))
 
 
 @query(f"""
 WITH d AS ({_LAB}), p AS (SELECT a.n_chars AS x, b.n_chars AS y FROM d a, d b WHERE a.quality = 1 AND b.quality <> 1)
-SELECT (SELECT count_if(quality = 1) FROM d)::BIGINT AS n_pos, (SELECT count_if(quality <> 1) FROM d)::BIGINT AS n_neg, round(avg(CASE WHEN x > y THEN 1.0 WHEN x = y THEN 0.5 ELSE 0.0 END), 6)::DOUBLE AS auc FROM p""")
+SELECT (SELECT count_if(quality = 1) FROM d)::BIGINT AS n_pos, (SELECT count_if(quality <> 1) FROM d)::BIGINT AS n_neg, round_even(avg(CASE WHEN x > y THEN 1.0 WHEN x = y THEN 0.5 ELSE 0.0 END), 6)::DOUBLE AS auc FROM p""")
 def auc_rank(spark, sf):
     return measures.auc(labelled(spark, sf), "quality", "n_chars")
 
 
 @query(f"""
 WITH d AS ({_LAB}), c AS (SELECT n_chars AS s, count_if(quality = 1) AS p, count(*) AS n FROM d GROUP BY 1), w AS (SELECT p, sum(p) OVER (ORDER BY s DESC) / sum(n) OVER (ORDER BY s DESC) AS pr FROM c)
-SELECT round(sum(p * pr) / sum(p), 6)::DOUBLE AS ap FROM w""")
+SELECT round_even(sum(p * pr) / sum(p), 6)::DOUBLE AS ap FROM w""")
 def average_precision(spark, sf):
     return measures.average_precision(labelled(spark, sf), "quality", "n_chars")
 
@@ -101,7 +100,7 @@ def average_precision(spark, sf):
 @query(f"""
 WITH d AS ({_LAB}), c AS (SELECT n_chars AS s, count_if(quality = 1) AS p, count_if(quality <> 1) AS q FROM d GROUP BY 1),
 w AS (SELECT s, (sum(p) OVER (ORDER BY s DESC))::BIGINT AS tp, (sum(q) OVER (ORDER BY s DESC))::BIGINT AS fp, sum(p) OVER () AS a FROM c), f AS (SELECT *, 2.0::DOUBLE * tp / (tp + fp + a) AS f1 FROM w)
-SELECT s AS threshold, tp, fp, round(f1, 6) AS f1 FROM f ORDER BY f.f1 DESC, s DESC LIMIT 1""")
+SELECT s AS threshold, tp, fp, round_even(f1, 6) AS f1 FROM f ORDER BY f.f1 DESC, s DESC LIMIT 1""")
 def best_f1(spark, sf):
     return measures.best_f1(labelled(spark, sf), "quality", "n_chars")
 
@@ -110,36 +109,36 @@ def best_f1(spark, sf):
 WITH c AS (SELECT conv_id, role, count(*) AS c FROM conversations GROUP BY 1, 2), o AS (SELECT conv_id, sum(c * (c - 1)) AS s, sum(c) AS m FROM c GROUP BY 1),
 ob AS (SELECT avg(s / (m * (m - 1))) AS o FROM o WHERE m > 1), f AS (SELECT role, count(*) AS n, count(*) / sum(count(*)) OVER () AS p FROM conversations GROUP BY 1),
 e AS (SELECT sum(p * p) AS e, arg_max(role, n) AS mv, max(p) AS mp, count(*) AS k FROM f)
-SELECT round(o, 6)::DOUBLE AS observed, round(e, 6)::DOUBLE AS expected, round((o - e) / (1 - e), 6)::DOUBLE AS kappa, mv AS majority, round(mp, 6)::DOUBLE AS majority_share, k AS n_values FROM ob, e""")
+SELECT round_even(o, 6)::DOUBLE AS observed, round_even(e, 6)::DOUBLE AS expected, round_even((o - e) / (1 - e), 6)::DOUBLE AS kappa, mv AS majority, round_even(mp, 6)::DOUBLE AS majority_share, k AS n_values FROM ob, e""")
 def kappa(spark, sf):
     return measures.chance_corrected(table(spark, sf, "conversations"), "conv_id", "role")
 
 
-@query("""WITH c AS (SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2) SELECT round(count(*) / sum(n), 6)::DOUBLE AS distinct_ratio, round(max(n) / sum(n), 6)::DOUBLE AS modal_share FROM c""")
+@query("""WITH c AS (SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2) SELECT round_even(count(*) / sum(n), 6)::DOUBLE AS distinct_ratio, round_even(max(n) / sum(n), 6)::DOUBLE AS modal_share FROM c""")
 def modal_share(spark, sf):
     return measures.modal_share(table(spark, sf, "labels"), "quality", "toxic")
 
 
 @query(f"""
 WITH d AS (SELECT quality AS y, n_chars / 40000.0 AS p FROM ({_LAB})), c AS (SELECT avg(p) FILTER (y = 1) AS c, avg(p) AS m, avg((y = 1)::INT) AS r FROM d)
-SELECT round(c, 6)::DOUBLE AS pu_c, round((SELECT avg(least(1.0, p / c)) FROM d), 6)::DOUBLE AS prevalence, round(m, 6)::DOUBLE AS calibrated_mean, round(r, 6)::DOUBLE AS silver_rate, (m BETWEEN 0.5 * r AND 3.0 * r) AS calibration_ok FROM c""")
+SELECT round_even(c, 6)::DOUBLE AS pu_c, round_even((SELECT avg(least(1.0, p / c)) FROM d), 6)::DOUBLE AS prevalence, round_even(m, 6)::DOUBLE AS calibrated_mean, round_even(r, 6)::DOUBLE AS silver_rate, (m BETWEEN 0.5 * r AND 3.0 * r) AS calibration_ok FROM c""")
 def pu_correct(spark, sf):
     d = labelled(spark, sf).select("quality", (F.col("n_chars") / 40000.0).alias("p"))
     return measures.unlabelled_correction(d, "quality", "p")
 
 
-@query("""SELECT round(exp(sum(n_chars / 20000.0 * n_chars) / sum(n_chars)), 6)::DOUBLE AS perplexity FROM documents""")
+@query("""SELECT round_even(exp(sum(n_chars / 20000.0 * n_chars) / sum(n_chars)), 6)::DOUBLE AS perplexity FROM documents""")
 def perplexity(spark, sf):
     return measures.perplexity(table(spark, sf, "documents").withColumn("loss", F.col("n_chars") / 20000.0), "loss", "n_chars")
 
 
 @query("""
 WITH p AS (SELECT a.label AS layer, a.embedding AS x, b.embedding AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
-SELECT layer, count(*) AS n, round(1 - avg(list_dot_product(x::DOUBLE[], y::DOUBLE[]) / (sqrt(list_dot_product(x::DOUBLE[], x::DOUBLE[])) * sqrt(list_dot_product(y::DOUBLE[], y::DOUBLE[])))), 6) AS influence FROM p GROUP BY layer""")
+SELECT layer, count(*) AS n, round_even(1 - avg(list_dot_product(x::DOUBLE[], y::DOUBLE[]) / (sqrt(list_dot_product(x::DOUBLE[], x::DOUBLE[])) * sqrt(list_dot_product(y::DOUBLE[], y::DOUBLE[])))), 6) AS influence FROM p GROUP BY layer""")
 def layer_influence(spark, sf):
     e = table(spark, sf, "embeddings")
     p = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("y")), "vec_id")
-    return p.groupBy(F.col("label").alias("layer")).agg(F.count("*").alias("n"), F.round(1 - F.avg(measures.cosine(F.col("embedding"), F.col("y"))), 6).alias("influence"))
+    return p.groupBy(F.col("label").alias("layer")).agg(F.count("*").alias("n"), F.bround(1 - F.avg(measures.cosine(F.col("embedding"), F.col("y"))), 6).alias("influence"))
 
 
 @query("""
@@ -166,25 +165,27 @@ WITH d AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2), r A
 SELECT lang, min(n) AS least, max(n) FILTER (i = k // 2) AS p50, max(n) AS most FROM r GROUP BY lang""")
 def per_condition(spark, sf):
     n = table(spark, sf, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("lang").orderBy("n")
-    r = n.withColumn("i", F.row_number().over(w) - 1).withColumn("k", F.count("*").over(Window.partitionBy("lang")))
-    return r.groupBy("lang").agg(F.min("n").alias("least"), F.max(F.when(F.col("i") == F.floor(F.col("k") / 2), F.col("n"))).alias("p50"), F.max("n").alias("most"))
+    return measures.spread(n, "lang", "n")
 
 
-@query("""WITH d AS (SELECT conv_id, role, avg(length(text)) AS v FROM conversations GROUP BY 1, 2) SELECT a.role AS m1, b.role AS m2, count(*) AS n, round(avg((abs(a.v - b.v) < 100)::INT), 6) AS agreement FROM d a JOIN d b ON a.conv_id = b.conv_id AND a.role < b.role GROUP BY 1, 2""")
+@query("""WITH d AS (SELECT conv_id, role, avg(length(text)) AS v FROM conversations GROUP BY 1, 2) SELECT a.role AS m1, b.role AS m2, count(*) AS n, round_even(avg((abs(a.v - b.v) < 100)::INT), 6) AS agreement FROM d a JOIN d b ON a.conv_id = b.conv_id AND a.role < b.role GROUP BY 1, 2""")
 def method_pairs(spark, sf):
     d = table(spark, sf, "conversations").groupBy("conv_id", "role").agg(F.avg(F.length("text")).alias("v"))
-    a, b = d.alias("a"), d.alias("b")
-    p = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.role") < F.col("b.role")))
-    close = (F.abs(F.col("a.v") - F.col("b.v")) < 100).cast("int")
-    return p.groupBy(F.col("a.role").alias("m1"), F.col("b.role").alias("m2")).agg(F.count("*").alias("n"), F.round(F.avg(close), 6).alias("agreement"))
+    return measures.pairwise(d, "conv_id", "role", "v", lambda a, b: F.abs(a - b) < 100)
 
 
-@query("""SELECT quality = 1 AS good, count(*) AS n, round(avg(n_chars), 6) AS mean_chars, round(median(n_chars), 6) AS median_chars FROM documents JOIN labels USING (doc_id) GROUP BY 1""")
+@query("""SELECT quality = 1 AS good, count(*) AS n, round_even(avg(n_chars), 6) AS mean_chars, round_even(median(n_chars), 6) AS median_chars FROM documents JOIN labels USING (doc_id) GROUP BY 1""")
 def group_means(spark, sf):
-    return labelled(spark, sf).groupBy((F.col("quality") == 1).alias("good")).agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean_chars"), F.round(F.median("n_chars"), 6).alias("median_chars"))
+    return measures.group_means(labelled(spark, sf), F.col("quality") == 1, "n_chars").toDF("good", "n", "mean_chars", "median_chars")
 
 
 @query("""SELECT event_type AS status, count(*) AS n FROM events GROUP BY 1 HAVING count(*) >= 1000""")
 def status_counts(spark, sf):
-    return table(spark, sf, "events").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n")).where("n >= 1000")
+    return measures.frequent(table(spark, sf, "events"), F.col("event_type"), 1000).withColumnRenamed("value", "status")
+
+
+@query("""
+WITH r AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS t, row_number() OVER (ORDER BY n_chars, doc_id) AS b FROM documents)
+SELECT doc_id, n_chars, t::INT AS rank, 'top' AS "end" FROM r WHERE t <= 5 UNION ALL SELECT doc_id, n_chars, b::INT, 'bottom' FROM r WHERE b <= 5""")
+def extremes(spark, sf):
+    return measures.extremes(table(spark, sf, "documents").select("doc_id", "n_chars"), "n_chars", 5, "doc_id")

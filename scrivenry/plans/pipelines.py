@@ -57,7 +57,7 @@ def long_works(spark, sf):
 
 @query("""
 WITH p AS (SELECT a.label AS layer, a.embedding AS x, b.embedding AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
-i AS (SELECT layer, round(1 - avg(list_dot_product(x::DOUBLE[], y::DOUBLE[]) / (sqrt(list_dot_product(x::DOUBLE[], x::DOUBLE[])) * sqrt(list_dot_product(y::DOUBLE[], y::DOUBLE[])))), 6) AS influence FROM p GROUP BY layer)
+i AS (SELECT layer, round_even(1 - avg(list_dot_product(x::DOUBLE[], y::DOUBLE[]) / (sqrt(list_dot_product(x::DOUBLE[], x::DOUBLE[])) * sqrt(list_dot_product(y::DOUBLE[], y::DOUBLE[])))), 6) AS influence FROM p GROUP BY layer)
 SELECT layer, influence FROM i WHERE layer BETWEEN 2 AND 7 ORDER BY influence, layer LIMIT 3""")
 def removable_layers(spark, sf):
     from scrivenry.plans.metrics import layer_influence
@@ -79,7 +79,7 @@ def verdicts(spark, sf):
     return d.groupBy("source").agg(F.avg("quality").alias("q")).select("source", pipelines.verdict(F.col("q"), [(0.8, "fair"), (0.9, "good")], "poor").alias("verdict"))
 
 
-@query("""SELECT lang AS value, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6)::DOUBLE AS share FROM documents JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY lang""")
+@query("""SELECT lang AS value, count(*) AS n, round_even(count(*) / sum(count(*)) OVER (), 6)::DOUBLE AS share FROM documents JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY lang""")
 def good_shares(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels").where("quality = 1"), "doc_id")
-    return measures.shares(d, "lang").withColumn("share", F.round("share", 6))
+    return measures.shares(d, "lang").withColumn("share", F.bround("share", 6))

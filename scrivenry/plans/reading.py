@@ -18,43 +18,57 @@ def style(spark, sf):
 
 @query(f"""
 WITH s AS ({_STYLE})
-SELECT source, count(*) AS n_docs, sum(n)::BIGINT AS n_chars, round(avg(len(sents)), 6) AS avg_sentences, round(avg(CASE WHEN len(sents) > 0 THEN n / len(sents) ELSE 0 END), 6) AS avg_sentence_length,
- round(avg(CASE WHEN n > 0 THEN len(regexp_extract_all(text, '[,.!?;:]')) / n ELSE 0 END), 6) AS punctuation
+SELECT source, count(*) AS n_docs, sum(n)::BIGINT AS n_chars, round_even(avg(len(sents)), 6) AS avg_sentences, round_even(avg(CASE WHEN len(sents) > 0 THEN n / len(sents) ELSE 0 END), 6) AS avg_sentence_length,
+ round_even(avg(CASE WHEN n > 0 THEN len(regexp_extract_all(text, '[,.!?;:]')) / n ELSE 0 END), 6) AS punctuation
 FROM s GROUP BY source""")
 def source_profile(spark, sf):
     """The flagship: text profile of each source."""
     return style(spark, sf).groupBy("source").agg(
-        F.count("*").alias("n_docs"), F.sum("m.char_count").alias("n_chars"), F.round(F.avg("m.sentence_count"), 6).alias("avg_sentences"),
-        F.round(F.avg("m.avg_sentence_length"), 6).alias("avg_sentence_length"), F.round(F.avg("m.punctuation_ratio"), 6).alias("punctuation"),
+        F.count("*").alias("n_docs"), F.sum("m.char_count").alias("n_chars"), F.bround(F.avg("m.sentence_count"), 6).alias("avg_sentences"),
+        F.bround(F.avg("m.avg_sentence_length"), 6).alias("avg_sentence_length"), F.bround(F.avg("m.punctuation_ratio"), 6).alias("punctuation"),
     )
 
 
+_OVER = "round_even(CASE WHEN n > 0 THEN {} / n ELSE 0 END, 9)"
+_COUNTED = {"kanji_ratio": "[A-Z]", "hiragana_ratio": "[a-z]", "katakana_ratio": "[0-9]", "punctuation_ratio": "[,.!?;:]"}
+_OFTEN = {"ellipsis_frequency": r"\.{3,}", "dash_frequency": "--", "bracket_dialogue_frequency": '"[^"]*"'}
+_ENDING = {"question_sentence_ratio": r"\?$", "exclamation_sentence_ratio": "!$"}
+_MEASURES = [
+    *[_OVER.format(f"len(regexp_extract_all(text, '{p}'))") + f" AS {c}" for c, p in _COUNTED.items()], *[_OVER.format(f"1000.0::DOUBLE * len(regexp_extract_all(text, '{p}'))") + f" AS {c}" for c, p in _OFTEN.items()],
+    *[f"round_even(CASE WHEN len(sents) > 0 THEN len(list_filter(sents, lambda x: regexp_matches(regexp_replace(x, '\\s+$', ''), '{p}'))) / len(sents) ELSE 0 END, 9) AS {c}" for c, p in _ENDING.items()],
+    _OVER.format("""coalesce(list_sum(list_transform(regexp_extract_all(text, '"[^"]*"'), lambda x: length(x))), 0)""") + " AS dialogue_ratio",
+]
+
+
 @query(f"""
-WITH s AS ({_STYLE})
-SELECT doc_id, n AS char_count, len(sents)::INT AS sentence_count, round(n / len(sents), 9) AS avg_sentence_length,
- round(len(regexp_extract_all(text, '[A-Z]')) / n, 9) AS upper_ratio, round(len(regexp_extract_all(text, '[,.!?;:]')) / n, 9) AS punctuation_ratio,
- round(len(list_filter(sents, lambda x: regexp_matches(regexp_replace(x, '\\s+$', ''), '\\?$'))) / len(sents), 9) AS question_ratio,
- round(coalesce(list_sum(list_transform(regexp_extract_all(text, '"[^"]*"'), lambda x: length(x))), 0) / n, 9) AS dialogue_ratio
-FROM s""")
+WITH s AS ({_STYLE}), p AS (SELECT *, list_filter(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: regexp_replace(x, '\\s+', '', 'g') <> '') AS paras FROM s)
+SELECT doc_id, n::INT AS char_count, len(sents)::INT AS sentence_count, len(paras)::INT AS paragraph_count, round_even(CASE WHEN len(sents) > 0 THEN n / len(sents) ELSE 0 END, 9) AS avg_sentence_length,
+ round_even(CASE WHEN len(paras) > 0 THEN n / len(paras) ELSE 0 END, 9) AS avg_paragraph_length, {", ".join(_MEASURES)}, '1' AS metrics_version, (len(sents) + 1)::INT AS token_count FROM p""")
 def style_metrics(spark, sf):
-    m = lambda name: F.round(f"m.{name}", 9)
-    return style(spark, sf).select(
-        "doc_id", F.col("m.char_count").cast("long").alias("char_count"), "m.sentence_count", m("avg_sentence_length").alias("avg_sentence_length"), m("kanji_ratio").alias("upper_ratio"),
-        m("punctuation_ratio").alias("punctuation_ratio"), m("question_sentence_ratio").alias("question_ratio"), m("dialogue_ratio").alias("dialogue_ratio"),
-    )
+    """All sixteen measures and their version; tokens stand in as sentences and one."""
+    n = F.size(T.sentences("text", T.LATIN)) + 1
+    m = table(spark, sf, "documents").select("doc_id", T.style_metrics("text", n, T.LATIN).alias("m")).select("doc_id", "m.*")
+    return m.select(*[F.bround(c, 9).alias(c) if t == "double" else F.col(c) for c, t in m.dtypes])
 
 
-@query(r"""
-WITH b AS (SELECT page_id, regexp_extract_all(html, '(?is)<p\b[^>]*>(.*?)</p>', 1) AS blocks FROM pages)
-SELECT page_id, len(blocks)::INT AS n_blocks,
- coalesce(list_sum(list_transform(blocks, lambda x: length(regexp_replace(regexp_replace(regexp_replace(x, '(?s)<!--.*?-->', '', 'g'), '<[^>]+>', '', 'g'), '[ \t]*\n[ \t]*', '', 'g')))), 0)::BIGINT AS n_chars FROM b WHERE len(blocks) > 0""")
+_BLOCKS = r"""
+WITH u AS (SELECT page_id, html, regexp_replace(html, '\r\n?', chr(10), 'g') AS h FROM pages),
+b AS (SELECT page_id, html, h, regexp_extract_all(h, '(?is)<p\b[^>]*>(.*?)</p>', 1) AS p FROM u),
+k AS (SELECT page_id, html, list_transform(CASE WHEN len(p) > 0 THEN p ELSE string_split(h, chr(10)) END, lambda x: regexp_replace(regexp_replace(regexp_replace(x, '(?s)<!--.*?-->', '', 'g'), '<[^>]+>', '', 'g'), '[ \t]*\n[ \t]*', '', 'g')) AS blocks FROM b)"""
+
+
+@query(_BLOCKS + """
+SELECT page_id, len(blocks)::INT AS n_blocks, coalesce(list_sum(list_transform(blocks, lambda x: length(x))), 0)::BIGINT AS n_chars FROM k""")
 def html_blocks(spark, sf):
-    own = F.regexp_extract_all("html", F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1))
+    """Blocks of every page, of its lines where it has no paragraph."""
     cleaned = F.transform(T.blocks("html"), T.clean_block)
-    return table(spark, sf, "pages").where(F.size(own) > 0).select("page_id", F.size(own).alias("n_blocks"), F.aggregate(cleaned, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars"))
+    return table(spark, sf, "pages").select("page_id", F.size(cleaned).alias("n_blocks"), F.aggregate(cleaned, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars"))
 
 
-@query()
+@query(_BLOCKS + r""",
+d AS (SELECT page_id, html, chr(10) || array_to_string(list_transform(blocks, lambda x: replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), chr(160), ' ')), chr(10)) || chr(10) AS j FROM k),
+t AS (SELECT page_id, html, regexp_replace(j, '\n{4,}', chr(10) || chr(10), 'g') AS j FROM d), n AS (SELECT page_id, html, substring(j, 2, length(j) - 2) AS text FROM t)
+SELECT page_id, text, length(html)::INT AS raw_char_count, length(text)::INT AS normalized_char_count, sha256(html) AS raw_sha256, sha256(text) AS normalized_sha256 FROM n""")
 def normalised_bodies(spark, sf):
     """Bodies of pages normalised, entities decoded in Python."""
     return table(spark, sf, "pages").select("page_id", T.normalise_body("html").alias("n")).select("page_id", "n.*")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from scrivenry.operators import sampling
+from scrivenry.operators import audit, sampling
 from scrivenry.plans.common import query, table
 
 _D = "md5(concat_ws(':', '7', CAST(doc_id AS VARCHAR)))"
@@ -43,7 +43,14 @@ def label_ratio(spark, sf):
     return sampling.label_ratio(d, "toxic", 0.1, 7, "doc_id").select("doc_id", "toxic")
 
 
-@query()
+@query(f"""
+WITH d0 AS (SELECT doc_id, source, lang, coalesce(toxic, 0) = 1 AS f FROM documents LEFT JOIN labels USING (doc_id)),
+d1 AS (SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {_D}, doc_id) AS r FROM d0) WHERE r <= 40),
+d2 AS (SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {_D}, doc_id) AS r FROM d1) WHERE lang <> 'en' OR r <= 400),
+d3 AS (SELECT * EXCLUDE (r, n) FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {_D}, doc_id) AS r, count(*) OVER () AS n FROM d2) WHERE r <= floor(n * 0.2)),
+c AS (SELECT count(*) AS n, count_if(f) AS p FROM d3), k AS (SELECT n, p, least(round_even(n * 0.05, 0)::BIGINT, p) AS kp FROM c),
+t AS (SELECT kp, least(least(CASE WHEN kp > 0 THEN round_even(kp / 0.05, 0)::BIGINT ELSE 0 END, n) - kp, n - p) AS kq FROM k)
+SELECT doc_id, source, lang FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY {_D}, doc_id) AS r FROM d3), t WHERE r <= CASE WHEN f THEN kp ELSE kq END""")
 def stratified_sample(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").withColumn("g", F.array("lang"))
     config = sampling.Sampling(7, max_per_work=40, genre_max={"en": 400}, max_author_share=0.2, r18_ratio=0.05)
@@ -63,7 +70,8 @@ def split_leak(spark, sf):
 
 @query("""
 WITH w AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2), cap AS (SELECT lang, sum(least(n, 12)) AS c FROM w GROUP BY 1),
-q AS (SELECT lang, least(c, 40) AS q FROM cap), t AS (SELECT w.lang, source, n, q, unnest(range(1, least(n, 12) + 1)) AS turn FROM w JOIN q USING (lang)),
+v AS (SELECT max(l) AS l FROM range(0, 161) r(l) WHERE (SELECT sum(least(c, l)) FROM cap) <= 160),
+q AS (SELECT lang, least(c, l) + CASE WHEN c > l AND sum((c > l)::INT) OVER (ORDER BY lang) <= 160 - (SELECT sum(least(c, l)) FROM cap, v) THEN 1 ELSE 0 END AS q FROM cap, v), t AS (SELECT w.lang, source, n, q, unnest(range(1, least(n, 12) + 1)) AS turn FROM w JOIN q USING (lang)),
 k AS (SELECT lang, source, n, count(*) AS take FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY turn, source) AS r FROM t) WHERE r <= q GROUP BY 1, 2, 3),
 p AS (SELECT DISTINCT lang, source, CASE WHEN take = 1 AND n > 1 THEN n // 2 WHEN take >= n THEN j ELSE round_even(j * (n - 1) / greatest(take - 1, 1)::DOUBLE, 0)::BIGINT END AS i FROM (SELECT *, unnest(range(0, take)) AS j FROM k)),
 d AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) - 1 AS i FROM documents)
@@ -91,26 +99,45 @@ def positives_and_controls(spark, sf):
 def valid_works(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("w"), F.col("doc_id")).alias("ncode"))
     rows = d.unionByName(table(spark, sf, "labels").select("doc_id"), allowMissingColumns=True)
-    return rows.where(~F.coalesce("ncode", F.lit("")).isin("", "unknown", "w5"))
+    return sampling.valid_works(rows, F.col("ncode"), ("", "unknown", "w5"))
 
 
-@query("""SELECT doc_id FROM documents WHERE doc_id IN (3, 5, 8) UNION SELECT doc_id FROM labels WHERE toxic = 1""")
+@query("""SELECT doc_id FROM documents WHERE lang = 'en' UNION SELECT doc_id FROM labels WHERE toxic = 1""")
 def union_done(spark, sf):
-    wanted = spark.createDataFrame([(3,), (5,), (8,)], "doc_id long")
-    return table(spark, sf, "documents").join(F.broadcast(wanted), "doc_id", "left_semi").select("doc_id").union(table(spark, sf, "labels").where("toxic = 1").select("doc_id")).distinct()
+    return sampling.keys_in_any("doc_id", table(spark, sf, "documents").where("lang = 'en'"), table(spark, sf, "labels").where("toxic = 1"))
 
 
-@query("""SELECT doc_id FROM documents WHERE doc_id < 50 EXCEPT SELECT doc_id FROM labels""")
+@query("""SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels""")
 def missing_ids(spark, sf):
-    return table(spark, sf, "documents").select("doc_id").subtract(table(spark, sf, "labels").select("doc_id"))
+    return sampling.keys_missing(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id")
 
 
 @query("""SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 25""")
 def first_works(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "source").orderBy("doc_id").limit(25)
+    return sampling.first_by(table(spark, sf, "documents").select("doc_id", "source"), ["doc_id"], 25)
 
 
 @query("""SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""")
 def newest_per_key(spark, sf):
-    latest = F.max_by(F.struct("event_id", "value"), F.struct("ts", "event_id"))
-    return table(spark, sf, "events").groupBy("user_id").agg(latest.alias("m")).select("user_id", "m.event_id", "m.value")
+    return audit.newest(table(spark, sf, "events").select("user_id", "event_id", "ts", "value"), ["user_id"], "ts").select("user_id", "event_id", "value")
+
+
+@query("""SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)""")
+def wanted_rows(spark, sf):
+    return sampling.wanted(table(spark, sf, "documents").select("doc_id", "source"), table(spark, sf, "labels").where("quality = 1"), "doc_id")
+
+
+@query("""SELECT doc_id, r::INT AS run_index FROM documents, range(3) t(r) WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1) OR r <> 0""")
+def repeated_jobs(spark, sf):
+    done = table(spark, sf, "labels").where("quality = 1").select("doc_id", F.lit(0).alias("run_index"))
+    return sampling.repeated_jobs(table(spark, sf, "documents"), ["doc_id"], 3, done)
+
+
+@query("""
+WITH p AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents WHERE len(regexp_extract_all(text, '[A-Z][a-z]+')) >= 2 AND source NOT IN (SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 AND doc_id < 300)),
+o AS (SELECT source, doc_id, row_number() OVER (ORDER BY md5(concat_ws(':', '7', source)), source) AS r FROM p WHERE i = 1) SELECT source, doc_id FROM o WHERE r <= 5""")
+def unseen_works(spark, sf):
+    """Five works that a first part of the labels, the feature here, hasn't used."""
+    d = table(spark, sf, "documents").withColumn("names", F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0)))
+    seen = table(spark, sf, "documents").join(table(spark, sf, "labels").where("toxic = 1 and doc_id < 300"), "doc_id")
+    return sampling.unseen_works(d.select("source", "doc_id", "names"), seen, "source", "names", 2, ["doc_id"], 5, 7).select("source", "doc_id")

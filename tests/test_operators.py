@@ -25,9 +25,10 @@ def test_audit_report(corpus):
     r = audit.report(*corpus).first()
     assert (r.novels_total, r.novels_duplicate_ncode, r.episodes_total, r.episodes_duplicate_key) == (4, 1, 6, 2)
     assert (r.n_without, r.mismatch_general_all_no, r.mismatch_total_ep) == (1, 2, 1)
-    assert r.site_type_breakdown == {"1": 2, "2": 1, "None": 1} and r.orphan_episode_ncodes == ["z"]
+    assert r.site_type_breakdown == {"1": 2, "2": 1, "None": 1} and r.n_orphan_episode_ncodes == 1
     assert (r.empty_body_episode_count, r.encoding_anomaly_episode_count, r.html_ratio_anomaly_episode_count) == (2, 1, 1)
     assert (r.sub_site_eq_2, r.rating_eq_1, r.url_entity_is_r18) == (2, 2, 0)
+    assert {x.ncode for x in audit.rejected(*corpus[:2]).collect() if x.reason == "orphan_episode"} == {"z", None}
     assert sorted(x.reason for x in audit.rejected(*corpus[:2]).collect()) == ["empty_body", "empty_body", "encoding_anomaly", "html_ratio_anomaly", "orphan_episode", "orphan_episode"]
 
 
@@ -58,9 +59,10 @@ def test_segments_do_not_overlap(sizes, method, chars):
     texts = [chr(97 + i % 26) * n for i, n in enumerate(sizes)]
     found = reading.allocate(texts, reading.METHODS[method], chars)
     share = max(1, chars // len(reading.METHODS[method]))
-    taken = [i for _, s, parts in found for i in range(s, s + len(parts))]
-    assert len(taken) == len(set(taken)) and all(sum(map(len, p)) <= share for _, _, p in found)
+    taken = [i for _, s, n, _ in found for i in range(s, s + n)]
+    assert len(taken) == len(set(taken)) and all(0 < len(t) <= share for _, _, _, t in found)
     assert all(0 <= i < len(texts) for i in taken)
+    assert all(t in "".join(texts[s : s + n]) for _, s, n, t in found)
 
 
 @settings(max_examples=40, deadline=None)

@@ -84,7 +84,9 @@ def greedy_near_duplicates(df: DataFrame, scope: list[str], order: str, text: st
         pdf["duplicate_of"] = pd.array([pdf[order].iloc[found[i]] if i in found else None for i in range(len(pdf))], dtype="Int64")
         return pdf
 
-    return df.groupBy(*scope).applyInPandas(run, StructType([*df.schema.fields, StructField("duplicate_of", LongType())]))
+    # Comparing costs more than the bytes tell, so the exchange's tasks aren't merged by size.
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(width, *scope).groupBy(*scope).applyInPandas(run, StructType([*df.schema.fields, StructField("duplicate_of", LongType())]))
 
 
 def gram_jaccard(df: DataFrame, a: str, b: str) -> Column:

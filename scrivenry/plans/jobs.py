@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scrivenry.functions import meta
 from scrivenry.functions import text as T
 from scrivenry.operators import chunking, classify, pipelines
-from scrivenry.plans.common import query, table
+from scrivenry.plans.common import query, spread, table
 from scrivenry.sources import files, services
 from scrivenry.sources.scratch import scratch
 from scrivenry.streaming import jobs
@@ -96,7 +96,7 @@ def adult_rating(spark, sf):
 @query()
 def chunk_docs(spark, sf):
     """Every document in chunks of about 200 tokens."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("ncode"), F.lit(1).alias("episode_no"), "text")
+    d = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("ncode"), F.lit(1).alias("episode_no"), "text"))
     return chunking.chunk_episodes(d, ["ncode", "episode_no"], "text", 200, 260, 30).withColumn("id", chunking.chunk_id())
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from scrivenry.functions import prompts
 from scrivenry.functions import text as T
 from scrivenry.operators import measures, reading
-from scrivenry.plans.common import query, table
+from scrivenry.plans.common import query, spread, table
 
 _SENT = r"[^.!?]*[.!?]+|[^.!?]+\z"
 _STYLE = rf"""
@@ -13,7 +13,7 @@ SELECT *, length(text) AS n, list_filter(regexp_extract_all(text, '{_SENT}'), la
 
 
 def style(spark, sf):
-    return table(spark, sf, "documents").withColumn("m", T.style_metrics("text", marks=T.LATIN))
+    return spread(table(spark, sf, "documents").select("doc_id", "source", "text")).withColumn("m", T.style_metrics("text", marks=T.LATIN))
 
 
 @query(f"""
@@ -47,7 +47,7 @@ SELECT doc_id, n::INT AS char_count, len(sents)::INT AS sentence_count, len(para
 def style_metrics(spark, sf):
     """All sixteen measures and their version; tokens stand in as sentences and one."""
     n = F.size(T.sentences("text", T.LATIN)) + 1
-    m = table(spark, sf, "documents").select("doc_id", T.style_metrics("text", n, T.LATIN).alias("m")).select("doc_id", "m.*")
+    m = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", T.style_metrics("text", n, T.LATIN).alias("m")).select("doc_id", "m.*")
     return m.select(*[F.bround(c, 9).alias(c) if t == "double" else F.col(c) for c, t in m.dtypes])
 
 
@@ -62,7 +62,7 @@ SELECT page_id, len(blocks)::INT AS n_blocks, coalesce(list_sum(list_transform(b
 def html_blocks(spark, sf):
     """Blocks of every page, of its lines where it has no paragraph."""
     cleaned = F.transform(T.blocks("html"), T.clean_block)
-    return table(spark, sf, "pages").select("page_id", F.size(cleaned).alias("n_blocks"), F.aggregate(cleaned, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars"))
+    return spread(table(spark, sf, "pages").select("page_id", "html")).select("page_id", F.size(cleaned).alias("n_blocks"), F.aggregate(cleaned, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars"))
 
 
 @query(_BLOCKS + r""",

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from scrivenry.functions import text as T
 from scrivenry.operators import dedup, terms
-from scrivenry.plans.common import query, table
+from scrivenry.plans.common import query, spread, table
 
 _STOP = ["that", "with", "this", "from"]
 _LEXICON = ["ing", "the", "tion", "ou"]
@@ -17,7 +17,7 @@ s AS (SELECT source, c.term, tf, tf * ln(n / df) AS score FROM c JOIN d USING (t
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, term DESC, tf DESC) AS rank FROM s)
 SELECT source, term, tf, round_even(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 8""")
 def term_topk(spark, sf):
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents").select("source", "text"))
     found = terms.candidates(F.col("text"), always="(?!)", filtered="[a-z]{4,9}", stop=_STOP)
     return terms.top_terms(d, "source", found, 8, 3, 0.3).withColumn("score", F.bround("score", 6))
 
@@ -29,7 +29,7 @@ a AS (SELECT source, sum(length(story))::BIGINT AS narration_chars, sum(len(hits
 SELECT source, narration_chars, first_person_hits, round_even(first_person_hits * 1000.0 / narration_chars, 4)::DOUBLE AS rate_per_1000, round_even(nh / n, 4)::DOUBLE AS line_rate,
  CASE WHEN narration_chars < 2000 THEN 'unknown' WHEN first_person_hits * 1000.0 / narration_chars >= 12 THEN 'first_person' WHEN first_person_hits * 1000.0 / narration_chars < 10 THEN 'third_person' ELSE 'unknown' END AS viewpoint, p_the, p_of, p_la FROM a""")
 def rate_rule(spark, sf):
-    found = terms.viewpoints(table(spark, sf, "documents"), "source", "text", ["the", "of", "la"], '"', '"', 10.0, 12.0)
+    found = terms.viewpoints(spread(table(spark, sf, "documents").select("source", "text")), "source", "text", ["the", "of", "la"], '"', '"', 10.0, 12.0)
     own = lambda p: F.coalesce(F.try_element_at("pronouns", F.lit(p)), F.lit(0)).cast("long").alias(f"p_{p}")
     return found.select("source", "narration_chars", "first_person_hits", "rate_per_1000", "line_rate", "viewpoint", own("the"), own("of"), own("la"))
 
@@ -38,7 +38,7 @@ def rate_rule(spark, sf):
 WITH s AS (SELECT source, doc_id, ((length(text) - length(replace(text, 'ing', ''))) // 3 + (length(text) - length(replace(text, 'the', ''))) // 3 + (length(text) - length(replace(text, 'tion', ''))) // 4 + (length(text) - length(replace(text, 'ou', ''))) // 2)::INT AS score FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS rank FROM s) SELECT source, doc_id, score, rank::INT AS rank FROM r WHERE rank <= 5""")
 def lexicon_hardest(spark, sf):
-    return terms.hardest(table(spark, sf, "documents"), "text", _LEXICON, "source", 5).select("source", "doc_id", "score", "rank")
+    return terms.hardest(spread(table(spark, sf, "documents").select("source", "doc_id", "text")), "text", _LEXICON, "source", 5).select("source", "doc_id", "score", "rank")
 
 
 _PAIR = "SELECT d.doc_id, b.item_id, d.text || left(b.text, 60) AS a, b.text AS b FROM documents d JOIN benchmark b ON d.doc_id % (SELECT max(item_id) + 1 FROM benchmark) = b.item_id"

@@ -128,6 +128,14 @@ def claim(owner: str, release) -> None:
             ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def small_batches(spark: SparkSession, rows: int = 2048) -> None:
+    """Have Arrow batches hold ``rows`` rows, unless the session says otherwise: a row is a whole text, and Spark's
+    10,000 of them, written by doubling buffers, take more memory outside the heap than a task should."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, rows)
+
+
 def parts(batches, rows: int = 1024, most: int = 32 << 20):
     """The batches in parts of at most ``rows`` rows and ``most`` bytes (or one row), so that little of one is in
     Python objects at a time."""

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivenry.llm.common import claim, parts, slices
+from scrivenry.llm.common import claim, parts, slices, small_batches
 
 #: Characters of items in one pass over the documents; more items take more passes.
 PASS_CHARS = 4_000_000
@@ -225,6 +225,7 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = 0.1, least_chars: i
     documents for each.  An empty table on either side gives an empty one.
     """
     spark, schema = docs.sparkSession, "doc_id long, item_id long, distance long, begin long, end long, item_chars long"
+    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for block in item_blocks(items):
@@ -248,6 +249,7 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = 0.1, least_chars: i
 def clean(docs: DataFrame, items: DataFrame, rate: float = 0.1, least_chars: int = 1) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text holds no item; see ``matches``.  Null and
     empty texts hold none and stay, and so does everything where there are no items."""
+    small_batches(docs.sparkSession)
     for block in item_blocks(items):
         sent, column = docs.sparkSession.sparkContext.broadcast(block), docs.columns.index("text")
 

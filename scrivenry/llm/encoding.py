@@ -20,7 +20,7 @@ from scrivenry.llm.common import claim, slices
 
 #: Entries in each of a cache's two generations, of Python objects and of Arrow arrays, and bytes of text that are
 #: cut at a time: bounds on memory, not on what is encoded.
-CACHE_ENTRIES, CACHE_WORDS, SLICE = 250_000, 600_000, 1 << 24
+CACHE_ENTRIES, CACHE_WORDS, SLICE = 250_000, 300_000, 1 << 22
 # Of the Latin characters İ alone becomes two in lower case.
 _LATIN = "\t-\r -~\u00a1-\u012f\u0131-\u017f"
 _PLAIN = re.compile(f"[{_LATIN}]*")
@@ -82,7 +82,9 @@ class _Cache(dict):
 def _gather(table: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Stretches of a table, one after another."""
     end = np.cumsum(n)
-    return table[np.repeat(begin - end + n, n) + np.arange(end[-1] if len(end) else 0)]
+    at = np.repeat((begin - end + n).astype(np.int64 if len(table) > 1 << 30 else np.int32), n)
+    at += np.arange(len(at), dtype=at.dtype)
+    return table[at]
 
 
 class _Words:
@@ -207,12 +209,15 @@ class Encoder:
             cut = pc.split_pattern(pc.replace_substring_regex(marked, _EDGE, "\\1 \1\\2"), " ")
         else:
             cut = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), _EDGE, "\\1 \\2"))
+        per_text = pc.list_value_length(cut).to_numpy(zero_copy_only=False)
         found = cut.flatten().dictionary_encode()
+        del cut
         at, which = self._known(found.dictionary), found.indices.to_numpy(zero_copy_only=False)
+        del found
         begin, size = self.words.begin[at], self.words.size[at]
         n = size[which]
         out, ends = _gather(self.words.ids, begin[which], n), np.append(0, np.cumsum(n))
-        edges = ends[np.append(0, np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False)))]
+        edges = ends[np.append(0, np.cumsum(per_text))]
         return [out[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
     def _known(self, words) -> np.ndarray:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from scrivenry.llm.common import claim, parts, slices
+from scrivenry.llm.common import claim, parts, slices, small_batches
 
 #: Labelled documents taken for each language (the only bound: all their words and n-grams are kept), and the
 #: longest n-grams.
@@ -158,6 +158,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
                 if counted:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counted)), pa.array([kind] * len(counted), pa.int32()), pa.array(list(counted)), pa.array(list(counted.values()), pa.int64())], names=["lang", "kind", "gram", "n"])
 
+    small_batches(labelled.sparkSession)
     taken = known.where(draw < share).select("text", "lang").mapInArrow(count, "lang string, kind int, gram string, n long")
     counts = taken.groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")).toArrow()
     rows: list[list[tuple]] = [[], []]
@@ -176,6 +177,7 @@ def identify(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     table gives an empty one.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
     columns = [c for c in columns if c not in ("lang_pred", "score")]
     read = docs.select(*columns, F.col("text").alias("__text"))
@@ -183,7 +185,7 @@ def identify(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     def predict(batches):
         import pyarrow as pa
 
-        claim("language", sent.value.memo.clear)
+        claim("language", lambda: sent.__dict__.pop("_value", None))
         for b in parts(batches):
             if b.num_rows:
                 lang, score = zip(*sent.value.predict(b.column(len(columns)).to_pylist()), strict=True)
@@ -196,12 +198,13 @@ def identify(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
 def known(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text has a letter and a word or n-gram that the model
     knows; see ``identify``."""
+    small_batches(docs.sparkSession)
     sent, column = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def keep(batches):
         import pyarrow as pa
 
-        claim("language", sent.value.memo.clear)
+        claim("language", lambda: sent.__dict__.pop("_value", None))
         for b in parts(batches):
             yield b.filter(pa.array([seen for _, _, seen in sent.value.judge(b.column(column).to_pylist())], pa.bool_()))
 

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivenry.llm.common import Scratch, claim, parts, stored, width_for
+from scrivenry.llm.common import Scratch, claim, parts, small_batches, stored, width_for
 
 HASHES = 128
 #: A pair at the threshold shares no band with at most this chance.
@@ -355,6 +355,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     id; kept is then false, and component_id null if there is none.  Repeated rows give repeated rows, all
     with the same answer.  Other columns are not read.  An empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     with Scratch(docs.sparkSession) as tables:
         found = stored(prints(docs, words, percent), "prints")
         least = found.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))

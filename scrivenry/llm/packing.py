@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from scrivenry.llm.common import parts, stored, width_for
+from scrivenry.llm.common import parts, small_batches, stored, width_for
 from scrivenry.llm.encoding import Encoder
 
 WINDOW, SHARD_DOCS = 1024, 2000
@@ -186,7 +186,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW,
         frequency = np.zeros(max(encoder.library.get_vocab_size(), end_id + 1), np.int64)
         names = ["doc_id", "n", "crcs", "rest", "terms", "counts", "wide", "kind"]
         types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.bool_(), pa.int32())
-        for b in parts(batches, 4096):
+        for b in parts(batches, 2048, 8 << 20):
             rows = []
             for doc_id, ids in zip(b.column(0).to_pylist(), encoder.column(b.column(1)), strict=True):
                 ids = np.append(ids, end)
@@ -204,9 +204,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW,
         empty = pa.nulls(len(terms), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(counts, pa.int64()), empty, empty, empty, empty, pa.nulls(len(terms), pa.bool_()), pa.array(np.ones(len(terms)), pa.int32())], names=names)
 
+    small_batches(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, n long, crcs binary, rest binary, terms binary, counts binary, wide boolean, kind int"
-    every = stored(read.mapInArrow(encode, schema), "packing", "kind")
+    every = stored(read.mapInArrow(encode, schema), "packing")
     encoded = every.where("kind = 0").drop("kind")
     corpus = statistics(every.where("kind = 1").select(F.col("doc_id").alias("term"), "n"))
     idf = np.maximum(0.0, np.log((corpus.n - corpus.frequency + 0.5) / (corpus.frequency + 0.5))).astype(np.float32)

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivenry.llm.common import AtomicFile, open_fs, parts, scratch, width_for
+from scrivenry.llm.common import AtomicFile, open_fs, parts, scratch, small_batches, width_for
 from scrivenry.llm.encoding import Encoder
 
 BLOCK_IDS = 1 << 16
@@ -185,6 +185,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, shards: int |
     and a table of documents that the size bounds.  Only the manifest comes to the driver: a row for each file.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or scratch(spark, "tokens")
     if not shards:
         size = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ENTRY_BYTES), F.lit(0))).first()[0]
@@ -200,7 +201,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, shards: int |
         uri = f"{folder}/shard-{shard:06d}.s8b"
         with AtomicFile(uri) as out:
             file = TokenFile(out)
-            for b in parts(batches, 4096):
+            for b in parts(batches, 2048, 8 << 20):
                 for doc_id, ids in zip(b.column(0).to_pylist(), encoder.column(b.column(1)), strict=True):
                     file.add(doc_id, np.append(ids, end))
             file.close()

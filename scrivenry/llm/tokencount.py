@@ -14,7 +14,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivenry.llm.common import parts
+from scrivenry.llm.common import parts, small_batches
 from scrivenry.llm.encoding import Encoder
 
 LEAF = 256
@@ -188,6 +188,7 @@ def count_edits(docs: DataFrame, tokenizer: str) -> DataFrame:
                 names = ["doc_id", "n_tokens", "n_tokens_edited", "n_edits", "n_chars_edited", "n_chars_encoded"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
+    small_batches(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("edits").cast("array<struct<begin:long,end:long,text:string>>").alias("edits"))
     return read.mapInArrow(run, "doc_id long, n_tokens long, n_tokens_edited long, n_edits long, n_chars_edited long, n_chars_encoded long")
 

@@ -21,7 +21,7 @@ from itertools import chain
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivenry.llm.common import AtomicFile, open_fs, scratch, stored, width_for
+from scrivenry.llm.common import AtomicFile, open_fs, scratch, small_batches, stored, width_for
 
 GZIP_MAGIC = b"\x1f\x8b\x08"
 CHUNK, TASK_BYTES = 1 << 20, 64 << 20
@@ -89,6 +89,7 @@ def write_warc(pages: DataFrame, least_bytes: int = 0, files: int | None = None,
     if files:
         rows = rows.repartition(files)
     spark = pages.sparkSession
+    small_batches(spark)
     return spark.createDataFrame(rows.mapInArrow(write, "path string, size long").collect(), "path string, size long")
 
 

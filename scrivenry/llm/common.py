@@ -117,15 +117,21 @@ def claim(owner: str, release) -> None:
         _held.pop(other)()
     _held[owner] = release
     if others:
-        import ctypes
         import gc
 
-        import pyarrow as pa
-
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # only where the C library is glibc
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        trimmed()
+
+
+def trimmed() -> None:
+    """Give freed memory of this worker back to the system; allocators keep it otherwise."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library is glibc
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def small_batches(spark: SparkSession, rows: int = 2048) -> None:

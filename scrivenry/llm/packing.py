@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from scrivenry.llm.common import parts, small_batches, stored, width_for
+from scrivenry.llm.common import claim, parts, small_batches, stored, trimmed, width_for
 from scrivenry.llm.encoding import Encoder
 
 WINDOW, SHARD_DOCS = 1024, 2000
@@ -199,6 +199,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW,
                 rows.append((doc_id, len(ids), np.array(crcs, "<u4").tobytes(), ids[full:].astype(small).tobytes(), terms.astype(small).tobytes(), counts.astype(small).tobytes(), wide, 0))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+            trimmed()
         found = frequency.nonzero()[0]
         terms, counts = np.append([-2, -1], found), np.append([n, total], frequency[found])
         empty = pa.nulls(len(terms), pa.binary())
@@ -224,6 +225,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW,
         import pyarrow as pa
         from pyspark import TaskContext
 
+        claim("shards", lambda: None)  # the encoder goes
         sequence = TaskContext.get().partitionId() << 40
         for members in shards(batches, shard_docs):
             rows, rests = [], []
@@ -246,6 +248,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW,
                 sequence += 1
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
+            del index, rests, rows
+            trimmed()
 
     width = width_for(docs.sparkSession, corpus.n, shard_docs * TASK_SHARDS)
     own = encoded.columns

@@ -71,16 +71,22 @@ class Scratch:
             Scratch.open_[-1].paths += [p for p in self.paths if p in self.kept]
 
 
-def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut, sizes are known.  The
-    table is deleted with the ``Scratch`` it was made in, or when the application ends."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    writer = df.write.option("compression", "lz4")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+def forgotten(spark: SparkSession, path: str) -> None:
+    """Have a path deleted with the ``Scratch`` it was made in, or when the application ends."""
     fs, place = _hadoop(spark, path)
     fs.deleteOnExit(place)
     if Scratch.open_:
         Scratch.open_[-1].paths.append(path)
+
+
+def stored(df: DataFrame, name: str, partition_by: str | None = None, codec: str = "lz4") -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut, sizes are known.  The
+    table is deleted with the ``Scratch`` it was made in, or when the application ends.  What Python workers read
+    too needs the codec zstd: Arrow and Hadoop frame large pages of lz4 differently."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    writer = df.write.option("compression", codec)
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    forgotten(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -134,12 +140,14 @@ def trimmed() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def small_batches(spark: SparkSession, rows: int = 2048) -> None:
-    """Have Arrow batches hold ``rows`` rows, unless the session says otherwise: a row is a whole text, and Spark's
-    10,000 of them, written by doubling buffers, take more memory outside the heap than a task should."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def small_batches(spark: SparkSession, rows: int = 2048, most: int = 16 << 20) -> None:
+    """Have Arrow batches hold ``rows`` rows and ``most`` bytes (or one row), unless the session says otherwise: a
+    row is a whole text, and Spark's 10,000 of them, written by doubling buffers, take more memory outside the heap
+    than a task should."""
+    name, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, rows)
+        spark.conf.set(size, min(most, int(spark.conf.get(size).removesuffix("b"))))
 
 
 def parts(batches, rows: int = 1024, most: int = 32 << 20):

@@ -30,6 +30,8 @@ SLOTS, BLOCK, FAN_IN, HELD = 1 << 21, 1 << 16, 16, 2_000_000
 #: holds, and where the corpus has many more words the buckets say less and more candidates are counted.
 BITS, RANGE_BITS = (20, 29), 20
 _WORDS = 400_000
+#: Exact for counts below 10^15.
+SCORE = "CAST(a AS DECIMAL(15,0)) * CAST(a AS DECIMAL(15,0)) * CAST(1000000 AS DECIMAL(8,0)) div (CAST(l AS DECIMAL(19,0)) * CAST(r AS DECIMAL(19,0)))"
 _TOKEN, _MARK = re.compile(rb"[^\x20\x09.,;:!?\x0a-\x0d]+|[.,;:!?\x0a-\x0d]+"), re.compile(rb"[.,;:!?\x0a-\x0d]")
 _MARKS = frozenset(b".,;:!?\n\x0b\x0c\r")
 _HI, _LO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -554,8 +556,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, wi
         frequent = stored(_read_slots(found.where("n > 1"), hashes, sums, shards, least).select("lang", "phrase", "n", F.col("f").alias("a")), "frequent")
         sides = _read_slots(cuts(frequent.select("lang", "phrase", "a")), hashes, sums, shards, 0)
         both = sides.groupBy("lang", "phrase", "a", "k").agg(F.max(F.when(F.col("side") == 0, F.col("f"))).alias("l"), F.max(F.when(F.col("side") == 1, F.col("f"))).alias("r"))
-        score = F.expr("CAST(a AS DECIMAL(15,0)) * CAST(a AS DECIMAL(15,0)) * CAST(1000000 AS DECIMAL(8,0)) div (CAST(l AS DECIMAL(19,0)) * CAST(r AS DECIMAL(19,0)))")
-        least_cut = both.withColumn("score", score).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
+        least_cut = both.withColumn("score", F.expr(SCORE)).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
         scored = stored(least_cut.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score"), "scored")
         longer = frequent.where("n > 2").withColumn("w", F.split("phrase", " ")).withColumn("size", F.explode(F.sequence(F.lit(2), F.col("n") - 1)))
         inner = F.transform(F.sequence(F.lit(1), F.col("n") - F.col("size") + 1), lambda i: F.concat_ws(" ", F.slice("w", i, F.col("size"))))

@@ -1,7 +1,8 @@
 """Packing documents into training sequences by lexical retrieval.
 
 Documents are ordered by their most telling terms (by count times inverse document frequency over the corpus),
-so that those with the same subject stand together, and cut into shards of ``SHARD_DOCS``.  A shard has a BM25
+so that those with the same subject stand together, and cut into shards of ``SHARD_DOCS``: the order alone decides,
+not the number of tasks or of the session's partitions.  A shard has a BM25
 inverted index over the token ids of its whole documents, with document frequencies and mean length of the whole
 corpus.  Full windows of a document become sequences as they are; what is left of it (less than a window) is
 packed: a seed opens a window, the index ranks the shard's unused documents against it, and the best ones fill
@@ -12,20 +13,21 @@ window is cut into sequences of powers of two, so there is no padding.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from scrivenry.llm.common import claim, parts, small_batches, stored, trimmed, width_for
 from scrivenry.llm.encoding import Encoder
 
 WINDOW, SHARD_DOCS = 1024, 2000
-#: Terms of a document that place it, and shards in a task.
-TELLING, TASK_SHARDS = 4, 4
+#: Terms of a document that place it, shards in a task, and most tasks (more documents: more shards in each).
+TELLING, TASK_SHARDS, TASKS = 4, 2, 20_000
 K1, B = 1.2, 0.75
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -154,17 +156,47 @@ def place(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> int:
     return out - (1 << 63)
 
 
-def shards(batches, size: int) -> Iterator[list[tuple]]:
-    """Rows of a task in their order, ``size`` at a time."""
+def shards(batches, size: int) -> Iterator[tuple[int, list[tuple]]]:
+    """(task, rows) of sorted rows (task, ...), ``size`` at a time; none has rows of two tasks."""
     held: list[tuple] = []
+    own = None
     for b in parts(batches):
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            held.append(row)
-            if len(held) == size:
-                yield held
+        for task, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if held and (len(held) == size or task != own):
+                yield own, held
                 held = []
+            own = task
+            held.append(row)
     if held:
-        yield held
+        yield own, held
+
+
+def order_cuts(keys: DataFrame, step: int) -> list[tuple]:
+    """Every ``step``th row of ``keys`` in the order of its columns, the first left out.  Rows are counted in ranges
+    of the order; a number for each range and the rows themselves are all that comes to the driver."""
+    names = keys.columns
+    width = width_for(keys.sparkSession, 0, 1)
+    ranged = keys.repartitionByRange(width, *names).sortWithinPartitions(*names).withColumn("range", F.spark_partition_id())
+    ranged = stored(ranged, "order")
+    sizes = {r["range"]: r["count"] for r in ranged.groupBy("range").count().collect()}
+    begin, at = {}, 0
+    for k in sorted(sizes):
+        begin[k], at = at, at + sizes[k]
+
+    def pick(batches):
+        import pyarrow as pa
+
+        own, at = None, 0
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[-1] != own:
+                    own, at = row[-1], begin[row[-1]]
+                if at and at % step == 0:
+                    yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row[:-1]], names=names)
+                at += 1
+
+    found = ranged.repartition(width, "range").sortWithinPartitions("range", *names).mapInArrow(pick, ranged.drop("range").schema)
+    return sorted(tuple(r) for r in found.collect())
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> DataFrame:
@@ -174,7 +206,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW,
     Null doc_id: packed, shown as null.  Repeated rows are packed each; equal places are ordered by a hash of the
     row, so rows of one doc_id, or without one, are dealt like any others.  Other columns are not read.  An empty
     table gives no piece.  What is left of each document, the counts of its ids and four bytes for each of its
-    full windows are stored once and moved by one exchange; a task holds one shard at a time.
+    full windows are stored once and moved by one exchange, after the places alone were put in order and cut at every
+    ``shard_docs``th; a task holds one shard at a time.  The shards, and so the sequences, are the same however many
+    partitions the session has.
     """
 
     def encode(batches):
@@ -219,15 +253,16 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW,
         for b in parts(batches):
             terms, counts, wide = (b.column(i).to_pylist() for i in (4, 5, 6))
             where = [place(_ids(t, w), _ids(c, w), idf) for t, c, w in zip(terms, counts, wide, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(where, pa.int64())], names=[*b.schema.names, "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), *b.columns], names=["place", *b.schema.names])
 
     def fill_shards(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
 
         claim("shards", lambda: None)  # the encoder goes
-        sequence = TaskContext.get().partitionId() << 40
-        for members in shards(batches, shard_docs):
+        last, sequence = None, 0
+        for task, members in shards(batches, shard_docs):
+            if task != last:
+                last, sequence = task, task << 40
             rows, rests = [], []
             for doc_id, n, crcs, rest, _, _, wide in members:
                 own = np.frombuffer(crcs, "<u4")
@@ -251,8 +286,23 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW,
             del index, rests, rows
             trimmed()
 
-    width = width_for(docs.sparkSession, corpus.n, shard_docs * TASK_SHARDS)
     own = encoded.columns
-    where = encoded.mapInArrow(placed, StructType([*encoded.schema.fields, StructField("place", LongType())])).withColumn("tie", F.xxhash64("doc_id", "n", "crcs", "rest"))
-    dealt = where.repartitionByRange(width, "place", "tie").sortWithinPartitions("place", "tie", "doc_id", "rest")
-    return dealt.select(*own).mapInArrow(fill_shards, SCHEMA)
+    tie = F.xxhash64("doc_id", "n", "crcs", "rest")
+    # Rows that are equal in everything are told apart by where they are stored; which is which makes no difference.
+    where = encoded.mapInArrow(placed, StructType([StructField("place", LongType()), *encoded.schema.fields]))
+    where = where.withColumn("tie", tie).withColumn("row", F.monotonically_increasing_id())
+    task_docs = shard_docs * max(TASK_SHARDS, -(-corpus.n // (shard_docs * TASKS)))
+    key = ["place", "tie", "row"]
+    cuts = order_cuts(where.select(*key), task_docs)
+
+    def assigned(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            at = zip(*(c.to_pylist() for c in b.columns[:3]), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([bisect_right(cuts, k) for k in at], pa.int32()), *b.columns], names=["task", *b.schema.names])
+
+    where = where.select(*key, *own)
+    dealt = where.mapInArrow(assigned, StructType([StructField("task", IntegerType()), *where.schema.fields]))
+    dealt = dealt.repartitionById(len(cuts) + 1, "task").sortWithinPartitions("task", *key)
+    return dealt.select("task", *own).mapInArrow(fill_shards, SCHEMA)

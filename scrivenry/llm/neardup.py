@@ -18,6 +18,7 @@ left out but by the chance of the bands.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -370,13 +371,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``near_duplicates`` keeps; of rows repeated with doc_id and text
-    one.  Rows without doc_id are in no group and stay."""
-    answer = near_duplicates(docs, words, percent)
-    dropped = stored(answer.where("not kept and doc_id is not null").select("doc_id").distinct(), "dropped")
+    """The rows of ``docs``, all columns, one of each group that ``near_duplicates`` finds: that with the smallest
+    doc_id.  Rows repeated with doc_id and text stay once.  Where one doc_id has several texts, each of them is a
+    document of its own, which stands after all others: it goes only if its own text resembles one that stays.  Rows
+    without doc_id are in no group and stay.  doc_ids are below 2^62.  An empty table gives an empty one."""
+    rows, one = docs, f"row_{uuid.uuid4().hex[:8]}"
     repeated = stored(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
-    rest = docs.join(dropped, "doc_id", "left_anti")
     if repeated.isEmpty():
-        return rest.select(*docs.columns)
-    once = rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return rest.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+        rows = docs.withColumn(one, F.col("doc_id").cast("long"))
+    else:
+        last = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0]
+        # Stored, so that the number of a row doesn't change when a task is run again.
+        several = docs.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+        several = stored(several.withColumn(one, F.monotonically_increasing_id() + (last + 1)), "several")
+        rows = docs.join(repeated, "doc_id", "left_anti").select(*docs.columns).withColumn(one, F.col("doc_id").cast("long")).unionByName(several)
+    answer = near_duplicates(rows.select(F.col(one).alias("doc_id"), "text"), words, percent)
+    gone = stored(answer.where("not kept and doc_id is not null").select(F.col("doc_id").alias(one)), "dropped")
+    return rows.join(gone, one, "left_anti").select(*docs.columns)

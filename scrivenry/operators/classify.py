@@ -4,25 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrivenry.operators import measures
+from scrivenry.operators import labelfit, measures, vocabulary
 from scrivenry.operators.ranks import drawn
 from scrivenry.sources.scratch import stored
 
 
-def char_ngrams(c: Column | str, low: int = 2, high: int = 3) -> Column:
-    """All character n-grams of a text, repeats included."""
-    t = F.col(c) if isinstance(c, str) else c
-    # One pass by a pattern: substr would walk the text anew for each place.
-    of = lambda n: F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
-    return F.concat(*[of(n) for n in range(low, high + 1)])
-
-
 @dataclass(frozen=True)
 class Vectors:
     features: int = 200_000
@@ -34,29 +26,11 @@ class Vectors:
 def tfidf(df: DataFrame, text: str, out: str = "features", config: Vectors = Vectors()) -> DataFrame:
     """Adds unit vectors of (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1) over the most frequent n-grams.
 
-    The weights of the vocabulary (at most ``features`` numbers) are the only thing that leaves the cluster.
+    The vocabulary is exact, see ``vocabulary.most_frequent``; it, and the summary it is chosen from, are the only
+    things that leave the cluster.
     """
-    grams = df.withColumn("__g", char_ngrams(F.coalesce(F.col(text), F.lit("")), config.low, config.high))
-    model = CountVectorizer(inputCol="__g", outputCol="__c", vocabSize=config.features, minDF=config.least_docs).fit(grams)
-    counted = model.transform(grams).drop("__g")
-    # ln((1 + n) / (1 + df)) in one pass of the JVM over the counted vectors.
-    idf = IDF(inputCol="__c", outputCol="__i").fit(counted).idf.toArray() + 1.0
-    weighted = _weigh(df.sparkSession.sparkContext.broadcast(idf))
-    return Normalizer(p=2.0, inputCol="__w", outputCol=out).transform(counted.withColumn("__w", weighted("__c"))).drop("__c", "__w")
-
-
-def _weigh(sent):
-    from pyspark.ml.linalg import SparseVector, Vectors as Make, VectorUDT
-
-    @F.udf(VectorUDT())
-    def weigh(v):
-        import numpy as np
-
-        at = v.indices if isinstance(v, SparseVector) else np.flatnonzero(v.values)
-        values = v.values if isinstance(v, SparseVector) else v.values[at]
-        return Make.sparse(v.size, at, (1 + np.log(values)) * sent.value[at])
-
-    return weigh
+    found, docs, n = vocabulary.most_frequent(df, text, config.low, config.high, config.features, config.least_docs)
+    return vocabulary.vectors(df, text, out, config.low, config.high, found, np.log((1 + n) / (1 + docs)) + 1.0)
 
 
 def folds(df: DataFrame, label: str, key: str, k: int, seed: int) -> DataFrame:
@@ -117,9 +91,18 @@ def evaluate(df: DataFrame, label: str, key: str, features: str, k: int = 3, c:
     return row, scored
 
 
-def candidates(scored: DataFrame, label: str, top: int) -> DataFrame:
-    """Unlabelled rows that most look like positives, by calibrated probability before it is cut."""
-    return scored.where(F.col(label) != 1).orderBy(F.desc("calibrated")).limit(top)
+def candidates(scored: DataFrame, label: str, top: int, key: str = "doc_id", by: list[str] = ()) -> DataFrame:
+    """Unlabelled rows that most look like positives (of each ``by``), by calibrated probability before it is cut;
+    of equal ones those with the smallest key."""
+    order = [F.desc("calibrated"), F.col(key)]
+    rows = scored.where(F.col(label) != 1)
+    if not by:
+        return rows.orderBy(*order).limit(top)
+    # First of each part of a group, as one may have most rows.
+    parts = rows.withColumn("__part", F.pmod(F.xxhash64(key), F.lit(64)))
+    for keys in ([*by, "__part"], by):
+        parts = parts.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__r") <= top)
+    return parts.drop("__part", "__r")
 
 
 def ablation(df: DataFrame, label: str, key: str, sets: dict[str, str], k: int = 3) -> DataFrame:
@@ -129,23 +112,47 @@ def ablation(df: DataFrame, label: str, key: str, sets: dict[str, str], k: int =
     return df.sparkSession.createDataFrame([(n, a, None if a is None or base is None else round(a - base, 6)) for n, a in rows], "features string, auc double, delta double")
 
 
-def grid(df: DataFrame, text: str, tags: dict[str, Column], key: str, configs: list[Vectors], strengths: list[float], k: int = 3, stop=None) -> DataFrame:
-    """Rows (tag, low, high, features, c, auc, ap): each tag under each vectoriser and strength.  Vectors are made
-    once for each vectoriser.  stop: asked before each fit; a grid that it ends has the rows so far."""
-    rows = []
+def grid(df: DataFrame, text: str, tags: dict[str, Column], key: str, configs: list[Vectors], strengths: list[float], k: int = 3, stop=None, seed: int = 7) -> DataFrame:
+    """Rows (tag, low, high, features, c, auc, ap): each tag under each vectoriser and strength.
+
+    One fit for each vectoriser has all tags, strengths and folds; with ``stop`` it is one for each strength, asked
+    before each, and a grid that it ends has the rows so far.  Keys are unique.
+    """
+    out, names = None, list(tags)
     for config in configs:
-        own = stored(tfidf(df.select(key, text, *[c.cast("double").alias(f"__tag{i}") for i, c in enumerate(tags.values())]), text, "features", config).drop(text), "grid")
-        for c in strengths:
-            for i, tag in enumerate(tags):
-                if stop is not None and stop():
-                    return _grid_rows(df, rows)
-                found = evaluate(own, f"__tag{i}", key, "features", k, c)[0].first()
-                rows.append((tag, config.low, config.high, config.features, float(c), found["auc"], found["ap"]))
-    return _grid_rows(df, rows)
-
-
-def _grid_rows(df: DataFrame, rows: list[tuple]) -> DataFrame:
-    return df.sparkSession.createDataFrame(rows, "tag string, low int, high int, features int, c double, auc double, ap double")
+        labels = F.array(*[c.cast("double") for c in tags.values()]).alias("__labels")
+        vectors = tfidf(df.select(key, text, labels), text, "features", config)
+        rows = labelfit.matrix_rows(vectors, "__labels", "features", key, k, seed)
+        for some in [[c] for c in strengths] if stop is not None else [strengths]:
+            if stop is not None and stop():
+                return _grid_rows(df, out)
+            weights, models = labelfit.fit(rows, some, k, labelfit.width(rows))
+            scored = stored(labelfit.scores(rows, weights, models, key), "scores")
+            cell = ["tag", "strength"]
+            found = measures.auc(scored, "label", "score", cell).join(measures.average_precision(scored, "label", "score", cell), cell)
+            tag, c = (F.element_at(F.array(*map(F.lit, v)), F.col(n) + 1).alias(o) for v, n, o in ((names, "tag", "tag"), ([float(c) for c in some], "strength", "c")))
+            own = found.select(tag, F.lit(config.low).alias("low"), F.lit(config.high).alias("high"), F.lit(config.features).alias("features"), c, "auc", "ap")
+            out = own if out is None else out.unionByName(own)
+    return _grid_rows(df, out)
+
+
+def _grid_rows(df: DataFrame, out: DataFrame | None) -> DataFrame:
+    return out if out is not None else df.sparkSession.createDataFrame([], "tag string, low int, high int, features int, c double, auc double, ap double")
+
+
+def tag_candidates(df: DataFrame, features: str, tags: dict[str, Column], key: str, top: int, c: float = 1.0, k: int = 3, seed: int = 7) -> DataFrame:
+    """Rows (tag, key, score, calibrated): for each tag the ``top`` rows without it that most look like those with
+    it.  All tags are fitted at once, and scores calibrated by tag on the other folds' scores."""
+    labels = F.array(*[t.cast("double") for t in tags.values()]).alias("__labels")
+    rows = labelfit.matrix_rows(df.select(key, features, labels), "__labels", features, key, k, seed)
+    weights, models = labelfit.fit(rows, [c], k, labelfit.width(rows))
+    scored = stored(labelfit.scores(rows, weights, models, key).drop("strength"), "scores")
+    odds = F.log(F.greatest("score", F.lit(1e-9)) / F.greatest(1 - F.col("score"), F.lit(1e-9)))
+    one = scored.select(key, "tag", "label", "fold", "score", odds.alias("__odds"))
+    fitted = F.broadcast(labelfit.sigmoids(one, "label", "__odds", "tag", "fold"))
+    calibrated_ = one.join(fitted, ["tag", "fold"], "left").withColumn("calibrated", F.coalesce(1 / (1 + F.exp(-(F.col("slope") * F.col("__odds") + F.col("intercept")))), F.col("score")))
+    found = candidates(calibrated_, "label", top, key, ["tag"])
+    return found.select(F.element_at(F.array(*map(F.lit, tags)), F.col("tag") + 1).alias("tag"), key, "score", "calibrated")
 
 
 def deltas(results: DataFrame, base: str, other: str, each: int = 10) -> DataFrame:

@@ -106,24 +106,24 @@ def ordinal_agreement(gold: Column, guess: Column) -> list[Column]:
     return [F.bround(F.avg(d), 6).alias("mae"), F.bround(F.avg((d == 0).cast("int")), 6).alias("exact"), F.bround(F.avg((d <= 1).cast("int")), 6).alias("within_one")]
 
 
-def _by_score(df: DataFrame, label: str, score: str) -> DataFrame:
+def _by_score(df: DataFrame, label: str, score: str, by: list[str] = ()) -> DataFrame:
     """__score, p and q: positives and others at each distinct score."""
     known = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    return known.groupBy(F.col(score).alias("__score")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
+    return known.groupBy(*by, F.col(score).alias("__score")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
 
 
-def auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """One row (n_pos, n_neg, auc): the rank sum with ties averaged."""
-    below = running(_by_score(df, label, score), "__score", {"b": "q"})
-    one = below.agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum(F.col("p") * (F.col("b") - F.col("q") / 2)).alias("u"))
-    return one.select("n_pos", "n_neg", F.bround(F.try_divide("u", F.col("n_pos") * F.col("n_neg")), 6).alias("auc"))
+def auc(df: DataFrame, label: str, score: str, by: list[str] = ()) -> DataFrame:
+    """One row (n_pos, n_neg, auc), or one for each ``by``: the rank sum with ties averaged."""
+    below = running(_by_score(df, label, score, by), "__score", {"b": "q"}, by=by)
+    one = below.groupBy(*by).agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum(F.col("p") * (F.col("b") - F.col("q") / 2)).alias("u"))
+    return one.select(*by, "n_pos", "n_neg", F.bround(F.try_divide("u", F.col("n_pos") * F.col("n_neg")), 6).alias("auc"))
 
 
-def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
-    """One row (ap): precision at each distinct score, weighted by the positives it adds."""
-    above = running(_by_score(df, label, score), "__score", {"tp": "p", "fp": "q"}, descending=True)
-    at = above.select("p", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
-    return at.agg(F.bround(F.try_divide(F.sum(F.col("p") * F.col("precision")), F.sum("p")), 6).alias("ap"))
+def average_precision(df: DataFrame, label: str, score: str, by: list[str] = ()) -> DataFrame:
+    """One row (ap), or one for each ``by``: precision at each distinct score, weighted by the positives it adds."""
+    above = running(_by_score(df, label, score, by), "__score", {"tp": "p", "fp": "q"}, descending=True, by=by)
+    at = above.select(*by, "p", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
+    return at.groupBy(*by).agg(F.bround(F.try_divide(F.sum(F.col("p") * F.col("precision")), F.sum("p")), 6).alias("ap"))
 
 
 def best_f1(df: DataFrame, label: str, score: str) -> DataFrame:

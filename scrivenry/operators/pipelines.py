@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrivenry.functions import meta, prompts
 from scrivenry.functions import text as T
 from scrivenry.operators import chunking, dedup, measures, reading, sampling
+from scrivenry.operators.ranks import numbered
 from scrivenry.sources.schemas import default_chunk_classification
 from scrivenry.sources.scratch import scratch
 
@@ -135,11 +136,11 @@ def leaking_works(train: DataFrame, val: DataFrame) -> DataFrame:
 
 def select_works(works: DataFrame, length: str, top: int, spread: int, pinned: list[str], key: str = "ncode") -> DataFrame:
     """The longest works, the pinned ones, and ``spread`` others at even places of the order by length."""
-    w = Window.orderBy(F.desc(length), key)
-    placed = works.withColumn("__r", F.row_number().over(w) - 1)
+    order = [F.desc(length), F.col(key)]
+    placed = numbered(works, order)
     first = placed.where((F.col("__r") < top) | F.col(key).isin(pinned))
     rest = placed.join(first.select(key), key, "left_anti")
-    rest = rest.withColumn("__i", F.row_number().over(w) - 1).crossJoin(rest.agg(F.count("*").alias("__n")))
+    rest = numbered(rest.drop("__r"), order, "__i").crossJoin(F.broadcast(rest.agg(F.count("*").alias("__n"))))
     even = rest.where(F.array_contains(reading.even_places(F.col("__n"), F.lit(spread), "first"), F.col("__i").cast("long")))
     return first.select(*works.columns).unionByName(even.select(*works.columns))
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrivenry.operators.ranks import draw, drawn
+from scrivenry.operators.ranks import draw, drawn, numbered
 from scrivenry.operators.reading import even_places
 from scrivenry.sources.scratch import stored
 
@@ -124,17 +124,16 @@ def balanced_subset(df: DataFrame, condition: str, work: str, order: list[str],
     quota = spark.createDataFrame([(c, q) for c, q in quotas(capacity, target).items() if q > 0], f"`{condition}` string, __quota long")
     # The k-th row of a work comes in the k-th turn; turns go through the works by name.
     turns = works.join(F.broadcast(quota), condition).select(condition, work, "__n", "__quota", F.explode(F.sequence(F.lit(1), room.cast("int"))).alias("__turn"))
-    taken = turns.withColumn("__r", F.row_number().over(Window.partitionBy(condition).orderBy("__turn", work))).where("__r <= __quota")
+    taken = numbered(turns, ["__turn", work], "__r", [condition]).where("__r < __quota")
     count = taken.groupBy(condition, work).agg(F.count("*").alias("__take"))
-    placed = df.withColumn("__i", F.row_number().over(Window.partitionBy(condition, work).orderBy(*order)) - 1)
+    placed = numbered(df, order, "__i", [condition, work])
     joined = placed.join(count.join(works, [condition, work]), [condition, work])
     return joined.where(F.array_contains(even_places(F.col("__n"), F.col("__take")), F.col("__i").cast("long"))).drop("__i", "__n", "__take")
 
 
 def job_shard(df: DataFrame, order: list[str], shard: int, shards: int) -> DataFrame:
-    """Every ``shards``-th row of the ordered jobs.  A global order number needs all rows in one order; jobs are
-    keys, not texts."""
-    return df.withColumn("__r", F.row_number().over(Window.orderBy(*order)) - 1).where(F.col("__r") % shards == shard).drop("__r")
+    """Every ``shards``-th row of the ordered jobs; jobs are keys, not texts."""
+    return numbered(df, order).where(F.col("__r") % shards == shard).drop("__r")
 
 
 def pending(df: DataFrame, done: DataFrame, keys: list[str], ok: str | None = None) -> DataFrame:

@@ -154,10 +154,30 @@ def weighted_rollup(spark, sf):
     return mode.join(sums, "source")
 
 
-@query()
+def _rollup_sql() -> str:
+    pick = lambda values, n: f"({list(values)!r})[({n}) % {len(values)} + 1]"
+    said = [f"SELECT conv_id, turn, '{k}' AS field, {pick(v, f'n + {i}')} AS value, w AS s, 0 AS pos FROM c" for i, (k, v) in enumerate(features.CATEGORICAL.items())]
+    said += [f"SELECT conv_id, turn, 'story_shape', {pick(features.SHAPES, f'n + {5 * i}')}, w * {1 - 0.25 * i}, {i} FROM c" for i in (0, 1)]
+    said.append(f"SELECT conv_id, turn, 'main_relationships', {pick(features.RELATIONSHIPS, 'n')}, w * {pick([str(x) for x in features.SALIENCE.values()], 'n')}::DOUBLE, 0 FROM c")
+    mode = ", ".join(f"max(value) FILTER (field = '{k}' AND m = 1) AS {k}" for k in features.CATEGORICAL)
+    return f"""
+WITH c AS (SELECT conv_id, turn, length(text) AS n, CASE WHEN length(text) % 10 = 0 THEN 1.0 ELSE (length(text) % 10) / 10.0 END::DOUBLE AS w FROM conversations),
+x AS ({" UNION ALL ".join(said)}),
+g AS (SELECT conv_id, field, value, round(sum(s), 9) AS s, min(turn * 10 + pos) AS first FROM x GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, field ORDER BY s DESC, value DESC) AS m, row_number() OVER (PARTITION BY conv_id, field ORDER BY s DESC, first) AS k FROM g),
+t AS (SELECT conv_id, round(sum(w), 9) AS total, round_even(sum((n % 4) * w) / round(sum(w), 9), 0)::INT AS protagonist_count, bool_or(n % 3 = 0) AS sexual_present, max(n % 4)::INT AS sexual_level, bool_or((n + 1) % 3 = 0) AS violence_present, max((n + 1) % 4)::INT AS violence_level, round_even(avg((n % 10) / 10.0::DOUBLE), 4) AS confidence FROM c GROUP BY 1)
+SELECT conv_id AS ncode, {mode}, 'now' AS setting_era, max(protagonist_count) AS protagonist_count, bool_or(sexual_present) AS sexual_present, max(sexual_level) AS sexual_level, bool_or(violence_present) AS violence_present, max(violence_level) AS violence_level,
+ string_agg(value, ',' ORDER BY k) FILTER (field = 'story_shape' AND k <= 3) AS shapes, string_agg(value || ':' || CASE WHEN s >= total * 0.75 THEN 'central' ELSE 'major' END, ',' ORDER BY k) FILTER (field = 'main_relationships' AND k <= 4) AS relationships, max(confidence) AS confidence
+FROM r JOIN t USING (conv_id) GROUP BY conv_id"""
+
+
+@query(_rollup_sql())
 def feature_rollup(spark, sf):
     """The roll-up of chapter features to works, on features made from conversations."""
-    return features.aggregate(features.demo(table(spark, sf, "conversations")))
+    found = features.aggregate(features.demo(table(spark, sf, "conversations")))
+    content = [F.col(f"{c}_content.{x}").alias(f"{c}_{n}") for c in ("sexual", "violence") for x, n in (("present", "present"), ("explicitness", "level"))]
+    kinds = F.transform("main_relationships", lambda x: F.concat(x["kind"], F.lit(":"), x["salience"]))
+    return found.select("ncode", *features.ROLLED_UP, "protagonist_count", *content, F.array_join("story_shape", ",").alias("shapes"), F.array_join(kinds, ",").alias("relationships"), "confidence")
 
 
 @query("""

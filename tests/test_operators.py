@@ -249,3 +249,12 @@ def test_resume(spark, tmp_path):
     assert jobs.resumed(df.where("k < 4"), work, path, ["k"], "ok").count() == 4
     assert jobs.resumed(df, work, path, ["k"], "ok").count() == 4 + 8
     assert jobs.resumed(df, work, path, ["k"]).count() == 12
+
+
+def test_feature_rollup_has_two_exchanges(spark):
+    df = spark.range(10).select((F.col("id") % 3).alias("ncode"), F.col("id").alias("ordinal"), F.lit(None).cast(features.SCHEMA).alias("features"))
+    made = features.aggregate(df)
+    plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange") <= 2 and "Join" not in plan
+    (r, *_) = made.collect()
+    assert r.protagonist_gender == "unclear" and r.story_shape == ["other"] and r.main_relationships == [] and r.confidence == 0.0 and r.protagonist_count == 0

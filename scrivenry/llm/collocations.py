@@ -1,9 +1,8 @@
 """Phrase collocations: exact counts in the slots of minimal perfect hashes.
 
-Texts are read three times.  First each word and each pair of neighbours is counted in a bucket of its hash; a
-bucket below the least count holds nothing frequent.  Then the distinct phrases that may be frequent are listed: a
-word whose bucket may be, a pair of such words whose own bucket may be, a longer phrase whose two parts without its
-last and its first word may be.  By the Apriori rule nothing frequent is left out.  The candidates are dealt to
+Texts are read three times.  First each run of words is counted in a bucket of its hash; a bucket below the least
+count holds nothing frequent.  Then the distinct phrases that may be frequent are listed: those whose bucket may be,
+and whose two parts without the last and the first word may be.  By the Apriori rule nothing frequent is left out.  The candidates are dealt to
 shards, and each shard gets a minimal perfect hash and the candidates' 128-bit keys in the order of its slots.
 The third time mappers send each shard's keys to tasks that look up the slots, verify the stored keys and
 ``bincount`` into an array; the arrays are summed in a tree.  What a phrase is cut into is a candidate too, so cuts
@@ -29,11 +28,11 @@ SLOTS, BLOCK, FAN_IN, HELD = 1 << 21, 1 << 16, 16, 2_000_000
 #: Bits of a bucket's number, by the size of the corpus; the upper one bounds the table of 64 MB that a worker
 #: holds, and where the corpus has many more words the buckets say less and more candidates are counted.
 BITS, RANGE_BITS = (20, 29), 20
-_WORDS = 400_000
 #: Exact for counts below 10^15.
 SCORE = "CAST(a AS DECIMAL(15,0)) * CAST(a AS DECIMAL(15,0)) * CAST(1000000 AS DECIMAL(8,0)) div (CAST(l AS DECIMAL(19,0)) * CAST(r AS DECIMAL(19,0)))"
-_TOKEN, _MARK = re.compile(rb"[^\x20\x09.,;:!?\x0a-\x0d]+|[.,;:!?\x0a-\x0d]+"), re.compile(rb"[.,;:!?\x0a-\x0d]")
-_MARKS = frozenset(b".,;:!?\n\x0b\x0c\r")
+_MARK = re.compile(rb"[.,;:!?\x0a-\x0d]")
+#: Every mark a line end, a tab a space.
+_CUT = bytes.maketrans(b"\t.,;:!?\x0a\x0b\x0c\x0d", b" " + b"\n" * 10)
 _HI, _LO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -43,50 +42,40 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Words(dict):
-    """A number for each word of one language; 0 for the marks between pieces."""
-
-    def __init__(self, lang: str):
-        super().__init__()
-        self.lang, self.words, self.digests = lang.encode() + b" ", [b""], [bytes(16)]
-        self.keys = np.zeros((0, 2), np.uint64)
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_128_digest
-
-        if word[0] in _MARKS:
-            self[word] = 0
-            return 0
-        self[word] = found = len(self.words)
-        self.words.append(word)
-        self.digests.append(xxh3_128_digest(self.lang + word))
-        return found
-
-    def ids(self, texts: list[bytes]) -> np.ndarray:
-        """Of the words of some texts, with marks between pieces and texts."""
-        tokens = _TOKEN.findall(b"\n".join(texts).lower())
-        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-
-    def hashes(self) -> np.ndarray:
-        if len(self.keys) < len(self.words):
-            self.keys = np.concatenate([self.keys, np.frombuffer(b"".join(self.digests[len(self.keys) :]), np.uint64).reshape(-1, 2)])
-        return self.keys
-
-
-_worker: dict[str, Words] = {}
 _tables: dict = {}
 
 
-def _release() -> None:
-    _worker.clear()
-    _tables.clear()
+def _groups(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct key, and how often it occurs."""
+    order = np.argsort(hi)
+    same, also = hi[order][1:] == hi[order][:-1], lo[order][1:] == lo[order][:-1]
+    if (same & ~also).any():  # two keys share an upper half
+        order = np.lexsort((lo, hi))
+        same = (hi[order][1:] == hi[order][:-1]) & (lo[order][1:] == lo[order][:-1])
+    begin = np.flatnonzero(np.append(True, ~same)) if len(hi) else np.zeros(0, np.int64)
+    return order[begin], np.diff(np.append(begin, len(hi)))
 
 
-def _words(lang: str) -> Words:
-    """The worker's words of a language; all start afresh when they are many."""
-    if sum(len(w) for w in _worker.values()) > _WORDS:
-        _worker.clear()
-    return _worker.setdefault(lang, Words(lang))
+def split_words(lang: str, texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(words, keys, ids) of texts: the distinct words, the halves of their keys, and the number of the word at each
+    place; word 0 is the mark between pieces and texts."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from xxhash import xxh3_128_digest
+
+    data = b"\n".join(texts).lower().translate(_CUT).replace(b"\n", b" \n ")
+    found = pc.split_pattern(pa.array([data], pa.large_binary()), " ").flatten().dictionary_encode()
+    distinct, at = found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False)
+    words, place = [b"\n"], np.zeros(len(distinct), np.int32)
+    for i, word in enumerate(distinct):
+        if word and word != b"\n":
+            place[i] = len(words)
+            words.append(word)
+        elif not word:  # between two spaces
+            place[i] = -1
+    ids, own = place[at], lang.encode() + b" "
+    keys = np.frombuffer(b"".join([xxh3_128_digest(own + w) for w in words]), np.uint64).reshape(-1, 2)
+    return words, keys, ids[ids >= 0]
 
 
 def stretches(texts: list[bytes], most: int = 4 << 20) -> Iterator[list[bytes]]:
@@ -106,26 +95,24 @@ def stretches(texts: list[bytes], most: int = 4 << 20) -> Iterator[list[bytes]]:
         yield out
 
 
-def phrases(batches, longest: int) -> Iterator[tuple[str, Words, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
+def phrases(batches, longest: int) -> Iterator[tuple[str, list[bytes], np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
     """(lang, words, ids, grams) of rows (lang, text): for n = 1, 2, ... whether n words of a piece begin at each
     place, and the halves of their key."""
     import pyarrow as pa
 
-    claim("phrases", _release)
-    for b in parts(batches, 1024, 4 << 20):
+    claim("phrases", _tables.clear)
+    for b in parts(batches, 2048, 8 << 20):
         texts: dict[str, list[bytes]] = {}
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
             texts.setdefault("und" if lang is None else lang, []).append(text or b"")
         for lang, all_ in texts.items():
             for own in stretches(all_):
-                words = _words(lang)
-                ids = words.ids(own)
-                yield lang, words, ids, grams(words, ids, longest)
+                words, keys, ids = split_words(lang, own)
+                yield lang, words, ids, grams(keys, ids, longest)
 
 
-def grams(words: Words, ids: np.ndarray, longest: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    table = words.hashes()
-    ok, hi, lo = ids > 0, table[ids, 0], table[ids, 1]
+def grams(keys: np.ndarray, ids: np.ndarray, longest: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    ok, hi, lo = ids > 0, keys[ids, 0], keys[ids, 1]
     out, first = [(ok, hi, lo)], (ok, hi, lo)
     for n in range(2, longest + 1):
         ok, hi, lo = (a[: len(ids) - n + 1] if len(ids) >= n else a[:0] for a in out[-1])
@@ -139,7 +126,7 @@ def bucket_bits(n_bytes: int) -> int:
     return min(max((n_bytes // 6).bit_length(), BITS[0]), BITS[1])
 
 
-def buckets(texts: DataFrame, bits: int, least: int) -> DataFrame:
+def buckets(texts: DataFrame, bits: int, least: int, longest: int) -> DataFrame:
     """range, frequent (a bit for each of its buckets), and lang, words: the words of each language, in parts."""
 
     def count(batches):
@@ -151,9 +138,9 @@ def buckets(texts: DataFrame, bits: int, least: int) -> DataFrame:
 
         def sent():
             found, n = np.unique(np.concatenate(held), return_counts=True)
-            ends = np.searchsorted(found, np.arange(1, (1 << bits - RANGE_BITS) + 1, dtype=np.uint64) << np.uint64(RANGE_BITS))
+            ends = np.searchsorted(found, (np.arange(1, (1 << bits - RANGE_BITS) + 1) << RANGE_BITS).astype(np.uint32))
             rows, begin = [], 0
-            low, n = (found & np.uint64((1 << RANGE_BITS) - 1)).astype("<u4"), np.minimum(n, 255).astype(np.uint8)
+            low, n = found & np.uint32((1 << RANGE_BITS) - 1), np.minimum(n, 255).astype(np.uint8)
             for i, end in enumerate(ends.tolist()):
                 if end > begin:
                     rows.append((i, low[begin:end].tobytes(), n[begin:end].tobytes(), None, None))
@@ -161,10 +148,10 @@ def buckets(texts: DataFrame, bits: int, least: int) -> DataFrame:
             for i in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 64], strict=True), schema, strict=True)], schema=schema)
 
-        for lang, _, ids, found in phrases(batches, 2):
+        for lang, _, ids, found in phrases(batches, longest):
             total[lang] = total.get(lang, 0) + int(np.count_nonzero(ids))
             for ok, hi, _ in found:
-                held.append(hi[ok] >> np.uint64(64 - bits))
+                held.append((hi[ok] >> np.uint64(64 - bits)).astype(np.uint32))
                 size += len(held[-1])
             if size > HELD:
                 yield from sent()
@@ -233,13 +220,12 @@ class Frequent:
 
     def passed(self, found: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(places, hi, lo) of the candidates among the grams of each length."""
-        for n, (ok, hi, lo) in enumerate(found, 1):
-            if n > 1:
+        may = None
+        for ok, hi, lo in found:
+            if may is not None:
                 ok = ok & may[: len(ok)] & may[1 : len(ok) + 1]
-            may = ok
-            if n <= 2:
-                may = ok.copy()
-                may[ok] = self.has(hi[ok])
+            may = ok.copy()
+            may[ok] = self.has(hi[ok])
             at = np.flatnonzero(may)
             yield at, hi[at], lo[at]
 
@@ -259,18 +245,17 @@ def candidates(texts: DataFrame, path: str, bits: int, longest: int) -> DataFram
         import pyarrow as pa
 
         frequent = _held(("frequent", path), lambda: Frequent(path, bits))
-        seen = np.zeros(1 << 21, np.uint64)  # of this task, one key for each place; what it forgets comes twice
-        seen[0] = np.iinfo(np.uint64).max  # no place holds a key of its own yet
+        seen = np.zeros(1 << 21, np.uint64)  # upper halves by the lower ones' first bits: what it forgets comes twice
         for lang, words, ids, found in phrases(batches, longest):
             for n, (at, hi, lo) in enumerate(frequent.passed(found), 1):
-                hi, first = np.unique(hi, return_index=True)
-                slot = hi >> np.uint64(43)
-                new = seen[slot] != hi
+                first, _ = _groups(hi, lo)
+                at, hi, lo = at[first], hi[first], lo[first]
+                slot = lo >> np.uint64(43)
+                new = (seen[slot] != hi) | (hi == 0)
                 seen[slot[new]] = hi[new]
-                at, lo, hi = at[first[new]], lo[first[new]], hi[new]
+                at, hi, lo = at[new], hi[new], lo[new]
                 if len(at):
-                    texts_ = words.words
-                    own = [b" ".join([texts_[i] for i in row]) for row in ids[at[:, None] + np.arange(n)].tolist()]
+                    own = [b" ".join([words[i] for i in row]) for row in ids[at[:, None] + np.arange(n)].tolist()]
                     yield pa.RecordBatch.from_arrays([pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array([lang] * len(at)), pa.array(np.full(len(at), n, np.int32)), pa.array(own, pa.binary()).cast(pa.string())], names=["hi", "lo", "lang", "n", "phrase"])
 
     return stored(texts.mapInArrow(find, "hi long, lo long, lang string, n int, phrase string").distinct(), "candidates")
@@ -392,12 +377,8 @@ def counts(texts: DataFrame, path: str, bits: int, hashes: str, shards: int, spl
         def sent():
             nonlocal split
             hi, lo = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-            own, first, inverse, n = np.unique(hi, return_index=True, return_inverse=True, return_counts=True)
-            if (lo[first][inverse] != lo).any():  # two keys with one upper half
-                pairs, n = np.unique(np.stack([hi, lo], 1), axis=0, return_counts=True)
-                own, lo = pairs[:, 0].copy(), pairs[:, 1].copy()
-            else:
-                lo = lo[first]
+            first, n = _groups(hi, lo)
+            own, lo = hi[first], lo[first]
             shard = np.mod(lo.view(np.int64), shards)
             order = np.argsort(shard, kind="stable")
             ends = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -497,17 +478,16 @@ def cuts(frequent: DataFrame) -> DataFrame:
     def cut(batches):
         import pyarrow as pa
 
-        claim("phrases", _release)
+        claim("phrases", _tables.clear)
         for b in batches:
             by_lang: dict[str, list[tuple[bytes, int]]] = {}
             for lang, phrase, a in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 by_lang.setdefault(lang, []).append((phrase.encode(), a))
             for lang, own in by_lang.items():
-                words = _words(lang)
-                ids = words.ids([p for p, _ in own])
+                _, keys, ids = split_words(lang, [p for p, _ in own])
                 sizes = np.array([p.count(b" ") + 1 for p, _ in own])
                 begin = np.cumsum(sizes + 1) - sizes - 1  # a mark stands between two phrases
-                found = grams(words, ids, int(sizes.max()))
+                found = grams(keys, ids, int(sizes.max()))
                 for k in range(1, int(sizes.max())):
                     some = np.flatnonzero(sizes > k)
                     for side, at, n in ((0, begin[some], np.full(len(some), k)), (1, begin[some] + k, sizes[some] - k)):
@@ -544,7 +524,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, wi
     n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     with Scratch(spark) as tables:
         bits = bucket_bits(n_bytes)
-        made = buckets(texts, bits, least)
+        made = buckets(texts, bits, least, longest)
         path = tables.paths[-1]
         found = candidates(texts, path, bits, longest)
         shards = max(1, -(-found.count() // SLOTS))

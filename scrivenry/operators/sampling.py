@@ -137,9 +137,12 @@ def job_shard(df: DataFrame, order: list[str], shard: int, shards: int) -> DataF
 
 
 def pending(df: DataFrame, done: DataFrame, keys: list[str], ok: str | None = None) -> DataFrame:
-    """Rows whose keys aren't done; with ``ok`` failed ones are taken again."""
-    finished = (done.where(F.col(ok)) if ok else done).select(*keys).distinct()
-    return df.join(finished, keys, "left_anti")
+    """Rows whose keys aren't done, null among them; with ``ok`` failed ones are taken again."""
+    finished = (done.where(F.col(ok)) if ok else done).select(*[F.col(k).alias(f"__done{i}") for i, k in enumerate(keys)]).distinct()
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"__done{i}"))
+    return df.join(finished, same, "left_anti")
 
 
 def positives_and_controls(df: DataFrame, positive: Column, each: int, seed: int, key: str) -> DataFrame:

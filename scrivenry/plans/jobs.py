@@ -8,7 +8,7 @@ from scrivenry.functions import meta
 from scrivenry.functions import text as T
 from scrivenry.operators import chunking, classify, pipelines
 from scrivenry.plans.common import query, spread, table
-from scrivenry.sources import files, services
+from scrivenry.sources import files, services, shards, sqlite
 from scrivenry.sources.scratch import scratch
 from scrivenry.streaming import jobs
 
@@ -174,8 +174,68 @@ def appended_shards(spark, sf):
     """Shards of 70 rows, filled in two runs: the files left short by the first are filled, and no row is lost."""
     d, path = table(spark, sf, "documents").select("doc_id", "lang", "text"), scratch(spark, "resumed")
     for part in (d.where("doc_id % 3 = 0"), d.where("doc_id % 3 <> 0")):
-        files.append_shards(part, path, 70)
-    return spark.read.schema(d.schema).json(path).select("doc_id", "lang", F.length("text").alias("n"))
+        shards.append(part, path, 70)
+    return shards.read(spark, path, "doc_id long, lang string, text string").select("doc_id", "lang", F.length("text").alias("n"))
+
+
+@query("""SELECT lang AS split, doc_id, upper(source) AS source FROM documents WHERE doc_id % 5 <> 0""")
+def rewritten_shards(spark, sf):
+    """Shards of 100 rows in a folder for each language, rewritten in place: some rows change, others go."""
+    path = scratch(spark, "rewritten")
+    shards.append(table(spark, sf, "documents").select("doc_id", "source", F.col("lang").alias("split")), path, 100)
+    schema = "doc_id long, source string, split string"
+    shards.rewrite(spark, path, schema, lambda rows: rows.where("doc_id % 5 <> 0").withColumn("source", F.upper("source")))
+    return shards.read(spark, path, schema).select("split", "doc_id", "source")
+
+
+@query("""SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place FROM documents""")
+def placed_rows(spark, sf):
+    """Rows of a file for each source, numbered by where they stand in it."""
+    path = scratch(spark, "placed")
+    d = table(spark, sf, "documents").select("source", "doc_id", "text").repartition("source").sortWithinPartitions("source", "doc_id")
+    d.write.partitionBy("source").json(path)
+    placed = files.with_position(spark.read.schema("doc_id long, text string, source string").json(path))
+    return placed.select("source", "doc_id", F.col("__pos").alias("place"))
+
+
+@query("""SELECT source, doc_id FROM documents WHERE doc_id % 3 = 1 QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 4""")
+def first_of_files(spark, sf):
+    """The first four rows of each file."""
+    path = scratch(spark, "first")
+    d = table(spark, sf, "documents").select("source", "doc_id").where("doc_id % 3 = 1").repartition("source").sortWithinPartitions("source", "doc_id")
+    d.write.partitionBy("source").json(path)
+    return files.first_per_file(spark.read.schema("doc_id long, source string").json(path), 4).select("source", "doc_id")
+
+
+@query("""SELECT doc_id, source, n_chars FROM documents WHERE lang IN ('en', 'fr') AND n_chars > 500 AND source LIKE 'src1%'""")
+def sqlite_scan(spark, sf):
+    """A SQLite copy of the documents' columns but the text, read with its filters passed on."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    path = scratch(spark, "sqlite").removeprefix("file://")
+    d.coalesce(1).mapInArrow(sqlite.written(path, "documents"), "n long").collect()  # SQLite has one writer
+    rows = sqlite.read_table(spark, path, "documents", 4, ["doc_id", "lang", "source", "n_chars"])
+    return rows.where(F.col("lang").isin("en", "fr") & (F.col("n_chars") > 500) & F.col("source").startswith("src1")).drop("lang")
+
+
+def _tags(spark, sf):
+    """Labelled documents with n-gram vectors, and three tags to learn."""
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select("doc_id", "text", "lang", "quality", "toxic")
+    return d, {"french": F.col("lang") == "fr", "good": F.col("quality") == 1, "toxic": F.col("toxic") == 1}
+
+
+@query()
+def tag_grid(spark, sf):
+    """Ranking quality of each tag under two vectorisers and two strengths, whole labelled texts."""
+    d, tags = _tags(spark, sf)
+    configs = [classify.Vectors(features=20_000), classify.Vectors(features=5_000, low=1, high=2)]
+    return classify.grid(d, "text", tags, "doc_id", configs, [0.3, 3.0])
+
+
+@query()
+def tag_candidates(spark, sf):
+    """For each tag the 50 documents without it that most look like those with it."""
+    d, tags = _tags(spark, sf)
+    return classify.tag_candidates(classify.tfidf(d, "text", "features", classify.Vectors(features=20_000)), "features", tags, "doc_id", 50)
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN upper(lang) ELSE lang END AS lang FROM documents""")

@@ -18,25 +18,34 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, corrupt: str = "drop
 
 
 def with_position(df: DataFrame) -> DataFrame:
-    """Adds __file and __pos: the file of each row, and its place there among the rows of a scan."""
-    return df.withColumn("__file", F.input_file_name()).withColumn("__pos", F.monotonically_increasing_id())
+    """Adds __file and __pos: the file of each row of a file scan, and its place there from 0.
+
+    A file is read in splits, each by one task and from its beginning.  Rows are numbered in their task, the rows of
+    each split are counted, and what stands in a file's earlier splits is added: the place is exact, however files
+    are split.  ``df`` is a scan of files (a reader's result).
+    """
+    placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__m"))
+    splits = placed.groupBy("__file", "__block").agg(F.min("__m").alias("__first"), F.count("*").alias("__n"))
+    earlier = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    before = splits.select(F.col("__file").alias("__f"), F.col("__block").alias("__b"), (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")).alias("__add"))
+    found = placed.join(before, (F.col("__file") == F.col("__f")) & (F.col("__block") == F.col("__b")))
+    return found.select(*df.columns, "__file", (F.col("__m") + F.col("__add")).alias("__pos"))
 
 
 def first_per_file(df: DataFrame, most: int) -> DataFrame:
     """At most the first ``most`` rows of each file."""
-    w = Window.partitionBy("__file").orderBy("__pos")
-    return with_position(df).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= most).drop("__file", "__pos", "__r")
+    return with_position(df).where(F.col("__pos") < most).drop("__file", "__pos")
 
 
 def first_rows(df: DataFrame, most: int) -> DataFrame:
     """The first rows in the order of files and places."""
-    return with_position(df).orderBy("__file", "__pos").limit(most).drop("__file", "__pos")
+    return with_position(df).where(F.col("__pos") < most).orderBy("__file", "__pos").limit(most).drop("__file", "__pos")
 
 
 def calibration_texts(df: DataFrame, n: int, seed: int) -> DataFrame:
     """The first row of each of ``n`` files, drawn by a hash; rows without text go after that."""
-    one = first_per_file(df.withColumn("__name", F.input_file_name()), 1)
-    return one.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "__name"))).limit(n).drop("__name").where("coalesce(text, '') <> ''")
+    one = with_position(df).where(F.col("__pos") == 0)
+    return one.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "__file")), "__file").limit(n).drop("__file", "__pos").where("coalesce(text, '') <> ''")
 
 
 def read_labels(spark: SparkSession, path: str, key: str, axes: list[str]) -> DataFrame:
@@ -113,7 +122,8 @@ def write_lines(df: DataFrame, column: str, path: str) -> None:
 
 def replace_table(df: DataFrame, path: str) -> None:
     """Put a table's rows in place of what ``path`` holds, which ``df`` may read: they are written beside it and take
-    its name when complete; until then, and if the run is cut short, the old table stands."""
+    its name when complete.  Between two renames there is no table of that name, and the old one is beside it, under
+    ``.former``; a table of shards (``shards.rewrite``) changes at one moment."""
     spark, fresh, former = df.sparkSession, f"{path.rstrip('/')}.fresh", f"{path.rstrip('/')}.former"
     fs, place = _fs(spark, path)
     for left in (fresh, former):
@@ -140,18 +150,10 @@ def write_works(df: DataFrame, path: str, key: str) -> None:
 
 
 def append_shards(df: DataFrame, path: str, most: int) -> None:
-    """Add rows to shards: the files that aren't full are read with the new rows and written anew, full ones stay.
-    Files written before are removed only when the new ones are complete."""
-    spark = df.sparkSession
-    fs, place = _fs(spark, path)
-    short: list[str] = []
-    if fs.exists(place):
-        counts = spark.read.text(path).groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n"))
-        short = [r.f for r in counts.where(F.col("n") < most).collect()]  # one a task of the last run at most
-    rest = spark.read.schema(df.schema).json(short) if short else df.limit(0)
-    write_shards(rest.unionByName(df), path, most, "append")
-    for f in short:
-        fs.delete(_fs(spark, f)[1], False)
+    """Add rows to shards of JSON lines, see ``shards.append``."""
+    from scrivenry.sources import shards
+
+    shards.append(df, path, most)
 
 
 def cached_by(df: DataFrame, root: str, name: str, parameters: dict) -> DataFrame:

@@ -78,13 +78,9 @@ def lineage(df: DataFrame, order: str, work: str, batch_rows: int, accumulate: i
 def resumed(df: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, keys: list[str], ok: str | None = None) -> DataFrame:
     """Do what isn't done yet and append it: rows whose keys ``path`` has (with ``ok``: and that succeeded) are
     skipped.  An append is atomic, so a run that is cut short loses only itself."""
-    from pyspark.errors import AnalysisException
-
     spark = df.sparkSession
-    try:
-        todo = pending(df, spark.read.parquet(path), keys, ok)
-    except AnalysisException:
-        todo = df
+    found = _written(spark, path)
+    todo = df if found is None else pending(df, found, keys, ok)
     work(todo).write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
@@ -108,9 +104,8 @@ def batches_until(jobs: DataFrame, work: Callable[[DataFrame], DataFrame], path:
 
 
 def _written(spark: SparkSession, path: str) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    """What ``path`` holds; None where nothing was written yet."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = fs.exists(place) and any(not f.getPath().getName().startswith(("_", ".")) for f in fs.listStatus(place))
+    return spark.read.parquet(path) if there else None

@@ -226,11 +226,15 @@ def overlap_length(left: Column, right: Column, least: int = 20, most: int = 120
     A suffix must begin where the first ``least`` characters of ``right`` occur in the tail; only those places
     are compared.
     """
-    tail, head = F.right(left, F.lit(most)), F.left(right, F.lit(least))
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(tail) - least + 1, F.lit(1))), lambda i: F.substr(tail, i, F.lit(least)) == head)
-    whole = F.filter(places, lambda i: F.substr(tail, i) == F.left(right, F.length(tail) - i + 1))
-    size = F.length(tail) - F.array_min(whole) + 1
-    return F.when((F.length(tail) >= least) & (F.length(right) >= least), F.coalesce(size, F.lit(0))).otherwise(F.lit(0))
+    def of(tail: Column) -> Column:
+        head = F.left(right, F.lit(least))
+        places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(tail) - least + 1, F.lit(1))), lambda i: F.substr(tail, i, F.lit(least)) == head)
+        whole = F.filter(places, lambda i: F.substr(tail, i) == F.left(right, F.length(tail) - i + 1))
+        size = F.length(tail) - F.array_min(whole) + 1
+        return F.when((F.length(tail) >= least) & (F.length(right) >= least) & F.contains(tail, head), F.coalesce(size, F.lit(0))).otherwise(F.lit(0))
+
+    # As an element of an array the tail is made once, and not again for each place.
+    return F.element_at(F.transform(F.array(F.right(left, F.lit(most))), of), 1)
 
 
 # -- style ---------------------------------------------------------------------------------------

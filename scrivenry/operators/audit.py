@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivenry.functions.text import encoding_faults, is_empty_ascii, markup_ratio, without_tags
+from scrivenry.sources import files
 
 # The tables an audit needs, and their columns.
 REQUIRED = {
@@ -71,6 +72,13 @@ def body_faults(episodes: DataFrame, least_share: float = LEAST_TEXT_SHARE) -> D
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [empty, faults, thin])
 
 
+def raw_faults(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (reason, file, line, detail) of lines that hold half of a surrogate pair: Spark's strings keep a file's
+    bytes, in which alone it can be seen."""
+    lines = files.with_position(spark.read.text(path)).where(files.surrogate_faults(F.col("value").cast("binary")))
+    return lines.select(F.lit("encoding_anomaly").alias("reason"), F.col("__file").alias("file"), F.col("__pos").alias("line"), F.array(F.lit("unpaired_surrogate")).alias("detail"))
+
+
 def rejected(novels: DataFrame, episodes: DataFrame) -> DataFrame:
     """All rejected rows: orphans and faulty bodies, under one nullable schema."""
     lone = orphans(episodes, novels, "ncode").select(F.lit("orphan_episode").alias("reason"), "ncode")

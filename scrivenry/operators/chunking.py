@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import cache
 from itertools import accumulate
 
 from pyspark.sql import DataFrame
@@ -25,6 +27,24 @@ def regex_tokens(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _TOKEN.finditer(text)]
 
 
+@dataclass(frozen=True)
+class FileTokens:
+    """The tokens of a tokenizer's file, which each worker loads once (``path`` is a parameter, on a folder they all
+    see): offsets in characters, without special tokens; those that stand for no character are left out."""
+
+    path: str
+
+    def __call__(self, text: str) -> list[tuple[int, int]]:
+        return [(a, b) for a, b in _library(self.path).encode(text, add_special_tokens=False).offsets if b > a]
+
+
+@cache
+def _library(path: str):
+    from tokenizers import Tokenizer as Library
+
+    return Library.from_file(path)
+
+
 def _sentences(paragraph: str) -> list[str]:
     ends = [m.end() for m in SENTENCE.finditer(paragraph)]
     cuts = [0, *ends] + ([len(paragraph)] if not ends or ends[-1] < len(paragraph) else [])

@@ -105,11 +105,24 @@ def candidates(scored: DataFrame, label: str, top: int, key: str = "doc_id", by:
     return parts.drop("__part", "__r")
 
 
-def ablation(df: DataFrame, label: str, key: str, sets: dict[str, str], k: int = 3) -> DataFrame:
-    """Rows (features, auc, delta) for each feature column, delta against the first."""
-    rows = [(name, evaluate(df, label, key, column, k)[0].first()["auc"]) for name, column in sets.items()]
-    base = rows[0][1]
-    return df.sparkSession.createDataFrame([(n, a, None if a is None or base is None else round(a - base, 6)) for n, a in rows], "features string, auc double, delta double")
+def side_by_side(a: Column, width: int, b: Column) -> Column:
+    """Two structs of indices and values as one; the second's indices come after the first's ``width``."""
+    return F.struct(F.concat(a["indices"], F.transform(b["indices"], lambda i: (i + width).cast("int"))).alias("indices"), F.concat(a["values"], b["values"]).alias("values"))
+
+
+def ablation(df: DataFrame, tags: dict[str, Column], key: str, sets: dict[str, str], k: int = 3, c: float = 1.0, seed: int = 7) -> DataFrame:
+    """Rows (tag, features, n_pos, n_total, auc, ap, delta) of each tag under each feature set; sets: name and column,
+    delta against the first.  All tags of a set are fitted at once, and all sets have the same folds."""
+    labels, out, names = F.array(*[t.cast("double") for t in tags.values()]).alias("__labels"), None, list(tags)
+    for name, column in sets.items():
+        rows = labelfit.matrix_rows(df.select(key, labels, F.col(column).alias("__f")), "__labels", "__f", key, k, seed)
+        weights, models = labelfit.fit(rows, [c], k, labelfit.width(rows))
+        scored = stored(labelfit.scores(rows, weights, models, key), "scores")
+        own = measures.auc(scored, "label", "score", ["tag"]).join(measures.average_precision(scored, "label", "score", ["tag"]), "tag").withColumn("features", F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    base = out.where(F.col("features") == next(iter(sets))).select("tag", F.col("auc").alias("__base"))
+    tag = F.element_at(F.array(*map(F.lit, names)), F.col("tag") + 1).alias("tag")
+    return out.join(base, "tag").select(tag, "features", "n_pos", (F.col("n_pos") + F.col("n_neg")).alias("n_total"), "auc", "ap", F.bround(F.col("auc") - F.col("__base"), 4).alias("delta"))
 
 
 def grid(df: DataFrame, text: str, tags: dict[str, Column], key: str, configs: list[Vectors], strengths: list[float], k: int = 3, stop=None, seed: int = 7) -> DataFrame:

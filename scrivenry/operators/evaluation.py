@@ -81,6 +81,23 @@ def _agreements(pairs: DataFrame, keys: list[str], a: str, b: str, fields: list[
     return pairs.select(*keys, F.explode(scores).alias("s")).select(*keys, "s.*")
 
 
+def _repeated(runs: DataFrame) -> DataFrame:
+    first, second = (runs.where(F.col("run_index") == i).select("ncode", "method", F.col("features").alias(f"__f{i}"), F.coalesce("seconds", F.lit(0.0)).alias(f"__s{i}"), F.col("n_chars").alias(f"__n{i}")) for i in (0, 1))
+    return first.join(second, ["ncode", "method"])
+
+
+def field_stability(runs: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """Rows (method, field, n, rate): how often the first two runs of a work agree in each field."""
+    scores = _agreements(_repeated(runs), ["ncode", "method"], "__f0", "__f1", fields or [*SCALARS, *CONTENTS, *SETS])
+    return scores.groupBy("method", "field").agg(F.count("*").alias("n"), F.bround(F.avg("score"), 4).alias("rate"))
+
+
+def feature_texts(features: DataFrame, manifest: DataFrame, texts: DataFrame, key: str = "ncode") -> DataFrame:
+    """Works with features that could be read (ok), a manifest row and a text, all columns of the three; others go.
+    features: key, ok, ...; texts: key, text."""
+    return features.where("ok").drop("ok").join(manifest, key).join(texts.where("text is not null"), key)
+
+
 def stability(runs: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """Rows (method, n_works, n_fields_always_stable, mean_stability, mean_confidence, mean_seconds, mean_chars,
     n_works_fully_stable, conf_when_fully_stable, conf_when_unstable) of the first two runs of each work.
@@ -88,8 +105,7 @@ def stability(runs: DataFrame, fields: list[str] | None = None) -> DataFrame:
     runs: ncode, method, run_index, features, seconds, n_chars.  An empty side's mean confidence is 0.
     """
     fields = fields or [*SCALARS, *CONTENTS, *SETS]
-    first, second = (runs.where(F.col("run_index") == i).select("ncode", "method", F.col("features").alias(f"__f{i}"), F.coalesce("seconds", F.lit(0.0)).alias(f"__s{i}"), F.col("n_chars").alias(f"__n{i}")) for i in (0, 1))
-    pairs = first.join(second, ["ncode", "method"])
+    pairs = _repeated(runs)
     scores = _agreements(pairs, ["ncode", "method"], "__f0", "__f1", fields)
     by_field = scores.groupBy("method", "field").agg(F.avg("score").alias("rate")).groupBy("method").agg(F.count_if(F.col("rate") == 1).alias("n_fields_always_stable"), F.bround(F.avg("rate"), 4).alias("mean_stability"))
     by_work = scores.groupBy("ncode", "method").agg(F.min("score").alias("__least"))

@@ -25,17 +25,40 @@ def label_folds(df: DataFrame, labels: str, key: str, k: int, seed: int) -> Data
     return own.select(key, F.transform("__f", lambda x: x["f"]).alias("folds"))
 
 
+def sparse(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with a column of vectors, or of arrays of numbers, as structs of indices and values."""
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql.types import ArrayType, StructField, StructType
+
+    kind = StructType.fromDDL("indices array<int>, values array<float>")
+    if isinstance(df.schema[column].dataType, ArrayType):
+        values = F.coalesce(F.col(column).cast("array<float>"), F.array().cast("array<float>"))
+        made = F.struct(F.transform(values, lambda v, i: i).alias("indices"), values.alias("values"))
+        return df.withColumn(column, made)
+    if not isinstance(df.schema[column].dataType, VectorUDT):
+        return df.withColumn(column, F.col(column).cast(kind))
+    place = df.columns.index(column)
+
+    def split(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            at, values = [], []
+            for v in b.column(place).to_pylist():
+                dense = np.asarray(v["values"] if v else [], np.float32)
+                at.append(np.arange(len(dense), dtype=np.int32) if not v or v["indices"] is None else v["indices"])
+                values.append(dense)
+            made = pa.StructArray.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=["indices", "values"])
+            yield pa.RecordBatch.from_arrays([made if i == place else c for i, c in enumerate(b.columns)], names=b.schema.names)
+
+    return df.mapInArrow(split, StructType([StructField(f.name, kind if f.name == column else f.dataType) for f in df.schema.fields]))
+
+
 def matrix_rows(df: DataFrame, labels: str, features: str, key: str, k: int, seed: int) -> DataFrame:
     """key, at, value, labels, folds of rows with unique keys, stored: many passes read them.  features is a sparse
     vector; labels an array with 1 for what has the label."""
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.linalg import VectorUDT
-
-    if isinstance(df.schema[features].dataType, VectorUDT):
-        filled = F.filter(F.transform(vector_to_array(features, "float32"), lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda x: x["v"] != 0)
-        df = df.select(key, labels, F.transform(filled, lambda x: x["i"]).alias("at"), F.transform(filled, lambda x: x["v"]).alias("value"))
-    else:  # a struct of indices and values
-        df = df.select(key, labels, F.col(f"{features}.indices").alias("at"), F.col(f"{features}.values").cast("array<float>").alias("value"))
+    df = sparse(df.select(key, labels, features), features)
+    df = df.select(key, labels, F.col(f"{features}.indices").alias("at"), F.col(f"{features}.values").alias("value"))
     df = df.withColumn("labels", F.transform(labels, lambda y: F.coalesce(y.cast("double"), F.lit(0.0))))
     return stored(df.join(label_folds(df, "labels", key, k, seed), key).select(key, "at", "value", "labels", "folds"), "rows")
 

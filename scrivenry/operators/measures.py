@@ -175,6 +175,22 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def layer_influence(df: DataFrame, layer: str, before: str, after: str, tokens: str) -> DataFrame:
+    """Rows (layer, n_tokens, similarity, influence): the mean cosine of what goes into a layer and what comes out,
+    weighted by tokens, and what is missing to 1.  Rows without a cosine (a zero vector) or tokens don't count."""
+    c = cosine(F.col(before), F.col(after))
+    known = df.select(layer, F.col(tokens).cast("double").alias("__n"), c.alias("__c")).where("__c is not null and __n > 0")
+    mean = F.sum(F.col("__c") * F.col("__n")) / F.sum("__n")
+    return known.groupBy(layer).agg(F.sum("__n").cast("long").alias("n_tokens"), F.bround(mean, 6).alias("similarity"), F.bround(1 - mean, 6).alias("influence"))
+
+
+def lengths_over(df: DataFrame, column: str, limit: int) -> DataFrame:
+    """One row (n, least, p50, p90, p99, most, over, over_share): a distribution of lengths, by nearest ranks, and how
+    many are above a limit."""
+    over = df.agg(F.count_if(F.col(column) > limit).alias("over"), F.bround(F.try_divide(F.count_if(F.col(column) > limit), F.count(column)), 6).alias("over_share"))
+    return nearest_ranks(df, column, {"p50": 0.5, "p90": 0.9, "p99": 0.99}).crossJoin(F.broadcast(over))  # one row each
+
+
 def spread(df: DataFrame, by: str, value: str) -> DataFrame:
     """Rows (by, least, p50, most): of a number in each group, the middle one at place n // 2."""
     counts = df.groupBy(by, value).agg(F.count("*").alias("__c"))

@@ -166,6 +166,26 @@ def verdict(value: Column, levels: list[tuple[float, str]], otherwise: str) -> C
     return out.otherwise(otherwise)
 
 
+def tagger_verdicts(summary: DataFrame, axes: list[str]) -> DataFrame:
+    """Rows (measure, value, verdict) of a tagger's summary: whether its answers vary, and whether each axis tells the
+    two kinds of works apart."""
+    said = [F.struct(F.lit("distinct_ratio").alias("measure"), F.col("distinct_ratio").alias("value"), verdict(F.col("distinct_ratio"), [(0.5, "ok")], "bad").alias("verdict"))]
+    said += [F.struct(F.lit(f"{a}_auc").alias("measure"), F.col(f"{a}_auc").alias("value"), verdict(F.col(f"{a}_auc"), [(0.8, "ok"), (0.65, "weak")], "bad").alias("verdict")) for a in axes]
+    return summary.select(F.explode(F.array(*said)).alias("x")).select("x.*").where("value is not null")
+
+
+def trial_verdict(trial: DataFrame) -> DataFrame:
+    """One row (real, none, foreign, verdict) of a trial's rates (condition, any_rate)."""
+    one = trial.agg(*[F.coalesce(F.max(F.when(F.col("condition") == c, F.col("any_rate"))), F.lit(0.0)).alias(c) for c in ("real", "none", "foreign")])
+    return one.withColumn("verdict", terms_verdict(F.col("real"), F.col("none"), F.col("foreign")))
+
+
+def long_work_contexts(works: DataFrame, chunks: DataFrame, length: str, top: int, spread: int, pinned: list[str], order: list[str], method: str, chars: int, key: str = "ncode") -> DataFrame:
+    """Segments of the longest, pinned and evenly spread works (see ``select_works``), by a method of sampling."""
+    chosen = select_works(works, length, top, spread, pinned, key).select(key)
+    return reading.segments(chunks.join(chosen, key, "left_semi"), [key], order, "text", method, chars)
+
+
 def terms_verdict(real: Column, none: Column, foreign: Column) -> Column:
     """Whether naming terms works: more than half as often again as without them, and in a fifth of the cases."""
     return F.when((real == 0) & (none == 0) & (foreign == 0), "under_powered").when((real > 1.5 * none) & (real > 0.2), "effective").otherwise("no_effect")

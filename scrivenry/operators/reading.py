@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scrivenry.operators import ranks as places
+
 # Where the segments of each sampling method begin, as shares of a work.
 METHODS = {
     "uniform9": [0.0, 0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 1.0],
@@ -99,48 +101,69 @@ def joined_text(df: DataFrame, keys: list[str], order: list[str], text: str, sep
     return df.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda s: s["__t"]), separator).alias("text")).where(F.length("text") >= least)
 
 
-def allocate(texts: list[str], positions: list[float], chars: int) -> list[tuple[float, int, int, str]]:
-    """(position, first place, rows, text) of the segments of a work.
+def intervals(lengths: list[int], positions: list[float], chars: int) -> list[tuple[float, int, int, int, int]]:
+    """(position, first row, row after the last, first character, character after the last) of the segments of a work,
+    from the lengths of its rows; characters are counted from the work's beginning.
 
     A segment is an interval of rows, and each has an equal budget: from its position, or the next place that no
     segment has, on until the characters reach it; where another segment, a row without text or the end stops it
     before, back from there for the rest.  The rows at both ends are cut.
     """
-    share, read = max(1, chars // len(positions)), [0, *accumulate(map(len, texts))]
-    blank = [i for i, t in enumerate(texts) if not t]
+    share, read = max(1, chars // len(positions)), [0, *accumulate(lengths)]
+    blank = [i for i, n in enumerate(lengths) if not n]
     taken: list[tuple[int, int]] = []  # rows [first, last) of segments so far, ascending
     out = []
     for position in positions:
-        start = round(position * (len(texts) - 1)) if len(texts) > 1 else 0
+        start = round(position * (len(lengths) - 1)) if len(lengths) > 1 else 0
         for low, high in taken:
             start = high if low <= start < high else start
-        if start >= len(texts):
+        if start >= len(lengths):
             continue
-        walls = [len(texts), *(low for low, _ in taken if low > start), *blank[bisect_left(blank, start) :][:1]]
+        walls = [len(lengths), *(low for low, _ in taken if low > start), *blank[bisect_left(blank, start) :][:1]]
         last = bisect_left(read, read[start] + share, start, min(walls))
         rest = share - (read[last] - read[start])
         floors = [0, *(high for _, high in taken if high <= start), *(i + 1 for i in blank[: bisect_left(blank, start)][-1:])]
         first = max(max(floors), bisect_right(read, read[start] - rest) - 1) if rest > 0 else start
         if first < last:
-            before = "".join(texts[first:start])
-            out.append((position, first, last - first, before[max(0, len(before) - rest) :] + "".join(texts[start:last])[:share]))
+            out.append((position, first, last, max(read[first], read[start] - max(rest, 0)), min(read[last], read[start] + share)))
             insort(taken, (first, last))
     return out
 
 
+def allocate(texts: list[str], positions: list[float], chars: int) -> list[tuple[float, int, int, str]]:
+    """(position, first place, rows, text) of the segments of a work."""
+    whole = "".join(texts)
+    return [(p, first, last - first, whole[begin:end]) for p, first, last, begin, end in intervals([len(t) for t in texts], positions, chars)]
+
+
 def segments(df: DataFrame, keys: list[str], order: list[str], text: str, method: str, chars: int) -> DataFrame:
-    """Rows (keys, position, start_chunk, n_chunks, n_chars, text): segments of each work by a method."""
+    """Rows (keys, position, start_chunk, n_chunks, n_chars, text): segments of each work by a method.
+
+    Segments are chosen by the rows' lengths, which are all that Python sees of a work; the rows chosen are joined
+    back, cut and put together, and a segment has its share of ``chars`` characters at most.
+    """
     positions = METHODS[method]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema) + ", position double, start_chunk int, n_chunks int, n_chars int, text string"
+    rows = places.numbered(df.select(*keys, *order, text), order, "__i", keys)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        found = allocate([t or "" for t in pdf[text]], positions, chars)
-        head = {k: pdf[k].iloc[0] for k in keys}
-        rows = [head | {"position": p, "start_chunk": s, "n_chunks": n, "n_chars": len(t), "text": t} for p, s, n, t in found]
-        return pd.DataFrame(rows, columns=[*keys, "position", "start_chunk", "n_chunks", "n_chars", "text"])
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
+        pdf = pdf.sort_values("__i")
+        lengths, head = pdf["__size"].tolist(), [pdf[k].iloc[0] for k in keys]
+        read, out = [0, *accumulate(lengths)], []
+        for position, first, last, begin, end in intervals(lengths, positions, chars):
+            out += [(*head, position, first, last - first, i, max(begin, read[i]) - read[i], max(0, min(end, read[i + 1]) - max(begin, read[i]))) for i in range(first, last)]
+        return pd.DataFrame(out, columns=[*keys, "position", "start_chunk", "n_chunks", "__i", "__from", "__take"])
+
+    sizes = rows.select(*keys, F.col("__i").cast("int").alias("__i"), F.coalesce(F.length(text), F.lit(0)).alias("__size"))
+    chosen = sizes.groupBy(*keys).applyInPandas(run, f"{kinds}, position double, start_chunk int, n_chunks int, __i int, __from int, __take int")
+    same = F.col("__i") == F.col("__row")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"__key{i}"))
+    texts = rows.select(F.col("__i").alias("__row"), *[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)], F.col(text).alias("__text"))
+    cut = chosen.join(texts, same).withColumn("__part", F.substr(F.coalesce("__text", F.lit("")), F.col("__from") + 1, F.col("__take")))
+    parts = F.array_sort(F.collect_list(F.struct("__i", "__part")))
+    made = cut.groupBy(*keys, "position", "start_chunk", "n_chunks").agg(F.array_join(F.transform(parts, lambda x: x["__part"]), "").alias("text"))
+    return made.select(*keys, "position", "start_chunk", "n_chunks", F.length("text").alias("n_chars"), "text")
 
 
 def skipped_text(df: DataFrame, keys: list[str], order: list[str], text: str, parts: int, separator: str, chars: int) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from scrivenry.functions import prompts
-from scrivenry.operators import audit, classify, evaluation, features, pipelines, terms
-from scrivenry.plans.common import query, table
+from scrivenry.functions import meta, prompts
+from scrivenry.operators import audit, classify, evaluation, features, labelfit, pipelines, terms
+from scrivenry.plans.common import ORACLE_SQL, query, table
 from scrivenry.plans.pipelines import works_of
 
 _LAB = "SELECT doc_id, quality, toxic, n_chars, lang, source FROM documents JOIN labels USING (doc_id)"
@@ -82,6 +82,14 @@ def run_stability(spark, sf):
     return evaluation.stability(runs(spark, sf), ["protagonist_gender", "ending_type", "sexual_content"])
 
 
+@query(_RUNS + """,
+p AS (SELECT a.method, unnest([{'field': 'protagonist_gender', 's': (a.gender = b.gender)::INT}, {'field': 'ending_type', 's': (a.ending = b.ending)::INT}, {'field': 'sexual_content', 's': (a.present = b.present AND a.lvl = b.lvl)::INT}], recursive := true) FROM v a JOIN v b ON a.conv_id = b.conv_id AND a.method = b.method AND a.run = 0 AND b.run = 1)
+SELECT method, field, count(*) AS n, round_even(avg(s), 4) AS rate FROM p GROUP BY 1, 2""")
+def field_stability(spark, sf):
+    """How often two runs agree in each field."""
+    return evaluation.field_stability(runs(spark, sf), ["protagonist_gender", "ending_type", "sexual_content"])
+
+
 @query(_RUNS + """,
 p AS (SELECT a.method AS m1, b.method AS m2, (a.gender = b.gender)::INT AS s1, (a.cnt = b.cnt)::INT AS s2, CASE WHEN a.n % 15 = b.n % 15 THEN 1.0 WHEN (a.n + 5) % 15 = b.n % 15 OR (b.n + 5) % 15 = a.n % 15 THEN 1.0 / 3 ELSE 0.0 END AS s3, a.conv_id FROM v a JOIN v b ON a.conv_id = b.conv_id AND a.run = 0 AND b.run = 0 AND a.method < b.method),
 s AS (SELECT m1, m2, unnest([{'field': 'protagonist_gender', 's': s1::DOUBLE}, {'field': 'protagonist_count', 's': s2::DOUBLE}, {'field': 'story_shape', 's': s3::DOUBLE}, {'field': 'setting_era', 's': 1.0::DOUBLE}], recursive := true) FROM p)
@@ -110,6 +118,18 @@ def conditioning_gap(spark, sf):
     return evaluation.conditioning_gap(table(spark, sf, "conversations"), "role", "text", "user", "assistant", ["the", "ich", "que"])
 
 
+_VERDICT = "CASE WHEN value >= {} THEN 'ok' WHEN value >= {} THEN 'weak' ELSE 'bad' END"
+
+
+@query(f"""
+WITH t AS ({ORACLE_SQL["tagger_summary"]}),
+v AS (SELECT unnest([{{'measure': 'distinct_ratio', 'value': distinct_ratio}}, {{'measure': 'sexual_content_auc', 'value': sexual_content_auc}}, {{'measure': 'violence_auc', 'value': violence_auc}}], recursive := true) FROM t)
+SELECT measure, value, CASE WHEN measure = 'distinct_ratio' THEN CASE WHEN value >= 0.5 THEN 'ok' ELSE 'bad' END ELSE {_VERDICT.format(0.8, 0.65)} END AS verdict FROM v WHERE value IS NOT NULL""")
+def tagger_verdicts(spark, sf):
+    """What the tagger's measures say of it."""
+    return pipelines.tagger_verdicts(tagger_summary(spark, sf), ["sexual_content", "violence"])
+
+
 @query("""
 WITH h AS (SELECT CASE doc_id % 3 WHEN 0 THEN 'real' WHEN 1 THEN 'none' ELSE 'foreign' END AS c, len(list_filter(['ing', 'the', 'qu'], lambda x: contains(text, x) AND NOT contains(left(text, 40), x))) AS n FROM documents)
 SELECT c AS condition, count(*) AS n, round_even(avg(n), 6) AS mean, round_even(median(n), 6) AS median, round_even(avg((n > 0)::INT), 6) AS any_rate FROM h GROUP BY c""")
@@ -119,6 +139,42 @@ def terms_trial(spark, sf):
     return evaluation.terms_trial(table(spark, sf, "documents").select(condition.alias("c"), hits.alias("h")), "c", "h")
 
 
+@query(f"""
+WITH t AS ({ORACLE_SQL["terms_trial"]}), o AS (SELECT max(any_rate) FILTER (condition = 'real') AS real, max(any_rate) FILTER (condition = 'none') AS "none", max(any_rate) FILTER (condition = 'foreign') AS "foreign" FROM t)
+SELECT *, CASE WHEN real = 0 AND "none" = 0 AND "foreign" = 0 THEN 'under_powered' WHEN real > 1.5 * "none" AND real > 0.2 THEN 'effective' ELSE 'no_effect' END AS verdict FROM o""")
+def trial_verdict(spark, sf):
+    """Whether naming terms works."""
+    return pipelines.trial_verdict(terms_trial(spark, sf))
+
+
+@query("""
+WITH w AS (SELECT conv_id, min(turn) AS turn FROM conversations GROUP BY 1), f AS (SELECT conv_id, length(text) AS n, conv_id % 5 <> 4 AS ok FROM conversations JOIN w USING (conv_id, turn))
+SELECT conv_id AS ncode, CASE WHEN ok AND conv_id % 4 <> 0 AND (n + 3) % 5 IN (0, 1) THEN 'isekai' END AS world, CASE WHEN ok THEN ['male', 'female', 'multiple', 'non_human', 'unknown'][n % 5 + 1] ELSE 'unknown' END AS gender, CASE WHEN conv_id % 3 = 0 THEN 'first_person' ELSE 'unknown' END AS viewpoint FROM f""")
+def classified_works(spark, sf):
+    """The classification of each work from its first chapter's features, its viewpoint and its declared tags."""
+    every = features.demo(table(spark, sf, "conversations"))
+    first = every.groupBy("ncode").agg(F.min_by("features", "ordinal").alias("features")).select("ncode", (F.col("ncode") % 5 != 4).alias("ok"), "features")
+    works = first.select("ncode", F.create_map(F.lit("異世界転生"), F.col("ncode") % 4 == 0).alias("control_flags"))
+    viewpoints = first.where("ncode % 3 = 0").select("ncode", F.lit("first_person").alias("viewpoint"))
+    found = meta.classify_works(works, first, viewpoints)
+    return found.select("ncode", "setting.world", "protagonist.gender", "narrative.viewpoint")
+
+
+@query()
+def feature_ablation(spark, sf):
+    """Ranking quality of two tags of conversations under n-grams, extracted features, and both side by side."""
+    c = table(spark, sf, "conversations")
+    rolled = features.aggregate(features.demo(c))
+    vectors = rolled.select("ncode", (F.col("ncode") % 9 != 5).alias("ok"), features.vector(F.struct(*[x for x in rolled.columns if x != "ncode"])).alias("llm"))
+    manifest = c.groupBy(F.col("conv_id").alias("ncode")).agg(F.bool_or(F.col("role") == "system").alias("system"), (F.count("*") > 5).alias("long"))
+    texts = c.groupBy(F.col("conv_id").alias("ncode")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    works = evaluation.feature_texts(vectors, manifest, texts)
+    made = classify.tfidf(works, "text", "tfidf", classify.Vectors(features=20_000))
+    made = labelfit.sparse(labelfit.sparse(made, "tfidf"), "llm")
+    made = made.withColumn("both", classify.side_by_side(F.col("tfidf"), 20_000, F.col("llm")))
+    return classify.ablation(made, {"system": F.col("system"), "long": F.col("long")}, "ncode", {"tfidf": "tfidf", "llm": "llm", "both": "both"})
+
+
 @query(f"""WITH d AS ({_LAB}) SELECT round_even(avg(n_chars) FILTER (quality = 1), 6) AS with_mean, round_even(avg(n_chars) FILTER (quality <> 1), 6) AS without_mean, round_even(avg(n_chars) FILTER (quality = 1) - avg(n_chars) FILTER (quality <> 1), 6) AS lift FROM d""")
 def plan_lift(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").withColumn("on", F.col("quality") == 1)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scrivenry.functions import meta
 from scrivenry.functions import text as T
-from scrivenry.operators import chunking, classify, pipelines
+from scrivenry.operators import audit, chunking, classify, pipelines
 from scrivenry.plans.common import query, spread, table
 from scrivenry.sources import files, services, shards, sqlite
 from scrivenry.sources.scratch import scratch
@@ -61,6 +61,27 @@ def api_refresh(spark, sf):
     return services.refresh(works, _site, sleep=_no_wait).select("ncode", "status", "attempts")
 
 
+@query("""
+WITH w AS (SELECT DISTINCT conv_id FROM conversations), s AS (SELECT CASE WHEN conv_id % 7 = 0 OR conv_id % 5 = 0 THEN 'unknown' WHEN conv_id % 3 = 0 THEN 'not_found' ELSE 'available' END AS status, count(*) AS n FROM w WHERE conv_id % 2 = 1 GROUP BY 1)
+SELECT (SELECT count(*) FROM w WHERE conv_id % 2 = 1) AS processed, (SELECT count(*) FROM w WHERE conv_id % 2 = 0) AS skipped, (SELECT string_agg(status || '=' || n, ',' ORDER BY status) FROM s) AS statuses""")
+def api_refresh_resumed(spark, sf):
+    """Half of the works are asked, and then all: the second run asks only those that have no answer."""
+    works, path = table(spark, sf, "conversations").select(F.concat(F.lit("n"), F.col("conv_id")).alias("ncode"), F.lit(False).alias("is_r18"), "conv_id"), scratch(spark, "answers")
+    services.refresh_resumed(works.where("conv_id % 2 = 0"), _site, path, sleep=_no_wait)
+    found = services.refresh_resumed(works, _site, path, sleep=_no_wait)
+    listed = F.array_join(F.transform(F.map_entries("status_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return found.select("processed", "skipped", listed.alias("statuses"))
+
+
+@query("""SELECT 'encoding_anomaly' AS reason, ['unpaired_surrogate'] AS detail, count(*) AS n FROM documents WHERE doc_id % 10 = 3""")
+def raw_faults(spark, sf):
+    """Lines of a file with half of a surrogate pair."""
+    path, text = scratch(spark, "raw"), F.translate("text", "\n\r", "  ").cast("binary")
+    broken = F.concat(F.unhex(F.lit("EDA0BD")), text)
+    table(spark, sf, "documents").select(F.when(F.col("doc_id") % 10 == 3, broken).otherwise(text).cast("string").alias("value")).write.text(path)
+    return audit.raw_faults(spark, path).groupBy("reason", "detail").agg(F.count("*").alias("n"))
+
+
 def _no_wait(seconds: float) -> None:
     return None
 
@@ -109,6 +130,16 @@ def tfidf_classifier(spark, sf):
     return classify.evaluate(vectors, "quality", "doc_id", "features", k=5)[0]
 
 
+@query("""
+WITH r AS (SELECT user_id % 4 AS run, event_type, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS i FROM events), m AS (SELECT run, i // 64 AS m, list_sort(list(DISTINCT event_type)) AS works, count(*) AS n FROM r GROUP BY 1, 2)
+SELECT run, m + 1 AS micro_batch, m // 8 + 1 AS optimizer_step, m % 8 + 1 AS accumulation_index, works, n FROM m WHERE n = 64""")
+def lineage_log(spark, sf):
+    """The log of the micro-batches of four runs, from a stream of what they read."""
+    events = table(spark, sf, "events")
+    stream = jobs.file_stream(spark, sf, events, "events.parquet").withColumn("run", F.col("user_id") % 4)
+    return jobs.logged(jobs.lineage_stream(stream, "run", "event_id", "event_type", 64, 8), scratch(spark, "log"), scratch(spark, "log-state"))
+
+
 @query("""SELECT event_id, user_id, event_type FROM events""")
 def stream_dedup(spark, sf):
     events = table(spark, sf, "events")

@@ -133,12 +133,23 @@ def perplexity(spark, sf):
 
 
 @query("""
-WITH p AS (SELECT a.label AS layer, a.embedding AS x, b.embedding AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
-SELECT layer, count(*) AS n, round_even(1 - avg(list_dot_product(x::DOUBLE[], y::DOUBLE[]) / (sqrt(list_dot_product(x::DOUBLE[], x::DOUBLE[])) * sqrt(list_dot_product(y::DOUBLE[], y::DOUBLE[])))), 6) AS influence FROM p GROUP BY layer""")
+WITH p AS (SELECT a.label AS layer, a.embedding AS x, b.embedding AS y, 1 + a.vec_id % 7 AS w FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+c AS (SELECT layer, w, list_dot_product(x::DOUBLE[], y::DOUBLE[]) / (sqrt(list_dot_product(x::DOUBLE[], x::DOUBLE[])) * sqrt(list_dot_product(y::DOUBLE[], y::DOUBLE[]))) AS c FROM p)
+SELECT layer, sum(w)::BIGINT AS n_tokens, round_even(sum(c * w) / sum(w), 6) AS similarity, round_even(1 - sum(c * w) / sum(w), 6) AS influence FROM c GROUP BY layer""")
 def layer_influence(spark, sf):
+    """Neighbouring vectors as what goes into a layer and what comes out, by their numbers of tokens."""
     e = table(spark, sf, "embeddings")
     p = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("y")), "vec_id")
-    return p.groupBy(F.col("label").alias("layer")).agg(F.count("*").alias("n"), F.bround(1 - F.avg(measures.cosine(F.col("embedding"), F.col("y"))), 6).alias("influence"))
+    return measures.layer_influence(p.withColumn("w", 1 + F.col("vec_id") % 7).withColumnRenamed("label", "layer"), "layer", "embedding", "y", "w")
+
+
+@query("""
+WITH r AS (SELECT n_chars AS v, row_number() OVER (ORDER BY n_chars) - 1 AS i, count(*) OVER () AS n FROM documents)
+SELECT max(n) AS n, min(v) AS least, max(v) FILTER (i = round_even(0.5 * (n - 1), 0)) AS p50, max(v) FILTER (i = round_even(0.9 * (n - 1), 0)) AS p90, max(v) FILTER (i = round_even(0.99 * (n - 1), 0)) AS p99, max(v) AS most,
+ count_if(v > 4096)::BIGINT AS over, round_even(count_if(v > 4096) / max(n), 6) AS over_share FROM r""")
+def lengths_over(spark, sf):
+    """The lengths of all documents and the share above a limit."""
+    return measures.lengths_over(table(spark, sf, "documents"), "n_chars", 4096)
 
 
 @query("""

@@ -55,6 +55,14 @@ def long_works(spark, sf):
     return pipelines.select_works(s, "n", 3, 4, ["src5"], "source")
 
 
+@query()
+def long_work_contexts(spark, sf):
+    """Segments of the longest conversations and of some others."""
+    c = table(spark, sf, "conversations")
+    works = c.groupBy("conv_id").agg(F.sum(F.length("text")).alias("n"))
+    return pipelines.long_work_contexts(works, c, "n", 3, 6, ["2"], ["turn"], "ends3", 900, "conv_id")
+
+
 @query("""
 WITH p AS (SELECT a.label AS layer, a.embedding AS x, b.embedding AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
 i AS (SELECT layer, round_even(1 - avg(list_dot_product(x::DOUBLE[], y::DOUBLE[]) / (sqrt(list_dot_product(x::DOUBLE[], x::DOUBLE[])) * sqrt(list_dot_product(y::DOUBLE[], y::DOUBLE[])))), 6) AS influence FROM p GROUP BY layer)

@@ -45,9 +45,12 @@ _PAIR = "SELECT d.doc_id, b.item_id, d.text || left(b.text, 60) AS a, b.text AS
 
 
 @query(f"""
-WITH p AS ({_PAIR}), k AS (SELECT doc_id, item_id, max(n) AS n FROM p, range(20, 1201) t(n) WHERE n <= length(a) AND n <= length(b) AND right(a, n) = left(b, n) GROUP BY 1, 2)
+WITH p AS ({_PAIR}), t AS (SELECT doc_id, item_id, right(a, 1200) AS tail, b, left(b, 20) AS head FROM p WHERE length(a) >= 20 AND length(b) >= 20),
+i AS (SELECT doc_id, item_id, tail, b, unnest(range(1, greatest(length(tail) - 18, 2))) AS i FROM t WHERE contains(tail, head)),
+k AS (SELECT doc_id, item_id, max(length(tail) - i + 1) AS n FROM i WHERE substr(tail, i, 20) = left(b, 20) AND starts_with(b, substr(tail, i)) GROUP BY 1, 2)
 SELECT p.doc_id, p.item_id, coalesce(k.n, 0)::INT AS overlap FROM p LEFT JOIN k USING (doc_id, item_id)""")
 def overlap_len(spark, sf):
+    """How much of an item each document ends with, every document against one item."""
     d, b = table(spark, sf, "documents"), table(spark, sf, "benchmark").withColumnRenamed("text", "item")
     n = b.agg((F.max("item_id") + 1).alias("n"))  # one row
     p = d.crossJoin(F.broadcast(n)).withColumn("item_id", F.col("doc_id") % F.col("n")).join(b, "item_id").withColumn("a", F.concat("text", F.left("item", F.lit(60))))

@@ -11,6 +11,8 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scrivenry.sources.scratch import stored
+
 # Addresses of the status API, the fields kept of its answer, and the longest wait between attempts, in seconds.
 GENERAL_URL, ADULT_URL = "https://api.syosetu.com/novelapi/api/", "https://api.syosetu.com/novel18api/api/"
 PAYLOAD = (
@@ -44,7 +46,7 @@ def fetch(ncode: str, adult: bool, transport: Transport, most: int = 5, sleep=ti
                 records = decode(body)
                 if len(records) < 2:
                     return ncode, "not_found", now(), None, attempt, None
-                work = {k: None if records[1].get(k) is None else str(records[1].get(k)) for k in PAYLOAD}
+                work = {k: None if records[1].get(k) is None else str(records[1].get(k)) for k in PAYLOAD} | {"updated_at": None}
                 return ncode, "available", now(), work, attempt, None
             error = f"HTTP {code}"
             if code < 500:
@@ -56,6 +58,22 @@ def fetch(ncode: str, adult: bool, transport: Transport, most: int = 5, sleep=ti
     return ncode, "unknown", now(), None, max(most, 0), error
 
 
+def refresh_resumed(works: DataFrame, transport: Transport, path: str, **settings) -> DataFrame:
+    """One row (processed, skipped, status_counts): works that ``path`` has no answer of are asked and their answers
+    appended, whatever they are; a run that is cut short loses only its own.  Works come once, null ones not at all."""
+    from scrivenry.operators.sampling import pending
+    from scrivenry.streaming.jobs import written
+
+    spark, own = works.sparkSession, works.where("ncode is not null").dropDuplicates(["ncode"])
+    found = written(spark, path)
+    known = spark.createDataFrame([], "ncode string") if found is None else found.select("ncode")
+    todo = stored(pending(own, known, ["ncode"]).select("ncode", "is_r18"), "todo")
+    refresh(todo, transport, **settings).write.mode("append").parquet(path)
+    made = spark.read.schema(RESULT).parquet(path).join(todo.select("ncode"), "ncode", "left_semi").groupBy("status").agg(F.count("*").alias("n"))
+    counts = made.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("processed"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("status_counts"))
+    return counts.crossJoin(own.agg(F.count("*").alias("all"))).select("processed", (F.col("all") - F.col("processed")).alias("skipped"), "status_counts")
+
+
 def refresh(works: DataFrame, transport: Transport, most: int = 5, sleep=time.sleep, now=None) -> DataFrame:
     """The status of each work (ncode, is_r18), asked in the tasks that hold them."""
 

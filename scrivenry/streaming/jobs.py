@@ -75,11 +75,46 @@ def lineage(df: DataFrame, order: str, work: str, batch_rows: int, accumulate: i
     return rows.select("micro_batch", (F.floor(m / accumulate) + 1).alias("optimizer_step"), (m % accumulate + 1).alias("accumulation_index"), "works", "n")
 
 
+def lineage_stream(stream: DataFrame, run: str, order: str, work: str, batch_rows: int, accumulate: int) -> DataFrame:
+    """Rows (run, micro_batch, optimizer_step, accumulation_index, works, n) as rows of a run come in: a micro-batch's
+    line is written when its last row is there.  The state of a run is the number of its micro-batches and the
+    works of the one begun; rows that come together are taken by ``order``."""
+    kind = stream.schema[run].dataType.simpleString()
+
+    def step(key, frames, state):
+        import pandas as pd
+
+        done, held = state.get if state.exists else (0, [])
+        works = [*held, *pd.concat(list(frames)).sort_values(order, kind="stable")[work].tolist()]
+        full, rows = len(works) // batch_rows, []
+        for m in range(done, done + full):
+            own = works[(m - done) * batch_rows : (m - done + 1) * batch_rows]
+            rows.append((*key, m + 1, m // accumulate + 1, m % accumulate + 1, sorted({w for w in own if w is not None}), len(own)))
+        state.update((done + full, works[full * batch_rows :]))
+        yield pd.DataFrame(rows, columns=[run, "micro_batch", "optimizer_step", "accumulation_index", "works", "n"])
+
+    rows = stream.select(F.col(run), F.col(order), F.col(work).cast("string").alias(work))
+    out = f"`{run}` {kind}, micro_batch long, optimizer_step long, accumulation_index long, works array<string>, n long"
+    return rows.groupBy(run).applyInPandasWithState(step, out, "done long, held array<string>", "append", "NoTimeout")
+
+
+def logged(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run a stream over what is there now, adding its rows to the log at ``path``; the whole log.  Each batch has a
+    folder of its number, so one that is run again after a failure replaces its own lines and repeats none."""
+
+    def keep(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
+
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    found = written(stream.sparkSession, path)
+    return stream.sparkSession.createDataFrame([], stream.schema) if found is None else found.select(*stream.columns)
+
+
 def resumed(df: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, keys: list[str], ok: str | None = None) -> DataFrame:
     """Do what isn't done yet and append it: rows whose keys ``path`` has (with ``ok``: and that succeeded) are
     skipped.  An append is atomic, so a run that is cut short loses only itself."""
     spark = df.sparkSession
-    found = _written(spark, path)
+    found = written(spark, path)
     todo = df if found is None else pending(df, found, keys, ok)
     work(todo).write.mode("append").parquet(path)
     return spark.read.parquet(path)
@@ -91,7 +126,7 @@ def batches_until(jobs: DataFrame, work: Callable[[DataFrame], DataFrame], path:
     not tried again in this call."""
     spark, last = jobs.sparkSession, None
     while not stop():
-        found = _written(spark, path)
+        found = written(spark, path)
         todo = jobs if found is None else pending(jobs, found, keys, ok)
         place = F.struct(*keys)
         part = todo if last is None else todo.where(place > F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, last, strict=True)]))
@@ -99,11 +134,11 @@ def batches_until(jobs: DataFrame, work: Callable[[DataFrame], DataFrame], path:
         if (last := part.agg(F.max(F.struct(*keys)).alias("m")).first()["m"]) is None:
             break
         work(part).write.mode("append").parquet(path)
-    found = _written(spark, path)
+    found = written(spark, path)
     return jobs.limit(0) if found is None else found
 
 
-def _written(spark: SparkSession, path: str) -> DataFrame | None:
+def written(spark: SparkSession, path: str) -> DataFrame | None:
     """What ``path`` holds; None where nothing was written yet."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -258,3 +258,33 @@ def test_feature_rollup_has_two_exchanges(spark):
     assert plan.count("Exchange") <= 2 and "Join" not in plan
     (r, *_) = made.collect()
     assert r.protagonist_gender == "unclear" and r.story_shape == ["other"] and r.main_relationships == [] and r.confidence == 0.0 and r.protagonist_count == 0
+
+
+def test_segments_equal_the_plain_allocation(spark):
+    rng = random.Random(12)
+    rows = [(w, None if w == 2 and i == 1 else "".join(rng.choice("abcé😀") for _ in range(rng.choice([0, 3, 40, 90]))), i) for w in (1, 2, 3, None) for i in range(rng.randint(1, 30))]
+    df = spark.createDataFrame(rows, "w int, t string, i int").repartition(5)
+    for method, chars in (("stratified9", 300), ("ends3", 50), ("uniform9", 5000)):
+        found = {(r.w, r.position): (r.start_chunk, r.n_chunks, r.n_chars, r.text) for r in reading.segments(df, ["w"], ["i"], "t", method, chars).collect()}
+        want = {(w, p): (s, n, len(t), t) for w in (1, 2, 3, None) for p, s, n, t in reading.allocate([t or "" for v, t, _ in rows if v == w], reading.METHODS[method], chars)}
+        assert found == want
+    plan = reading.segments(df, ["w"], ["i"], "t", "ends3", 50)._jdf.queryExecution().optimizedPlan().toString()
+    assert [p for p in plan.split("\n") if "FlatMapGroupsInPandas" in p and "__size" in p and " t#" not in p]
+
+
+def test_chunks_by_a_tokenizers_offsets():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    tokens = chunking.FileTokens(public_tokenizers.path("byte_bpe_50k.json"))
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(3)
+    text = "\n\n".join(f"{i}. " + " ".join(rng.choice(["river", "Straße", "naïve", "unbelievable", "日本語", "x"]) for _ in range(rng.randint(1, 60))) + rng.choice([".", "!", "。"]) for i in range(40))
+    found = chunking.chunk(text, tokens, 150, 200, 50)
+    assert len(found) > 3 and all(n == len(tokens(t)) for _, t, n in found) and all(n <= 200 + chunking.MARGIN for _, _, n in found[:-1])
+    assert "".join(text.split()).startswith("".join(found[0][1].split())) and text.split()[-1] == found[-1][1].split()[-1]
+    # One long sentence is cut at tokens, with a margin, and nothing of it is lost.
+    long = " ".join(rng.choice(["tokenization", "élan", "ж"]) for _ in range(500))
+    parts = chunking.chunk(long, tokens, 60, 60, 0)
+    assert len(parts) > 5 and "".join("".join(t for _, t, _ in parts).split()) == "".join(long.split())
+    assert all(len(library.encode(t, add_special_tokens=False).ids) <= 60 for _, t, _ in parts[:-1])

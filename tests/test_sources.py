@@ -136,3 +136,35 @@ def test_resume_looks_for_the_path_and_knows_null_keys(spark, tmp_path):
     with pytest.raises(Exception, match="nosuch"):  # not taken for work that isn't done yet
         jobs.resumed(df, work, path, ["nosuch"])
     assert seen == [3, 0]
+
+
+def test_a_lineage_log_goes_on_where_it_stopped(spark, tmp_path):
+    source, log, state = (f"{tmp_path}/{n}" for n in ("in", "log", "state"))
+    like = spark.createDataFrame([], "run long, k long, work string")
+
+    def more(low, high):
+        spark.range(low, high).select((F.col("id") % 2).alias("run"), F.col("id").alias("k"), F.concat(F.lit("w"), F.floor(F.col("id") / 20)).alias("work")).write.mode("append").parquet(source)
+
+    def go():
+        return jobs.logged(jobs.lineage_stream(jobs.file_stream(spark, source, like), "run", "k", "work", 5, 3), log, state)
+
+    more(0, 23)
+    first = sorted(map(tuple, go().collect()))
+    assert [r[:4] for r in first] == [(0, 1, 1, 1), (0, 2, 1, 2), (1, 1, 1, 1), (1, 2, 1, 2)]
+    assert sorted(map(tuple, go().collect())) == first  # nothing new, nothing again
+    more(23, 60)
+    found = sorted(map(tuple, go().collect()))
+    want = []
+    for run in (0, 1):
+        own = [i for i in range(60) if i % 2 == run]
+        want += [(run, m + 1, m // 3 + 1, m % 3 + 1, sorted({f"w{i // 20}" for i in own[5 * m : 5 * m + 5]}), 5) for m in range(6)]
+    assert found == want
+    # A batch that is run again, its end not having been noted, replaces its lines.
+    import os
+
+    commits = f"{state}/commits"
+    last = max((f for f in os.listdir(commits) if f.isdigit()), key=int)
+    for f in (last, f".{last}.crc"):
+        if os.path.exists(f"{commits}/{f}"):
+            os.remove(f"{commits}/{f}")
+    assert sorted(map(tuple, go().collect())) == want

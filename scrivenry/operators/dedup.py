@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from scrivenry.functions.text import without_space
+from scrivenry.sources.scratch import stored
+
+#: Rows of a scope that are compared in one group, and rows of a larger one that a task compares with kept ones.
+HEAD, PART = 256, 1024
 
 
 def exact_duplicates(df: DataFrame, text: str, order: str, scope: tuple[str, ...] = ()) -> DataFrame:
@@ -74,8 +79,9 @@ def find_duplicates(texts: list[str], threshold: float = 0.9) -> dict[int, int]:
 def greedy_near_duplicates(df: DataFrame, scope: list[str], order: str, text: str, threshold: float = 0.9) -> DataFrame:
     """Adds duplicate_of: the ``order`` of the kept row, in the same scope, that a row repeats; null if kept.
 
-    Greedy: a row is compared with kept ones only, in order, so the answer isn't transitive.  Scopes are small
-    (chunks of one episode) and each is one task's group.  Null texts count as empty.
+    Greedy: a row is compared with kept ones only, in order, so the answer isn't transitive.  ``order`` tells the
+    rows of a scope apart.  Null texts count as empty.  Scopes of up to ``HEAD`` rows (chunks of one episode) are
+    each one task's group; larger ones are decided in rounds, see ``_in_rounds``.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -84,9 +90,77 @@ def greedy_near_duplicates(df: DataFrame, scope: list[str], order: str, text: st
         pdf["duplicate_of"] = pd.array([pdf[order].iloc[found[i]] if i in found else None for i in range(len(pdf))], dtype="Int64")
         return pdf
 
+    schema = StructType([*df.schema.fields, StructField("duplicate_of", LongType())])
+    named = [F.col(c).alias(f"__scope{i}") for i, c in enumerate(scope)]
+    large = stored(df.groupBy(*named).agg(F.count("*").alias("__rows")).where(F.col("__rows") > HEAD), "large")
+    same = F.lit(True)
+    for i, c in enumerate(scope):
+        same &= F.col(c).eqNullSafe(F.col(f"__scope{i}"))
     # Comparing costs more than the bytes tell, so the exchange's tasks aren't merged by size.
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(width, *scope).groupBy(*scope).applyInPandas(run, StructType([*df.schema.fields, StructField("duplicate_of", LongType())]))
+    if large.isEmpty():
+        return df.repartition(width, *scope).groupBy(*scope).applyInPandas(run, schema)
+    small = df.join(large, same, "left_anti").repartition(width, *scope).groupBy(*scope).applyInPandas(run, schema)
+    return small.unionByName(_in_rounds(df.join(large, same, "left_semi"), scope, order, text, threshold))
+
+
+def _in_rounds(df: DataFrame, scope: list[str], order: str, text: str, threshold: float) -> DataFrame:
+    """``greedy_near_duplicates`` of large scopes, each spread over tasks.
+
+    Rows with one text, white space aside, are one node, which stands where the first of them does.  A round takes
+    the first ``HEAD`` undecided nodes of each scope and decides them among themselves; all others of the scope, in
+    parts of ``PART``, are compared with those that were kept, in order.  A node that resembles one repeats it: it
+    resembled none that was kept in earlier rounds.  So no pairs are emitted, near copies of a kept node go in one
+    round, and rounds are as many as kept nodes over ``HEAD``.
+    """
+    key = F.to_json(F.struct(*scope)) if scope else F.lit("")
+    rows = df.withColumn("__g", key).withColumn("__t", without_space(F.coalesce(text, F.lit("")))).withColumn("__h", F.sha2("__t", 256))
+    rows = stored(rows.withColumn("__o", F.col(order).cast("long")), "scopes")
+    first = rows.groupBy("__g", "__h").agg(F.min("__o").alias("__rep"))
+    left = stored(rows.join(first, ["__g", "__h"]).where(F.col("__o") == F.col("__rep")).select("__g", "__o", "__t").dropDuplicates(["__g", "__o"]), "nodes")
+    decided: list[DataFrame] = []
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__o").reset_index(drop=True)
+        found = find_duplicates(pdf["__t"].tolist(), threshold)
+        pdf["dup"] = pd.array([pdf["__o"].iloc[found[i]] if i in found else None for i in range(len(pdf))], dtype="Int64")
+        return pdf[["__g", "__o", "__t", "dup"]]
+
+    def compare(batches):
+        import pyarrow as pa
+
+        own, kept = None, []
+        for b in batches:
+            gs, parts, heads, os_, ts = (c.to_pylist() for c in b.columns)
+            out = []
+            for g, part, head, o, t in zip(gs, parts, heads, os_, ts, strict=True):
+                if (g, part) != own:
+                    own, kept = (g, part), []
+                if head == 0:
+                    kept.append((o, t))
+                else:
+                    out.append((g, o, t, next((k for k, other in kept if similar(t, other, threshold)), None)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["__g", "__o", "__t", "dup"])
+
+    while not left.isEmpty():
+        ranked = left.withColumn("__r", F.row_number().over(Window.partitionBy("__g").orderBy("__o"))).where(F.col("__r") <= HEAD).drop("__r")
+        heads = stored(ranked.groupBy("__g").applyInPandas(decide, "__g string, __o long, __t string, dup long"), "heads")
+        decided.append(heads.select("__g", "__o", "dup"))
+        ends = heads.groupBy("__g").agg(F.max("__o").alias("__end"))
+        rest = left.join(ends, "__g").where(F.col("__o") > F.col("__end"))
+        sizes = rest.groupBy("__g").agg(F.ceil(F.count("*") / PART).cast("int").alias("__parts"))
+        others = rest.join(sizes, "__g").select("__g", F.pmod(F.xxhash64("__o"), F.col("__parts")).cast("int").alias("__part"), F.lit(1).alias("__head"), "__o", "__t")
+        kept = heads.where("dup is null").join(sizes, "__g").select("__g", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__part"), F.lit(0).alias("__head"), "__o", "__t")
+        width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = kept.unionByName(others).repartition(width, "__g", "__part").sortWithinPartitions("__g", "__part", "__head", "__o")
+        compared = stored(dealt.mapInArrow(compare, "__g string, __o long, __t string, dup long"), "compared")
+        decided.append(compared.where("dup is not null").select("__g", "__o", "dup"))
+        left = compared.where("dup is null").drop("dup")
+    nodes = reduce(lambda a, b: a.unionByName(b), decided).withColumnRenamed("__o", "__rep")
+    answer = first.join(nodes, ["__g", "__rep"])
+    copy = F.when(F.col("__o") > F.col("__rep"), F.coalesce("dup", "__rep")).otherwise(F.col("dup"))
+    return rows.join(answer, ["__g", "__h"]).select(*df.columns, copy.alias("duplicate_of"))
 
 
 def gram_jaccard(df: DataFrame, a: str, b: str) -> Column:

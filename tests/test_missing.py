@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,6 +39,37 @@ def test_near_dups_of_whole_scopes(spark):
     assert found == {(s, i): want.get(i) for s in "ab" for i in range(7)}
 
 
+@pytest.mark.parametrize(("threshold", "head", "part"), [(0.9, 4, 5), (0.8, 3, 2), (0.6, 7, 100)])
+def test_large_scopes_in_rounds(spark, monkeypatch, threshold, head, part):
+    monkeypatch.setattr(dedup, "HEAD", head)
+    monkeypatch.setattr(dedup, "PART", part)
+    rng = random.Random(head)
+    base = ["the quick brown fox jumps over", "pack my box with five dozen jugs", "a b", "", "sphinx of black quartz judge my vow é漢"]
+
+    def some():
+        t = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 2, 6])):
+            t.insert(rng.randint(0, len(t)), rng.choice("xyz \u3000\n"))
+        return "".join(t)
+
+    rows = [(s, i, None if rng.random() < 0.05 else some(), "k") for s in ("a", "b", None) for i in range(60 if s != "b" else 3)]
+    df = spark.createDataFrame(rows, "s string, i int, t string, extra string").repartition(5)
+    found = {(r.s, r.i): r.duplicate_of for r in dedup.greedy_near_duplicates(df, ["s"], "i", "t", threshold).collect()}
+    want = {}
+    for s in ("a", "b", None):
+        own = [r for r in rows if r[0] == s]
+        dup = dedup.find_duplicates([r[2] or "" for r in own], threshold)
+        want |= {(s, r[1]): dup.get(k) for k, r in enumerate(own)}
+    assert found == want
+
+
+def test_a_large_scope_is_spread_over_tasks(spark):
+    df = spark.range(4000).select(F.lit("one").alias("s"), F.col("id").alias("i"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("a very common text, copied and hardly changed at all, number "), F.col("id") % 7)).otherwise(F.md5(F.col("id").cast("string"))).alias("t"))
+    found = dedup.greedy_near_duplicates(df.where("id % 3 = 0 or id < 700"), ["s"], "i", "t", 0.9)
+    rows = found.collect()
+    assert sum(r.duplicate_of is not None for r in rows) == 4000 // 3 and {r.duplicate_of for r in rows} == {None, 0}
+
+
 def test_ablation_equals_one_fit_at_a_time(spark):
     rows = [(i, [float(i % 2), (i * 7 % 10) / 10.0], [(i * 3 % 11) / 11.0, 0.0, 1.0 if i % 3 == 0 else 0.0]) for i in range(90)]
     df = spark.createDataFrame(rows, "id long, a array<double>, b array<double>")

@@ -140,7 +140,7 @@ def trimmed() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def small_batches(spark: SparkSession, rows: int = 2048, most: int = 16 << 20) -> None:
+def small_batches(spark: SparkSession, rows: int = 1024, most: int = 4 << 20) -> None:
     """Have Arrow batches hold ``rows`` rows and ``most`` bytes (or one row), unless the session says otherwise: a
     row is a whole text, and Spark's 10,000 of them, written by doubling buffers, take more memory outside the heap
     than a task should."""

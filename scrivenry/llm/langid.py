@@ -39,17 +39,22 @@ def keys_of(entries: list[str]) -> np.ndarray:
 
 
 class Table:
-    """Log frequencies: a row of a matrix for each entry, a column for each language; entries by hash."""
+    """Log frequencies of entries by hash: for each language that of an entry it hasn't got, and for each entry the
+    languages it was seen in, with its log frequency there."""
 
     def __init__(self, entries: list[str], rows: np.ndarray, columns: np.ndarray, counts: np.ndarray, languages: int):
         """counts: of entry ``rows[i]`` in language ``columns[i]``."""
         keys = keys_of(entries)
         order = np.argsort(keys)
-        self.keys, table = keys[order], np.zeros((len(keys), languages), np.float32)
+        self.keys = keys[order]
         place = np.empty(len(keys), np.int64)
         place[order] = np.arange(len(keys))
-        table[place[rows], columns] = counts
-        self.logs = np.log((table + 0.5) / (table.sum(0, dtype=np.float64) + 0.5 * max(1, len(table)))).astype(np.float32)
+        total = np.bincount(columns, counts, minlength=languages) + 0.5 * max(1, len(keys))
+        self.base = np.log(0.5 / total).astype(np.float32)
+        at = np.lexsort((columns, place[rows]))
+        self.begin = np.append(0, np.cumsum(np.bincount(place[rows], minlength=len(keys))))
+        self.columns = columns[at].astype(np.int32)
+        self.values = np.log((counts[at] + 0.5) / total[columns[at]]).astype(np.float32)
 
     def places(self, entries: list[str]) -> np.ndarray:
         """The row of each entry, -1 for unknown ones."""
@@ -59,6 +64,14 @@ class Table:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, at, -1)
 
+    def logs(self, places: np.ndarray) -> np.ndarray:
+        """The log frequencies, by language, of entries that are there."""
+        out = np.tile(self.base, (len(places), 1))
+        begin, n = self.begin[places], self.begin[places + 1] - self.begin[places]
+        at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+        out[np.repeat(np.arange(len(places)), n), self.columns[at]] = self.values[at]
+        return out
+
 
 class Model:
     """words and grams: (language, entry, n) rows; n-grams of all lengths together."""
@@ -82,7 +95,7 @@ class Model:
         for n in range(LONGEST, 0, -1):
             found = self.grams[n].places(grams_of(word, n))
             if (found >= 0).any():
-                return self.grams[n].logs[found[found >= 0]].mean(0)
+                return self.grams[n].logs(found[found >= 0]).mean(0)
         return None
 
     def scores(self, word: str) -> np.ndarray:
@@ -92,7 +105,7 @@ class Model:
         """Each word's log frequencies (0 where nothing is known of it), and whether something is."""
         out, seen = np.zeros((len(words), len(self.languages)), np.float32), np.ones(len(words), bool)
         place = self.words.places(words)
-        out[place >= 0] = self.words.logs[place[place >= 0]]
+        out[place >= 0] = self.words.logs(place[place >= 0])
         if len(self.memo) > _MEMO:
             self.memo.clear()
         for i in np.flatnonzero(place < 0).tolist():

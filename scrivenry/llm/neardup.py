@@ -35,7 +35,7 @@ MISS = 1e-4
 BLOCK, BLOCK_SHINGLES, TASK_ROWS, SENT_IDS = 192, 4_000_000, 4096, 2_000_000
 #: Rounding of a distance.
 SLACK = 1e-9
-_WORDS = 400_000
+_WORDS = 200_000
 
 
 class _WordHash(dict):

@@ -36,6 +36,34 @@ def drawn(df: DataFrame, by: list[str], seed: int, key: str, out: str = "__r") -
     return numbered.withColumn(out, F.col("__inside") + F.col("__before")).drop("__d", "__bucket", "__own", "__before", "__inside", *[f"__by{i}" for i in range(len(by))])
 
 
+def first_drawn(df: DataFrame, by: list[str], seed: int, key: str, limits: DataFrame, most: Column) -> DataFrame:
+    """The first ``most`` rows, in drawn order and then by key, of each group of equal ``by``.
+
+    limits: one row of numbers for ``most``, which may read them and ``by``.  Buckets of the drawn value are counted;
+    those before the one that the limit cuts stay whole and those after it go, so only the rows of one bucket of
+    each group that loses any are moved and ordered.  Such groups have more than ``most`` rows each, and are sent to
+    all tasks: callers' limits are shares of all rows, which bounds their number.
+    """
+    bucket = F.conv(F.substring(draw(seed, key), 1, HASH_BITS // 4), 16, 10).cast("int")
+    counts = df.groupBy(*by, bucket.alias("__bucket")).agg(F.count("*").alias("__c"))
+    earlier = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("__before", F.coalesce(F.sum("__c").over(earlier), F.lit(0))).crossJoin(F.broadcast(limits)).withColumn("__most", most)
+    whole = F.col("__before") + F.col("__c") <= F.col("__most")
+    partly = ~whole & (F.col("__before") < F.col("__most"))
+    cuts = placed.groupBy(*by).agg(
+        F.coalesce(F.max(F.when(whole, F.col("__bucket"))), F.lit(-1)).alias("__whole"), F.max(F.when(partly, F.col("__bucket"))).alias("__part"),
+        F.max(F.when(partly, F.col("__most") - F.col("__before"))).alias("__room"), F.bool_and(whole).alias("__all"),
+    ).where("not __all")
+    cuts = F.broadcast(cuts.select("__whole", "__part", "__room", *[F.col(b).alias(f"__by{i}") for i, b in enumerate(by)]))
+    same = F.lit(True)
+    for i, b in enumerate(by):
+        same &= F.col(b).eqNullSafe(F.col(f"__by{i}"))
+    joined = df.withColumn("__bucket", bucket).join(cuts, same, "left")
+    kept = joined.where("__whole is null or __bucket <= __whole").select(*df.columns)
+    cut = joined.where("__bucket = __part").withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(draw(seed, key), key)))
+    return kept.unionByName(cut.where("__r <= __room").select(*df.columns))
+
+
 def running(df: DataFrame, value: str, sums: dict[str, str], descending: bool = False, by: list[str] = ()) -> DataFrame:
     """Adds for each out: column the sum of the column over rows up to and with this one in the order of a number
     (rows of equal value together), null and all, among rows with equal ``by``.  The stretches come from approximate

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrivenry.operators.ranks import draw, drawn, numbered
+from scrivenry.operators.ranks import draw, drawn, first_drawn, numbered
 from scrivenry.operators.reading import even_places
 from scrivenry.sources.scratch import stored
 
@@ -42,7 +42,7 @@ def author_share(df: DataFrame, author: str, share: float, seed: int, key: str)
     if not 0 < share <= 1:
         raise ValueError(f"share must be in (0, 1], got {share}")
     total = df.agg(F.floor(F.count("*") * F.lit(share)).alias("__most"))
-    return drawn(df, [author], seed, key).crossJoin(F.broadcast(total)).where(F.col("__r") <= F.col("__most")).drop("__r", "__most")
+    return first_drawn(df, [author], seed, key, total.withColumnRenamed("__most", "__limit"), F.col("__limit"))
 
 
 def label_ratio(df: DataFrame, label: str, ratio: float, seed: int, key: str) -> DataFrame:
@@ -54,8 +54,8 @@ def label_ratio(df: DataFrame, label: str, ratio: float, seed: int, key: str) ->
     chosen = F.least(F.bround(F.col("n") * ratio).cast("long"), F.col("p"))
     total = F.least(F.when(F.col("__p") > 0, F.bround(F.col("__p") / ratio).cast("long")).otherwise(0) if ratio > 0 else F.col("n") - F.col("p"), F.col("n"))
     targets = counts.withColumn("__p", chosen).withColumn("__q", F.least(total - F.col("__p"), F.col("n") - F.col("p"))).select("__p", "__q")
-    ranked = drawn(df.withColumn("__flag", flag), ["__flag"], seed, key).crossJoin(F.broadcast(targets))
-    return ranked.where(F.col("__r") <= F.when(F.col("__flag"), F.col("__p")).otherwise(F.col("__q"))).drop("__r", "__p", "__q", "__flag")
+    own = F.when(F.col("__flag"), F.col("__p")).otherwise(F.col("__q"))
+    return first_drawn(df.withColumn("__flag", flag), ["__flag"], seed, key, targets, own).drop("__flag")
 
 
 @dataclass(frozen=True)

@@ -95,3 +95,13 @@ def test_order_numbers(spark):
     for made in (sampling.job_shard(df, ["x", "id"], 1, 3), pipelines.select_works(df.where("g is not null"), "x", 3, 5, ["17"], "id"), sampling.balanced_subset(df.where("g is not null"), "g", "x", ["id"], 20, 5)):
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         assert "Window" not in plan
+
+
+def test_first_drawn_moves_one_bucket_of_a_group(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("aaaab"), i) for i in range(3000)] + [(None, 5000 + i) for i in range(9)]
+    df = spark.createDataFrame(rows, "g string, id long").repartition(6)
+    for most in (0, 1, 5, 700, 2999):
+        ranked = ranks.drawn(df, ["g"], 3, "id").where(F.col("__r") <= most).drop("__r")
+        found = ranks.first_drawn(df, ["g"], 3, "id", spark.range(1).select(F.lit(most).alias("m")), F.col("m"))
+        assert sorted(found.collect(), key=str) == sorted(ranked.collect(), key=str)

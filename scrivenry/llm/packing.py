@@ -47,7 +47,7 @@ class Index:
 
     def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], corpus: Corpus | None = None):
         n = len(terms)
-        doc = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in terms])
+        doc = np.repeat(np.arange(n), [len(t) for t in terms])
         term, count = np.concatenate(terms).astype(np.int64), np.concatenate(counts).astype(np.float64)
         size = np.bincount(doc, count, minlength=n)
         corpus = corpus or Corpus(n, size.mean(), np.bincount(term))
@@ -59,24 +59,35 @@ class Index:
         term = (np.cumsum(there) - 1)[term] if len(term) else term
         most = int(there.sum())
         order = np.argsort(term.astype(np.uint16) if most <= 1 << 16 else term, kind="stable")  # by radix, of short ones
-        ends = np.cumsum(np.bincount(term, minlength=most))[:-1]
-        self.n, self.docs, self.values = n, np.split(doc[order], ends), np.split(value[order], ends)
+        # The postings of all terms one after another, and where each term's begin and end.
+        self.n, self.docs, self.values = n, doc[order], value[order]
+        self.ends = np.append(0, np.cumsum(np.bincount(term, minlength=most))).tolist()
         self.own = [t.tolist() for t in np.split(term, np.cumsum(np.bincount(doc, minlength=n))[:-1])]
 
+    def without(self, used: np.ndarray) -> None:
+        """Drop the postings of documents that are used up; their scores are 0 from then on."""
+        kept = ~used[self.docs]
+        self.docs, self.values = self.docs[kept], self.values[kept]
+        self.ends = np.append(0, np.cumsum(kept))[self.ends].tolist()
+
     def scores(self, doc: int) -> np.ndarray:
         """Of all documents against the distinct terms of one."""
         terms = self.own[doc]
         if not terms:
             return np.zeros(self.n)
-        return np.bincount(np.concatenate([self.docs[t] for t in terms]), np.concatenate([self.values[t] for t in terms]), minlength=self.n)
+        own = [(self.ends[t], self.ends[t + 1]) for t in terms]
+        return np.bincount(np.concatenate([self.docs[i:j] for i, j in own]), np.concatenate([self.values[i:j] for i, j in own]), minlength=self.n)
 
 
 def fill(index: Index, rest: list[int], window: int) -> list[list[tuple[int, int, int]]]:
     """Windows as lists of (document, from, length) over the rest of each document; all but the last are full."""
     used = np.array([r == 0 for r in rest])
     out: list[list[tuple[int, int, int]]] = []
-    following, seed, at = 0, -1, 0
+    following, seed, at, held = 0, -1, 0, len(rest)
     while True:
+        if (left := len(rest) - int(used.sum())) < 0.9 * held:  # lists get shorter as documents are used
+            index.without(used)
+            held = left
         if seed < 0:
             while following < len(rest) and used[following]:
                 following += 1
@@ -145,15 +156,23 @@ def statistics(counted: DataFrame) -> Corpus:
     return Corpus(n, total / max(n, 1), frequency)
 
 
-def place(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> int:
-    """A document's place in the order of subjects: its ``TELLING`` terms with the most weight, 16 bits each."""
-    weight = idf[terms] * counts
-    first = np.argpartition(-weight, TELLING)[:TELLING] if len(weight) > TELLING else np.arange(len(weight))
-    first = first[np.lexsort((terms[first], -weight[first]))]
-    out = 0
+def places(terms: list[np.ndarray], counts: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
+    """The place of each document in the order of subjects: its ``TELLING`` terms with the most weight (of equal
+    weights the smaller term), 16 bits each.  terms: ascending, one at least."""
+    sizes = np.array([len(t) for t in terms])
+    begin, every = np.cumsum(sizes) - sizes, np.concatenate(terms).astype(np.int64)
+    weight, number = idf[every].astype(np.float64) * np.concatenate(counts), np.arange(len(every))
+    out = np.zeros(len(terms), np.int64)
     for i in range(TELLING):
-        out = out << 16 | (int(terms[first[i]]) * 65536 // max(len(idf), 65536) if i < len(first) else 0)
-    return out - (1 << 63)
+        most = np.maximum.reduceat(weight, begin)
+        first = np.minimum.reduceat(np.where(weight == np.repeat(most, sizes), number, len(every)), begin)
+        out = out << 16 | np.where(sizes > i, every[first] * 65536 // max(len(idf), 65536), 0)
+        weight[first] = -1.0
+    return out ^ np.int64(-1 << 63)
+
+
+def place(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> int:
+    return int(places([terms], [counts], idf)[0])
 
 
 def shards(batches, size: int) -> Iterator[tuple[int, list[tuple]]]:
@@ -247,13 +266,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW,
     corpus = statistics(every.where("kind = 1").select(F.col("doc_id").alias("term"), "n"))
     idf = np.maximum(0.0, np.log((corpus.n - corpus.frequency + 0.5) / (corpus.frequency + 0.5))).astype(np.float32)
 
-    def placed(batches):
+    def placed(batch):
+        terms, counts, wide = (batch.column(batch.schema.names.index(n)).to_pylist() for n in ("terms", "counts", "wide"))
+        return places([_ids(t, w) for t, w in zip(terms, wide, strict=True)], [_ids(c, w) for c, w in zip(counts, wide, strict=True)], idf)
+
+    def keys(batches):
         import pyarrow as pa
 
         for b in parts(batches):
-            terms, counts, wide = (b.column(i).to_pylist() for i in (4, 5, 6))
-            where = [place(_ids(t, w), _ids(c, w), idf) for t, c, w in zip(terms, counts, wide, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), *b.columns], names=["place", *b.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(placed(b)), b.column(0), b.column(1)], names=["place", "tie", "row"])
 
     def fill_shards(batches):
         import pyarrow as pa
@@ -287,22 +308,21 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW,
             trimmed()
 
     own = encoded.columns
-    tie = F.xxhash64("doc_id", "n", "crcs", "rest")
     # Rows that are equal in everything are told apart by where they are stored; which is which makes no difference.
-    where = encoded.mapInArrow(placed, StructType([StructField("place", LongType()), *encoded.schema.fields]))
-    where = where.withColumn("tie", tie).withColumn("row", F.monotonically_increasing_id())
+    keyed = encoded.select(F.xxhash64("doc_id", "n", "crcs", "rest").alias("tie"), F.monotonically_increasing_id().alias("row"), *own)
     task_docs = shard_docs * max(TASK_SHARDS, -(-corpus.n // (shard_docs * TASKS)))
-    key = ["place", "tie", "row"]
-    cuts = order_cuts(where.select(*key), task_docs)
+    light = keyed.select("tie", "row", "terms", "counts", "wide").mapInArrow(keys, "place long, tie long, row long")
+    cuts = order_cuts(light, task_docs)
 
     def assigned(batches):
         import pyarrow as pa
 
-        for b in batches:
-            at = zip(*(c.to_pylist() for c in b.columns[:3]), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([bisect_right(cuts, k) for k in at], pa.int32()), *b.columns], names=["task", *b.schema.names])
+        for b in parts(batches):
+            where = placed(b).tolist()
+            at = zip(where, b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+            task = pa.array([bisect_right(cuts, k) for k in at], pa.int32())
+            yield pa.RecordBatch.from_arrays([task, pa.array(where, pa.int64()), *b.columns], names=["task", "place", *b.schema.names])
 
-    where = where.select(*key, *own)
-    dealt = where.mapInArrow(assigned, StructType([StructField("task", IntegerType()), *where.schema.fields]))
-    dealt = dealt.repartitionById(len(cuts) + 1, "task").sortWithinPartitions("task", *key)
+    dealt = keyed.mapInArrow(assigned, StructType([StructField("task", IntegerType()), StructField("place", LongType()), *keyed.schema.fields]))
+    dealt = dealt.repartitionById(len(cuts) + 1, "task").sortWithinPartitions("task", "place", "tie", "row")
     return dealt.select("task", *own).mapInArrow(fill_shards, SCHEMA)

@@ -18,7 +18,8 @@ from scrivenry.llm.common import claim, parts, slices, small_batches
 SAMPLE, LONGEST = 5_000, 5
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
-_MEMO = 100_000
+#: Words that are remembered, and words whose n-grams are looked up together.
+_MEMO, _TOGETHER = 100_000, 4096
 
 
 def words_of(text: str | None) -> list[str]:
@@ -64,11 +65,21 @@ class Table:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, at, -1)
 
+    def _spans(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begin, n = self.begin[places], self.begin[places + 1] - self.begin[places]
+        return np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum()), n
+
+    def sums(self, places: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
+        """Log frequencies, by language, of entries that are there, summed by the row each belongs to."""
+        at, n = self._spans(places)
+        more = self.values[at] - self.base[self.columns[at]]
+        found = np.bincount(np.repeat(rows, n) * len(self.base) + self.columns[at], more, minlength=n_rows * len(self.base))
+        return found.reshape(n_rows, -1) + np.bincount(rows, minlength=n_rows)[:, None] * self.base
+
     def logs(self, places: np.ndarray) -> np.ndarray:
         """The log frequencies, by language, of entries that are there."""
         out = np.tile(self.base, (len(places), 1))
-        begin, n = self.begin[places], self.begin[places + 1] - self.begin[places]
-        at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+        at, n = self._spans(places)
         out[np.repeat(np.arange(len(places)), n), self.columns[at]] = self.values[at]
         return out
 
@@ -90,13 +101,23 @@ class Model:
         self.grams = {n: table([r for r in grams if len(r[1]) == n]) for n in range(1, LONGEST + 1)}
         self.memo: dict[str, np.ndarray | None] = {}
 
-    def unseen(self, word: str) -> np.ndarray | None:
-        """The mean log frequency over a word's longest n-grams that are known; None if none is."""
+    def unseen(self, words: list[str]) -> list[np.ndarray | None]:
+        """Of each word the mean log frequency over its longest n-grams that are known; None if none is."""
+        out: list[np.ndarray | None] = [None] * len(words)
+        left = list(range(len(words)))
         for n in range(LONGEST, 0, -1):
-            found = self.grams[n].places(grams_of(word, n))
-            if (found >= 0).any():
-                return self.grams[n].logs(found[found >= 0]).mean(0)
-        return None
+            grams = [grams_of(words[i], n) for i in left]
+            place = self.grams[n].places([g for own in grams for g in own])
+            row, known = np.repeat(np.arange(len(left)), [len(own) for own in grams]), place >= 0
+            times = np.bincount(row[known], minlength=len(left))
+            if times.any():
+                mean = (self.grams[n].sums(place[known], row[known], len(left)) / np.maximum(times, 1)[:, None]).astype(np.float32)
+                for k in np.flatnonzero(times).tolist():
+                    out[left[k]] = mean[k]
+            left = [i for i, t in zip(left, times.tolist(), strict=True) if not t]
+            if not left:
+                break
+        return out
 
     def scores(self, word: str) -> np.ndarray:
         return self._table([word])[0][0]
@@ -108,9 +129,12 @@ class Model:
         out[place >= 0] = self.words.logs(place[place >= 0])
         if len(self.memo) > _MEMO:
             self.memo.clear()
-        for i in np.flatnonzero(place < 0).tolist():
-            w = words[i]
-            own = self.memo[w] if w in self.memo else self.memo.setdefault(w, self.unseen(w))
+        missing = np.flatnonzero(place < 0).tolist()
+        new = [w for w in (words[i] for i in missing) if w not in self.memo]
+        for k in range(0, len(new), _TOGETHER):
+            self.memo.update(zip(new[k : k + _TOGETHER], self.unseen(new[k : k + _TOGETHER]), strict=True))
+        for i in missing:
+            own = self.memo[words[i]]
             if own is None:
                 seen[i] = False
             else:

@@ -132,15 +132,24 @@ def perplexity(spark, sf):
     return measures.perplexity(table(spark, sf, "documents").withColumn("loss", F.col("n_chars") / 20000.0), "loss", "n_chars")
 
 
+def _influence(spark, sf, tokens):
+    e = table(spark, sf, "embeddings")
+    p = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("y")), "vec_id")
+    return measures.layer_influence(p.withColumn("w", tokens).withColumnRenamed("label", "layer"), "layer", "embedding", "y", "w")
+
+
+def plain_influence(spark, sf):
+    """The same, each pair of vectors counting once."""
+    return _influence(spark, sf, F.lit(1)).select("layer", "influence")
+
+
 @query("""
 WITH p AS (SELECT a.label AS layer, a.embedding AS x, b.embedding AS y, 1 + a.vec_id % 7 AS w FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
 c AS (SELECT layer, w, list_dot_product(x::DOUBLE[], y::DOUBLE[]) / (sqrt(list_dot_product(x::DOUBLE[], x::DOUBLE[])) * sqrt(list_dot_product(y::DOUBLE[], y::DOUBLE[]))) AS c FROM p)
 SELECT layer, sum(w)::BIGINT AS n_tokens, round_even(sum(c * w) / sum(w), 6) AS similarity, round_even(1 - sum(c * w) / sum(w), 6) AS influence FROM c GROUP BY layer""")
 def layer_influence(spark, sf):
     """Neighbouring vectors as what goes into a layer and what comes out, by their numbers of tokens."""
-    e = table(spark, sf, "embeddings")
-    p = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("y")), "vec_id")
-    return measures.layer_influence(p.withColumn("w", 1 + F.col("vec_id") % 7).withColumnRenamed("label", "layer"), "layer", "embedding", "y", "w")
+    return _influence(spark, sf, 1 + F.col("vec_id") % 7)
 
 
 @query("""

@@ -68,9 +68,9 @@ WITH p AS (SELECT a.label AS layer, a.embedding AS x, b.embedding AS y FROM embe
 i AS (SELECT layer, round_even(1 - avg(list_dot_product(x::DOUBLE[], y::DOUBLE[]) / (sqrt(list_dot_product(x::DOUBLE[], x::DOUBLE[])) * sqrt(list_dot_product(y::DOUBLE[], y::DOUBLE[])))), 6) AS influence FROM p GROUP BY layer)
 SELECT layer, influence FROM i WHERE layer BETWEEN 2 AND 7 ORDER BY influence, layer LIMIT 3""")
 def removable_layers(spark, sf):
-    from scrivenry.plans.metrics import layer_influence
+    from scrivenry.plans.metrics import plain_influence
 
-    return pipelines.removable_layers(layer_influence(spark, sf).drop("n"), 10, 3)
+    return pipelines.removable_layers(plain_influence(spark, sf), 10, 3)
 
 
 @query("""

@@ -384,6 +384,9 @@ def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
         # Stored, so that the number of a row doesn't change when a task is run again.
         several = docs.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
         several = stored(several.withColumn(one, F.monotonically_increasing_id() + (last + 1)), "several")
+        texts = several.groupBy(F.col("doc_id").alias(f"{one}_id")).agg((F.count("*") == 1).alias(f"{one}_single"))
+        several = several.join(texts, F.col("doc_id") == F.col(f"{one}_id"))
+        several = several.withColumn(one, F.when(F.col(f"{one}_single"), F.col("doc_id").cast("long")).otherwise(F.col(one))).select(*docs.columns, one)
         rows = docs.join(repeated, "doc_id", "left_anti").select(*docs.columns).withColumn(one, F.col("doc_id").cast("long")).unionByName(several)
     answer = near_duplicates(rows.select(F.col(one).alias("doc_id"), "text"), words, percent)
     gone = stored(answer.where("not kept and doc_id is not null").select(F.col("doc_id").alias(one)), "dropped")

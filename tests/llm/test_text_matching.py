@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from scrivenry.llm import decontam, langid, neardup, ordermh, secrets
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, spans string, score double, component_id long"
@@ -474,3 +475,15 @@ def test_redaction(spark):
 @pytest.mark.parametrize("make", [lambda d: secrets.scan(d), lambda d: secrets.redacted(d)])
 def test_secrets_of_nothing(spark, make):
     assert make(docs_of(spark, [])).count() == 0
+
+
+def test_deduplicated_drops_rows_and_not_ids(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta " * 3, "one two three four five six seven eight", "un deux trois quatre cinq six sept huit")
+    rows = [(1, a, "x"), (5, a, "y"), (5, b, "y"), (5, b, "y"), (7, c, "z"), (9, c, "z"), (None, a, "n"), (8, None, "q"), (8, "", "q"), (6, b, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").withColumn("kept", F.lit("clash"))
+    found = [(r.doc_id, r.text, r.row) for r in neardup.deduplicated(docs).collect()]
+    # b is kept once: by 6, as the rows of 5, which has two texts, stand last.
+    assert sorted(found, key=str) == sorted([(1, a, "x"), (6, b, "w"), (7, c, "z"), (None, a, "n"), (8, None, "q"), (8, "", "q")], key=str)
+    only = docs.where("doc_id = 5 or doc_id = 1")
+    assert sorted((r.doc_id, r.text) for r in neardup.deduplicated(only).collect()) == [(1, a), (5, b)]
+    assert neardup.deduplicated(docs.where("false")).collect() == []

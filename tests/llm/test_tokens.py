@@ -250,3 +250,32 @@ def test_equal_input_gives_equal_trees():
 def test_edit_counts_of_nothing_and_odd_columns(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, n_tokens string, edits array<struct<begin:long,end:long,text:string>>")
     assert tokencount.count_edits(docs, tokenizer("byte_bpe_50k.json")).count() == 0
+
+
+def test_shards_do_not_depend_on_the_session(spark):
+    rng = random.Random(21)
+    words = ["river", "stone", "ciel", "haus", "code", "lamp", "mer", "baum"]
+    rows = [(i if i % 7 else None, " ".join(rng.choice(words) for _ in range(rng.randint(0, 90)))) for i in range(130)]
+    rows += rows[:9] + [(500, None)]
+    docs, kept = spark.createDataFrame(rows, "doc_id long, text string"), spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for n in ("1", "4", "37"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            made = packing.pack(docs.repartition(int(n) + 1), tokenizer("byte_bpe_50k.json"), window=64, shard_docs=20).collect()
+            found.append(sorted((r.sequence_id, r.offset, r.length, r.ids_crc32, r.doc_tokens) for r in made))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert found[0] == found[1] == found[2]
+    lengths = {}
+    for s, _, n, *_ in found[0]:
+        lengths[s] = lengths.get(s, 0) + n
+    # At most one window of each of the seven shards is cut short.
+    assert sum(n < 64 for n in lengths.values()) <= 7 * 6 and sum(lengths.values()) == sum({(s, o): n for s, o, n, *_ in found[0]}.values())
+
+
+def test_every_shard_but_the_last_is_full(spark):
+    keys = spark.createDataFrame([(i * 7 % 50, i) for i in range(103)], "place long, row long").repartition(6)
+    cuts = packing.order_cuts(keys, 20)
+    order = sorted((i * 7 % 50, i) for i in range(103))
+    assert cuts == order[20::20] and packing.order_cuts(keys.where("row < 0"), 20) == []

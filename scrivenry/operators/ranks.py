@@ -60,7 +60,8 @@ def first_drawn(df: DataFrame, by: list[str], seed: int, key: str, limits: DataF
         same &= F.col(b).eqNullSafe(F.col(f"__by{i}"))
     joined = df.withColumn("__bucket", bucket).join(cuts, same, "left")
     kept = joined.where("__whole is null or __bucket <= __whole").select(*df.columns)
-    cut = joined.where("__bucket = __part").withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(draw(seed, key), key)))
+    inside = Window.partitionBy(*by, "__bucket").orderBy("__d", key)
+    cut = joined.where("__bucket = __part").withColumn("__d", draw(seed, key)).withColumn("__r", F.row_number().over(inside))
     return kept.unionByName(cut.where("__r <= __room").select(*df.columns))
 
 

@@ -66,6 +66,19 @@ def decode_entities(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield t.map(lambda x: html.unescape(x) if x is not None and "&" in x else x)
 
 
+@F.pandas_udf(StringType())
+def decode_closed_entities(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """``decode_entities`` for those that end in a semicolon; an open ``&amp`` stays as it is written."""
+    import html
+    import re
+    from html.entities import html5
+
+    closed = re.compile("&(#[0-9]+;|#[xX][0-9a-fA-F]+;|[0-9a-zA-Z]+;)")
+    plain = lambda m: html.unescape(m[0]) if m[1][0] == "#" else html5.get(m[1], m[0])
+    for t in texts:
+        yield t.map(lambda x: closed.sub(plain, x) if x is not None and "&" in x else x)
+
+
 @F.pandas_udf(StringType())
 def nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import unicodedata
@@ -93,15 +106,17 @@ def compact_blank_runs(lines: Column) -> Column:
     return short.substr(F.lit(2), F.length(short) - 2)
 
 
-def normalise_body(c: Column | str) -> Column:
+def normalise_body(c: Column | str, open_entities: bool = True) -> Column:
     """struct<text, raw_char_count, normalized_char_count, raw_sha256, normalized_sha256> of an episode's body.
 
+    open_entities: whether an entity counts that HTML5 knows without its semicolon.
     Entities are decoded on the lines joined by a mark that no text holds, so one call serves all blocks.
     """
     raw = F.coalesce(_col(c), F.lit(""))
     mark = "\x00"
     lines = F.transform(blocks(F.translate(raw, mark, "")), clean_block)
-    decoded = F.translate(decode_entities(F.array_join(lines, mark)), " ", " ")
+    decode = decode_entities if open_entities else decode_closed_entities
+    decoded = F.translate(decode(F.array_join(lines, mark)), " ", " ")
     text = compact_blank_runs(F.split(decoded, mark, -1))
     return F.struct(
         text.alias("text"), F.length(raw).alias("raw_char_count"), F.length(text).alias("normalized_char_count"),

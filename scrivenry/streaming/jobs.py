@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
+from scrivenry.operators.ranks import numbered
 from scrivenry.operators.sampling import pending
-from scrivenry.sources.scratch import ends_with_session, scratch
+from scrivenry.sources.scratch import ends_with_session, scratch, stored
 
 
 def file_stream(spark: SparkSession, folder: str, like: DataFrame, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -123,17 +124,19 @@ def resumed(df: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, ke
 def batches_until(jobs: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, keys: list[str], each: int, stop: Callable[[], bool], ok: str | None = None) -> DataFrame:
     """Do pending jobs ``each`` at a time, by key, until none is left or ``stop`` says so, as at a deadline: what is
     done by then is kept, and the same call goes on from there.  Rows whose work gives nothing stay pending and are
-    not tried again in this call."""
-    spark, last = jobs.sparkSession, None
-    while not stop():
+    not tried again in this call.
+
+    What is pending is looked up once, numbered by key and stored, so that a batch reads its own rows and not all
+    that is done; rows with equal keys are all done, also where a batch ends between them."""
+    spark = jobs.sparkSession
+    if not stop():
         found = written(spark, path)
-        todo = jobs if found is None else pending(jobs, found, keys, ok)
-        place = F.struct(*keys)
-        part = todo if last is None else todo.where(place > F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, last, strict=True)]))
-        part = part.orderBy(*keys).limit(each)
-        if (last := part.agg(F.max(F.struct(*keys)).alias("m")).first()["m"]) is None:
-            break
-        work(part).write.mode("append").parquet(path)
+        todo = stored(numbered(jobs if found is None else pending(jobs, found, keys, ok), keys, "__place"), "pending")
+        left = todo.agg(F.coalesce(F.max("__place") + 1, F.lit(0)).alias("n")).first()["n"]
+        for i in range(0, left, each):
+            if i and stop():
+                break
+            work(todo.where(F.col("__place").between(i, i + each - 1)).drop("__place")).write.mode("append").parquet(path)
     found = written(spark, path)
     return jobs.limit(0) if found is None else found
 

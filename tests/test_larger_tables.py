@@ -3,6 +3,7 @@
 import duckdb
 from scrivenry.plans import reading as reading_plans
 from scrivenry.plans.registry import ORACLE_SQL
+from scrivenry.streaming import jobs
 
 
 def test_open_entities_stay_as_in_the_sql(spark, tmp_path):
@@ -13,3 +14,16 @@ def test_open_entities_stay_as_in_the_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     wanted = con.execute(ORACLE_SQL["normalised_bodies"]).fetchall()
     assert len(wanted) == len(bodies) and all(tuple(found[w[0]]) == w for w in wanted)
+
+
+def test_batches_look_up_what_is_pending_once(spark, tmp_path, monkeypatch):
+    asked, plain = [], jobs.pending
+    monkeypatch.setattr(jobs, "pending", lambda *a: asked.append(1) or plain(*a))
+    df = spark.createDataFrame([(i // 2 if i else None, i) for i in range(41)], "k int, v int").repartition(5)
+    left, path = iter([False, False, True]), f"{tmp_path}/done"
+    first = jobs.batches_until(df, lambda d: d, path, ["k"], 5, lambda: next(left))
+    assert sorted(r.v for r in first.collect()) == list(range(10)) and not asked
+    every = jobs.batches_until(df, lambda d: d.where("v <> 33"), path, ["k"], 3, lambda: False)
+    assert sorted(r.v for r in every.collect()) == [v for v in range(41) if v != 33] and len(asked) == 1
+    assert jobs.batches_until(df, lambda d: d, path, ["k"], 3, lambda: True).count() == 40
+    assert jobs.batches_until(df.where("false"), lambda d: d, f"{tmp_path}/none", ["k"], 3, lambda: False).count() == 0

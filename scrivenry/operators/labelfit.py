@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrivenry.operators.ranks import drawn
+from scrivenry.sources.batches import parts, small_batches
 from scrivenry.sources.scratch import stored
 
 #: Weights of the models that are fitted together (a bound on what a worker and the driver hold), features whose
@@ -38,17 +39,23 @@ def sparse(df: DataFrame, column: str) -> DataFrame:
     if not isinstance(df.schema[column].dataType, VectorUDT):
         return df.withColumn(column, F.col(column).cast(kind))
     place = df.columns.index(column)
+    small_batches(df.sparkSession)
 
     def split(batches):
         import pyarrow as pa
 
-        for b in batches:
-            at, values = [], []
-            for v in b.column(place).to_pylist():
-                dense = np.asarray(v["values"] if v else [], np.float32)
-                at.append(np.arange(len(dense), dtype=np.int32) if not v or v["indices"] is None else v["indices"])
-                values.append(dense)
-            made = pa.StructArray.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=["indices", "values"])
+        for b in parts(batches):
+            own = b.column(place)
+            if own.null_count == 0 and own.field("indices").null_count == 0 and own.field("values").null_count == 0:
+                at, values = own.field("indices"), own.field("values").cast(pa.list_(pa.float32()))
+            else:  # some are dense, or null
+                at, values = [], []
+                for v in own.to_pylist():
+                    dense = np.asarray(v["values"] if v else [], np.float32)
+                    at.append(np.arange(len(dense), dtype=np.int32) if not v or v["indices"] is None else v["indices"])
+                    values.append(dense)
+                at, values = pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))
+            made = pa.StructArray.from_arrays([at.cast(pa.list_(pa.int32())), values], names=["indices", "values"])
             yield pa.RecordBatch.from_arrays([made if i == place else c for i, c in enumerate(b.columns)], names=b.schema.names)
 
     return df.mapInArrow(split, StructType([StructField(f.name, kind if f.name == column else f.dataType) for f in df.schema.fields]))
@@ -57,6 +64,7 @@ def sparse(df: DataFrame, column: str) -> DataFrame:
 def matrix_rows(df: DataFrame, labels: str, features: str, key: str, k: int, seed: int) -> DataFrame:
     """key, at, value, labels, folds of rows with unique keys, stored: many passes read them.  features is a sparse
     vector; labels an array with 1 for what has the label."""
+    small_batches(df.sparkSession)
     df = sparse(df.select(key, labels, features), features)
     df = df.select(key, labels, F.col(f"{features}.indices").alias("at"), F.col(f"{features}.values").alias("value"))
     df = df.withColumn("labels", F.transform(labels, lambda y: F.coalesce(y.cast("double"), F.lit(0.0))))

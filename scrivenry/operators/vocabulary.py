@@ -15,8 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-#: N-grams of a summary at first, numbers that travel together, summaries merged by a task, rows of a part.
-CAPACITY, BLOCK, FAN_IN, ROWS = 1 << 20, 1 << 16, 16, 512
+from scrivenry.sources.batches import parts as parts_of
+from scrivenry.sources.batches import small_batches
+
+#: N-grams of a summary at first, numbers that travel together, summaries merged by a task, rows and bytes of a part.
+CAPACITY, BLOCK, FAN_IN, ROWS, BYTES = 1 << 20, 1 << 16, 16, 1024, 2 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -49,9 +52,11 @@ class Summary:
         self.codes, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def add(self, codes: np.ndarray, counts: np.ndarray, lost: int = 0) -> None:
-        every, at = np.unique(np.concatenate([self.codes, codes]), return_inverse=True)
-        sums = np.zeros(len(every), np.int64)
-        np.add.at(sums, at, np.concatenate([self.counts, counts]))
+        """Ascending numbers, each once."""
+        at, hit = lookup(self.codes, codes)
+        self.counts[at] += counts[hit]
+        new = np.searchsorted(self.codes, codes[~hit])
+        every, sums = np.insert(self.codes, new, codes[~hit]), np.insert(self.counts, new, counts[~hit])
         self.lost += lost
         if len(every) > self.capacity:
             taken = int(np.partition(sums, len(sums) - self.capacity - 1)[len(sums) - self.capacity - 1])
@@ -61,10 +66,33 @@ class Summary:
         self.codes, self.counts = every, sums
 
 
+class _Merged:
+    """A summary of blocks of others, added once they are as many numbers as it may hold."""
+
+    def __init__(self, capacity: int):
+        self.own, self.held, self.size = Summary(capacity), [], 0
+
+    def add(self, codes: bytes, counts: bytes, lost: int) -> None:
+        self.own.lost += lost
+        self.held.append((np.frombuffer(codes, np.uint64), np.frombuffer(counts, np.int64)))
+        self.size += len(self.held[-1][0])
+        if self.size >= self.own.capacity:
+            self.summary()
+
+    def summary(self) -> Summary:
+        if self.held:
+            codes, at = np.unique(np.concatenate([c for c, _ in self.held]), return_inverse=True)
+            sums = np.zeros(len(codes), np.int64)
+            np.add.at(sums, at, np.concatenate([n for _, n in self.held]))
+            self.held, self.size = [], 0
+            self.own.add(codes, sums)
+        return self.own
+
+
 def _texts(batches) -> Iterator[list[str | None]]:
-    for b in batches:
-        for i in range(0, b.num_rows, ROWS):
-            yield b.column(0).slice(i, ROWS).to_pylist()
+    """Texts of a few rows, of ``BYTES`` in all: a worker holds several numbers of 8 bytes for each character."""
+    for part in parts_of(batches, ROWS, BYTES):
+        yield part.column(0).to_pylist()
 
 
 def summary(df: DataFrame, text: str, low: int, high: int, capacity: int) -> Summary:
@@ -82,8 +110,9 @@ def summary(df: DataFrame, text: str, low: int, high: int, capacity: int) -> Sum
     def sent(part: int, own: Summary):
         import pyarrow as pa
 
-        if len(own.codes):
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([own.codes.tobytes()]), pa.array([own.counts.tobytes()]), pa.array([own.lost], pa.int64())], names=["part", "codes", "counts", "lost"])
+        for i in range(0, len(own.codes), BLOCK):
+            lost = own.lost if i == 0 else 0
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([own.codes[i : i + BLOCK].tobytes()]), pa.array([own.counts[i : i + BLOCK].tobytes()]), pa.array([lost], pa.int64())], names=["part", "codes", "counts", "lost"])
 
     def merge(batches):
         part, own = None, None
@@ -91,25 +120,27 @@ def summary(df: DataFrame, text: str, low: int, high: int, capacity: int) -> Sum
             for now, found, n, lost in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if now != part:
                     if own:
-                        yield from sent(part, own)
-                    part, own = now, Summary(capacity)
-                own.add(np.frombuffer(found, np.uint64), np.frombuffer(n, np.int64), lost)
+                        yield from sent(part, own.summary())
+                    part, own = now, _Merged(capacity)
+                own.add(found, n, lost)
         if own:
-            yield from sent(part, own)
+            yield from sent(part, own.summary())
 
+    small_batches(df.sparkSession)
     schema = "part int, codes binary, counts binary, lost long"
     rows, parts = df.select(F.col(text).cast("string")).mapInArrow(make, schema), max(1, df.rdd.getNumPartitions())
     while parts > 1:
         parts = -(-parts // FAN_IN)
         rows = rows.withColumn("part", (F.col("part") / FAN_IN).cast("int")).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(merge, schema)
-    out = Summary(capacity)
+    out = _Merged(capacity)
     for r in rows.collect():
-        out.add(np.frombuffer(r["codes"], np.uint64), np.frombuffer(r["counts"], np.int64), r["lost"])
-    return out
+        out.add(r["codes"], r["counts"], r["lost"])
+    return out.summary()
 
 
 def exact_counts(df: DataFrame, text: str, low: int, high: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(occurrences, documents) of each of the ascending ``wanted``, and the number of documents."""
+    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(wanted)
 
     def count(batches):
@@ -177,6 +208,7 @@ def vectors(df: DataFrame, text: str, out: str, low: int, high: int, vocabulary:
     """Adds ``out``, unit vectors of (1 + ln n) * weight over the vocabulary; texts without any of it have none."""
     from pyspark.ml.linalg import VectorUDT
 
+    small_batches(df.sparkSession)
     order = np.argsort(vocabulary)
     sent = df.sparkSession.sparkContext.broadcast((vocabulary[order], order, weights))
     place, size = df.columns.index(text), len(vocabulary)
@@ -185,9 +217,9 @@ def vectors(df: DataFrame, text: str, out: str, low: int, high: int, vocabulary:
         import pyarrow as pa
 
         ascending, number, weight = sent.value
-        for b in batches:
-            for i in range(0, b.num_rows, ROWS):
-                part, at, values, ends = b.slice(i, ROWS), [], [], [0]
+        for part in parts_of(batches, ROWS, BYTES):
+            if part.num_rows:
+                at, values, ends = [], [], [0]
                 for t in part.column(place).to_pylist():
                     found, times = np.unique(codes(t, low, high), return_counts=True)
                     where, hit = lookup(ascending, found)

@@ -1,6 +1,10 @@
 """What only larger or odder tables than sf0.001 bring up."""
 
 import duckdb
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+from scrivenry.operators import classify, labelfit, vocabulary
 from scrivenry.plans import reading as reading_plans
 from scrivenry.plans.registry import ORACLE_SQL
 from scrivenry.streaming import jobs
@@ -27,3 +31,24 @@ def test_batches_look_up_what_is_pending_once(spark, tmp_path, monkeypatch):
     assert sorted(r.v for r in every.collect()) == [v for v in range(41) if v != 33] and len(asked) == 1
     assert jobs.batches_until(df, lambda d: d, path, ["k"], 3, lambda: True).count() == 40
     assert jobs.batches_until(df.where("false"), lambda d: d, f"{tmp_path}/none", ["k"], 3, lambda: False).count() == 0
+
+
+def test_workers_get_small_batches(spark, monkeypatch):
+    """Rows of texts, of vectors and of blocks of sums come in batches of a bounded size, and none of a whole summary."""
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("ab"), F.col("id").cast("string")).alias("text")).coalesce(2)
+    monkeypatch.setattr(vocabulary, "BLOCK", 64)
+    made = classify.tfidf(df, "text", "features", classify.Vectors(features=300, least_docs=1))
+    kinds = labelfit.sparse(made, "features").mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"rows": [b.num_rows], "most": [b.nbytes]}) for b in bs), "rows long, most long")
+    assert kinds.agg(F.max("rows")).first()[0] <= 1024 and kinds.agg(F.sum("rows")).first()[0] == 3000
+
+
+def test_summaries_in_blocks_are_one_summary():
+    rng = np.random.default_rng(3)
+    whole, merged = vocabulary.Summary(10_000), vocabulary._Merged(10_000)
+    for i in range(20):
+        codes, counts = np.unique(rng.integers(0, 900, 500).astype(np.uint64), return_counts=True)
+        whole.add(codes, counts, i)
+        for j in range(0, len(codes), 64):
+            merged.add(codes[j : j + 64].tobytes(), counts[j : j + 64].tobytes(), i if j == 0 else 0)
+    own = merged.summary()
+    assert own.codes.tolist() == whole.codes.tolist() and own.counts.tolist() == whole.counts.tolist() and own.lost == whole.lost == 190

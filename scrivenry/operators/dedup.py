@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from scrivenry.functions.text import without_space
+from scrivenry.sources.batches import small_batches
 from scrivenry.sources.scratch import stored
 
 #: Rows of a scope that are compared in one group, and rows of a larger one that a task compares with kept ones.
@@ -84,11 +85,34 @@ def greedy_near_duplicates(df: DataFrame, scope: list[str], order: str, text: st
     each one task's group; larger ones are decided in rounds, see ``_in_rounds``.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        found = find_duplicates(pdf[text].fillna("").tolist(), threshold)
-        pdf["duplicate_of"] = pd.array([pdf[order].iloc[found[i]] if i in found else None for i in range(len(pdf))], dtype="Int64")
-        return pdf
+    names = df.columns
+    places, own_order, own_text = [names.index(c) for c in scope], names.index(order), names.index(text)
+
+    def run(batches):
+        import pyarrow as pa
+
+        # Rows of a scope come together and in order; the last scope of a batch may go on in the next.
+        rest = None
+        for b in batches:
+            b = b if rest is None or not rest.num_rows else pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
+            keys = list(zip(*(b.column(i).to_pylist() for i in places), strict=True)) if places else [()] * b.num_rows
+            begin = next((i + 1 for i in range(len(keys) - 2, -1, -1) if keys[i] != keys[-1]), 0)
+            rest = b.slice(begin)
+            if begin:
+                yield marked(b.slice(0, begin), keys[:begin])
+        if rest is not None and rest.num_rows:
+            yield marked(rest, None)
+
+    def marked(b, keys):
+        import pyarrow as pa
+
+        orders, texts = b.column(own_order).to_pylist(), [t or "" for t in b.column(own_text).to_pylist()]
+        ends = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]] if keys else []
+        out: list[int | None] = [None] * b.num_rows
+        for first, end in zip([0, *ends], [*ends, b.num_rows], strict=True):
+            for i, kept in find_duplicates(texts[first:end], threshold).items() if end > first + 1 else ():
+                out[first + i] = orders[first + kept]
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*names, "duplicate_of"])
 
     schema = StructType([*df.schema.fields, StructField("duplicate_of", LongType())])
     named = [F.col(c).alias(f"__scope{i}") for i, c in enumerate(scope)]
@@ -98,9 +122,12 @@ def greedy_near_duplicates(df: DataFrame, scope: list[str], order: str, text: st
         same &= F.col(c).eqNullSafe(F.col(f"__scope{i}"))
     # Comparing costs more than the bytes tell, so the exchange's tasks aren't merged by size.
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small_batches(df.sparkSession)
+    # Scopes pass through in a stream: a group of its own for each costs more than comparing its few rows.
+    decided = lambda rows: (rows.repartition(width, *scope) if scope else rows.coalesce(1)).sortWithinPartitions(*scope, order).mapInArrow(run, schema)
     if large.isEmpty():
-        return df.repartition(width, *scope).groupBy(*scope).applyInPandas(run, schema)
-    small = df.join(large, same, "left_anti").repartition(width, *scope).groupBy(*scope).applyInPandas(run, schema)
+        return decided(df)
+    small = decided(df.join(large, same, "left_anti"))
     return small.unionByName(_in_rounds(df.join(large, same, "left_semi"), scope, order, text, threshold))
 
 

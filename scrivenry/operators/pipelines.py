@@ -9,8 +9,9 @@ from scrivenry.functions import meta, prompts
 from scrivenry.functions import text as T
 from scrivenry.operators import chunking, dedup, measures, reading, sampling
 from scrivenry.operators.ranks import numbered
+from scrivenry.sources.batches import small_batches
 from scrivenry.sources.schemas import default_chunk_classification
-from scrivenry.sources.scratch import scratch
+from scrivenry.sources.scratch import stored
 
 
 def build_dataset(novels: DataFrame, episodes: DataFrame, urls: DataFrame, target: int = 1536, most: int = 2048, overlap: int = 128, threshold: float = 0.9, val_share: float = 0.02, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -29,11 +30,11 @@ def build_dataset(novels: DataFrame, episodes: DataFrame, urls: DataFrame, targe
 
     body = episodes.where(~T.is_blank("body")).withColumn("n", T.normalise_body("body"))
     body = body.select("ncode", T.lenient_int("episode_no").alias("episode_no"), F.col("e_title").alias("episode_title"), F.col("n.text").alias("text"), F.col("n.raw_sha256").alias("source_sha256")).where(~T.is_blank("text"))
-    path = scratch(spark, "episodes")
-    body.write.parquet(path)
-    body = spark.read.schema(body.schema).parquet(path)
+    small_batches(spark)
+    body = stored(body, "episodes")
     chunks = chunking.chunk_episodes(body, ["ncode", "episode_no"], "text", target, most, overlap)
-    unique = dedup.greedy_near_duplicates(chunks, ["ncode", "episode_no"], "chunk_index", "text", threshold)
+    # Chunks and the answer are stored: the duplicates' count, the manifest and the chunks' readers take them from there.
+    unique = stored(dedup.greedy_near_duplicates(stored(chunks, "chunks"), ["ncode", "episode_no"], "chunk_index", "text", threshold), "unique")
     dropped = unique.where("duplicate_of is not null").groupBy("ncode").agg(F.count("*").alias("dropped_duplicates"))
     kept = unique.where("duplicate_of is null").join(body.drop("text"), ["ncode", "episode_no"]).join(works, "ncode")
     content = default_chunk_classification()["content"]

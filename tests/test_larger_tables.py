@@ -52,3 +52,28 @@ def test_summaries_in_blocks_are_one_summary():
             merged.add(codes[j : j + 64].tobytes(), counts[j : j + 64].tobytes(), i if j == 0 else 0)
     own = merged.summary()
     assert own.codes.tolist() == whole.codes.tolist() and own.counts.tolist() == whole.counts.tolist() and own.lost == whole.lost == 190
+
+
+def test_scopes_pass_in_a_stream(spark, monkeypatch):
+    """Scopes that go on in the next batch are one scope, and no group of rows is sent to Python for each."""
+    from scrivenry.operators import dedup
+
+    monkeypatch.setattr(dedup, "small_batches", lambda spark: None)
+    rows = [(f"s{s}", i, None if i == 5 else f"text number {i % 3} of the scope " * 3) for s in range(40) for i in range(s % 7)]
+    rows += [(None, i, f"row {i // 2} and nothing else") for i in range(4)]
+    df = spark.createDataFrame(rows, "s string, i int, t string").repartition(3)
+    want = {}
+    for s in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == s), key=lambda r: r[1])
+        found = dedup.find_duplicates([r[2] or "" for r in own], 0.95)
+        want |= {(s, r[1]): own[found[j]][1] if j in found else None for j, r in enumerate(own)}
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(name)
+    try:
+        for size in (1, 3, 5000):
+            spark.conf.set(name, size)
+            made = dedup.greedy_near_duplicates(df, ["s"], "i", "t", 0.95)
+            assert {(r.s, r.i): r.duplicate_of for r in made.collect()} == want
+            assert "FlatMapGroups" not in made._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set(name, held)

@@ -51,10 +51,8 @@ def out_of_fold(df: DataFrame, label: str, features: str, k: int, c: float = 1.0
     for i in range(k):
         train = df.where(F.col("fold") != i)
         train = balanced(train, label) if class_weights else train.withColumn("__weight", F.lit(1.0))
-        train = train.persist()
         n = train.count()
-        model = LogisticRegression(labelCol=label, featuresCol=features, weightCol="__weight", regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=iterations).fit(train)
-        train.unpersist()
+        model = LogisticRegression(labelCol=label, featuresCol=features, weightCol="__weight", regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=iterations).fit(train)  # keeps its blocks of rows itself
         scored = model.transform(df.where(F.col("fold") == i)).withColumn("score", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
         out = scored if out is None else out.unionByName(scored)
     return out
@@ -80,8 +78,9 @@ def calibrated(df: DataFrame, label: str, score: str, fold: str = "fold") -> Dat
 def evaluate(df: DataFrame, label: str, key: str, features: str, k: int = 3, c: float = 1.0, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(one row of measures, scored rows): ranking quality, the best cut, and the correction for unlabelled
     positives, all from out-of-fold scores."""
-    # Stored once, with their folds: every fold's model reads the vectors many times.
-    own = stored(folds(df.select(key, F.col(label).cast("double").alias(label), features), label, key, k, seed), "vectors")
+    # Stored before the folds are drawn, which reads the rows twice, and with them: every fold's model reads all.
+    made = stored(df.select(key, F.col(label).cast("double").alias(label), features), "made")
+    own = stored(folds(made, label, key, k, seed), "vectors")
     raw = stored(out_of_fold(own, label, features, k, c).select(key, label, "fold", "score"), "raw")
     scored = stored(calibrated(raw, label, "score"), "scores")
     parts = [measures.auc(scored, label, "score"), measures.average_precision(scored, label, "score"), measures.best_f1(scored, label, "score"), measures.unlabelled_correction(scored, label, "calibrated")]

@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 from scrivenry.operators import classify, labelfit, vocabulary
 from scrivenry.plans import reading as reading_plans
@@ -77,3 +78,17 @@ def test_scopes_pass_in_a_stream(spark, monkeypatch):
             assert "FlatMapGroups" not in made._jdf.queryExecution().optimizedPlan().toString()
     finally:
         spark.conf.set(name, held)
+
+
+def test_evaluation_makes_vectors_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    df = spark.range(60).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("double").alias("y"), F.array((F.col("id") % 2).cast("double"), (F.col("id") % 5).cast("double")).alias("v"))
+    vectors = df.mapInArrow(seen, df.schema).withColumn("features", array_to_vector("v")).drop("v")
+    row = classify.evaluate(vectors, "y", "doc_id", "features", k=2)[0].first()
+    assert row.n_pos == 30 and row.auc == 1.0 and made.value == 60

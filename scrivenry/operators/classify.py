@@ -131,9 +131,10 @@ def grid(df: DataFrame, text: str, tags: dict[str, Column], key: str, configs: l
     before each, and a grid that it ends has the rows so far.  Keys are unique.
     """
     out, names = None, list(tags)
+    # Each vectoriser reads the texts several times; what they are made from is read once.
+    texts = stored(df.select(key, text, F.array(*[c.cast("double") for c in tags.values()]).alias("__labels")), "texts") if configs else None
     for config in configs:
-        labels = F.array(*[c.cast("double") for c in tags.values()]).alias("__labels")
-        vectors = tfidf(df.select(key, text, labels), text, "features", config)
+        vectors = tfidf(texts, text, "features", config)
         rows = labelfit.matrix_rows(vectors, "__labels", "features", key, k, seed)
         for some in [[c] for c in strengths] if stop is not None else [strengths]:
             if stop is not None and stop():

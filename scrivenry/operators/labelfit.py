@@ -1,5 +1,5 @@
 """Logistic regressions of many labels, strengths and folds at once: every pass over the rows gives the gradients of
-all of them, a block of sparse rows times a matrix of weights."""
+all of them, a dense block of a few rows and the features they hold times a matrix of weights."""
 
 from __future__ import annotations
 
@@ -14,8 +14,8 @@ from scrivenry.sources.batches import parts, small_batches
 from scrivenry.sources.scratch import stored
 
 #: Weights of the models that are fitted together (a bound on what a worker and the driver hold), features whose
-#: gradients travel together, and products of a block of rows.
-WEIGHTS, FEATURES, PRODUCTS = 1 << 24, 1 << 12, 1 << 22
+#: gradients travel together, weights that a block of rows takes at once, and cells of a block of more than a row.
+WEIGHTS, FEATURES, PRODUCTS, CELLS = 1 << 24, 1 << 12, 1 << 22, 1 << 20
 
 
 def label_folds(df: DataFrame, labels: str, key: str, k: int, seed: int) -> DataFrame:
@@ -67,38 +67,70 @@ def matrix_rows(df: DataFrame, labels: str, features: str, key: str, k: int, see
     small_batches(df.sparkSession)
     df = sparse(df.select(key, labels, features), features)
     df = df.select(key, labels, F.col(f"{features}.indices").alias("at"), F.col(f"{features}.values").alias("value"))
-    df = df.withColumn("labels", F.transform(labels, lambda y: F.coalesce(y.cast("double"), F.lit(0.0))))
+    # Stored before the folds are drawn, which reads the keys and labels more than once: features are made once.
+    df = stored(df.withColumn("labels", F.transform(labels, lambda y: F.coalesce(y.cast("double"), F.lit(0.0)))), "made")
     return stored(df.join(label_folds(df, "labels", key, k, seed), key).select(key, "at", "value", "labels", "folds"), "rows")
 
 
-def _blocks(batch, models: int) -> Iterator[tuple]:
-    """(rows, at, value, starts, labels, folds) of a few rows each; starts: where a row's features begin."""
+def _blocks(batch, size: int) -> Iterator[tuple]:
+    """(rows, own, x, labels, folds) of a few rows each; own: the features, of ``size`` in all, that any of them has,
+    x: their values, a dense row for each row."""
+    if not batch.num_rows:
+        return
     names = batch.schema.names
     at, value, labels, folds = (batch.column(names.index(n)) for n in ("at", "value", "labels", "folds"))
-    ends = np.append(0, np.cumsum([len(x) for x in at])) if batch.num_rows else np.zeros(1, int)
+    lengths = at.value_lengths().fill_null(0).to_numpy()
+    ends = np.append(0, np.cumsum(lengths, dtype=np.int64))
     y = np.array(labels.to_pylist(), np.float32).reshape(batch.num_rows, -1)
     f = np.array(folds.to_pylist(), np.int32).reshape(batch.num_rows, -1)
     at_, value_ = at.flatten().to_numpy(zero_copy_only=False), value.flatten().to_numpy(zero_copy_only=False)
     begin = 0
     while begin < batch.num_rows:
-        end = begin + max(1, int(np.searchsorted(ends[begin + 1 :], ends[begin] + PRODUCTS // models, "right")))
-        own = slice(ends[begin], ends[end])
-        yield slice(begin, end), at_[own], value_[own], ends[begin:end] - ends[begin], y[begin:end], f[begin:end]
+        cells = np.arange(1, batch.num_rows - begin + 1) * np.minimum(ends[begin + 1 :] - ends[begin], size)
+        end = begin + max(1, int(np.searchsorted(cells, CELLS, "right")))
+        here, held = at_[ends[begin] : ends[end]], np.zeros(size, bool)
+        held[here] = True
+        own = np.flatnonzero(held)
+        place = np.repeat(np.arange(end - begin) * len(own), lengths[begin:end]) + (np.cumsum(held) - 1)[here]
+        x = np.bincount(place, value_[ends[begin] : ends[end]], (end - begin) * len(own)).astype(np.float32)
+        yield slice(begin, end), own, x.reshape(end - begin, len(own)), y[begin:end], f[begin:end]
         begin = end
 
 
-def _products(at, value, starts, n: int, weights: np.ndarray) -> np.ndarray:
-    """Rows times weights, the last of which is added to each."""
-    out = np.zeros((n, weights.shape[1]), np.float32)
-    filled = np.flatnonzero(np.diff(np.append(starts, len(at))))
-    if len(filled):
-        out[filled] = np.add.reduceat(weights[at] * value[:, None], starts[filled], axis=0)
-    return out + weights[-1]
+def _packed(rows: DataFrame, size: int) -> DataFrame:
+    """The blocks of ``matrix_rows``, stored: a pass over them decodes no lists and orders no features."""
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for _, own, x, y, f in _blocks(b, size):
+                place = np.flatnonzero(x)
+                held = [own.astype(np.int32), place.astype(np.int32), x.ravel()[place], y, f]
+                yield pa.RecordBatch.from_arrays([pa.array([len(y)], pa.int32()), *[pa.array([h.tobytes()], pa.binary()) for h in held]], names=["n", "own", "place", "value", "labels", "folds"])
+
+    return stored(rows.mapInArrow(pack, "n int, own binary, place binary, value binary, labels binary, folds binary"), "blocks")
 
 
-def _gradients(rows: DataFrame, weights: np.ndarray, tag: np.ndarray, fold: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(batch) -> Iterator[tuple]:
+    """(own, x, labels, folds) of each of the blocks."""
+    for i in range(batch.num_rows):
+        n = batch.column(0)[i].as_py()
+        own, place, value, y, f = (np.frombuffer(c[i].as_buffer(), kind) for c, kind in zip(batch.columns[1:], (np.int32, np.int32, np.float32, np.float32, np.int32), strict=True))
+        x = np.zeros(n * len(own), np.float32)
+        x[place] = value
+        yield own, x.reshape(n, len(own)), y.reshape(n, -1), f.reshape(n, -1)
+
+
+def _groups(own: np.ndarray, models: int) -> Iterator[slice]:
+    """Models whose weights for a block's features are taken at once."""
+    step = max(1, PRODUCTS // max(1, len(own)))
+    return (slice(i, i + step) for i in range(0, models, step))
+
+
+def _gradients(blocks: DataFrame, weights: np.ndarray, tag: np.ndarray, fold: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(losses, gradients) of all models in one pass; factor: weights of rows without and with a label, by model."""
-    sent = rows.sparkSession.sparkContext.broadcast(weights)
+    sent = blocks.sparkSession.sparkContext.broadcast(weights)
     features, models = weights.shape
 
     def work(batches):
@@ -106,19 +138,16 @@ def _gradients(rows: DataFrame, weights: np.ndarray, tag: np.ndarray, fold: np.n
 
         total, loss, seen = np.zeros((features, models), np.float32), np.zeros(models), False
         for b in batches:
-            for _, at, value, starts, y, f in _blocks(b, models):
+            for own, x, labels, folds in _unpacked(b):
                 seen = True
-                y, use = y[:, tag], f[:, tag] != fold
-                z = _products(at, value, starts, len(y), sent.value)
-                c = np.where(y > 0, factor[1], factor[0]).astype(np.float32) * use
-                loss += (c * (np.logaddexp(0, z) - y * z)).sum(0)
-                r = c * (1 / (1 + np.exp(-z)) - y)
-                total[-1] += r.sum(0)
-                order = np.argsort(at, kind="stable")
-                if len(order):
-                    row = np.repeat(np.arange(len(y)), np.diff(np.append(starts, len(at))))[order]
-                    own, first = np.unique(at[order], return_index=True)
-                    total[own] += np.add.reduceat(r[row] * value[order, None], first, axis=0)
+                for some in _groups(own, models):
+                    y, use = labels[:, tag[some]], folds[:, tag[some]] != fold[some]
+                    z = x @ sent.value[own, some] + sent.value[-1, some]
+                    c = np.where(y > 0, factor[1, some], factor[0, some]).astype(np.float32) * use
+                    loss[some] += (c * (np.logaddexp(0, z) - y * z)).sum(0)
+                    r = c * (1 / (1 + np.exp(-z)) - y)
+                    total[-1, some] += r.sum(0)
+                    total[own, some] += x.T @ r
         if seen:
             for i in range(0, features, FEATURES):
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total[i : i + FEATURES].tobytes()], pa.binary())], names=["at", "sums"])
@@ -135,8 +164,8 @@ def _gradients(rows: DataFrame, weights: np.ndarray, tag: np.ndarray, fold: np.n
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["at", "sums"])
 
-    parts = rows.mapInArrow(work, "at int, sums binary")
-    width = max(1, min(rows.rdd.getNumPartitions(), -(-features // FEATURES)))
+    parts = blocks.mapInArrow(work, "at int, sums binary")
+    width = max(1, min(blocks.rdd.getNumPartitions(), -(-features // FEATURES)))
     found = {r["at"]: np.frombuffer(r["sums"]) for r in parts.repartition(width, "at").mapInArrow(add, "at int, sums binary").collect()}
     sent.unpersist()
     loss = found.pop(-1, np.zeros(models))
@@ -159,24 +188,24 @@ def fit(rows: DataFrame, strengths: list[float], k: int, size: int, iterations:
     tags = 1 + max((t for t, _ in counts), default=-1)
     models = [(t, s, f) for t in range(tags) for s in range(len(strengths)) for f in range(k)]
     out = np.zeros((size + 1, len(models)), np.float32)
-    each_time = max(1, WEIGHTS // (size + 1))
+    each_time, blocks = max(1, WEIGHTS // (size + 1)), _packed(rows, size)
     for i in range(0, len(models), each_time):
         some = models[i : i + each_time]
         train = np.array([[sum(counts.get((t, g), [0, 0])[y] for g in range(k) if g != f) for t, _, f in some] for y in (0, 1)], float)
         n = np.maximum(train.sum(0), 1)
         factor = n / np.maximum(2 * train, 1) if class_weights else np.ones_like(train)
         penalty = 1 / (np.array([strengths[s] for _, s, _ in some]) * n)
-        out[:, i : i + each_time] = _descend(rows, np.array([t for t, _, _ in some]), np.array([f for _, _, f in some]), factor / n, penalty, size, iterations)
+        out[:, i : i + each_time] = _descend(blocks, np.array([t for t, _, _ in some]), np.array([f for _, _, f in some]), factor / n, penalty, size, iterations)
     return out, models
 
 
-def _descend(rows, tag, fold, factor, penalty, size: int, iterations: int) -> np.ndarray:
+def _descend(blocks, tag, fold, factor, penalty, size: int, iterations: int) -> np.ndarray:
     w = np.zeros((size + 1, len(tag)), np.float32)
     penalised = np.ones((size + 1, 1))
     penalised[-1] = 0
 
     def at(w):
-        loss, g = _gradients(rows, w, tag, fold, factor)
+        loss, g = _gradients(blocks, w, tag, fold, factor)
         return loss + 0.5 * penalty * (np.square(w[:-1], dtype=np.float64)).sum(0), g + penalty * penalised * w
 
     loss, g = at(w)
@@ -206,11 +235,11 @@ def scores(rows: DataFrame, weights: np.ndarray, models: list[tuple[int, int, in
 
         for b in batches:
             keys = b.column(b.schema.names.index(key))
-            for own, at, value, starts, y, f in _blocks(b, len(models)):
-                z = _products(at, value, starts, len(y), sent.value)
+            for some, own, x, y, f in _blocks(b, len(sent.value) - 1):
+                z = np.concatenate([x @ sent.value[own, g] + sent.value[-1, g] for g in _groups(own, len(models))], axis=1)
                 row, model = np.nonzero(f[:, tag] == fold)
                 p = 1 / (1 + np.exp(-z[row, model].astype(np.float64)))
-                yield pa.RecordBatch.from_arrays([keys.slice(own.start, own.stop - own.start).take(pa.array(row)), pa.array(tag[model], pa.int32()), pa.array(strength[model], pa.int32()), pa.array(y[row, tag[model]].astype(np.float64)), pa.array(fold[model], pa.int32()), pa.array(p)], names=[key, "tag", "strength", "label", "fold", "score"])
+                yield pa.RecordBatch.from_arrays([keys.slice(some.start, some.stop - some.start).take(pa.array(row)), pa.array(tag[model], pa.int32()), pa.array(strength[model], pa.int32()), pa.array(y[row, tag[model]].astype(np.float64)), pa.array(fold[model], pa.int32()), pa.array(p)], names=[key, "tag", "strength", "label", "fold", "score"])
 
     kind = rows.schema[key].dataType.simpleString()
     return rows.mapInArrow(work, f"`{key}` {kind}, tag int, strength int, label double, fold int, score double")
